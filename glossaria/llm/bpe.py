@@ -34,7 +34,7 @@ from glossaria.llm.common import blocks, frozen, id_and_text, power_of_two, star
 
 #: Fixed value: the public word pattern of this kind of tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 18 << 20
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -110,6 +110,25 @@ def _unpack_numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
+def _pack_ranks(x: np.ndarray) -> bytes:
+    """Numbers that are mostly small: a byte each, more for those from 192 on, the rest for the largest."""
+    more = x[x >= 192] - 192
+    rest = (more >> 8) - 63
+    first = x.astype(np.uint8)
+    first[x >= 192] = 192 + np.minimum(more >> 8, 63)
+    return pickle.dumps((_pack(first.tobytes()), _pack((more & 255).astype(np.uint8).tobytes()), _pack_numbers(rest[rest >= 0])))
+
+
+def _unpack_ranks(data: bytes) -> np.ndarray:
+    first, low, rest = pickle.loads(data)
+    x = np.frombuffer(zstandard.decompress(first), np.uint8).astype(np.int64)
+    large = np.flatnonzero(x >= 192)
+    high = x[large] - 192
+    high[high == 63] += _unpack_numbers(rest)
+    x[large] = 192 + (high << 8) + np.frombuffer(zstandard.decompress(low), np.uint8)
+    return x
+
+
 def _pack_words(words: list[str]) -> bytes:
     """A list of words as their lengths and bytes."""
     encoded = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -145,14 +164,14 @@ def numbered(docs: DataFrame, path: str, n_dealt: int) -> DataFrame:
         v, block = vocabulary(path), TaskContext.get().partitionId() << 24
         for ids, texts in blocks(batches, BLOCK_BYTES):
             numbers = _Numbers()
-            runs = [np.fromiter(map(numbers.__getitem__, words := v.split(t.decode("utf-8", "replace"))), np.int64, len(words)) for t in texts]
+            runs = [np.fromiter(map(numbers.__getitem__, words := v.split(t.decode("utf-8", "replace"))), np.int32, len(words)) for t in texts]
             flat, words = np.concatenate(runs), list(numbers)
             by_use = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.int64)
+            rank = np.empty(len(words), np.int32)
             rank[by_use] = np.arange(len(words))
             words = [words[k] for k in by_use]
             at = _dealt(words, n_dealt)
-            yield _part([(0, block, -1, pickle.dumps((ids, list(map(len, runs)), _pack_numbers(at), _pack_numbers(rank[flat]))))])
+            yield _part([(0, block, -1, pickle.dumps((ids, list(map(len, runs)), _pack_numbers(at), _pack_ranks(rank[flat]))))])
             order = np.argsort(at, kind="stable")
             ends = starts_of(np.bincount(at, minlength=n_dealt))
             rows = [(1, block, d, _pack_words([words[k] for k in order[ends[d] : ends[d + 1]]])) for d in range(n_dealt) if ends[d] < ends[d + 1]]
@@ -177,7 +196,7 @@ def encoded_words(parts: DataFrame, path: str) -> DataFrame:
         at, flat = starts_of(sizes), np.fromiter((x for run in ids for x in run), np.int64, int(sizes.sum()))
         for block, words in lists:
             n = sizes[words]
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "dealt": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([len(n).to_bytes(4, "little") + n.astype("<u4").tobytes() + flat[_runs(at[words], n)].astype("<u4").tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "dealt": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([pickle.dumps((_pack_numbers(n), _pack_numbers(flat[_runs(at[words], n)])))], pa.binary())})
 
     return parts.where("kind = 1").groupBy("dealt").applyInArrow(encode, "block long, dealt int, data binary")
 
@@ -204,15 +223,15 @@ def encode(docs: DataFrame, path: str, consume=None, schema: str = "doc_id long,
         v, rows = vocabulary(path), []
         for data in left["data"].to_pylist():
             doc_ids, lengths, at, flat = pickle.loads(data)
-            at, flat = _unpack_numbers(at), _unpack_numbers(flat).astype(np.int64)
+            at, flat = _unpack_numbers(at), _unpack_ranks(flat)
             lists = dict(zip(right["dealt"].to_pylist(), right["data"].to_pylist()))
             # the block's words by number: the lists hold them dealt out, in the order of their numbers
             order, sizes, found = np.argsort(at, kind="stable"), np.zeros(len(at), np.int64), []
             for d, k in zip(*np.unique(at, return_counts=True)):
-                n = int.from_bytes(lists[d][:4], "little")
-                if n != k:
-                    raise ValueError(f"list {d} has {n} words, not {k}")
-                found.append((np.frombuffer(lists[d], "<u4", n, 4), np.frombuffer(lists[d], "<u4", -1, 4 + 4 * n)))
+                n, ids = map(_unpack_numbers, pickle.loads(lists[d]))
+                if len(n) != k:
+                    raise ValueError(f"list {d} has {len(n)} words, not {k}")
+                found.append((n, ids))
             if found:
                 sizes[order] = np.concatenate([f[0] for f in found])
             first = np.empty(len(at), np.int64)
