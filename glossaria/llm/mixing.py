@@ -119,7 +119,7 @@ def mixed_pieces(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block: int =
     start = F.greatest(F.col("offset"), F.col("block") * block)
     rows = rows.withColumn("start", start).withColumn("end", F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block))
     chosen = slots(found, block, shard_slots).select("source_no", "block", "shard", "slot", F.col("words").alias("room"))
-    joined = rows.join(chosen, ["source_no", "block"], "left")
+    joined = rows.join(chosen.hint("merge"), ["source_no", "block"], "left")  # both sides grow with the input
     words = F.greatest(F.lit(0), F.least(F.col("end"), F.col("block") * block + F.coalesce(F.col("room"), F.lit(0))) - F.col("start")).cast("long")
     return joined.select("doc_id", "size", "source_size", "target", "source_no", "offset", "shard", "slot", (F.col("start") - F.col("offset")).alias("first_word"), words.alias("words"))
 
