@@ -34,7 +34,7 @@ from glossaria.llm.common import blocks, frozen, id_and_text, power_of_two, star
 
 #: Fixed value: the public word pattern of this kind of tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_BYTES = 18 << 20
+BLOCK_BYTES = 22 << 20
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -166,14 +166,13 @@ def numbered(docs: DataFrame, path: str, n_dealt: int) -> DataFrame:
             numbers = _Numbers()
             runs = [np.fromiter(map(numbers.__getitem__, words := v.split(t.decode("utf-8", "replace"))), np.int32, len(words)) for t in texts]
             flat, words = np.concatenate(runs), list(numbers)
-            by_use = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.int32)
-            rank[by_use] = np.arange(len(words))
-            words = [words[k] for k in by_use]
+            # a word's number modulo n_dealt says which list it goes to; within a list, frequent words come first
             at = _dealt(words, n_dealt)
-            yield _part([(0, block, -1, pickle.dumps((ids, list(map(len, runs)), _pack_numbers(at), _pack_ranks(rank[flat]))))])
-            order = np.argsort(at, kind="stable")
+            order = np.lexsort((-np.bincount(flat, minlength=len(words)), at))
             ends = starts_of(np.bincount(at, minlength=n_dealt))
+            number = np.empty(len(words), np.int64)
+            number[order] = (np.arange(len(words)) - ends[at[order]]) * n_dealt + at[order]
+            yield _part([(0, block, -1, pickle.dumps((ids, list(map(len, runs)), _pack_ranks(number[flat]))))])
             rows = [(1, block, d, _pack_words([words[k] for k in order[ends[d] : ends[d + 1]]])) for d in range(n_dealt) if ends[d] < ends[d + 1]]
             if rows:
                 yield _part(rows)
@@ -222,21 +221,17 @@ def encode(docs: DataFrame, path: str, consume=None, schema: str = "doc_id long,
     def rejoin(left, right):
         v, rows = vocabulary(path), []
         for data in left["data"].to_pylist():
-            doc_ids, lengths, at, flat = pickle.loads(data)
-            at, flat = _unpack_numbers(at), _unpack_ranks(flat)
-            lists = dict(zip(right["dealt"].to_pylist(), right["data"].to_pylist()))
-            # the block's words by number: the lists hold them dealt out, in the order of their numbers
-            order, sizes, found = np.argsort(at, kind="stable"), np.zeros(len(at), np.int64), []
-            for d, k in zip(*np.unique(at, return_counts=True)):
-                n, ids = map(_unpack_numbers, pickle.loads(lists[d]))
-                if len(n) != k:
-                    raise ValueError(f"list {d} has {len(n)} words, not {k}")
-                found.append((n, ids))
-            if found:
-                sizes[order] = np.concatenate([f[0] for f in found])
-            first = np.empty(len(at), np.int64)
-            first[order] = starts_of(sizes[order])[:-1]
-            ids_of = np.concatenate([f[1] for f in found]) if found else np.empty(0, "<u4")
+            doc_ids, lengths, flat = pickle.loads(data)
+            flat = _unpack_ranks(flat)
+            lists = {d: tuple(map(_unpack_numbers, pickle.loads(x))) for d, x in zip(right["dealt"].to_pylist(), right["data"].to_pylist())}
+            sizes, first = (np.zeros(n_dealt * max((len(n) for n, _ in lists.values()), default=0), np.int64) for _ in range(2))
+            at, found = 0, []
+            for d, (n, ids) in sorted(lists.items()):
+                sizes[d :: n_dealt][: len(n)] = n
+                first[d :: n_dealt][: len(n)] = at + starts_of(n)[:-1]
+                at += len(ids)
+                found.append(ids)
+            ids_of = np.concatenate(found) if found else np.empty(0, "<u4")
             ends = starts_of(lengths)
             for k, i in enumerate(doc_ids):
                 words = flat[ends[k] : ends[k + 1]]
