@@ -29,6 +29,7 @@ from glossaria.llm.common import WORD_PATTERN, frozen
 BLOCK = 128
 SHARD_SLOTS = 1 << 20
 SLOTS_A_ROW = 4096
+SLOTS_A_TASK = 32_768
 ROUNDS = 14
 _SEED = 20_240_229
 
@@ -86,7 +87,8 @@ def slots(found: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS)
     all_slots = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumn("n_shards", F.ceil(F.sum("n_slots").over(all_slots) / shard_slots).cast("long")).where(F.col("n_slots") > 0)
     s = s.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOTS_A_ROW).cast("long"))))
-    s = s.repartition(F.col("source_no"), F.col("run"))
+    total = found.agg(F.sum("source_size")).first()[0] or 0
+    s = s.repartition(-(-total // (block * SLOTS_A_TASK)) + 1, F.col("source_no"), F.col("run"))  # few rows, but each makes thousands
     first = F.col("run") * SLOTS_A_ROW
     s = s.withColumn("slot", F.explode(F.sequence(first, F.least(first + SLOTS_A_ROW, F.col("n_slots")) - 1)))
     s = s.withColumn("pass_no", F.floor(F.col("slot") / F.col("n_blocks")).cast("long"))
