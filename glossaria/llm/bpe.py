@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from glossaria.llm.common import blocks, frozen, id_and_text, power_of_two, starts_of
+from glossaria.llm.common import blocks, frozen, id_and_text, power_of_two, runs, starts_of
 
 #: Fixed value: the public word pattern of this kind of tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -164,15 +164,15 @@ def numbered(docs: DataFrame, path: str, n_dealt: int) -> DataFrame:
         v, block = vocabulary(path), TaskContext.get().partitionId() << 24
         for ids, texts in blocks(batches, BLOCK_BYTES):
             numbers = _Numbers()
-            runs = [np.fromiter(map(numbers.__getitem__, words := v.split(t.decode("utf-8", "replace"))), np.int32, len(words)) for t in texts]
-            flat, words = np.concatenate(runs), list(numbers)
+            numbered_texts = [np.fromiter(map(numbers.__getitem__, words := v.split(t.decode("utf-8", "replace"))), np.int32, len(words)) for t in texts]
+            flat, words = np.concatenate(numbered_texts), list(numbers)
             # a word's number modulo n_dealt says which list it goes to; within a list, frequent words come first
             at = _dealt(words, n_dealt)
             order = np.lexsort((-np.bincount(flat, minlength=len(words)), at))
             ends = starts_of(np.bincount(at, minlength=n_dealt))
             number = np.empty(len(words), np.int64)
             number[order] = (np.arange(len(words)) - ends[at[order]]) * n_dealt + at[order]
-            yield _part([(0, block, -1, pickle.dumps((ids, list(map(len, runs)), _pack_ranks(number[flat]))))])
+            yield _part([(0, block, -1, pickle.dumps((ids, list(map(len, numbered_texts)), _pack_ranks(number[flat]))))])
             rows = [(1, block, d, _pack_words([words[k] for k in order[ends[d] : ends[d + 1]]])) for d in range(n_dealt) if ends[d] < ends[d + 1]]
             if rows:
                 yield _part(rows)
@@ -195,17 +195,11 @@ def encoded_words(parts: DataFrame, path: str) -> DataFrame:
         at, flat = starts_of(sizes), np.fromiter((x for run in ids for x in run), np.int64, int(sizes.sum()))
         for block, words in lists:
             n = sizes[words]
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "dealt": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([pickle.dumps((_pack_numbers(n), _pack_numbers(flat[_runs(at[words], n)])))], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "dealt": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([pickle.dumps((_pack_numbers(n), _pack_numbers(flat[runs(at[words], n)])))], pa.binary())})
 
     return parts.where("kind = 1").groupBy("dealt").applyInArrow(encode, "block long, dealt int, data binary")
 
 
-def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """first[0] .. first[0] + n[0] - 1, first[1] .., and so on."""
-    ends = starts_of(n)
-    return np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)
-
-
 def encode(docs: DataFrame, path: str, consume=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """(doc_id, ids) for every row of docs(doc_id, text).
 
@@ -235,7 +229,7 @@ def encode(docs: DataFrame, path: str, consume=None, schema: str = "doc_id long,
             ends = starts_of(lengths)
             for k, i in enumerate(doc_ids):
                 words = flat[ends[k] : ends[k + 1]]
-                rows.append(consume(v, i, ids_of[_runs(first[words], sizes[words])]))
+                rows.append(consume(v, i, ids_of[runs(first[words], sizes[words])]))
         columns = list(zip(*rows)) or [()] * len(arrow)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +39,9 @@ def frozen(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def id_and_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): text as UTF-8 bytes.  Other columns are left behind, so their names never clash."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+def id_and_text(docs: DataFrame, *carry: str) -> DataFrame:
+    """(doc_id, text): text as UTF-8 bytes.  Other columns are left behind, so their names never clash; those to carry along are in one more, `carried`."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
 
 
 def rows_of(batch: pa.RecordBatch) -> tuple[list, list]:
@@ -75,6 +76,35 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of one thing followed by another."""
+    return mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def hashes_at_length(h: np.ndarray, to: int) -> np.ndarray:
+    """From hashes of words those of all runs of `to` words, doubling; the last step may overlap."""
+    size = 1
+    while size < to:
+        step = min(2 * size, to)
+        n = len(h) - (step - size)
+        h, size = (joined(h[:n], h[step - size :][:n]) if n > 0 else h[:0]), step
+    return h
+
+
+def runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0] .. first[0] + n[0] - 1, first[1] .., and so on."""
+    ends = starts_of(n)
+    return np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)
+
+
 def power_of_two(n: int, least: int, most: int) -> int:
     return min(most, max(least, 1 << max(0, int(n) - 1).bit_length()))
 
@@ -108,3 +138,26 @@ def bits_of(positions: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros(width, bool)
     out[positions] = True
     return np.packbits(out, bitorder="little")
+
+
+def bloom_of(hashes: DataFrame, n: int, slices: int = 16) -> Bloom:
+    """A filter of the n numbers in the single long column of hashes; it comes to the driver, of 2 ** 30 bits at most."""
+    bits = power_of_two(16 * n, 1 << 16, 1 << 30)
+    width = bits // slices
+
+    def mark(batches):
+        found = [np.empty(0, np.uint64)] + [b.column(0).to_numpy().view(np.uint64) for b in batches]
+        h = np.unique(np.concatenate(found))
+        part = h % np.uint64(slices)
+        for s in range(slices if len(h) else 0):
+            at = np.unique(Bloom.in_slice(h[part == s], width, slices)).astype("<u4")
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "at": pa.array([at.tobytes()], pa.binary())})
+
+    def merge(table):
+        found = np.concatenate([np.frombuffer(x, "<u4") for x in table["at"].to_pylist()])
+        return pa.table({"slice": table["slice"][:1], "bits": pa.array([bits_of(found, width).tobytes()], pa.binary())})
+
+    packed = np.zeros((slices, width // 8), np.uint8)
+    for s, b in hashes.mapInArrow(mark, "slice int, at binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():
+        packed[s] = np.frombuffer(b, np.uint8)
+    return Bloom(bits, slices, packed.reshape(-1))

@@ -133,32 +133,48 @@ def train(docs: DataFrame, per_lang: int = 250, max_bytes: int = 20_000, order:
     return Model(texts, order) if texts else None
 
 
+def predicted(m: Model | None, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """Languages and scores of texts, a few at a time."""
+    lang, score = ["und"] * len(texts), np.zeros(len(texts))
+    known = [i for i, t in enumerate(texts) if t and _LETTER.search(t.decode("utf-8", "replace"))] if m else []
+    while known:
+        part, size = [], 0
+        while known and (not part or size < 1 << 20):
+            part.append(known.pop())
+            size += len(texts[part[-1]])
+        lengths = m.lengths([texts[i] for i in part])
+        best = lengths.argmin(axis=1)
+        gap = (lengths - lengths.min(axis=1, keepdims=True)) / UNIT / np.array([[len(texts[i])] for i in part])
+        score[part] = 1 / np.exp2(-gap).sum(axis=1)
+        for i, x in zip(part, best):
+            lang[i] = m.langs[x]
+    return lang, score
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs (doc_id, held_out, text as bytes) with lang_pred and score instead of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
         for b in batches:
-            texts = b["text"].to_pylist()
-            lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if t and _LETTER.search(t.decode("utf-8", "replace"))] if m else []
-            while known:
-                part, size = [], 0
-                while known and (not part or size < 1 << 20):
-                    part.append(known.pop())
-                    size += len(texts[part[-1]])
-                lengths = m.lengths([texts[i] for i in part])
-                best = lengths.argmin(axis=1)
-                gap = (lengths - lengths.min(axis=1, keepdims=True)) / UNIT / np.array([[len(texts[i])] for i in part])
-                score[part] = 1 / np.exp2(-gap).sum(axis=1)
-                for i, x in zip(part, best):
-                    lang[i] = m.langs[x]
+            lang, score = predicted(shared.value, b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def recognized(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, with all columns, whose text isn't `und`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            lang, _ = predicted(shared.value, [(t or "").encode() for t in b["text"].to_pylist()])
+            yield b.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, **training) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs(doc_id, text, lang), learned from those not held out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -105,22 +105,24 @@ def repeated_keys(docs: DataFrame, least: int, copies: int, bits: int) -> DataFr
     return frozen(sums.where(F.col("n") >= copies).select("digest", "last"), "repeated-lines")
 
 
-def drop_repeated(docs: DataFrame, least: int = 40, copies: int = 5, bits_per_doc: int = 256, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """(doc_id, kept_text, n_lines, n_dropped) for every row of docs(doc_id, text)."""
-    docs = id_and_text(docs)
+def drop_repeated(docs: DataFrame, least: int = 40, copies: int = 5, bits_per_doc: int = 256, broadcast_keys: int = BROADCAST_KEYS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept_text, n_lines, n_dropped) for every row of docs(doc_id, text); with columns to carry, they are in the struct `carried`."""
+    full, docs = id_and_text(docs, *carry), id_and_text(docs)
     spark = docs.sparkSession
     bits = power_of_two(docs.count() * bits_per_doc, 1 << 20, 1 << 30)
     keys = repeated_keys(docs, least, copies, bits)
     schema = "doc_id long, kept_text string, n_lines long, n_dropped long"
+    schema += f", carried {full.schema['carried'].dataType.simpleString()}" if carry else ""
 
     def kept(i, text, goes):
         lines = text.split(b"\n")
         stay = [x for x in lines if len(x) < least or (k := key_of(x, least)) is None or not goes(_digest(k), i)]
         return i, b"\n".join(stay).decode("utf-8", "replace"), len(lines), len(lines) - len(stay)
 
-    def batch_of(rows):
+    def batch_of(rows, batch):
         i, t, n, d = zip(*rows)
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(i, pa.int64()), "kept_text": pa.array(t, pa.string()), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(d, pa.int64())})
+        columns = {"doc_id": pa.array(i, pa.int64()), "kept_text": pa.array(t, pa.string()), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(d, pa.int64())}
+        return pa.RecordBatch.from_pydict(columns | ({"carried": batch["carried"]} if carry else {}))
 
     if keys.count() <= broadcast_keys:
         shared = spark.sparkContext.broadcast({bytes(k): last for k, last in keys.collect()})
@@ -130,9 +132,9 @@ def drop_repeated(docs: DataFrame, least: int = 40, copies: int = 5, bits_per_do
             goes = lambda k, i: k in last and last[k] != i
             for b in batches:
                 if b.num_rows:
-                    yield batch_of([kept(i, t, goes) for i, t in zip(*rows_of(b))])
+                    yield batch_of([kept(i, t, goes) for i, t in zip(*rows_of(b))], b)
 
-        return docs.mapInArrow(drop, schema)
+        return full.mapInArrow(drop, schema)
 
     def held(batches):
         for b in batches:
@@ -145,8 +147,8 @@ def drop_repeated(docs: DataFrame, least: int = 40, copies: int = 5, bits_per_do
     def drop_listed(batches):
         for b in batches:
             if b.num_rows:
-                yield batch_of([kept(i, t or b"", lambda k, _, g=frozenset(g or ()): k in g) for i, t, g in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["gone"].to_pylist())])
+                yield batch_of([kept(i, t or b"", lambda k, _, g=frozenset(g or ()): k in g) for i, t, g in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["gone"].to_pylist())], b)
 
-    return docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("holder")), "left").select("doc_id", "text", "gone").mapInArrow(drop_listed, schema)
+    return full.join(per_doc, F.col("doc_id").eqNullSafe(F.col("holder")), "left").drop("holder").mapInArrow(drop_listed, schema)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaria.llm import bpe, counts, knn, langid, linededup, media, mixing
+from glossaria.llm import bpe, counts, knn, langid, linededup, media, mixing, neardup, substrings, suffixes
 from glossaria.llm.common import WORD_PATTERN, frozen
 
 PIECE_PATTERN = r"[A-Za-z0-9]+|[^A-Za-z0-9\x00-\x20]"
@@ -59,6 +59,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share four fifths of their four-word shingles."""
+    return neardup.near_duplicates(_docs(spark, sf_dir), size=4, threshold=0.8)
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores every text as a picture in tar shards and reads it back."""
     return media.read_back(media.headers(media.store(_docs(spark, sf_dir))))
@@ -69,7 +74,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_knn, op2_bpe, op3_language_id, op4_token_counts, op5_line_dedup, op7_media, op8_mixing)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes words of 13-word windows that a smaller document has."""
+    return substrings.digests(_docs(spark, sf_dir), window=13)
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes bytes of 400-byte strings that occur elsewhere."""
+    return suffixes.digests(_docs(spark, sf_dir), length=400)
+
+
+QUERIES = {f.__name__: f for f in (op1_knn, op2_bpe, op3_language_id, op4_token_counts, op5_line_dedup, op6_near_dedup, op7_media, op8_mixing, op9_substring_dedup, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op1_knn": """
@@ -89,6 +104,15 @@ WITH m AS (SELECT doc_id, bool_or(coalesce(toxic = 1, false)) AS toxic, bool_or(
      t AS (SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN low THEN letters ELSE words END AS n FROM d WHERE NOT toxic
            UNION ALL SELECT source, lang, 'pieces-2', pieces FROM d WHERE NOT toxic)
 SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM t GROUP BY ALL""",
+    "op9_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     s AS (SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+     f AS (SELECT doc_id, p, doc_id > min(doc_id) OVER (PARTITION BY key) AS goes FROM s),
+     g AS (SELECT DISTINCT doc_id, p + i AS n FROM (SELECT doc_id, p, unnest(range(13)) AS i FROM f WHERE goes)),
+     k AS (SELECT d.doc_id, len(d.w) AS n_words, d.w, coalesce(x.gone, []) AS gone FROM d LEFT JOIN (SELECT doc_id, list(n) AS gone FROM g GROUP BY doc_id) x USING (doc_id)),
+     u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS n FROM d)
+SELECT k.doc_id, CAST(k.n_words AS BIGINT) AS n_words, CAST(len(k.gone) AS BIGINT) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM k LEFT JOIN (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.n) AS kept FROM u ANTI JOIN g ON u.doc_id = g.doc_id AND u.n = g.n GROUP BY u.doc_id) t USING (doc_id)""",
     "op5_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
      k AS (SELECT doc_id, n, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
