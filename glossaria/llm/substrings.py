@@ -49,7 +49,8 @@ class _Words:
         of = np.repeat(np.arange(len(self.runs)), np.diff(self.ends))
         n = max(0, len(of) - window + 1)
         self.whole = np.flatnonzero(of[:n] == of[window - 1 :][:n])
-        self.doc = np.array([_LAST if i is None else i for i in ids], np.int64)[of[self.whole]] if len(of) else np.empty(0, np.int64)
+        self.of_window = of[self.whole]
+        self.doc = np.array([_LAST if i is None else i for i in ids], np.int64)[self.of_window] if len(of) else np.empty(0, np.int64)
 
 
 def keep_first(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -72,14 +73,20 @@ def _run(docs: DataFrame, window: int, row, arrow: pa.Schema, schema: str) -> Da
         a, b = h_half[at], h_half[at + window - half]
         return joined(a, b), (mixed((a ^ _C) * _B + b * _C) >> np.uint64(32)).astype(np.uint32)
 
+    def lead(w: _Words, h_half: np.ndarray) -> np.ndarray:
+        """For each window the smallest hash of the half-length windows in it, spread over all ranges again."""
+        return mixed(_least(h_half, window - half + 1)[w.whole])
+
     def anchors(ids, texts):
         w = _Words(ids, texts, window)
-        return _least(hashes_at_length(w.hash, half), window - half + 1)[w.whole]
+        key = lead(w, hashes_at_length(w.hash, half))
+        again = (key[1:] == key[:-1]) & (w.of_window[1:] == w.of_window[:-1])  # mostly the same place still
+        return key[np.concatenate(([True], ~again))] if len(key) else key
 
     def emit(ids, texts, known, n_parts):
         w = _Words(ids, texts, window)
         h_half = hashes_at_length(w.hash, half)
-        key = _least(h_half, window - half + 1)[w.whole]
+        key = lead(w, h_half)
         near = np.minimum(np.searchsorted(known, key), len(known) - 1)
         chosen = known[near] == key
         h, check = full(w, h_half, w.whole[chosen])
