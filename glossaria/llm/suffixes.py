@@ -63,21 +63,27 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
 def sorted_directly(words: np.ndarray, which: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first depth bytes, eight at a time, only groups still equal going on."""
     order = which[np.argsort(words[which], kind="stable")]
-    n, group = len(words), np.zeros(len(which), np.int64)
-    group[1:] = np.cumsum(words[order[1:]] != words[order[:-1]])
-    size = np.bincount(group) if len(group) else np.empty(0, np.int64)
-    active, at = np.flatnonzero(size[group] > 1), 8
-    while at < depth and len(active):
+    n = len(words)
+    active = np.arange(len(order))
+    group = np.cumsum(np.concatenate(([0], words[order[1:]] != words[order[:-1]])))[: len(order)]  # of the active, rising along the order
+    for at in range(8, depth + 8, 8):
+        many = np.bincount(group, minlength=1)[group] > 1
+        active, group = active[many], group[many]
+        if at >= depth or not len(active):
+            break
         place = order[active] + at
         key = np.where(place < n, words[np.minimum(place, n - 1)], 0)
-        by = np.lexsort((key, group[active]))
-        order[active], key = order[active][by], key[by]
-        its = group[active]
-        new = np.concatenate(([True], (its[1:] != its[:-1]) | (key[1:] != key[:-1])))
-        run = np.cumsum(new) - 1
-        group[active] = active[np.flatnonzero(new)][run] + n  # numbers that rise along the order
-        active = active[np.bincount(run)[run] > 1]
-        at += 8
+        apart = group[1:] != group[:-1]
+        differs = key[1:] != key[:-1]
+        if not (differs & ~apart).any():
+            continue
+        # only groups in which the next bytes differ are sorted
+        open_ = np.zeros(int(group[-1]) + 1, bool)
+        open_[group[1:][differs & ~apart]] = True
+        some = np.flatnonzero(open_[group])
+        by = np.lexsort((key[some], group[some]))
+        order[active[some]], key[some] = order[active[some[by]]], key[some[by]]
+        group = np.cumsum(np.concatenate(([0], apart | (key[1:] != key[:-1]))))
     return order
 
 
@@ -180,14 +186,14 @@ def _run(docs: DataFrame, length: int, row, arrow: pa.Schema, schema: str) -> Da
         raise ValueError(f"strings have {2 * ANCHOR} bytes at least")
 
     def anchors(ids, texts):
-        found = [h[place[_segments(starts, place)[0]]] for _, _, starts, place, h in _led(texts, length)]
+        found = [mixed(h[place[_segments(starts, place)[0]]]) for _, _, starts, place, h in _led(texts, length)]
         return np.concatenate(found) if found else np.empty(0, np.uint64)
 
     def emit(ids, texts, known, n_parts):
         shift, out = np.uint64(65 - n_parts.bit_length()), {}
         for base, data, starts, place, h in _led(texts, length):
             first, n = _segments(starts, place)
-            key = h[place[first]]
+            key = mixed(h[place[first]])  # the smallest hashes, spread over all ranges again
             near = np.minimum(np.searchsorted(known, key), len(known) - 1)
             chosen, raw = known[near] == key, data.tobytes()
             for s, m, k, a in zip(*(x[chosen].tolist() for x in (starts[first], n, key, place[first]))):
