@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,13 @@ def _least(h: np.ndarray, over: int) -> np.ndarray:
     return h
 
 
+def _in(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which numbers of x are among the ascending ones known."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 class _Words:
     """The words of a block's documents, side by side, and which windows stay within one document."""
 
@@ -45,7 +53,7 @@ class _Words:
         self.runs = [t.split() for t in texts]
         self.ends = starts_of(list(map(len, self.runs)))
         hashes = WordHashes()
-        self.hash = np.fromiter((hashes[w] for run in self.runs for w in run), np.uint64, int(self.ends[-1]))
+        self.hash = np.fromiter(map(hashes.__getitem__, chain.from_iterable(self.runs)), np.uint64, int(self.ends[-1]))
         of = np.repeat(np.arange(len(self.runs)), np.diff(self.ends))
         n = max(0, len(of) - window + 1)
         self.whole = np.flatnonzero(of[:n] == of[window - 1 :][:n])
@@ -87,8 +95,7 @@ def _run(docs: DataFrame, window: int, row, arrow: pa.Schema, schema: str) -> Da
         w = _Words(ids, texts, window)
         h_half = hashes_at_length(w.hash, half)
         key = lead(w, h_half)
-        near = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        chosen = known[near] == key
+        chosen = _in(known, key)
         h, check = full(w, h_half, w.whole[chosen])
         doc = w.doc[chosen]
         order = np.lexsort((doc, check, h))
@@ -125,24 +132,27 @@ def _run(docs: DataFrame, window: int, row, arrow: pa.Schema, schema: str) -> Da
     def finish(ids, texts, answers):
         w = _Words(ids, texts, window)
         h, check = full(w, hashes_at_length(w.hash, half), w.whole) if len(w.whole) else (np.empty(0, np.uint64), np.empty(0, np.uint32))
-        order = np.lexsort((w.doc, check, h))
-        new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])))[: len(h)]
-        first = np.flatnonzero(new)
-        least = np.repeat(w.doc[order][first], np.diff(np.concatenate((first, [len(h)])))) if len(h) else w.doc
         goes = np.zeros(len(h), bool)
-        goes[order] = w.doc[order] > least
+        twice = np.sort(h)
+        twice = np.unique(twice[1:][twice[1:] == twice[:-1]])
+        some = np.flatnonzero(_in(twice, h))  # what repeats within the block
+        if len(some):
+            some = some[np.lexsort((w.doc[some], check[some], h[some]))]
+            new = np.concatenate(([True], (h[some][1:] != h[some][:-1]) | (check[some][1:] != check[some][:-1])))
+            first = np.flatnonzero(new)
+            goes[some] = w.doc[some] > np.repeat(w.doc[some][first], np.diff(np.concatenate((first, [len(some)]))))
         if answers:
             parts = [pickle.loads(a) for a in answers]
             known, tag = np.concatenate([unpack_sorted(a) for a, _ in parts]), np.concatenate([np.frombuffer(b, "<u4") for _, b in parts])
             by = np.lexsort((tag, known))
             known, tag = known[by], tag[by]
-            left, right = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+            some = np.flatnonzero(_in(known, h) & ~goes)
+            left, right = np.searchsorted(known, h[some], "left"), np.searchsorted(known, h[some], "right")
             for shift in range(int((right - left).max(initial=0))):  # more than one: equal 64 bits, other 32
                 at = np.minimum(left + shift, len(known) - 1)
-                goes |= (left + shift < right) & (tag[at] == check)
-        cover = np.zeros(len(w.hash) + window + 1, np.int64)
-        np.add.at(cover, w.whole[goes], 1)
-        np.add.at(cover, w.whole[goes] + window, -1)
+                goes[some] |= (left + shift < right) & (tag[at] == check[some])
+        starts, n = w.whole[goes], len(w.hash) + window + 1
+        cover = np.bincount(starts, minlength=n) - np.bincount(starts + window, minlength=n)
         gone = np.cumsum(cover)[: len(w.hash)] > 0
         rows = []
         for i, run, s in zip(ids, w.runs, w.ends):
