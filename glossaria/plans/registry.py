@@ -2,9 +2,269 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from glossaria.functions import lemma as lemmas
+from glossaria.functions import responses, text
+from glossaria.operators import delivery, words
+from glossaria.sources import html, wordlist_csv
+from glossaria.sources.store import VocabularyStore
+from glossaria.streaming import ingest
+
+GAZETTEER = ("the", "and", "in", "de", "la", "der", "die", "el", "of", "is")
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _names(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in GAZETTEER], "lower_name string")
+
+
+def _vocabulary(spark, sf_dir, table="documents") -> DataFrame:
+    return words.extract_entries(_read(spark, sf_dir, table))
+
+
+def _remote(spark, sf_dir) -> DataFrame:
+    return _vocabulary(spark, sf_dir, "benchmark").select(F.col("lemma").alias("word"))
+
+
+def tokenize(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(text.tokens(text.normalize(F.col("text")))).alias("pos", "token"))
+
+
+def token_reason(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("lang", F.explode(text.tokens(text.normalize(F.col("text")))).alias("token"))
+    return d.groupBy("lang", "token").count().groupBy("lang", text.reason(F.col("token")).alias("reason")).agg(F.sum("count").alias("n"))
+
+
+def english_words(spark, sf_dir):
+    return words.word_tokens(_read(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_distinct(F.lower("token")).alias("n_distinct"))
+
+
+def normalize_roundtrip(spark, sf_dir):
+    """Letters as full-width forms and hyphens as dashes come back as they were."""
+    plain = "abcdefghijklmnopqrstuvwxyz-"
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in plain[:-1]) + "–"
+    d = _read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(text.normalize(F.translate("text", plain, wide)).cast("binary")).alias("text_md5"))
+
+
+def lemma_pairs(spark, sf_dir):
+    spelt = words.word_tokens(_read(spark, sf_dir, "documents")).select(F.lower("token").alias("word")).distinct()
+    return spelt.select("word", lemmas.lemma(F.col("word")).alias("lemma"))
+
+
+def extract_entries(spark, sf_dir):
+    return words.extract_entries(_read(spark, sf_dir, "documents"), "doc_id")
+
+
+def corpus_vocabulary(spark, sf_dir):
+    return words.merge_entries(_vocabulary(spark, sf_dir))
+
+
+def proper_noun_excluded(spark, sf_dir):
+    return words.extract_entries(_read(spark, sf_dir, "documents"), "doc_id", proper_nouns=_names(spark)).groupBy("doc_id").agg(F.count("*").alias("n_lemmas"), F.sum("first_pos").alias("sum_pos"))
+
+
+def proper_noun_kept(spark, sf_dir):
+    return words.extract_entries(_read(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_lemmas"), F.sum("first_pos").alias("sum_pos"))
+
+
+def conversation_vocabulary(spark, sf_dir):
+    return words.extract_entries(_read(spark, sf_dir, "conversations"), "role").select("role", "lemma", "flags")
+
+
+def _flagged(spark, sf_dir) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").withColumn("part", F.pmod("doc_id", F.lit(4)))
+    return words.extract_entries(d, "part").select("lemma", F.expr("shiftleft(1, CAST(part AS INT))").alias("flags"))
+
+
+def merge_flags(spark, sf_dir):
+    return words.merge_entries(_flagged(spark, sf_dir))
+
+
+def merge_three_lists(spark, sf_dir):
+    return words.merge_entries(*(_vocabulary(spark, sf_dir, t).withColumn("flags", F.lit(f)) for t, f in (("documents", 1), ("conversations", 2), ("benchmark", 4))))
+
+
+def _marked(spark, sf_dir) -> DataFrame:
+    return words.mark_pushed(_vocabulary(spark, sf_dir), _remote(spark, sf_dir).select(F.upper("word").alias("lemma")))
+
+
+def counts(spark, sf_dir):
+    return words.counts(_marked(spark, sf_dir))
+
+
+def pending(spark, sf_dir):
+    return words.pending(_marked(spark, sf_dir))
+
+
+def mark_pushed(spark, sf_dir):
+    return _marked(spark, sf_dir)
+
+
+def already_known(spark, sf_dir):
+    return delivery.known_words(_vocabulary(spark, sf_dir), _remote(spark, sf_dir)).select("lemma")
+
+
+def new_words(spark, sf_dir):
+    return delivery.new_words(_vocabulary(spark, sf_dir), _remote(spark, sf_dir)).select("lemma")
+
+
+def definition_lookup(spark, sf_dir):
+    """The first benchmark item that has a word stands in for its definition."""
+    items = words.extract_entries(_read(spark, sf_dir, "benchmark"), "item_id").select(F.col("lemma").alias("word"), F.col("item_id").alias("nth"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("interpret"))
+    return delivery.with_definitions(_vocabulary(spark, sf_dir).select("lemma"), items)
+
+
+def _planned(spark, sf_dir) -> DataFrame:
+    entries = _vocabulary(spark, sf_dir)
+    n = F.length("lemma")
+    script = entries.select("lemma", F.when(n == 19, "auth").when(n % 7 == 0, "client").otherwise("server").alias("kind"), (n % 5).cast("int").alias("failures"))
+    return delivery.plan(words.pending(entries), _remote(spark, sf_dir), script)
+
+
+def push_outcomes(spark, sf_dir):
+    return _planned(spark, sf_dir)
+
+
+def push_summary(spark, sf_dir):
+    return delivery.summary(_planned(spark, sf_dir))
+
+
+def classify_responses(spark, sf_dir):
+    """Replies made from events: status and body follow the event's number."""
+    e = _read(spark, sf_dir, "events")
+    k = F.col("event_id") % 9
+    status = F.when(k == 0, 401).when(k == 1, 500).when(k == 2, 404).otherwise(200)
+    body = F.when(k == 3, "oops").when(k == 4, '{"result_code":500}').when(k == 5, '{"resultCode":200,"data_body":{"list":[{"w":1}]}}').when(k == 6, '{"x":1}').when(k == 7, '{"result_code":404}').otherwise('{"result_code":200,"data_body":{"list":[]}}')
+    r = e.select(status.alias("status"), body.alias("body"))
+    kind = responses.classify_response(F.col("status"), F.col("body"))
+    return r.groupBy("status", kind.alias("kind"), responses.retriable(F.col("status"), F.col("body")).alias("again"), responses.exists_in_book(F.col("body")).alias("found")).agg(F.count("*").alias("n"))
+
+
+def message_guards(spark, sf_dir):
+    """Messages made from conversations, one in four of them malformed."""
+    c = _read(spark, sf_dir, "conversations")
+    k = F.col("turn") % 4
+    body = F.when(k == 0, F.concat(F.lit('{"type":"WORDS_COLLECTED","entries":[{"lemma":"'), F.col("role"), F.lit('","flags":0}]}'))).when(k == 1, '{"type":"WORDS_COLLECTED","entries":[{"lemma":1,"flags":0}]}').when(k == 2, F.concat(F.lit('{"type":"'), F.upper("role"), F.lit('"}'))).otherwise('{"type":"EXPORT_CSV"}')
+    return c.select("conv_id", "turn", body.alias("body")).groupBy("conv_id").agg(F.count_if(responses.valid_message(F.col("body"))).alias("n_valid"), F.count("*").alias("n"))
+
+
+def csv_roundtrip(spark, sf_dir):
+    """The vocabulary of each source written as a file's text and read again."""
+    d = words.extract_entries(_read(spark, sf_dir, "documents"), "source")
+    lines = d.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(wordlist_csv.csv_row(F.col("lemma"), F.col("flags")))), "\n").alias("body"))
+    files = lines.select(F.col("source").alias("file"), F.concat(F.lit(wordlist_csv.HEADER + "\n"), F.col("body"), F.lit("\n")).alias("content"))
+    return wordlist_csv.read_lists(files).where("error IS NULL").select("file", "lemma", "flags")
+
+
+def csv_errors(spark, sf_dir):
+    """Every benchmark item's text as the last row of a list: one column too few or too many."""
+    b = _read(spark, sf_dir, "benchmark")
+    files = b.select(F.col("item_id").cast("string").alias("file"), F.concat(F.lit("lemma,flags\nok,1\n"), F.regexp_replace("text", '[,"\\n\\r]', " ")).alias("content"))
+    return wordlist_csv.read_lists(files).groupBy("file").agg(F.count("*").alias("n_rows"), F.max("line").alias("last_line"), F.max("error_kind").alias("error_kind"))
+
+
+def collect_pages(spark, sf_dir):
+    p = html.collect_pages(_read(spark, sf_dir, "pages"), "page_id")
+    return p.select("page_id", "source", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def page_vocabulary(spark, sf_dir):
+    return words.extract_entries(html.collect_pages(_read(spark, sf_dir, "pages"), "page_id"), "page_id").select("page_id", "lemma", "flags")
+
+
+def stream_ingest(spark, sf_dir):
+    """The documents as a stream into a store; the store then equals the batch vocabulary."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="glossaria-")
+    top = f"{shared.rstrip('/')}/ingest-{spark.range(1).select(F.uuid()).first()[0]}"
+    schema = _read(spark, sf_dir, "documents").schema
+    store = VocabularyStore(spark, f"{top}/store")
+    docs = ingest.document_stream(spark, f"{sf_dir}/documents*.parquet", schema)
+    ingest.ingest(docs, store, f"{top}/progress").awaitTermination()
+    return store.get_all()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        tokenize, token_reason, english_words, normalize_roundtrip, lemma_pairs, extract_entries, corpus_vocabulary, proper_noun_excluded, proper_noun_kept,
+        conversation_vocabulary, merge_flags, merge_three_lists, counts, pending, mark_pushed, already_known, new_words, definition_lookup, push_outcomes,
+        push_summary, classify_responses, message_guards, csv_roundtrip, csv_errors, collect_pages, page_vocabulary, stream_ingest,
+    )
+}
+
+# --- the same in SQL ---
+
+
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_CUT = f"list_filter(list_transform(regexp_extract_all(text, '{_q(text.CANDIDATE)}'), lambda t: regexp_replace(t, '{_q(text.TRAILING)}', '')), lambda t: t <> '')"
+_PATTERNS = dict(text.REFUSALS)
+
+
+def _tokens(table: str, ids: str) -> str:
+    return f"(SELECT {ids + ', ' if ids else ''}unnest(l) AS token, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM (SELECT {ids + ', ' if ids else ''}{_CUT} AS l FROM {table}))"
+
+
+def _words_sql(table: str, ids: str = "") -> str:
+    return f"(SELECT * FROM {_tokens(table, ids)} WHERE regexp_matches(token, '{_q(text.WORD)}') AND NOT regexp_matches(token, '{_PATTERNS['camel']}') AND NOT regexp_matches(token, '{_PATTERNS['pascal']}'))"
+
+
+def _lemmas(table: str, ids: str = "", where: str = "") -> str:
+    """Base forms by way of distinct spellings."""
+    head = ids + ", " if ids else ""
+    spelt = f"(SELECT {head}lower(token) AS spelling, min(pos) AS pos FROM {_words_sql(table, ids)} {where} GROUP BY ALL)"
+    return f"(SELECT {head}{lemmas.lemma_sql('spelling')} AS lemma, 0 AS flags, CAST(min(pos) AS INTEGER) AS first_pos FROM {spelt} GROUP BY ALL)"
+
+
+_VOCABULARY, _BOOK = _lemmas("documents"), _lemmas("benchmark")
+_NOT_NAMED = f"WHERE NOT (regexp_matches(token, '^[A-Z]') AND lower(token) IN ({', '.join(f"'{n}'" for n in GAZETTEER)}))"
+_MARKED = f"(SELECT v.lemma, CAST(CASE WHEN b.lemma IS NULL THEN v.flags ELSE v.flags | 1 END AS INTEGER) AS flags FROM {_VOCABULARY} v LEFT JOIN {_BOOK} b USING (lemma))"
+_PLANNED = f"""(WITH s AS (SELECT v.lemma, b.lemma IS NOT NULL AS known, CASE WHEN length(v.lemma) = 19 THEN 'auth' WHEN length(v.lemma) % 7 = 0 THEN 'client' ELSE 'server' END AS kind, length(v.lemma) % 5 AS failures
+                FROM {_VOCABULARY} v LEFT JOIN {_BOOK} b USING (lemma)),
+     t AS (SELECT *, max(CASE WHEN kind = 'auth' AND NOT known THEN 1 ELSE 0 END) OVER (ORDER BY lemma ROWS UNBOUNDED PRECEDING) AS stopped FROM s),
+     o AS (SELECT *, CASE WHEN stopped = 1 THEN 'pending' WHEN known THEN 'existing' WHEN kind = 'client' OR failures >= 3 THEN 'failed' ELSE 'succeeded' END AS outcome FROM t),
+     a AS (SELECT *, CASE WHEN outcome IN ('pending', 'existing') THEN 0 WHEN kind = 'client' THEN 1 ELSE least(3, failures + 1) END AS attempts FROM o)
+SELECT lemma, outcome, CAST(attempts AS INTEGER) AS attempts, CAST(CASE attempts WHEN 2 THEN 800 WHEN 3 THEN 2800 ELSE 0 END AS INTEGER) AS waited_ms FROM a)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "tokenize": f"SELECT doc_id, pos, token FROM {_tokens('documents', 'doc_id')}",
+    "token_reason": f"SELECT lang, CASE {' '.join(f"WHEN regexp_matches(token, '{_q(p)}') THEN '{n}'" for n, p in text.REFUSALS)} WHEN NOT regexp_matches(token, '{_q(text.WORD)}') THEN 'shape' ELSE 'accept' END AS reason, CAST(count(*) AS BIGINT) AS n FROM {_tokens('documents', 'lang')} GROUP BY ALL",
+    "english_words": f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_words, CAST(count(DISTINCT lower(token)) AS BIGINT) AS n_distinct FROM {_words_sql('documents', 'doc_id')} GROUP BY doc_id",
+    "normalize_roundtrip": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "lemma_pairs": f"SELECT word, {lemmas.lemma_sql('word')} AS lemma FROM (SELECT DISTINCT lower(token) AS word FROM {_words_sql('documents')})",
+    "extract_entries": f"SELECT * FROM {_lemmas('documents', 'doc_id')}",
+    "corpus_vocabulary": f"SELECT lemma, flags FROM {_VOCABULARY}",
+    "proper_noun_excluded": f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lemmas, CAST(sum(first_pos) AS BIGINT) AS sum_pos FROM {_lemmas('documents', 'doc_id', _NOT_NAMED)} GROUP BY doc_id",
+    "proper_noun_kept": f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lemmas, CAST(sum(first_pos) AS BIGINT) AS sum_pos FROM {_lemmas('documents', 'doc_id')} GROUP BY doc_id",
+    "conversation_vocabulary": f"SELECT role, lemma, flags FROM {_lemmas('conversations', 'role')}",
+    "merge_flags": f"SELECT lemma, CAST(bit_or(CAST(1 AS INTEGER) << CAST(part AS INTEGER)) AS INTEGER) AS flags FROM {_lemmas('(SELECT *, doc_id % 4 AS part FROM documents)', 'part')} GROUP BY lemma",
+    "merge_three_lists": f"SELECT lemma, CAST(bit_or(f) AS INTEGER) AS flags FROM (SELECT lemma, 1 AS f FROM {_VOCABULARY} UNION ALL SELECT lemma, 2 FROM {_lemmas('conversations')} UNION ALL SELECT lemma, 4 FROM {_BOOK}) GROUP BY lemma",
+    "counts": f"SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (flags = 0) AS BIGINT) AS pending FROM {_MARKED}",
+    "pending": f"SELECT * FROM {_MARKED} WHERE flags = 0",
+    "mark_pushed": f"SELECT * FROM {_MARKED}",
+    "already_known": f"SELECT lemma FROM {_VOCABULARY} SEMI JOIN (SELECT lemma FROM {_BOOK}) b USING (lemma)",
+    "new_words": f"SELECT lemma FROM {_VOCABULARY} ANTI JOIN (SELECT lemma FROM {_BOOK}) b USING (lemma)",
+    "definition_lookup": f"SELECT v.lemma, coalesce('item ' || first, '') AS interpret FROM {_VOCABULARY} v LEFT JOIN (SELECT lemma, min(item_id) AS first FROM {_lemmas('benchmark', 'item_id')} GROUP BY lemma) b USING (lemma)",
+    "push_outcomes": f"SELECT * FROM {_PLANNED}",
+    "push_summary": f"""SELECT CASE WHEN count(*) FILTER (outcome = 'pending') > 0 THEN 'paused' ELSE 'completed' END AS phase, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (outcome <> 'pending') AS BIGINT) AS processed,
+CAST(count(*) FILTER (outcome = 'succeeded') AS BIGINT) AS succeeded, CAST(count(*) FILTER (outcome = 'existing') AS BIGINT) AS existing, CAST(count(*) FILTER (outcome = 'failed') AS BIGINT) AS failed, CAST(count(*) FILTER (outcome = 'pending') AS BIGINT) AS pending,
+CAST(greatest(0, count(*) FILTER (outcome <> 'pending') - 1) * 400 AS BIGINT) AS gap_ms FROM {_PLANNED}""",
+    "classify_responses": """SELECT status, kind, again, found, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(CASE event_id % 9 WHEN 0 THEN 401 WHEN 1 THEN 500 WHEN 2 THEN 404 ELSE 200 END AS INTEGER) AS status,
+CASE event_id % 9 WHEN 0 THEN 'auth' WHEN 1 THEN 'http' WHEN 2 THEN 'http' WHEN 3 THEN 'malformed' WHEN 4 THEN 'api' WHEN 6 THEN 'api' WHEN 7 THEN 'api' ELSE 'ok' END AS kind, event_id % 9 IN (1, 3, 4, 6) AS again, event_id % 9 = 5 AS found FROM events) GROUP BY ALL""",
+    "message_guards": "SELECT conv_id, CAST(count(*) FILTER (turn % 4 IN (0, 3)) AS BIGINT) AS n_valid, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id",
+    "csv_roundtrip": f"SELECT source AS file, lemma, flags FROM {_lemmas('documents', 'source')}",
+    "csv_errors": "SELECT CAST(item_id AS VARCHAR) AS file, CAST(2 AS BIGINT) AS n_rows, CAST(3 AS INTEGER) AS last_line, 'columns' AS error_kind FROM benchmark",
+    "stream_ingest": f"SELECT lemma, flags FROM {_VOCABULARY}",
+}
