@@ -75,7 +75,9 @@ def lemma(word: Column) -> Column:
     """The base form of a word; words with an apostrophe or hyphen are only lower-cased."""
     w = F.lower(word)
     table = F.create_map(*(F.lit(x) for pair in TABLE.items() for x in pair))
-    out = F.when(w.rlike("['-]"), w).when(table[w].isNotNull(), table[w]).when(w.isin(*KEEP) | (F.length(w) < 4), w)
+    # a hash lookup decides; the map is searched for hits only
+    out = F.when(w.rlike("['-]"), w).when(w.isin(*TABLE), table[w])
+    out = out.when(w.isin(*KEEP) | (F.length(w) < 4), w)
     for pattern, least, cut, add, repair in RULES:
         stem = _cut(w, cut)
         out = out.when(w.rlike(pattern) & (F.length(w) >= least), _repaired(stem) if repair else F.concat(stem, F.lit(add)))

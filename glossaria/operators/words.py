@@ -19,9 +19,20 @@ PUSHED_FLAG = 1 << 0
 ENTRY = "lemma string, flags int"
 
 
+#: Tables up to this size are spread over all cores before their text is cut; larger ones have enough partitions.
+SMALL_BYTES = 1 << 30
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """A small table, often one file and one task, dealt out anew; others as they are."""
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else docs
+
+
 def word_tokens(docs: DataFrame, *ids: str, text: str = "text", proper_nouns: DataFrame | None = None) -> DataFrame:
     """(*ids, pos, token): the accepted tokens.  Capitalised tokens found in proper_nouns(lower_name) go."""
-    found = docs.select(*ids, F.posexplode(tokens(normalize(F.col(text)))).alias("pos", "token")).where(is_word(F.col("token")))
+    cut = spread(docs.select(*ids, text)).select(*ids, tokens(normalize(F.col(text))).alias("tokens"))
+    found = cut.select(*ids, F.posexplode("tokens").alias("pos", "token")).where(is_word(F.col("token")))
     if proper_nouns is None:
         return found
     names = proper_nouns.select(F.col("lower_name").alias("its_name")).distinct()

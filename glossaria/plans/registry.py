@@ -35,7 +35,7 @@ def _remote(spark, sf_dir) -> DataFrame:
 
 
 def tokenize(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents")
+    d = words.spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.posexplode(text.tokens(text.normalize(F.col("text")))).alias("pos", "token"))
 
 
@@ -125,7 +125,7 @@ def definition_lookup(spark, sf_dir):
 
 
 def _planned(spark, sf_dir) -> DataFrame:
-    entries = _vocabulary(spark, sf_dir)
+    entries = _vocabulary(spark, sf_dir).persist()  # four uses
     n = F.length("lemma")
     script = entries.select("lemma", F.when(n == 19, "auth").when(n % 7 == 0, "client").otherwise("server").alias("kind"), (n % 5).cast("int").alias("failures"))
     return delivery.plan(words.pending(entries), _remote(spark, sf_dir), script)
