@@ -209,6 +209,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
     least = found.groupBy("root").agg(F.min("least").alias("component"))
     classes = nodes.select("node", "least").join(roots.join(least, "root").select("node", "component"), "node", "left")
     classes = classes.select(F.col("node").alias("its_node"), F.coalesce("component", "least").alias("component"))
+    classes = frozen(classes, "classes")  # a join of its own, whose crowded partitions Spark can split
     joined_rows = sketches.select("doc_id", "n_shingles", "node").join(classes, F.col("node") == F.col("its_node"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return joined_rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
