@@ -63,27 +63,27 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
 def sorted_directly(words: np.ndarray, which: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first depth bytes, eight at a time, only groups still equal going on."""
     order = which[np.argsort(words[which], kind="stable")]
-    n = len(words)
+    words = np.concatenate([words, np.zeros(depth + 8, np.uint64)])
     active = np.arange(len(order))
     group = np.cumsum(np.concatenate(([0], words[order[1:]] != words[order[:-1]])))[: len(order)]  # of the active, rising along the order
-    for at in range(8, depth + 8, 8):
-        many = np.bincount(group, minlength=1)[group] > 1
-        active, group = active[many], group[many]
-        if at >= depth or not len(active):
+    changed = True
+    for at in range(8, depth, 8):
+        if changed:
+            many = np.bincount(group, minlength=1)[group] > 1
+            active, group = active[many], group[many]
+            place, together = order[active], group[1:] == group[:-1]
+        if not len(active):
             break
-        place = order[active] + at
-        key = np.where(place < n, words[np.minimum(place, n - 1)], 0)
-        apart = group[1:] != group[:-1]
-        differs = key[1:] != key[:-1]
-        if not (differs & ~apart).any():
-            continue
-        # only groups in which the next bytes differ are sorted
-        open_ = np.zeros(int(group[-1]) + 1, bool)
-        open_[group[1:][differs & ~apart]] = True
-        some = np.flatnonzero(open_[group])
-        by = np.lexsort((key[some], group[some]))
-        order[active[some]], key[some] = order[active[some[by]]], key[some[by]]
-        group = np.cumsum(np.concatenate(([0], apart | (key[1:] != key[:-1]))))
+        key = words[place + at]
+        differs = (key[1:] != key[:-1]) & together
+        changed = bool(differs.any())
+        if changed:  # only groups in which the next bytes differ are sorted
+            open_ = np.zeros(int(group[-1]) + 1, bool)
+            open_[group[1:][differs]] = True
+            some = np.flatnonzero(open_[group])
+            by = np.lexsort((key[some], group[some]))
+            order[active[some]], key[some] = order[active[some[by]]], key[some[by]]
+            group = np.cumsum(np.concatenate(([0], ~together | (key[1:] != key[:-1]))))
     return order
 
 
