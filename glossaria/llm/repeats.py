@@ -3,9 +3,9 @@ packed keys and gets back what it needs.
 
 `framed` freezes the documents as blocks, a compressed row each.  1. `anchors(block)` gives 64-bit
 keys of what may repeat; tasks that each see all blocks' keys of one range tell every block which of
-its keys occur twice or more anywhere.  2. `emit(block, known)` sends packed candidates for those
-keys, dealt by range; `resolve` compares all blocks' candidates of a range and answers blocks by
-number.  3. `finish(block, answers)` makes the rows.  A key as frequent as one document in three is
+its keys occur twice or more anywhere, and which `crowd` times or more.  2. `emit(block, known, crowded)`
+sends packed candidates for those keys, dealt by range; `resolve` compares all blocks' candidates of a
+range and answers blocks by number.  3. `finish(block, answers)` makes the rows.  A key as frequent as one document in three is
 one entry a block.  Blocks, ranges and answers grow with the input; nothing goes to the driver.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from glossaria.llm.common import blocks, frozen, id_and_text, power_of_two
 
 BLOCK_BYTES = 12 << 20
+MOST = (1 << 16) - 1
 
 
 def packed(data: bytes, level: int = 1) -> bytes:
@@ -71,8 +72,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 _SENT = "block long, part int, data binary"
 
 
-def exchanged(docs: DataFrame, anchors: Callable, emit: Callable, resolve: Callable, finish: Callable, arrow: pa.Schema, schema: str) -> DataFrame:
+def exchanged(docs: DataFrame, anchors: Callable, emit: Callable, resolve: Callable, finish: Callable, arrow: pa.Schema, schema: str, crowd: int = MOST) -> DataFrame:
     """Runs the exchanges over docs(doc_id, text); see the module."""
+    if crowd > MOST:
+        raise ValueError(f"a block counts a key {MOST} times at most")
     n_parts = power_of_two(docs.count() // 4096, 16, 1 << 16)
     framed_docs = framed(docs)
 
@@ -80,8 +83,8 @@ def exchanged(docs: DataFrame, anchors: Callable, emit: Callable, resolve: Calla
         for b in batches:
             for block, data in zip(b["block"].to_pylist(), b["data"].to_pylist()):
                 keys, n = np.unique(anchors(*pickle.loads(unpacked(data))), return_counts=True)
-                ends, twice = in_ranges(keys, n_parts), n > 1
-                rows = [(block, p, pickle.dumps((pack_sorted(keys[s:e]), packed(np.packbits(twice[s:e]).tobytes())))) for p, (s, e) in enumerate(zip(ends, ends[1:])) if s < e]
+                ends, n = in_ranges(keys, n_parts), np.minimum(n, MOST).astype("<u2")
+                rows = [(block, p, pickle.dumps((pack_sorted(keys[s:e]), packed(n[s:e].tobytes())))) for p, (s, e) in enumerate(zip(ends, ends[1:])) if s < e]
                 if rows:
                     yield _rows(rows)
 
@@ -89,20 +92,24 @@ def exchanged(docs: DataFrame, anchors: Callable, emit: Callable, resolve: Calla
         of, keys, many = [], [], []
         for b in batches:
             for block, data in zip(b["block"].to_pylist(), b["data"].to_pylist()):
-                k, twice = pickle.loads(data)
+                k, n = pickle.loads(data)
                 of.append(block)
                 keys.append(unpack_sorted(k))
-                many.append(np.unpackbits(np.frombuffer(unpacked(twice), np.uint8), count=len(keys[-1])))
+                many.append(np.frombuffer(unpacked(n), "<u2").astype(np.int64))
         merged = np.sort(np.concatenate(keys))
         shared = merged[1:][merged[1:] == merged[:-1]]
         shared = shared[np.concatenate(([True], shared[1:] != shared[:-1]))] if len(shared) else shared
+        total, places = np.zeros(len(shared) + 1, np.int64), []  # the last for keys of one block
+        for k, m in zip(keys, many):
+            at = np.searchsorted(shared, k)
+            at[np.append(shared, np.uint64(0))[at] != k] = len(shared)
+            total[at] += m  # a block has a key once
+            places.append(at)
         rows = []
-        for block, k, m in zip(of, keys, many):
-            found = m.astype(bool)
-            if len(shared):
-                at = np.minimum(np.searchsorted(shared, k), len(shared) - 1)
-                found |= shared[at] == k
-            rows.append((block, key[0].as_py(), packed(np.packbits(found).tobytes())))
+        for block, m, at in zip(of, many, places):
+            elsewhere = at < len(shared)
+            n = np.where(elsewhere, total[at], m)
+            rows.append((block, key[0].as_py(), packed(np.packbits(np.stack([n > 1, n >= crowd])).tobytes())))
         yield _rows(rows)
 
     def send_candidates(left, right):
@@ -110,13 +117,13 @@ def exchanged(docs: DataFrame, anchors: Callable, emit: Callable, resolve: Calla
         for block, data in zip(left["block"].to_pylist(), left["data"].to_pylist()):
             ids, texts = pickle.loads(unpacked(data))
             keys = np.unique(anchors(ids, texts))
-            ends, answers, known = in_ranges(keys, n_parts), dict(zip(right["part"].to_pylist(), right["data"].to_pylist())), []
+            ends, answers, told = in_ranges(keys, n_parts), dict(zip(right["part"].to_pylist(), right["data"].to_pylist())), np.zeros((2, len(keys)), bool)
             for p, (s, e) in enumerate(zip(ends, ends[1:])):
                 if s < e:
-                    known.append(keys[s:e][np.unpackbits(np.frombuffer(unpacked(answers[p]), np.uint8), count=e - s).astype(bool)])
-            known = np.concatenate(known) if known else keys
+                    told[:, s:e] = np.unpackbits(np.frombuffer(unpacked(answers[p]), np.uint8), count=2 * (e - s)).reshape(2, -1)
+            known = keys[told[0]]
             if len(known):
-                rows += [(block, p, sent) for p, sent in emit(ids, texts, known, n_parts)]
+                rows += [(block, p, sent) for p, sent in emit(ids, texts, known, told[1][told[0]], n_parts)]
         return pa.Table.from_batches([_rows(rows)]) if rows else pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
 
     def settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,7 +91,7 @@ def _run(docs: DataFrame, window: int, row, arrow: pa.Schema, schema: str) -> Da
         again = (key[1:] == key[:-1]) & (w.of_window[1:] == w.of_window[:-1])  # mostly the same place still
         return key[np.concatenate(([True], ~again))] if len(key) else key
 
-    def emit(ids, texts, known, n_parts):
+    def emit(ids, texts, known, crowded, n_parts):
         w = _Words(ids, texts, window)
         h_half = hashes_at_length(w.hash, half)
         key = lead(w, h_half)

@@ -9,6 +9,12 @@ repeats.  For the others, the stretch of bytes of all strings that one anchor le
 to the task of the anchor's range; equal segments of a block travel as one, and equal segments of a
 range are settled by their number.  Groups too large for one sort are parted exactly, by halves of
 the anchor's distance from a string's start and the bytes that all strings of a half share.
+
+A passage that a large part of the corpus holds has as many segments as documents around its edges.
+The anchors of `CROWDED` segments or more, all blocks counted, therefore send no segments: a block
+settles what repeats inside it and sends 96 bits of each different string, dealt by those bits over
+all ranges, so no range gets more than one entry a block of any string.
+
 Segments that share an anchor but differ form a text whose suffix array is built by two-stage sorting: suffixes smaller than their successors are sorted
 directly, the others are induced by scanning the buckets of first bytes in order, and common
 prefixes of neighbours say which strings repeat.  Order beyond `length` bytes doesn't matter and
@@ -27,15 +33,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glossaria.llm.common import mixed, starts_of
-from glossaria.llm.repeats import exchanged, packed, unpacked
+from glossaria.llm.common import mixed, runs, starts_of
+from glossaria.llm.repeats import exchanged, in_ranges, pack_sorted, packed, unpack_sorted, unpacked
 
 ANCHOR = 32
 CHUNK = 1 << 20
 SORTED = 2 << 20
+CROWDED = 1 << 14
 _LOW = np.uint64((1 << 28) - 1)
 _BREAK = b"\xff"  # not in any UTF-8 text
 _A = np.uint64(0x9E3779B97F4A7C15)
+_B = np.uint64(0xD6E8FEB86659FD93)
 
 
 def eights(text: np.ndarray) -> np.ndarray:
@@ -181,6 +189,50 @@ def _segments(starts: np.ndarray, place: np.ndarray):
     return first, np.diff(np.concatenate((first, [len(starts)])))
 
 
+def _named(h: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of the strings that start at `at`, from hashes of ANCHOR bytes."""
+    a, b = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for step in [*range(0, length - ANCHOR, ANCHOR), length - ANCHOR]:
+        own = h[at + step]
+        a, b = mixed(a * _A + own), mixed(b * _B + (own ^ _A))
+    return a, (b >> np.uint64(32)).astype(np.uint32)
+
+
+def _by_name(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of names and where each different one starts in it."""
+    order = np.lexsort((b, a))
+    return order, np.flatnonzero(np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))[: len(a)])
+
+
+def _crowd(a: np.ndarray, b: np.ndarray, at: np.ndarray, n_parts: int):
+    """What a block's strings with crowded anchors send to each range, and the spans of those that repeat in the block."""
+    order, first = _by_name(a, b)
+    twice = np.diff(np.append(first, len(order))) > 1
+    again = np.sort(at[order[np.repeat(twice, np.diff(np.append(first, len(order))))]])
+    edge = np.flatnonzero(np.diff(again) != 1)
+    spans = np.column_stack([again[np.append(0, edge + 1)], again[np.append(edge, len(again) - 1)] + 1]) if len(again) else np.empty((0, 2), np.int64)
+    one = order[first]
+    ends, sent = in_ranges(a[one], n_parts), {}
+    for p, (s, e) in enumerate(zip(ends, ends[1:])):
+        if s < e:
+            own = one[s:e]
+            sent[p] = pack_sorted(a[own]), b[own].astype("<u4").tobytes(), packed(np.packbits(twice[s:e]).tobytes()), at[own][~twice[s:e]].astype("<u4").tobytes()
+    return sent, spans
+
+
+def _met(crowds: list) -> list[np.ndarray]:
+    """Per block the places of strings that other blocks have too; those that repeat in a block are settled there."""
+    a = [unpack_sorted(c[0]) for c in crowds]
+    sizes = list(map(len, a))
+    twice = np.concatenate([np.unpackbits(np.frombuffer(unpacked(c[2]), np.uint8), count=n).astype(bool) for c, n in zip(crowds, sizes)])
+    order, first = _by_name(np.concatenate(a), np.concatenate([np.frombuffer(c[1], "<u4") for c in crowds]))
+    n = np.diff(np.append(first, len(order)))
+    shared = np.zeros(len(order), bool)
+    shared[order] = np.repeat(n > 1, n)
+    ends = starts_of(sizes)
+    return [np.frombuffer(c[3], "<u4").astype(np.int64)[shared[s:e][~twice[s:e]]] for c, s, e in zip(crowds, ends, ends[1:])]
+
+
 def _run(docs: DataFrame, length: int, row, arrow: pa.Schema, schema: str) -> DataFrame:
     if length < 2 * ANCHOR:
         raise ValueError(f"strings have {2 * ANCHOR} bytes at least")
@@ -189,29 +241,46 @@ def _run(docs: DataFrame, length: int, row, arrow: pa.Schema, schema: str) -> Da
         found = [mixed(h[place[_segments(starts, place)[0]]]) for _, _, starts, place, h in _led(texts, length)]
         return np.concatenate(found) if found else np.empty(0, np.uint64)
 
-    def emit(ids, texts, known, n_parts):
+    def emit(ids, texts, known, crowded, n_parts):
         shift, out = np.uint64(65 - n_parts.bit_length()), {}
+        names = [(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64))]
         for base, data, starts, place, h in _led(texts, length):
             first, n = _segments(starts, place)
             key = mixed(h[place[first]])  # the smallest hashes, spread over all ranges again
             near = np.minimum(np.searchsorted(known, key), len(known) - 1)
             chosen, raw = known[near] == key, data.tobytes()
+            hot = chosen & crowded[near]
+            if hot.any():
+                at = runs(starts[first[hot]], n[hot])
+                names.append((*_named(h, at, length), base + at))
+                chosen &= ~hot
             for s, m, k, a in zip(*(x[chosen].tolist() for x in (starts[first], n, key, place[first]))):
                 out.setdefault(k, {}).setdefault((raw[s : s + m + length - 1], a - s), []).append(base + s)
         parts: dict[int, list] = {}
         for k, segments in out.items():
             parts.setdefault(int(np.uint64(k) >> shift), []).append((k, [(text, lead, np.array(at, "<u4").tobytes()) for (text, lead), at in segments.items()]))
-        for p, groups in parts.items():
-            yield p, packed(pickle.dumps(groups), 3)
+        crowds, own = _crowd(*map(np.concatenate, zip(*names)), n_parts)
+        for p in parts.keys() | crowds.keys():  # the block's own spans come back with an answer
+            yield p, packed(pickle.dumps((parts.get(p, []), crowds.get(p), own)), 3)
+            own = own[:0]
 
     def resolve(sent):
         groups: dict[int, dict[tuple[bytes, int], list]] = {}
+        spans: list[list[np.ndarray]] = [[] for _ in sent]
+        crowds = {}
         for k, (_, data) in enumerate(sent):
-            for key, segments in pickle.loads(unpacked(data)):
+            segments_of, crowd, own_spans = pickle.loads(unpacked(data))
+            if crowd:
+                crowds[k] = crowd
+            if len(own_spans):
+                spans[k].append(own_spans)
+            for key, segments in segments_of:
                 own = groups.setdefault(key, {})
                 for text, lead, at in segments:
                     own.setdefault((text, lead), []).append((k, np.frombuffer(at, "<u4").astype(np.int64)))
-        spans: list[list[np.ndarray]] = [[] for _ in sent]
+        for k, places in zip(crowds, _met(list(crowds.values())) if crowds else []):
+            if len(places):
+                spans[k].append(np.column_stack([places, places + 1]))
 
         def answer(holders, lo, hi):
             for k, places in holders:
@@ -284,7 +353,7 @@ def _run(docs: DataFrame, length: int, row, arrow: pa.Schema, schema: str) -> Da
             rows.append(row(i, len(text), n, spans, np.frombuffer(text, np.uint8)[~out].tobytes() if n else text))
         return rows
 
-    return exchanged(docs, anchors, emit, resolve, finish, arrow, schema)
+    return exchanged(docs, anchors, emit, resolve, finish, arrow, schema, CROWDED)
 
 
 def remove_repeated(docs: DataFrame, length: int = 400) -> DataFrame:

@@ -244,10 +244,11 @@ def test_windows(docs, rows, unique, block_bytes, monkeypatch):
     assert any(r["n_removed"] for r in got.values())
 
 
-@pytest.mark.parametrize(("block_bytes", "sorted_bytes"), [(1 << 12, 1 << 21), (8 << 20, 1 << 21), (8 << 20, 600)])
-def test_suffixes(docs, rows, unique, block_bytes, sorted_bytes, monkeypatch):
+@pytest.mark.parametrize(("block_bytes", "sorted_bytes", "crowded"), [(1 << 12, 1 << 21, 1 << 14), (8 << 20, 1 << 21, 1 << 14), (8 << 20, 600, 1 << 14), (1 << 12, 1 << 21, 2), (1 << 12, 1 << 21, 6), (8 << 20, 1 << 21, 2)])
+def test_suffixes(docs, rows, unique, block_bytes, sorted_bytes, crowded, monkeypatch):
     monkeypatch.setattr(repeats.framed, "__defaults__", (block_bytes,))
     monkeypatch.setattr(suffixes, "SORTED", sorted_bytes)
+    monkeypatch.setattr(suffixes, "CROWDED", crowded)
     seen = collections.Counter(b[p : p + 400] for b in ((r[1] or "").encode() for r in rows) for p in range(len(b) - 399))
     got = by_id(suffixes.remove_repeated(docs), unique)
     for i, t in unique.items():
