@@ -7,10 +7,10 @@ sorted order with a common prefix are candidates if their signatures leave a sim
 threshold possible.  Orders are dealt by range, so no prefix, however common, lands in one task.
 
 Candidates only need to connect what may belong together: within each connected group of
-candidates the full sets decide.  A task has the sets of a group (large groups: of each two of its
-parts), counts intersections exactly and links nodes of similarity >= threshold; pairs that are
-connected already needn't be looked at, and no pairs are emitted, only a node and its group's
-first.  Connected components of all links are found by alternating large-star and small-star steps.
+candidates the full sets decide.  A task has the sets of a group or of a part of a large one, counts
+intersections exactly and links nodes of similarity >= threshold; pairs that are connected already
+needn't be looked at, and no pairs are emitted, only a node and one that speaks for its class.  Of
+large groups the classes meet next, and at last what is outside the largest class meets all.  Connected components of all links are found by alternating large-star and small-star steps.
 
 Null texts and texts without words have an empty set and link with nothing.  Texts of fewer words
 than a shingle have their whole sequence as one shingle.  component_id is the smallest doc_id of the
@@ -144,14 +144,17 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def linked_exactly(nodes: list[bytes], sets: list[np.ndarray], per_cent: int) -> list[tuple[bytes, bytes]]:
-    """(node, first node of its group) for nodes that links of at least per_cent / 100 connect here."""
+def linked_exactly(sets: list[np.ndarray], per_cent: int, label: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Joins the labels of sets that links of at least per_cent / 100 connect, the sets of `by` against all others.
+
+    Returns labels, the order by likeness to all, and a link for each two labels that were joined.
+    """
     sizes = np.array(list(map(len, sets)))
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    at, label = starts_of(sizes), np.arange(len(nodes))
+    at, label, links = starts_of(sizes), label.copy(), []
     common = np.add.reduceat(np.bincount(ids)[ids], at[:-1]) / sizes
-    here = np.zeros(int(ids.max()) + 1, bool)
-    for a in np.argsort(-common, kind="stable"):  # those that look most like the others first
+    here, order = np.zeros(int(ids.max()) + 1, bool), np.argsort(-common, kind="stable")
+    for a in order[by[order]]:  # those that look most like the others first
         fits = (100 * np.minimum(sizes, sizes[a]) >= per_cent * np.maximum(sizes, sizes[a])) & (label != label[a])
         others = np.flatnonzero(fits)
         if not len(others):
@@ -161,40 +164,97 @@ def linked_exactly(nodes: list[bytes], sets: list[np.ndarray], per_cent: int) ->
         here[ids[at[a] : at[a + 1]]] = False
         near = others[100 * shared >= per_cent * (sizes[a] + sizes[others] - shared)]
         if len(near):
-            merged = np.unique(np.append(label[near], label[a]))
-            label[np.isin(label, merged)] = merged[0]
-    return [(nodes[k], nodes[r]) for k, r in enumerate(label) if k != r]
+            old, first = np.unique(label[near], return_index=True)
+            links += [(int(a), int(x)) for x in near[first]]
+            label[np.isin(label, old)] = label[a]
+    return label, order, links
 
 
 def verified(docs: DataFrame, groups: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """(a, b): exact links within each of groups(node, root), from the full sets of the documents."""
-    n = groups.count()
-    prefix = F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(groups.select(prefix.alias("h")), n))
+    """(a, b): what connects the nodes that exact links connect within each of groups(node, root), from the full sets of the documents.
+
+    Groups are dealt into parts of about PART nodes; each part finds its classes.  Of groups with
+    more than one part, the node most like the others speaks for its class at the next level, until
+    the classes of a group have met.  Then every node outside a group's largest class is compared
+    with all of its group; nodes of the largest class needn't meet again.
+    """
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        prefix = F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")
+        shared = docs.sparkSession.sparkContext.broadcast(bloom_of(nodes.select(prefix.alias("h")), nodes.count()))
+
+        def rebuild(batches):
+            hashes, filter_, seen = WordHashes(), shared.value, set()
+            for b in batches:
+                if len(hashes) > 500_000:
+                    hashes.clear()
+                sets = [shingles_of(t, size, hashes) for t in rows_of(b)[1]]
+                sets = [(s, set_id(s)) for s in sets if len(s)]
+                known = filter_.has(np.array([int.from_bytes(i[:7], "big") for _, i in sets], np.uint64)) if sets else []
+                fresh = {i: s for (s, i), k in zip(sets, known) if k and i not in seen}
+                seen.update(fresh)
+                yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in fresh.values()], pa.binary())], ["node", "members"])
+
+        return docs.mapInArrow(rebuild, "node binary, members binary")
+
+    def pairs(nodes: list, found: list[tuple[int, int]]) -> pa.Table:
+        return pa.table({"a": pa.array([nodes[x] for x, _ in found], pa.binary()), "b": pa.array([nodes[y] for _, y in found], pa.binary())})
+
+    def star(key: tuple, table: pa.Table) -> pa.Table:
+        sets = {n: np.frombuffer(s, "<u8") for n, s in zip(table["node"].to_pylist(), table["members"].to_pylist())}
+        nodes = sorted(sets)
+        label, order, _ = linked_exactly([sets[n] for n in nodes], per_cent, np.arange(len(nodes)), np.ones(len(nodes), bool))
+        speaker = np.empty(len(nodes), np.int64)
+        speaker[label[order[::-1]]] = order[::-1]  # the first in the order is written last
+        return pairs(nodes, [(k, s) for k, s in enumerate(speaker[label].tolist()) if k != s])
+
+    def complete(key: tuple, table: pa.Table) -> pa.Table:
+        rows = {n: (lab, rest, np.frombuffer(s, "<u8")) for n, s, lab, rest in zip(*(table[c].to_pylist() for c in ("node", "members", "label", "rest")))}
+        nodes = sorted(rows)
+        label = np.unique(np.array([rows[n][0].hex() for n in nodes]), return_inverse=True)[1]
+        return pairs(nodes, linked_exactly([rows[n][2] for n in nodes], per_cent, label, np.array([rows[n][1] for n in nodes]))[2])
+
+    def level(members: DataFrame, salt: int) -> DataFrame:
+        parts = members.groupBy("root").agg(F.ceil(F.count("*") / PART).alias("n_parts"))
+        placed = members.join(parts, "root").select("node", "root", F.pmod(F.xxhash64("node", F.lit(salt)), "n_parts").alias("p"))
+        return frozen(sets_of(members).join(placed, "node").groupBy("root", "p").applyInArrow(star, "a binary, b binary"), "links")
+
+    found = level(groups, 0)
+    large = groups.groupBy("root").count().where(F.col("count") > PART).select("root")
+    members = frozen(groups.join(large, "root"), "large")
+    if members.isEmpty():
+        return found
+
+    def classes(of: DataFrame, links: DataFrame) -> DataFrame:
+        met = links.select(F.col("a").alias("label"), "b")
+        return frozen(of.join(met, "label", "left").select("node", "root", F.coalesce("b", "label").alias("label")), "classes")
+
+    labels = classes(members.withColumn("label", F.col("node")), found)
+    speakers = labels.select("root", F.col("label").alias("node")).distinct()
+    for salt in range(1, 64):
+        per_root = speakers.groupBy("root").agg(F.count("*").alias("n"))
+        before, most = per_root.agg(F.sum("n"), F.max("n")).first()
+        if most == 1:
+            break
+        links = level(speakers.join(per_root.where("n > 1").select("root"), "root"), salt)
+        found, labels = found.unionByName(links), classes(labels, links)
+        speakers = labels.select("root", F.col("label").alias("node")).distinct()
+        if most <= PART or 2 * speakers.count() > before:
+            break
 
-    def sets_of(batches):
-        hashes, filter_, seen = WordHashes(), shared.value, set()
-        for b in batches:
-            if len(hashes) > 500_000:
-                hashes.clear()
-            sets = [shingles_of(t, size, hashes) for t in rows_of(b)[1]]
-            sets = [(s, set_id(s)) for s in sets if len(s)]
-            known = filter_.has(np.array([int.from_bytes(i[:7], "big") for _, i in sets], np.uint64)) if sets else []
-            fresh = {i: s for (s, i), k in zip(sets, known) if k and i not in seen}
-            seen.update(fresh)
-            yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in fresh.values()], pa.binary())], ["node", "members"])
-
-    def link(key: tuple, table: pa.Table) -> pa.Table:
-        sets = {node: np.frombuffer(s, "<u8") for node, s in zip(table["node"].to_pylist(), table["members"].to_pylist())}
-        pairs = linked_exactly(list(sets), list(sets.values()), per_cent) if len(sets) > 1 else []
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
-
-    parts = groups.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("n_parts"))
-    placed = groups.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_parts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-    placed = placed.select("node", "root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    sets = docs.mapInArrow(sets_of, "node binary, members binary")
-    return sets.join(placed, "node").groupBy("root", "p", "q").applyInArrow(link, "a binary, b binary")
+    sizes = labels.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    rest = F.col("label") != F.col("top.label")
+    sizes = sizes.select("root", "top", F.ceil((F.col("all") - F.col("top.n")) / PART).alias("n_rest"), F.ceil(F.col("top.n") / PART).alias("n_top")).where("n_rest > 0")
+    placed = labels.join(sizes, "root").withColumn("rest", rest)
+    own = F.when(F.col("rest"), F.pmod(F.xxhash64("node"), "n_rest")).otherwise(F.col("n_rest") + F.pmod(F.xxhash64("node"), "n_top"))
+    others = F.when(F.col("rest"), F.col("n_rest") + F.col("n_top")).otherwise(F.col("n_rest"))
+    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+    placed = placed.select("node", "root", "label", "rest", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    placed = frozen(placed, "placed")
+    if placed.isEmpty():
+        return found
+    last = sets_of(placed.select("node").distinct()).join(placed, "node").groupBy("root", "p", "q").applyInArrow(complete, "a binary, b binary")
+    return found.unionByName(last)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -162,6 +162,25 @@ def test_near_duplicates(docs, rows, unique, size, part, monkeypatch):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items()) and sum(r["kept"] for r in got.values()) < len(got)
 
 
+@pytest.mark.parametrize("part", [2, 5, 40])
+def test_one_large_group(spark, part, monkeypatch):
+    """Chains whose ends are far from each other, all in one group of candidates, in parts that cut them anywhere."""
+    monkeypatch.setattr(neardup, "PART", part)
+    rows = [(100 * c + k, " ".join(f"{'abcd'[c]}{n}" for n in range(6 * k, 6 * k + 90))) for c, length in enumerate((30, 3, 1, 1)) for k in range(length)]
+    rows = [r for r in rows if r[0] != 20]  # the long chain in two
+    docs = neardup.id_and_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    names = {neardup.set_id(neardup.shingles_of(t.encode(), 4, neardup.WordHashes())): i for i, t in rows}
+    groups = spark.createDataFrame([(bytearray(n), bytearray(b"root")) for n in names], "node binary, root binary")
+    got = {names[r[0]]: names[r[1]] for r in ([bytes(x) for x in r] for r in neardup.components(neardup.verified(docs, groups, 4, 80)).collect())}
+    classes = collections.defaultdict(set)
+    for i, _ in rows:
+        classes[got.get(i, i)].add(i)
+    want = collections.defaultdict(set)
+    for i, (_, c) in components_by_force(rows, 4).items():
+        want[c].add(i)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values())) and len(want) == 5
+
+
 def test_components_of_a_chain(spark):
     names = [bytes([k]) for k in range(40)]
     order = names[::2] + names[1::2]
