@@ -15,9 +15,13 @@ large groups the classes meet next, and at last what is outside the largest clas
 Null texts and texts without words have an empty set and link with nothing.  Texts of fewer words
 than a shingle have their whole sequence as one shingle.  component_id is the smallest doc_id of the
 component; null ids are smallest of all only where there is no other, and rows with equal doc_id are
-kept or dropped together.  The order of the answer doesn't depend on partitions; the signature
-makes candidates random but fixed: two nodes just at the threshold are missed in one tree with
-chance 0.2 or more if others crowd them, in all trees with about 0.3 ** trees.
+kept or dropped together.  The order of the answer doesn't depend on partitions.
+
+Neighbours alone would lose links where others crowd between two nodes, so all nodes with the same
+SHARED first hashes of a tree are held against each other, too, however many they are.  The signature
+makes candidates random but fixed: two nodes just at 0.8 share no such bucket with chance
+(1 - 0.8 ** 3) ** 16, about 0.00001, and their estimate is too low with about 0.000004, whatever lies
+around them.  The time for a bucket grows with the square of its nodes.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 from glossaria.llm.common import WordHashes, bloom_of, frozen, hashes_at_length, id_and_text, joined, mixed, rows_of, runs, starts_of
 
 TREES, DEPTH, NEIGHBOURS = 16, 4, 4
-PART = 2000
+SHARED = 3  # so many equal hashes in one tree put two nodes in one bucket, at 0.8 in some tree but with chance 0.00001
+PART, TILE = 2000, 4096
 _SLACK = 0.24  # five standard errors of an estimate from TREES * DEPTH hashes at 0.8
 _FACTORS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -120,7 +125,78 @@ def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
             last, last_node = keys[-NEIGHBOURS:], node[-NEIGHBOURS:]
 
     rows = nodes.mapInArrow(planted, "tree int, key binary, node binary")
-    return rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node").mapInArrow(linked, "a binary, b binary").distinct()
+    near = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node").mapInArrow(linked, "a binary, b binary")
+    return near.unionByName(within_buckets(nodes, threshold)).distinct()
+
+
+def alike(low: np.ndarray, planes: np.ndarray, side: np.ndarray, across: bool, need: int) -> np.ndarray:
+    """For each row of low bytes of signatures one that speaks for all that at least `need` equal bytes connect; if across, only rows of different sides are compared."""
+    label, most = np.arange(len(low), dtype=np.int32), low.shape[1] - need
+    for a in range(len(low) - 1):
+        differ = planes[0, a + 1 :] ^ planes[0, a]
+        for plane in planes[1:]:
+            differ |= plane[a + 1 :] ^ plane[a]
+        may = (np.bitwise_count(differ) <= most) & (label[a + 1 :] != label[a])
+        near = a + 1 + np.flatnonzero(may & (side[a + 1 :] != side[a]) if across else may)
+        near = near[(low[near] == low[a]).sum(axis=1) >= need] if len(near) else near
+        if len(near):
+            label[np.isin(label, label[near])] = label[a]
+            if (label == label[0]).all():
+                break
+    return label
+
+
+def within_buckets(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links among all nodes(node, signature) that share SHARED first hashes of a tree, each held against every other one.
+
+    A bucket of more than TILE nodes is dealt into parts, and each two parts meet in a task.
+    """
+    need = int(np.ceil(TREES * DEPTH * (threshold - _SLACK)))
+
+    def lowest(batches):
+        for b in batches:
+            sig = np.frombuffer(b"".join(b["signature"].to_pylist()), ">u4").reshape(-1, TREES * DEPTH)
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array([x.tobytes() for x in (sig & 255).astype(np.uint8)], pa.binary())], ["its_node", "low"])
+
+    def compared(batches):
+        keys, side, low, node = np.empty((0, 3), np.int64), np.empty(0, np.int64), np.empty((0, TREES * DEPTH), np.uint8), []
+
+        def links(until):
+            ends = np.concatenate([np.flatnonzero((keys[1:until] != keys[: until - 1]).any(axis=1)) + 1, [until]])
+            planes = np.stack([np.packbits((low[:until] >> k) & 1, axis=1).view(np.uint64)[:, 0] for k in range(4)])
+            a, b = [], []
+            for s, e in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
+                if e - s > 1:
+                    label = alike(low[s:e], planes[:, s:e], side[s:e], keys[s, 1] != keys[s, 2], need)
+                    far = np.flatnonzero(label != np.arange(e - s))
+                    a += [node[s + x] for x in far.tolist()]
+                    b += [node[s + x] for x in label[far].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.concatenate([keys, np.column_stack([batch[c].to_numpy() for c in ("bucket", "p", "q")])])
+            side = np.concatenate([side, batch["own"].to_numpy()])
+            low = np.concatenate([low, np.frombuffer(b"".join(batch["low"].to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)])
+            node += batch["node"].to_pylist()
+            last = int(np.flatnonzero((keys == keys[-1]).all(axis=1))[0])  # its tile may go on in the next batch
+            if last:
+                yield links(last)
+                keys, side, low, node = keys[last:], side[last:], low[last:], node[last:]
+        if node:
+            yield links(len(node))
+
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    rows = nodes.select("node", "signature", tree.alias("tree"))
+    own = F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * SHARED})")
+    rows = rows.select("node", F.xxhash64("tree", own).alias("bucket"))
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / TILE).alias("n_parts"))
+    members = rows.join(buckets, "bucket").join(nodes.mapInArrow(lowest, "its_node binary, low binary"), F.col("node") == F.col("its_node"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("node"), "n_parts"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)))
+    tiles = members.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "low", "node")
+    return tiles.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node").mapInArrow(compared, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -181,6 +181,24 @@ def test_one_large_group(spark, part, monkeypatch):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values())) and len(want) == 5
 
 
+@pytest.mark.parametrize("tile", [4096, 3])
+def test_candidates_in_a_crowd(spark, tile, monkeypatch):
+    """Two alike nodes with others between them, which are unlike, in each sorted order."""
+    monkeypatch.setattr(neardup, "TILE", tile, raising=False)
+    rng = np.random.default_rng(5)
+    first = rng.integers(1 << 20, 1 << 31, 64)
+    second, crowd = first.copy(), []
+    second[3::4] += 1 << 20
+    for tree in range(16):
+        for k in range(12):
+            other = rng.integers(1 << 20, 1 << 31, 64)
+            other[4 * tree : 4 * tree + 4] = first[4 * tree : 4 * tree + 4] + [0, 0, 0, 1000 + k]
+            crowd.append(other)
+    rows = [(bytearray(b"%03d" % k), bytearray(s.astype(">u4").tobytes())) for k, s in enumerate([first, second, *crowd])]
+    nodes = spark.createDataFrame(rows, "node binary, signature binary").repartition(3)
+    assert {tuple(sorted(bytes(x) for x in r)) for r in neardup.candidates(nodes, 0.8).collect()} == {(b"000", b"001")}
+
+
 def test_components_of_a_chain(spark):
     names = [bytes([k]) for k in range(40)]
     order = names[::2] + names[1::2]
