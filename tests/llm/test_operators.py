@@ -329,3 +329,12 @@ def test_pipeline(spark, docs, rows):
     for r in mixed:
         texts[r["doc_id"]].add(sha(r["text"]))
     assert all(r["decoded_sha256"] in texts[r["doc_id"]] and len(r["ids"]) == r["n_tokens"] for r in encoded)
+
+
+def test_near_copies_without_ids(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, text), (None, text + " more"), (3, text), (3, text), (9, text + " other"), (None, "one two three four five six"), (None, "one two three four five six"), (4, "7"), (None, ""), (None, "")]
+    out = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, [(3, text), (None, "one two three four five six"), (4, "7"), (None, ""), (None, "")]))
