@@ -9,11 +9,11 @@ from __future__ import annotations
 import hashlib
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossaria.llm import bpe, langid, linededup, mixing, neardup
-from glossaria.llm.common import frozen
+from glossaria.llm.common import WORD_PATTERN, frozen
 
 ORACLE_SQL = None
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,11 +45,30 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words: the whole times, and once more with the chance of what is left."""
-    rates = mixing.taken(docs).groupBy(F.col("doc_id").alias("its_id")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("rate"))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
-    out = docs.join(rates, F.col("doc_id").eqNullSafe(F.col("its_id"))).withColumn("times", F.floor(F.col("rate") + chance).cast("int")).where("times > 0")
-    return out.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """Each document as often as the mix takes its words, rounded along the source's running sum of rates.
+
+    Documents run from short to long, so a source's words miss what the mix takes of it by its longest document at most.
+    """
+    pieces = mixing.mixed_pieces(docs).where("size > 0")
+    rates = pieces.groupBy("doc_id", "size", "source_no", "offset").agg(F.floor(F.sum("words") * F.lit(1 << 30) / F.col("size")).alias("rate"))
+    rates = rates.withColumn("tie", F.xxhash64("doc_id", "offset")).repartitionByRange("source_no", "size", "tie").withColumn("part", F.spark_partition_id())
+    rates = frozen(rates, "rates")
+    before = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rates.groupBy("source_no", "part").agg(F.sum("rate").alias("all"))
+    bases = bases.select("source_no", "part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("source_no", "part").orderBy("size", "tie", "offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    through = rates.withColumn("through", F.sum("rate").over(within)).join(bases, ["source_no", "part"])
+    half = F.col("base") + F.col("through") + F.lit(1 << 29)
+    times = through.withColumn("times", (F.shiftright(half, 30) - F.shiftright(half - F.col("rate"), 30)).cast("int"))
+    # rows that share id, source and size are as good as one another: each takes one of their places
+    times = times.withColumn("its_n", F.row_number().over(Window.partitionBy("doc_id", "source_no", "size").orderBy("offset"))).where("times > 0")
+    times = times.select(F.col("doc_id").alias("its_id"), F.col("source_no").alias("its_no"), F.col("size").alias("its_size"), "its_n", "times")
+    by_name = Window.orderBy(F.col("its_source").isNull(), "its_source")
+    sources = docs.select(F.col("source").alias("its_source")).distinct().withColumn("no", F.row_number().over(by_name))
+    rows = docs.join(sources, F.col("source").eqNullSafe(F.col("its_source"))).withColumn("words", F.regexp_count("text", F.lit(WORD_PATTERN)).cast("long"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "no", "words").orderBy(F.xxhash64("text"))))
+    on = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("no") == F.col("its_no")) & (F.col("words") == F.col("its_size")) & (F.col("n") == F.col("its_n"))
+    return rows.join(times, on).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

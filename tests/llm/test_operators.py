@@ -338,3 +338,17 @@ def test_near_copies_without_ids(spark):
     rows = [(None, text), (None, text + " more"), (3, text), (3, text), (9, text + " other"), (None, "one two three four five six"), (None, "one two three four five six"), (4, "7"), (None, ""), (None, "")]
     out = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
     assert sorted(map(str, map(tuple, out))) == sorted(map(str, [(3, text), (None, "one two three four five six"), (4, "7"), (None, ""), (None, "")]))
+
+
+def test_mix_of_few_long_documents(spark):
+    """Each source has three documents; its words stay within the longest of its target."""
+    import corpus_pipeline
+
+    rows = [(None if k == 40 else 7 if k in (3, 4) else k, f"{k} " * (280 + k % 3 * 20), f"s{k // 3:02}") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got, longest = collections.Counter(), 320
+    for r in corpus_pipeline.mix(spark, docs, "").collect():
+        got[r["source"]] += len(r["text"].split())
+    sizes = spark.createDataFrame([(s, len(t.split())) for _, t, s in rows], "source string, size long")
+    targets = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    assert len(targets) == 30 and all(abs(got[s] - t) <= longest + 1 for s, t in targets.items())
