@@ -181,15 +181,15 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20, scale: int = 64, gro
         q, ids = _matrix(left["v"], width), right["vec_id"].to_numpy()
         found = list(best(query_ids, q, ids, _matrix(right["v"], width), k)) if len(ids) and len(q) else []
         if not found:
-            return pa.table({"query_id": pa.array([], pa.int64()), "copy": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "g": pa.array([], pa.int32()), "copy": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         seen: dict[int, int] = {}
         nth = np.zeros(len(query_ids), np.int64)  # queries with the same id stay apart, in the order of their vectors
         for at in np.lexsort((*q.T[::-1], query_ids)):
             nth[at] = seen[query_ids[at]] = seen.get(query_ids[at], -1) + 1
-        return pa.table({"query_id": np.repeat(query_ids[[f[0] for f in found]], [len(f[1]) for f in found]), "copy": np.repeat(nth[[f[0] for f in found]], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
+        return pa.table({"query_id": np.repeat(query_ids[[f[0] for f in found]], [len(f[1]) for f in found]), "g": np.full(sum(len(f[1]) for f in found), left["g"][0].as_py(), np.int32), "copy": np.repeat(nth[[f[0] for f in found]], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
     key = ["g", "run", "part"]
-    local = numbered.mapInArrow(copy_queries, copied).groupBy(*key).cogroup(in_cells.mapInArrow(copy, copied).groupBy(*key)).applyInArrow(solve, "query_id long, copy long, vec_id long, score long")
-    merged = Window.partitionBy("query_id", "copy").orderBy(F.col("score").desc(), "vec_id")
+    local = numbered.mapInArrow(copy_queries, copied).groupBy(*key).cogroup(in_cells.mapInArrow(copy, copied).groupBy(*key)).applyInArrow(solve, "query_id long, g int, copy long, vec_id long, score long")
+    merged = Window.partitionBy("query_id", "g", "copy").orderBy(F.col("score").desc(), "vec_id")
     ranked = local.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -51,6 +51,15 @@ def test_knn(spark):
     assert knn.top_k(queries.where("vec_id = 20"), data.where("vec_id in (20, 40)"), 20).count() == 1  # all, if fewer
 
 
+def test_knn_of_one_id_far_apart(spark):
+    """Two vectors of one id that lie in different cells are separate queries."""
+    rng = np.random.default_rng(2)
+    data = spark.createDataFrame([(i, [float(x) for x in rng.normal((-1) ** i, 0.1, 6)]) for i in range(200)], "vec_id long, embedding array<float>").repartition(4)
+    queries = spark.createDataFrame([(900, [1.0] * 6), (900, [-1.0] * 6)] + [(901 + i, [float((-1) ** i)] * 6) for i in range(10)], data.schema)
+    found = collections.Counter((r["query_id"], r["vec_id"] % 2) for r in knn.top_k(queries, data, 20, group_queries=2).collect())
+    assert found[900, 0] == found[900, 1] == 20
+
+
 def test_bpe(spark, docs, unique):
     from tokenizers import Tokenizer
 
