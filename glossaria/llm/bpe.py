@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from glossaria.llm.common import blocks, frozen, id_and_text, power_of_two, runs, starts_of
+from glossaria.llm.common import Numbers, blocks, frozen, id_and_text, power_of_two, runs, starts_of
 
 #: Fixed value: the public word pattern of this kind of tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -91,12 +91,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
-
-
 def _pack(data: bytes) -> bytes:
     return zstandard.compress(data, 3)
 
@@ -163,7 +157,7 @@ def numbered(docs: DataFrame, path: str, n_dealt: int) -> DataFrame:
 
         v, block = vocabulary(path), TaskContext.get().partitionId() << 24
         for ids, texts in blocks(batches, BLOCK_BYTES):
-            numbers = _Numbers()
+            numbers = Numbers()
             numbered_texts = [np.fromiter(map(numbers.__getitem__, words := v.split(t.decode("utf-8", "replace"))), np.int32, len(words)) for t in texts]
             flat, words = np.concatenate(numbered_texts), list(numbers)
             # a word's number modulo n_dealt says which list it goes to; within a list, frequent words come first
@@ -185,7 +179,7 @@ def encoded_words(parts: DataFrame, path: str) -> DataFrame:
     """(block, dealt, data): for each list of words the ids of its words, in order; each distinct word is encoded once."""
 
     def encode(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, table, lists = vocabulary(path), _Numbers(), []
+        v, table, lists = vocabulary(path), Numbers(), []
         for b in batches:
             for block, data in zip(b["block"].to_pylist(), b["data"].to_pylist()):
                 words = _unpack_words(data)

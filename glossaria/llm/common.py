@@ -84,6 +84,14 @@ class WordHashes(dict):
         return h
 
 
+class Numbers(dict):
+    """Things numbered from 0 in the order they are first seen."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The hash of one thing followed by another."""
     return mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)

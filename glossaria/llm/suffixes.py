@@ -11,9 +11,9 @@ range are settled by their number.  Groups too large for one sort are parted exa
 the anchor's distance from a string's start and the bytes that all strings of a half share.
 
 A passage that a large part of the corpus holds has as many segments as documents around its edges.
-The anchors of `CROWDED` segments or more, all blocks counted, therefore send no segments: a block
-settles what repeats inside it and sends 96 bits of each different string, dealt by those bits over
-all ranges, so no range gets more than one entry a block of any string.
+The anchors of `CROWDED` segments or more, all blocks counted, therefore send no segments but names,
+96 bits of each different string, dealt over all ranges, so no range gets more than one entry a block
+of any string.  What shares a name is then compared by its bytes, again one entry a block and string.
 
 Segments that share an anchor but differ form a text whose suffix array is built by two-stage sorting: suffixes smaller than their successors are sorted
 directly, the others are induced by scanning the buckets of first bytes in order, and common
@@ -31,10 +31,11 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from glossaria.llm.common import mixed, runs, starts_of
-from glossaria.llm.repeats import exchanged, in_ranges, pack_sorted, packed, unpack_sorted, unpacked
+from glossaria.llm.repeats import exchanged, in_ranges, pack_sorted, packed, range_of, unpack_sorted, unpacked
 
 ANCHOR = 32
 CHUNK = 1 << 20
@@ -58,13 +59,13 @@ def eights(text: np.ndarray) -> np.ndarray:
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one; the last is not, being larger than the empty one."""
     n = len(text)
-    differs = np.flatnonzero(text[1:] != text[:-1])
     rises = np.zeros(n, bool)
-    if len(differs):
-        at = np.searchsorted(differs, np.arange(n))  # the next place where neighbours differ
-        inside = at < len(differs)
-        place = differs[np.minimum(at, len(differs) - 1)]
-        rises[inside] = (text[place] < text[np.minimum(place + 1, n - 1)])[inside]
+    if n > 1:
+        place = np.where(text[1:] != text[:-1], np.arange(n - 1), n)
+        place = np.minimum.accumulate(place[::-1])[::-1]  # the next place where neighbours differ
+        inside = place < n
+        place = place[inside]
+        rises[:-1][inside] = text[place] < text[place + 1]
     return rises
 
 
@@ -95,13 +96,21 @@ def sorted_directly(words: np.ndarray, which: np.ndarray, depth: int) -> np.ndar
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes of a byte array, ordered by at least their first depth bytes."""
+def suffix_array(text: np.ndarray, depth: int, needed: np.ndarray | None = None) -> np.ndarray:
+    """All suffixes of a byte array, ordered by at least their first depth bytes.
+
+    If only some are needed, others may be missing: to place a suffix larger than its successor takes
+    those after it up to the first that is smaller than its own, and nothing beyond.
+    """
     n = len(text)
     if n == 0:
         return np.empty(0, np.int64)
     words, small = eights(text), smaller_than_next(text)
-    direct = sorted_directly(words, np.flatnonzero(small), depth)
+    direct = np.flatnonzero(small)
+    if needed is not None:
+        after = np.unique(np.searchsorted(direct, np.flatnonzero(needed)))
+        direct = direct[after[after < len(direct)]]
+    direct = sorted_directly(words, direct, depth)
     of_bucket = starts_of(np.bincount(text[direct], minlength=256))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[text[n - 1]].append(np.array([n - 1]))
@@ -142,7 +151,7 @@ def shares_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -
 
 def repeated_starts(text: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     """Which of the marked places start a string of that length that another marked place starts too."""
-    order = suffix_array(text, length)
+    order = suffix_array(text, length, start)
     order = order[start[order]]
     same = shares_prefix(text, order[:-1], order[1:], length)
     out = np.zeros(len(text), bool)
@@ -150,52 +159,69 @@ def repeated_starts(text: np.ndarray, start: np.ndarray, length: int) -> np.ndar
     return out
 
 
-def _led(texts: list[bytes], length: int):
-    """Per chunk of documents: where they start in the block, and for each string's start its anchor's place and hash."""
+def _windows(texts: list[bytes], length: int):
+    """(places in the block, bytes, starts of the texts in them, their lengths): texts side by side, long ones in windows that overlap by length - 1 bytes."""
+    part, own, size, base = [], [], 0, 0
+    for t in texts:
+        for at in range(0, max(1, len(t) - length + 1), CHUNK):
+            piece = t[at : at + CHUNK + length - 1]
+            part.append(piece)
+            own.append(base + at)
+            size += len(piece)
+            if size >= CHUNK:
+                yield own, part
+                part, own, size = [], [], 0
+        base += len(t)
+    if part:
+        yield own, part
+
+
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ANCHOR bytes from each place on."""
+    h, step, factor = mixed(data.astype(np.uint64) + _A), 1, int(_A)
+    while step < ANCHOR:
+        h, step, factor = h[:-step] * np.uint64(factor) + h[step:], 2 * step, factor * factor % (1 << 64)
+    return mixed(h)
+
+
+def _segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring strings with the same anchor: their first string's place in the block, how many, the anchor's distance from the first, and its key."""
     over = length - ANCHOR + 1
-    at, base, part = 0, 0, []
-    size = 0
-    ends = starts_of(list(map(len, texts)))
-    for k, t in enumerate(texts):
-        part.append(k)
-        size += len(t)
-        if size >= CHUNK or k == len(texts) - 1:
-            data = np.frombuffer(b"".join(texts[p] for p in part), np.uint8)
-            own = ends[part] - base
-            lengths = np.array([len(texts[p]) for p in part])
-            n = np.maximum(0, lengths - length + 1)
-            if n.sum():
-                h = mixed(data.astype(np.uint64) + _A)
-                step = 1
-                while step < ANCHOR:
-                    h = mixed(h[:-step] * _A + h[step:])
-                    step *= 2
-                low = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
-                step = 1
-                while step < over:
-                    nxt = min(2 * step, over)
-                    low = np.minimum(low[: len(low) - (nxt - step)], low[nxt - step :])
-                    step = nxt
-                starts = np.repeat(own, n) + np.arange(n.sum()) - np.repeat(starts_of(n)[:-1], n)
-                place = (low[starts] & _LOW).astype(np.int64)
-                yield base, data, starts, place, h
-            base, part, size = int(ends[k + 1]), [], 0
-
-
-def _segments(starts: np.ndarray, place: np.ndarray):
-    """Runs of neighbouring strings with the same anchor: the first string of each and how many."""
-    new = np.concatenate(([True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)))
-    first = np.flatnonzero(new)
-    return first, np.diff(np.concatenate((first, [len(starts)])))
-
-
-def _named(h: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of the strings that start at `at`, from hashes of ANCHOR bytes."""
-    a, b = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    for step in [*range(0, length - ANCHOR, ANCHOR), length - ANCHOR]:
-        own = h[at + step]
-        a, b = mixed(a * _A + own), mixed(b * _B + (own ^ _A))
-    return a, (b >> np.uint64(32)).astype(np.uint32)
+    found = [(np.empty(0, np.uint32), np.empty(0, np.uint16), np.empty(0, np.uint16), np.empty(0, np.uint64))]
+    for places, part in _windows(texts, length):
+        data = np.frombuffer(b"".join(part), np.uint8)
+        lengths = np.array(list(map(len, part)))
+        own, n = starts_of(lengths)[:-1], np.maximum(0, lengths - length + 1)
+        if not n.any():
+            continue
+        h = _hashes(data)
+        low = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
+        step = 1
+        while step < over:
+            to = min(2 * step, over)
+            low = np.minimum(low[: len(low) - (to - step)], low[to - step :])
+            step = to
+        start = runs(own, n)
+        place = (low[start] & _LOW).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1))))
+        in_block = start[first] + np.repeat(np.array(places) - own, n)[first]
+        found.append((in_block.astype(np.uint32), np.diff(np.append(first, len(start))).astype(np.uint16), (place[first] - start[first]).astype(np.uint16), mixed(h[place[first]])))
+    return tuple(map(np.concatenate, zip(*found)))  # keys are hashes again: the smallest ones, spread over all ranges
+
+
+def _named(raw: bytes, at: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64 and 32 bits of the n strings from each of the places on, and where they start."""
+    found = [(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64))]
+    for k in range(0, len(at), 1024):
+        lengths = n[k : k + 1024] + length - 1
+        h = _hashes(np.frombuffer(b"".join(raw[s:e] for s, e in zip(at[k : k + 1024].tolist(), (at[k : k + 1024] + lengths).tolist())), np.uint8))
+        first = runs(starts_of(lengths)[:-1], n[k : k + 1024])
+        a, b = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
+        for step in [*range(0, length - ANCHOR, ANCHOR), length - ANCHOR]:
+            own = h[first + step]
+            a, b = mixed(a * _A + own), mixed(b * _B + (own ^ _A))
+        found.append((a, (b >> np.uint64(32)).astype(np.uint32), runs(at[k : k + 1024], n[k : k + 1024])))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def _by_name(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,83 +230,75 @@ def _by_name(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))[: len(a)])
 
 
-def _crowd(a: np.ndarray, b: np.ndarray, at: np.ndarray, n_parts: int):
-    """What a block's strings with crowded anchors send to each range, and the spans of those that repeat in the block."""
+def _crowd(a: np.ndarray, b: np.ndarray, n_parts: int) -> dict[int, tuple]:
+    """What a block sends to each range of the names of its strings with crowded anchors: each once, and whether it is there twice."""
     order, first = _by_name(a, b)
     twice = np.diff(np.append(first, len(order))) > 1
-    again = np.sort(at[order[np.repeat(twice, np.diff(np.append(first, len(order))))]])
-    edge = np.flatnonzero(np.diff(again) != 1)
-    spans = np.column_stack([again[np.append(0, edge + 1)], again[np.append(edge, len(again) - 1)] + 1]) if len(again) else np.empty((0, 2), np.int64)
     one = order[first]
-    ends, sent = in_ranges(a[one], n_parts), {}
-    for p, (s, e) in enumerate(zip(ends, ends[1:])):
-        if s < e:
-            own = one[s:e]
-            sent[p] = pack_sorted(a[own]), b[own].astype("<u4").tobytes(), packed(np.packbits(twice[s:e]).tobytes()), at[own][~twice[s:e]].astype("<u4").tobytes()
-    return sent, spans
+    ends = in_ranges(a[one], n_parts)
+    return {p: (pack_sorted(a[one[s:e]]), b[one[s:e]].astype("<u4").tobytes(), packed(np.packbits(twice[s:e]).tobytes())) for p, (s, e) in enumerate(zip(ends, ends[1:])) if s < e}
 
 
-def _met(crowds: list) -> list[np.ndarray]:
-    """Per block the places of strings that other blocks have too; those that repeat in a block are settled there."""
+def _met(crowds: list) -> list[bytes]:
+    """Per block the names that are there twice or that other blocks have, too."""
     a = [unpack_sorted(c[0]) for c in crowds]
     sizes = list(map(len, a))
+    names = np.empty(sum(sizes), _NAME)
+    names["a"], names["b"] = np.concatenate(a), np.concatenate([np.frombuffer(c[1], "<u4") for c in crowds])
     twice = np.concatenate([np.unpackbits(np.frombuffer(unpacked(c[2]), np.uint8), count=n).astype(bool) for c, n in zip(crowds, sizes)])
-    order, first = _by_name(np.concatenate(a), np.concatenate([np.frombuffer(c[1], "<u4") for c in crowds]))
+    order, first = _by_name(names["a"], names["b"])
     n = np.diff(np.append(first, len(order)))
     shared = np.zeros(len(order), bool)
     shared[order] = np.repeat(n > 1, n)
     ends = starts_of(sizes)
-    return [np.frombuffer(c[3], "<u4").astype(np.int64)[shared[s:e][~twice[s:e]]] for c, s, e in zip(crowds, ends, ends[1:])]
+    return [names[s:e][(shared | twice)[s:e]].tobytes() for s, e in zip(ends, ends[1:])]
+
+
+SPANS, SUSPECTS, _SETTLED = b"s", b"n", (1 << 32) - 1
+_NAME = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
 def _run(docs: DataFrame, length: int, row, arrow: pa.Schema, schema: str) -> DataFrame:
-    if length < 2 * ANCHOR:
-        raise ValueError(f"strings have {2 * ANCHOR} bytes at least")
-
-    def anchors(ids, texts):
-        found = [mixed(h[place[_segments(starts, place)[0]]]) for _, _, starts, place, h in _led(texts, length)]
-        return np.concatenate(found) if found else np.empty(0, np.uint64)
-
-    def emit(ids, texts, known, crowded, n_parts):
-        shift, out = np.uint64(65 - n_parts.bit_length()), {}
-        names = [(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64))]
-        for base, data, starts, place, h in _led(texts, length):
-            first, n = _segments(starts, place)
-            key = mixed(h[place[first]])  # the smallest hashes, spread over all ranges again
-            near = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            chosen, raw = known[near] == key, data.tobytes()
-            hot = chosen & crowded[near]
-            if hot.any():
-                at = runs(starts[first[hot]], n[hot])
-                names.append((*_named(h, at, length), base + at))
-                chosen &= ~hot
-            for s, m, k, a in zip(*(x[chosen].tolist() for x in (starts[first], n, key, place[first]))):
-                out.setdefault(k, {}).setdefault((raw[s : s + m + length - 1], a - s), []).append(base + s)
+    if not 2 * ANCHOR <= length < 1 << 15:
+        raise ValueError(f"strings have {2 * ANCHOR} to {(1 << 15) - 1} bytes")
+
+    def prepare(ids, texts):
+        return ids, texts, _segments(texts, length)
+
+    def chosen_of(state, known):
+        start, n, lead, key = state[2]
+        near = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        return start.astype(np.int64), n.astype(np.int64), lead, key, known[near] == key, near
+
+    def emit(state, known, crowded, n_parts):
+        raw, out = b"".join(state[1]), {}
+        start, n, lead, key, chosen, near = chosen_of(state, known)
+        hot = chosen & crowded[near]
+        chosen &= ~hot
+        for s, m, k, a in zip(*(x[chosen].tolist() for x in (start, n, key, lead))):
+            out.setdefault(k, {}).setdefault((raw[s : s + m + length - 1], a), []).append(s)
         parts: dict[int, list] = {}
         for k, segments in out.items():
-            parts.setdefault(int(np.uint64(k) >> shift), []).append((k, [(text, lead, np.array(at, "<u4").tobytes()) for (text, lead), at in segments.items()]))
-        crowds, own = _crowd(*map(np.concatenate, zip(*names)), n_parts)
-        for p in parts.keys() | crowds.keys():  # the block's own spans come back with an answer
-            yield p, packed(pickle.dumps((parts.get(p, []), crowds.get(p), own)), 3)
-            own = own[:0]
+            parts.setdefault(range_of(k, n_parts), []).append((k, [(text, a, np.array(at, "<u4").tobytes()) for (text, a), at in segments.items()]))
+        crowds = _crowd(*_named(raw, start[hot], n[hot], length)[:2], n_parts)
+        for p in parts.keys() | crowds.keys():
+            yield p, packed(pickle.dumps((parts.get(p, []), crowds.get(p))), 3)
 
     def resolve(sent):
         groups: dict[int, dict[tuple[bytes, int], list]] = {}
         spans: list[list[np.ndarray]] = [[] for _ in sent]
         crowds = {}
         for k, (_, data) in enumerate(sent):
-            segments_of, crowd, own_spans = pickle.loads(unpacked(data))
+            segments_of, crowd = pickle.loads(unpacked(data))
             if crowd:
                 crowds[k] = crowd
-            if len(own_spans):
-                spans[k].append(own_spans)
             for key, segments in segments_of:
                 own = groups.setdefault(key, {})
                 for text, lead, at in segments:
                     own.setdefault((text, lead), []).append((k, np.frombuffer(at, "<u4").astype(np.int64)))
-        for k, places in zip(crowds, _met(list(crowds.values())) if crowds else []):
-            if len(places):
-                spans[k].append(np.column_stack([places, places + 1]))
+        for k, names in zip(crowds, _met(list(crowds.values())) if crowds else []):
+            if names:
+                yield sent[k][0], SUSPECTS + packed(names)
 
         def answer(holders, lo, hi):
             for k, places in holders:
@@ -335,15 +353,58 @@ def _run(docs: DataFrame, length: int, row, arrow: pa.Schema, schema: str) -> Da
             compared(batch)
         for (block, _), found in zip(sent, spans):
             if found:
-                yield block, packed(np.concatenate(found).astype("<u4").tobytes())
+                yield block, SPANS + packed(np.concatenate(found).astype("<u4").tobytes())
+
+    def recheck(state, known, crowded, answers, n_parts):
+        """Of the strings with crowded anchors whose names repeat the bytes; those that repeat in the block are settled here."""
+        raw = b"".join(state[1])
+        start, n, _, _, chosen, near = chosen_of(state, known)
+        hot = chosen & crowded[near]
+        a, b, at = _named(raw, start[hot], n[hot], length)
+        suspects = np.zeros(0, _NAME)
+        for data in answers:
+            if data[:1] == SUSPECTS:
+                suspects = np.concatenate([suspects, np.frombuffer(unpacked(data[1:]), _NAME)])
+        names = np.empty(len(a), _NAME)
+        names["a"], names["b"] = a, b
+        places: dict[bytes, list] = {}
+        for s in at[np.isin(names, suspects)].tolist() if len(suspects) else []:
+            places.setdefault(raw[s : s + length], []).append(s)
+        again = np.unique(np.array([s for x in places.values() if len(x) > 1 for s in x], np.int64))
+        edge = np.flatnonzero(np.diff(again) != 1)
+        own = np.column_stack([again[np.append(0, edge + 1)], again[np.append(edge, len(again) - 1)] + 1]) if len(again) else np.empty((0, 2), np.int64)
+        parts: dict[int, list] = {}
+        for text, x in places.items():
+            parts.setdefault(range_of(xxhash.xxh3_64_intdigest(text), n_parts), []).append((text, x[0] if len(x) == 1 else _SETTLED))
+        for p, found in parts.items():  # the block's own spans come back with an answer
+            yield p, packed(pickle.dumps((b"".join(x[0] for x in found), [x[1] for x in found], own.astype("<u4").tobytes())), 3)
+            own = own[:0]
+
+    def confirm(sent):
+        holders: dict[bytes, list] = {}
+        spans: list[list[np.ndarray]] = [[] for _ in sent]
+        for k, (_, data) in enumerate(sent):
+            texts, places, own = pickle.loads(unpacked(data))
+            spans[k].append(np.frombuffer(own, "<u4").reshape(-1, 2).astype(np.int64))
+            for n, place in enumerate(places):
+                holders.setdefault(texts[n * length : (n + 1) * length], []).append((k, place))
+        for x in holders.values():
+            for k, place in x if len(x) > 1 else ():
+                if place != _SETTLED:
+                    spans[k].append(np.array([[place, place + 1]]))
+        for (block, _), found in zip(sent, spans):
+            if sum(map(len, found)):
+                yield block, SPANS + packed(np.concatenate(found).astype("<u4").tobytes())
 
-    def finish(ids, texts, answers):
+    def finish(state, answers):
+        ids, texts, _ = state
         ends = starts_of(list(map(len, texts)))
         cover = np.zeros(int(ends[-1]) + 1, np.int64)
         for a in answers:
-            span = np.frombuffer(unpacked(a), "<u4").reshape(-1, 2).astype(np.int64)
-            np.add.at(cover, span[:, 0], 1)
-            np.add.at(cover, span[:, 1] + length - 1, -1)
+            if a[:1] == SPANS:
+                span = np.frombuffer(unpacked(a[1:]), "<u4").reshape(-1, 2).astype(np.int64)
+                np.add.at(cover, span[:, 0], 1)
+                np.add.at(cover, span[:, 1] + length - 1, -1)
         gone = np.cumsum(cover) > 0
         rows = []
         for i, text, s in zip(ids, texts, ends):
@@ -353,7 +414,7 @@ def _run(docs: DataFrame, length: int, row, arrow: pa.Schema, schema: str) -> Da
             rows.append(row(i, len(text), n, spans, np.frombuffer(text, np.uint8)[~out].tobytes() if n else text))
         return rows
 
-    return exchanged(docs, anchors, emit, resolve, finish, arrow, schema, CROWDED)
+    return exchanged(docs, prepare, [lambda state, _: state[2][3]], emit, resolve, finish, arrow, schema, CROWDED, recheck, confirm)
 
 
 def remove_repeated(docs: DataFrame, length: int = 400) -> DataFrame:
