@@ -9,6 +9,8 @@ blank, is taken as it is.  Style sheets are not evaluated, only attributes and i
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -22,54 +24,104 @@ FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".
 _CLOSES_P = BLOCKS - {"tr", "td", "th", "thead", "tbody", "caption"} | {"pre", "form", "hr", "header", "footer", "nav", "aside"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _BARRIERS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}}
+_ROOTS = ("article", "main", "body")
+ALIKE, MOST_FORMATS = 3, 64
 _HEAD = frozenset("head title meta link base script style noscript template".split())
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
 
 
+def is_hidden(tag: str, attrs: dict[str, str | None]) -> bool:
+    """What attributes and inline styles say."""
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN_STYLE.search(attrs.get("style") or ""))
+
+
 class _Element:
-    def __init__(self, tag: str, hidden: bool = False):
-        self.tag, self.hidden = tag, hidden
+    __slots__ = ("tag", "attrs", "hidden", "at")
+
+    def __init__(self, tag: str, attrs: tuple = (), hidden: bool = False):
+        self.tag, self.attrs, self.hidden, self.at = tag, attrs, hidden, -1  # at: the place among the open ones
 
 
 class _Page(HTMLParser):
-    """Keeps each text and <br> with the elements around it; re-opens formatting tags that a block closed."""
+    """Keeps each text and <br> with what is around it; re-opens formatting tags that a block closed.
+
+    Time is linear in the page but for re-opened tags, of which there are three alike and
+    MOST_FORMATS in all at most, as in browsers.  What is around a text is kept as counters of open
+    elements; an element closed in the middle leaves an empty place among the open ones.
+    """
 
-    def __init__(self):
+    def __init__(self, excluded: frozenset, hidden: Callable[[str, dict], bool]):
         super().__init__(convert_charrefs=True)
-        self.open: list[_Element] = []
+        self.excluded, self.is_hidden = excluded, hidden
+        self.open: list[_Element | None] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each tag among the open ones
         self.formats: list[_Element] = []
-        self.events: list[tuple[str | None, tuple[_Element, ...]]] = []
         self.first: dict[str, _Element] = {}
+        self.in_head = self.unseen = self.unseen_but_pre = 0
+        self.events: list[tuple[str | None, bool, bool, bool, tuple[bool, bool, bool]]] = []
 
-    def _in_body(self):
-        if "body" not in self.first:
-            self.open = [e for e in self.open if e.tag == "html"]
-            self._push(_Element("body"))
+    def _count(self, e: _Element, by: int):
+        self.in_head += by * (e.tag in _HEAD)
+        self.unseen += by * (e.tag in self.excluded or e.hidden)
+        self.unseen_but_pre += by * (e.tag in self.excluded and e.tag != "pre" or e.hidden)
 
     def _push(self, e: _Element):
+        e.at = len(self.open)
         self.open.append(e)
+        self.places[e.tag].append(e.at)
         self.first.setdefault(e.tag, e)
+        self._count(e, 1)
+
+    def _pop(self):
+        e = self.open.pop()
+        if e:
+            self.places[e.tag].pop()
+            self._count(e, -1)
+            e.at = -1
+        while self.open and self.open[-1] is None:
+            self.open.pop()
+
+    def _take_out(self, e: _Element):
+        if e.at == len(self.open) - 1:
+            self._pop()
+        elif e.at >= 0:
+            self.open[e.at] = None
+            self.places[e.tag].remove(e.at)
+            self._count(e, -1)
+            e.at = -1
+
+    def _last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _close(self, tags, stop=frozenset()):
+        """Closes the innermost of the tags and all in it, unless one of stop lies further in."""
+        at = self._last(tags)
+        if at >= 0 and at > self._last(stop):
+            while len(self.open) > at:
+                self._pop()
 
-    def _close(self, tags: set[str], stop: set[str] = frozenset()):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return
-            if self.open[k].tag in stop:
-                return
+    def _in_body(self):
+        if "body" not in self.first:
+            while self.open and self.open[-1].tag != "html":
+                self._pop()
+            self._push(_Element("body"))
 
     def _reopen(self):
         for e in self.formats:
-            if e not in self.open:
-                self.open.append(e)
+            if e.at < 0:
+                self._push(e)
+
+    def _seen(self, text: str | None):
+        inside = tuple(tag in self.first and self.first[tag].at >= 0 for tag in _ROOTS)
+        parent = self.open[-1].tag if self.open else ""
+        self.events.append((text, parent in BLOCKS, self.unseen == 0, self.unseen_but_pre == 0, inside))
 
     def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
-        hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN_STYLE.search(attrs.get("style") or ""))
+        hidden = self.is_hidden(tag, dict(attrs))
         if tag in ("html", "body"):
             if tag not in self.first:
                 self._close({"head"})
-                self._push(_Element(tag, hidden))
+                self._push(_Element(tag, tuple(attrs), hidden))
             return
         if tag not in _HEAD or "body" in self.first:
             self._in_body()
@@ -80,75 +132,78 @@ class _Page(HTMLParser):
         if tag not in BLOCKS and tag not in _HEAD:
             self._reopen()
         if tag == "br":
-            self.events.append((None, tuple(self.open)))
+            self._seen(None)
         if tag in VOID:
             return
-        e = _Element(tag, hidden)
+        e = _Element(tag, tuple(attrs), hidden)
         self._push(e)
         if tag in FORMATTING:
+            alike = [x for x in self.formats if x.tag == tag and x.attrs == e.attrs]
+            if len(alike) == ALIKE or len(self.formats) == MOST_FORMATS:
+                self.formats.remove(alike[0] if len(alike) == ALIKE else self.formats[0])
             self.formats.append(e)
 
     def handle_endtag(self, tag):
         if tag in FORMATTING:
-            for e in reversed(self.formats):
-                if e.tag == tag:
-                    self.formats.remove(e)
-                    if e in self.open:
-                        self.open.remove(e)
-                    break
+            known = next((e for e in reversed(self.formats) if e.tag == tag), None)
+            if known:
+                self.formats.remove(known)
+                self._take_out(known)
+            elif self.places.get(tag):
+                self._take_out(self.open[self.places[tag][-1]])
         elif tag == "br":
             self.handle_starttag("br", [])
         elif tag not in ("html", "body"):
             self._close({tag}, {"table"} if tag not in ("table", "tr", "td", "th", "tbody", "thead") else frozenset())
 
     def handle_data(self, data):
-        if not any(e.tag in _HEAD for e in self.open):
+        if not self.in_head:
             if "body" not in self.first and not data.strip():
                 return
             self._in_body()
             self._reopen()
-        self.events.append((data, tuple(self.open)))
+        self._seen(data)
 
 
-def _visible(page: _Page, root: _Element, excluded: frozenset) -> str:
-    out = []
-    for text, around in page.events:
-        if root not in around:
+def _visible(page: _Page, root: str, with_pre: bool = False) -> str:
+    out, at = [], _ROOTS.index(root)
+    for text, in_block, seen, seen_with_pre, inside in page.events:
+        if not inside[at]:
             continue
         if text is None:
             out.append("\n")
-        elif not any(e.tag in excluded or e.hidden for e in around):
+        elif seen_with_pre if with_pre else seen:
             out.append(text)
-            if around[-1].tag in BLOCKS:
+            if in_block:
                 out.append("\n")
     return "".join(out)
 
 
-def page_text(html: str, selection: str | None = None, excluded: frozenset = EXCLUDED) -> tuple[str, str]:
-    """(text, source): source is selection, article, main or body."""
+def page_text(html: str | None, selection: str | None = None, excluded: frozenset = EXCLUDED, hidden: Callable[[str, dict], bool] = is_hidden) -> tuple[str, str]:
+    """(text, source): source is selection, article, main or body.  hidden(tag, attributes) tells what isn't visible."""
     if selection and selection.strip():
         return selection, "selection"
-    page = _Page()
+    page = _Page(excluded, hidden)
     page.feed(html or "")
     page.close()
-    for tag in ("article", "main"):
-        if tag in page.first:
-            return _visible(page, page.first[tag], excluded), tag
+    for root in ("article", "main"):
+        if root in page.first:
+            return _visible(page, root), root
     if "body" not in page.first:
         return "", "body"
-    text = _visible(page, page.first["body"], excluded)
-    return (text if text.strip() else _visible(page, page.first["body"], excluded - {"pre"})), "body"
+    text = _visible(page, "body")
+    return (text if text.strip() else _visible(page, "body", with_pre=True)), "body"
 
 
-def collect_pages(pages: DataFrame, *ids: str) -> DataFrame:
-    """(*ids, source, text) from pages(*ids, html[, selection])."""
+def collect_pages(pages: DataFrame, *ids: str, excluded: frozenset = EXCLUDED, hidden: Callable[[str, dict], bool] = is_hidden) -> DataFrame:
+    """(*ids, source, text) from pages(*ids, html[, selection]); see page_text."""
     chosen = pages.select(*ids, "html", *(["selection"] if "selection" in pages.columns else []))
     schema = ", ".join(f"{c} {chosen.schema[c].dataType.simpleString()}" for c in ids) + ", source string, text string"
 
     def run(batches):
         for b in batches:
             selections = b["selection"].to_pylist() if "selection" in b.schema.names else [None] * b.num_rows
-            found = [page_text(h, s) for h, s in zip(b["html"].to_pylist(), selections)]
+            found = [page_text(h, s, excluded, hidden) for h, s in zip(b["html"].to_pylist(), selections)]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ids), pa.array([f[1] for f in found], pa.string()), pa.array([f[0] for f in found], pa.string())], [*ids, "source", "text"])
 
     return chosen.mapInArrow(run, schema)

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 HEADER = "lemma,flags"
 # Fixed value: what trimming a field removes.
 BLANKS = "\t\n\x0b\x0c\r \xa0                　﻿"
-_QUOTED = re.compile(r'"((?:[^"]|"")*)"?')
 _SCHEMA = "file string, line int, lemma string, flags int, error_kind string, error string"
 
 
@@ -25,36 +24,35 @@ class WordListError(ValueError):
     """A word list that can't be read."""
 
 
-def _rows(text: str) -> Iterator[tuple[int, str]]:
+def _rows(text: str) -> list[tuple[int, str]]:
     """Logical rows with the number of their first line: lines are joined while a quote is open."""
-    held, start, out = [], 1, []
+    rows: list[tuple[int, list[str]]] = []
+    open_ = False
     for n, line in enumerate(text.replace("\r\n", "\n").split("\n"), 1):
-        held.append(line)
-        if sum(x.count('"') for x in held) % 2 == 0:
-            out.append((start, "\n".join(held)))
-            held, start = [], n + 1
-    if held:
-        out.append((start, "\n".join(held)))
-    while out and not out[-1][1]:
-        out.pop()
-    return iter(out)
+        if open_:
+            rows[-1][1].append(line)
+        else:
+            rows.append((n, [line]))
+        open_ ^= line.count('"') % 2 == 1
+    while rows and rows[-1][1] == [""]:
+        rows.pop()
+    return [(n, "\n".join(lines)) for n, lines in rows]
+
+
+#: A field with the comma after it: quoted (quotes in it doubled, the closing one may be missing) or plain.
+_FIELD = re.compile(r'(?:"(?P<quoted>(?:[^"]|"")*+)"?|(?P<plain>[^",][^,]*+|))(?P<comma>,?)')
 
 
 def _fields(row: str) -> list[str]:
-    out, at = [], 0
-    while at < len(row):
-        if row[at] == '"':
-            m = _QUOTED.match(row, at)
-            out.append(m[1].replace('""', '"'))
-            at = m.end() + (row[m.end() : m.end() + 1] == ",")
-        else:
-            end = row.find(",", at)
-            out.append(row[at : end if end >= 0 else len(row)])
-            if end < 0:
-                break
-            at = end + 1
-        if at == len(row):
-            out.append("")
+    """A row's fields.  After a comma, and after a quoted field, there is one more field if the row ends; a blank row has none."""
+    out: list[str] = []
+    m = _FIELD.match(row) if row else None
+    while m:
+        quoted = m["quoted"] is not None
+        out.append(m["quoted"].replace('""', '"') if quoted else m["plain"])
+        if m.end() == len(row):
+            return out + [""] * (quoted or bool(m["comma"]))
+        m = _FIELD.match(row, m.end())
     return out
 
 
