@@ -158,9 +158,10 @@ def _run(docs: DataFrame, window: int, row, arrow: pa.Schema, schema: str) -> Da
         w = _Words(state, window)
         h, check = full(w, w.whole) if len(w.whole) else (np.empty(0, np.uint64), np.empty(0, np.uint64))
         doc, goes = w.doc[w.of_window], np.zeros(len(h), bool)
-        twice = np.sort(h)
-        twice = np.unique(twice[1:][twice[1:] == twice[:-1]])
-        some = np.flatnonzero(_in(twice, h))  # what repeats within the block
+        order = np.argsort(h)
+        rising = h[order]  # lookups go faster in order
+        same = np.concatenate(([False], rising[1:] == rising[:-1], [False]))
+        some = order[same[1:] | same[:-1]] if len(h) else order  # what repeats within the block
         if len(some):
             some = some[np.lexsort((doc[some], check[some], h[some]))]
             new = np.concatenate(([True], (h[some][1:] != h[some][:-1]) | (check[some][1:] != check[some][:-1])))
@@ -171,7 +172,7 @@ def _run(docs: DataFrame, window: int, row, arrow: pa.Schema, schema: str) -> Da
             known, tag = np.concatenate([unpack_sorted(a) for a, _ in parts]), np.concatenate([np.frombuffer(b, "<u8") for _, b in parts])
             by = np.lexsort((tag, known))
             known, tag = known[by], tag[by]
-            some = np.flatnonzero(_in(known, h) & ~goes)
+            some = order[_in(known, rising)]
             left, right = np.searchsorted(known, h[some], "left"), np.searchsorted(known, h[some], "right")
             for shift in range(int((right - left).max(initial=0))):  # more than one: equal in the first half, not in the second
                 at = np.minimum(left + shift, len(known) - 1)
