@@ -1,7 +1,8 @@
 """Finding what repeats across blocks of documents by exchanges, at each of which a block sends packed
 keys and gets back what it needs.
 
-`framed` freezes the documents as blocks, a compressed row each, in the form that `prepare` gives them.
+`framed` freezes the documents as blocks, a compressed row each, in the form that `prepare` gives them,
+bucketed by block, so that blocks never move again; only keys, candidates and answers do.
 At each level a block sends 64-bit keys of what may still repeat; tasks that each see all blocks' keys of
 one range tell every block which of its keys occur twice or more anywhere, and which `crowd` times or
 more.  The next level looks at what lies over those keys alone.  When no key is left, nothing repeats;
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import blocks, frozen, id_and_text, power_of_two
+from glossaria.llm.common import blocks, bucketed, frozen, id_and_text, n_buckets, power_of_two
 
 BLOCK_BYTES = 12 << 20
 RANGE_BYTES = 128 << 20
@@ -62,8 +63,8 @@ def range_of(key: int, n: int) -> int:
     return key >> (65 - n.bit_length())
 
 
-def framed(docs: DataFrame, prepare: Callable, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, size, data): the frozen blocks of docs(doc_id, text); data holds what prepare(ids, texts) made of a block."""
+def framed(docs: DataFrame, prepare: Callable, n: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, data): the frozen blocks of docs(doc_id, text) in n buckets; data holds what prepare(ids, texts) made of a block."""
 
     def frame(batches):
         from pyspark import TaskContext
@@ -71,10 +72,10 @@ def framed(docs: DataFrame, prepare: Callable, block_bytes: int = BLOCK_BYTES) -
         number = TaskContext.get().partitionId() << 24
         for ids, texts in blocks(batches, block_bytes):
             data = packed(pickle.dumps(prepare(ids, texts)), 3)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sum(map(len, texts))], pa.int64()), pa.array([data], pa.binary())], ["block", "size", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
             number += 1
 
-    return frozen(id_and_text(docs).mapInArrow(frame, "block long, size long, data binary"), "blocks")
+    return bucketed(id_and_text(docs).mapInArrow(frame, "block long, data binary"), "blocks", "block", n)
 
 
 def n_ranges(n_bytes: int) -> int:
@@ -99,9 +100,9 @@ def exchanged(docs: DataFrame, prepare: Callable, levels: list[Callable], emit:
     """
     if crowd > MOST:
         raise ValueError(f"a block counts a key {MOST} times at most")
-    framed_docs = framed(docs, prepare)
-    n_parts = n_ranges(framed_docs.agg(F.sum("size")).first()[0] or 0)
-    by_block = framed_docs.select("block", "data").groupBy("block")
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    framed_docs, n_parts = framed(docs, prepare, n_buckets(docs.sparkSession, n_bytes)), n_ranges(n_bytes)
+    by_block = framed_docs.groupBy("block")
 
     def keys_rows(block: int, found: np.ndarray) -> pa.RecordBatch:
         keys, n = np.unique(found, return_counts=True)
@@ -180,7 +181,7 @@ def exchanged(docs: DataFrame, prepare: Callable, levels: list[Callable], emit:
             found = answers_of(right)
             return pa.Table.from_batches([keys_rows(block, levels[level](state, told(level - 1, state, found)[0])) for block, state in states(left)] or [_sent([])])
 
-        sent = by_block.cogroup(known.groupBy("block")).applyInArrow(next_, _SENT) if level else framed_docs.select("block", "data").mapInArrow(first, _SENT)
+        sent = by_block.cogroup(known.groupBy("block")).applyInArrow(next_, _SENT) if level else framed_docs.mapInArrow(first, _SENT)
         here = frozen(sent.groupBy("part").applyInArrow(compare_keys, _KNOWN).withColumn("level", F.lit(level)), "known")
         found, crowded = here.agg(F.sum("found"), F.sum("crowded")).first()
         if not found:  # no candidate survives
