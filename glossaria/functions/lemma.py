@@ -30,12 +30,14 @@ IRREGULAR = {
     "drank": "drink", "drunk": "drink", "blew": "blow", "blown": "blow", "threw": "throw", "thrown": "throw",
     "drew": "draw", "drawn": "draw", "bore": "bear", "born": "bear",
 }
+#: Our own: forms that the rules below would not bring back.
 OTHER_FORMS = {
     "knives": "knife", "lives": "life", "wives": "wife", "halves": "half", "wolves": "wolf", "shelves": "shelf", "thieves": "thief",
     "loaves": "loaf", "calves": "calf", "leaves": "leaf", "selves": "self", "elves": "elf", "scarves": "scarf",
     "men": "man", "women": "woman", "children": "child", "feet": "foot", "teeth": "tooth", "mice": "mouse", "geese": "goose",
     "using": "use", "used": "use", "shoes": "shoe", "agreed": "agree", "freed": "free", "dying": "die", "lying": "lie", "tying": "tie",
     "changing": "change", "changed": "change", "arranging": "arrange", "arranged": "arrange",
+    "quizzes": "quiz", "quizzed": "quiz", "quizzing": "quiz", "murmured": "murmur", "murmuring": "murmur", "focused": "focus", "focusing": "focus",
 }
 KEEP = (
     "this his its thus news always perhaps yes us as gas bus plus lens series species morning evening nothing something anything "
@@ -57,8 +59,11 @@ RULES = (
     (r"eed$", 0, 0, "", False),
     (r"[aeiouy].*ed$", 4, 2, "", True),
 )
-_DOUBLED = r"(bb|cc|dd|ff|gg|mm|nn|pp|rr|tt)$"
-_MUTE_E = r"(at|bl|iz|c|v|u|rs|ns|[aeiou][aeiou]s)$"
+_DOUBLED = r"(bb|dd|gg|kk|mm|nn|pp|rr|tt|vv)$"
+#: Stems that lost an e: endings that English hardly has without it, vowel pairs such as in "heat" or "rain" left out.
+_MUTE_E = r"([^eo]at|creat|bl|iz|c|[^v]v|[^o]u|rs|ns|[aeiou][aeiou]s|[^i]as|[^aeiou]is|os|us|[aeioudlr]g|[^eo]ar|[^aeo][iu]r|[^aeou]in|[^aou]id|[^aeo]u[dt]|[^aeo]ad|[^aeo]um|[^eo]ak|[^o]ok)$"
+#: Stems that end in two equal letters by themselves; those in -ff, -ll, -ss and -zz always do.
+DOUBLE = "add ebb egg err odd purr burr whirr butt putt mutt watt inn boycott".split()
 _SHORT = r"^[^aeiouy]*[aeiouy][^aeiouywx]$"
 
 
@@ -68,7 +73,7 @@ def _cut(w: Column, n: int) -> Column:
 
 def _repaired(stem: Column) -> Column:
     mute = stem.rlike(_MUTE_E) | (stem.rlike(_SHORT) & (F.length(stem) >= 3))
-    return F.when(stem.rlike(_DOUBLED), _cut(stem, 1)).when(mute, F.concat(stem, F.lit("e"))).otherwise(stem)
+    return F.when(stem.isin(*DOUBLE), stem).when(stem.rlike(_DOUBLED), _cut(stem, 1)).when(mute, F.concat(stem, F.lit("e"))).otherwise(stem)
 
 
 def lemma(word: Column) -> Column:
@@ -93,6 +98,6 @@ def lemma_sql(word: str) -> str:
     parts = [f"WHEN regexp_matches({w}, '[''-]') THEN {w}", f"WHEN {table} IS NOT NULL THEN {table}", f"WHEN {w} IN ({quoted(KEEP)}) OR length({w}) < 4 THEN {w}"]
     for pattern, least, cut, add, repair in RULES:
         s = stem(w, cut)
-        fixed = f"CASE WHEN regexp_matches({s}, '{_DOUBLED}') THEN {stem(s, 1)} WHEN regexp_matches({s}, '{_MUTE_E}') OR (regexp_matches({s}, '{_SHORT}') AND length({s}) >= 3) THEN {s} || 'e' ELSE {s} END"
+        fixed = f"CASE WHEN {s} IN ({quoted(DOUBLE)}) THEN {s} WHEN regexp_matches({s}, '{_DOUBLED}') THEN {stem(s, 1)} WHEN regexp_matches({s}, '{_MUTE_E}') OR (regexp_matches({s}, '{_SHORT}') AND length({s}) >= 3) THEN {s} || 'e' ELSE {s} END"
         parts.append(f"WHEN regexp_matches({w}, '{pattern}') AND length({w}) >= {least} THEN {fixed if repair else f"{s} || '{add}'"}")
     return f"CASE {' '.join(parts)} ELSE {w} END"

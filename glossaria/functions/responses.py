@@ -24,6 +24,12 @@ def classify_response(status: Column, body: Column) -> Column:
     )
 
 
+def login_state(status: Column, body: Column) -> Column:
+    """Of a login check: ok, auth (401, 403 or any code but 200), http or malformed."""
+    kind = classify_response(status, body)
+    return F.when(kind == "api", "auth").otherwise(kind)
+
+
 def retriable(status: Column, body: Column) -> Column:
     """Whether another attempt may help: neither refused nor a client's fault by status or code."""
     kind, code = classify_response(status, body), result_code(body)
@@ -36,6 +42,13 @@ def exists_in_book(body: Column) -> Column:
     return F.coalesce(F.json_array_length(F.get_json_object(body, "$.data_body.list")) > 0, F.lit(False))
 
 
+def listed_words(body: Column) -> Column:
+    """The words of one page of the book's list, given as strings or as objects with a word; an empty array if there is no list."""
+    listed = F.from_json(body, "struct<data_body:struct<list:array<variant>>>")["data_body"]["list"]
+    words = F.transform(listed, lambda v: F.when(_text(v), F.try_variant_get(v, "$", "string")).otherwise(F.try_variant_get(v, "$.word", "string")))
+    return F.coalesce(F.filter(words, lambda w: w.isNotNull()), F.array().cast("array<string>"))
+
+
 def definition(body: Column) -> Column:
     return F.get_json_object(body, "$.wordlist[0].interpret")
 
@@ -59,7 +72,8 @@ MESSAGES = {
     "RETRY_PUSH": "", "GET_PUSH_STATUS": "", "EXPORT_CSV": "", "IMPORT_CSV": "file",
 }
 _MESSAGE = "struct<type:string,entries:array<struct<lemma:variant,flags:variant>>,csvText:variant,fileName:variant,lemmas:array<variant>>"
-_REPLY = "struct<ok:boolean,csv:variant,error:variant,count:variant,loggedIn:boolean,total:variant,pending:variant>"
+_TALLIES = ("total", "processed", "succeeded", "existing", "failed", "pending")
+_REPLY = "struct<ok:variant,csv:variant,error:variant,count:variant,loggedIn:variant,phase:variant," + ",".join(f"{t}:variant" for t in _TALLIES) + ">"
 
 
 def _is(value: Column, pattern: str) -> Column:
@@ -89,19 +103,59 @@ def valid_message(body: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _bool(value: Column, is_: bool) -> Column:
+    return F.coalesce(F.try_variant_get(value, "$", "boolean") == F.lit(is_), F.lit(False)) & _is(value, "^BOOLEAN$")
+
+
+def _failed(r: Column) -> Column:
+    return _bool(r["ok"], False) & _text(r["error"])
+
+
 def valid_reply(kind: str, body: Column) -> Column:
     """Whether a JSON reply is well formed; kind is export, login or collect."""
     r = F.from_json(body, _REPLY)
-    failed = (r["ok"] == F.lit(False)) & _text(r["error"])
-    good = {"export": (r["ok"] == F.lit(True)) & _text(r["csv"]), "login": r["loggedIn"].isNotNull(), "collect": (r["ok"] == F.lit(True)) & _number(r["count"])}[kind]
-    return F.coalesce(good, F.lit(False)) | F.coalesce(failed, F.lit(False))
+    good = {"export": _bool(r["ok"], True) & _text(r["csv"]), "login": _is(r["loggedIn"], "^BOOLEAN$"), "collect": _bool(r["ok"], True) & _number(r["count"])}[kind]
+    return F.coalesce(good | _failed(r), F.lit(False))
+
+
+def _int(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "bigint")
 
 
 def narrowed_counts(body: Column) -> Column:
     """struct(total, pending) of a reply, or null if malformed."""
     r = F.from_json(body, _REPLY)
-    number = lambda v: F.try_variant_get(v, "$", "bigint")
-    return F.when(_number(r["total"]) & _number(r["pending"]), F.struct(number(r["total"]).alias("total"), number(r["pending"]).alias("pending")))
+    return F.when(_number(r["total"]) & _number(r["pending"]), F.struct(_int(r["total"]).alias("total"), _int(r["pending"]).alias("pending")))
+
+
+def narrowed_login(body: Column) -> Column:
+    """Whether a reply says logged in; anything malformed says no."""
+    return F.coalesce(_bool(F.from_json(body, _REPLY)["loggedIn"], True), F.lit(False))
+
+
+def narrowed_export(body: Column) -> Column:
+    """struct(ok, csv, error) of a reply; a malformed one has the error export-unavailable."""
+    r = F.from_json(body, _REPLY)
+    good = F.coalesce(_bool(r["ok"], True) & _text(r["csv"]), F.lit(False))
+    error = F.when(_failed(r), F.try_variant_get(r["error"], "$", "string")).otherwise("export-unavailable")
+    return F.struct(good.alias("ok"), F.when(good, F.try_variant_get(r["csv"], "$", "string")).alias("csv"), F.when(~good, error).alias("error"))
+
+
+def narrowed_import(body: Column) -> Column:
+    """struct(ok, total, pending, error) of a reply; a malformed one has the error import-unavailable."""
+    r, counts = F.from_json(body, _REPLY), narrowed_counts(body)
+    error = F.when(_failed(r), F.try_variant_get(r["error"], "$", "string")).otherwise("import-unavailable")
+    return F.struct(counts.isNotNull().alias("ok"), counts["total"].alias("total"), counts["pending"].alias("pending"), F.when(counts.isNull(), error).alias("error"))
+
+
+def narrowed_status(body: Column) -> Column:
+    """The phase of a status reply, or null if the phase is unknown or a tally is missing."""
+    r = F.from_json(body, _REPLY)
+    phase = F.try_variant_get(r["phase"], "$", "string")
+    good = _text(r["phase"]) & phase.isin("idle", "running", "paused", "completed")
+    for t in _TALLIES:
+        good &= _number(r[t])
+    return F.when(good, phase)
 
 
 def auto_push(setting: Column) -> Column:

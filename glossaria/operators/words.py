@@ -77,6 +77,11 @@ def pending(entries: DataFrame) -> DataFrame:
     return entries.where("flags = 0")
 
 
+def pushed(entries: DataFrame, flag: int = PUSHED_FLAG) -> DataFrame:
+    """Entries that were delivered; others than pending ones may be, too."""
+    return entries.where(F.col("flags").bitwiseAND(F.lit(flag)) != 0)
+
+
 def mark_pushed(entries: DataFrame, lemmas: DataFrame, flag: int = PUSHED_FLAG) -> DataFrame:
     """entries with the flag set on those in lemmas(lemma), in any case; unknown lemmas change nothing."""
     hits = lemmas.select(F.lower("lemma").alias("hit")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from glossaria.functions import lemma as lemmas
 from glossaria.functions import responses, text
-from glossaria.operators import delivery, words
+from glossaria.operators import collector, delivery, words
+from glossaria.shared import frozen, new_path
 from glossaria.sources import html, wordlist_csv
 from glossaria.sources.store import VocabularyStore
 from glossaria.streaming import ingest
@@ -125,10 +126,13 @@ def definition_lookup(spark, sf_dir):
 
 
 def _planned(spark, sf_dir) -> DataFrame:
-    entries = _vocabulary(spark, sf_dir).persist()  # four uses
+    entries = frozen(_vocabulary(spark, sf_dir), "planned")  # four uses
+    return delivery.plan(words.pending(entries), _remote(spark, sf_dir), _script(entries))
+
+
+def _script(entries: DataFrame) -> DataFrame:
     n = F.length("lemma")
-    script = entries.select("lemma", F.when(n == 19, "auth").when(n % 7 == 0, "client").otherwise("server").alias("kind"), (n % 5).cast("int").alias("failures"))
-    return delivery.plan(words.pending(entries), _remote(spark, sf_dir), script)
+    return entries.select("lemma", F.when(n == 19, "auth").when(n % 7 == 0, "client").otherwise("server").alias("kind"), (n % 5).cast("int").alias("failures"))
 
 
 def push_outcomes(spark, sf_dir):
@@ -139,13 +143,119 @@ def push_summary(spark, sf_dir):
     return delivery.summary(_planned(spark, sf_dir))
 
 
-def classify_responses(spark, sf_dir):
-    """Replies made from events: status and body follow the event's number."""
+def push_paused(spark, sf_dir):
+    """A run whose login check fails."""
+    return delivery.summary(_planned(spark, sf_dir), "auth")
+
+
+def push_progress(spark, sf_dir):
+    return delivery.progress(frozen(_planned(spark, sf_dir), "progress"))
+
+
+def delivery_run(spark, sf_dir):
+    """A store after two calls to deliver it, which share one run."""
+    store = VocabularyStore(spark, new_path(spark, "store"))
+    store.merge_collected(_vocabulary(spark, sf_dir))
+    run = delivery.Delivery(store, lambda: _remote(spark, sf_dir), _script)
+    first = run.start()
+    if run.start() is not first and not first.done():
+        raise RuntimeError("two runs at a time")
+    first.result()
+    return store.get_all()
+
+
+def collect_messages(spark, sf_dir):
+    """The conversations' roles, sent as messages with one that is malformed, then a list to import and one to mark."""
+    store = VocabularyStore(spark, new_path(spark, "store"))
+    found = collector.Collector(store)
+    roles = sorted(r[0] for r in _read(spark, sf_dir, "conversations").select("role").distinct().collect())  # a handful
+    send = lambda kind, **more: found.handle(json.dumps({"type": kind, **more}))
+    send("WORDS_COLLECTED", entries=[{"lemma": r, "flags": 2} for r in roles])
+    send("WORDS_COLLECTED", entries=[{"lemma": "bad", "flags": "2"}])
+    send("IMPORT_CSV", csvText="lemma,flags\nBad\n", fileName="bad.csv")
+    send("IMPORT_CSV", csvText="lemma,flags\nImported,4\n", fileName="good.csv")
+    send("MARK_PUSHED", lemmas=["IMPORTED"])
+    return store.get_all()
+
+
+def page_collection(spark, sf_dir):
+    """A store after the pages were collected into it."""
+    store = VocabularyStore(spark, new_path(spark, "store"))
+    collector.run_collection(_read(spark, sf_dir, "pages"), store)
+    return store.get_all()
+
+
+def create_entries(spark, sf_dir):
+    """Words with blanks around them; those of system turns are nothing but blanks."""
+    c = _read(spark, sf_dir, "conversations")
+    word = F.when(F.col("turn") % 5 == 0, F.lit(" \u00a0\t")).otherwise(F.concat(F.lit("\u00a0 "), F.upper("role"), F.col("turn").cast("string"), F.lit("\ufeff\n")))
+    return words.create_entries(c.select(word.alias("word"))).groupBy("lemma", "flags", "error").agg(F.count("*").alias("n"))
+
+
+def pushed_entries(spark, sf_dir):
+    return words.pushed(_marked(spark, sf_dir))
+
+
+def word_requests(spark, sf_dir):
+    """What is sent to add and to remove each word of the benchmark's items, its definition read from a stored reply."""
+    b = words.extract_entries(_read(spark, sf_dir, "benchmark"), "item_id")
+    reply = F.when(F.col("item_id") % 3 == 0, '{"wordlist":[]}').otherwise(F.concat(F.lit('{"wordlist":[{"interpret":"item '), F.col("item_id").cast("string"), F.lit('"},{"interpret":"no"}]}')))
+    rows = b.select("item_id", responses.add_word_payload(F.col("lemma"), responses.definition(reply)).alias("added"), "lemma")
+    return rows.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("added")), "").alias("added"), responses.remove_words_payload(F.array_sort(F.collect_list("lemma"))).alias("removed"))
+
+
+def listed_words(spark, sf_dir):
+    """The book's list in pages, one for each benchmark item, every third of them an error."""
+    b = _read(spark, sf_dir, "benchmark")
+    k = F.col("item_id").cast("string")
+    body = F.when(F.col("item_id") % 3 == 0, '{"result_code":200,"data_body":{}}').otherwise(F.concat(F.lit('{"result_code":200,"data_body":{"list":[{"word":"w'), k, F.lit('"},"v'), k, F.lit('",{"x":1},7]}}')))
+    return delivery.listed(b.select(F.when(F.col("item_id") % 5 == 0, 500).otherwise(200).alias("status"), body.alias("body")))
+
+
+def reply_narrowing(spark, sf_dir):
+    """Replies made from conversations, some malformed, as the reader of each kind takes them."""
+    c, k = _read(spark, sf_dir, "conversations"), F.col("turn") % 6
+    number = F.col("turn").cast("string")
+    body = (
+        F.when(k == 0, F.concat(F.lit('{"total":'), number, F.lit(',"pending":1}')))
+        .when(k == 1, F.concat(F.lit('{"ok":true,"csv":"'), F.col("role"), F.lit('"}')))
+        .when(k == 2, F.concat(F.lit('{"ok":false,"error":"'), F.col("role"), F.lit('"}')))
+        .when(k == 3, '{"loggedIn":true,"ok":"true","csv":1}')
+        .when(k == 4, F.concat(F.lit('{"phase":"running","total":3,"processed":1,"succeeded":1,"existing":0,"failed":0,"pending":'), number, F.lit("}")))
+        .otherwise('{"loggedIn":"true","phase":"running","total":"3"')
+    )
+    b = F.col("body")
+    out, in_ = responses.narrowed_export(b), responses.narrowed_import(b)
+    read = c.select("conv_id", "turn", body.alias("body")).select("conv_id", "turn", responses.narrowed_login(b).alias("logged_in"), out.alias("o"), in_.alias("i"), responses.narrowed_status(b).alias("phase"))
+    return read.select("conv_id", "turn", "logged_in", F.col("o.csv").alias("csv"), F.col("o.error").alias("export_error"), F.coalesce("i.total", F.lit(-1)).alias("total"), F.col("i.error").alias("import_error"), "phase")
+
+
+def login_states(spark, sf_dir):
+    """What the replies of classify_responses would say to a login check."""
+    return _replies(spark, sf_dir).groupBy("status", responses.login_state(F.col("status"), F.col("body")).alias("state")).agg(F.count("*").alias("n"))
+
+
+def list_import(spark, sf_dir):
+    """The benchmark's words exported as a file and imported into another store twice."""
+    first, second = (VocabularyStore(spark, new_path(spark, "store")) for _ in range(2))
+    first.merge_collected(_vocabulary(spark, sf_dir, "benchmark").withColumn("flags", F.length("lemma").bitwiseAND(F.lit(3))))
+    files = spark.createDataFrame([("a.csv", first.export_csv())], "file string, content string")
+    for _ in range(2):
+        second.import_csv(files)
+    return second.get_all()
+
+
+def _replies(spark, sf_dir) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     k = F.col("event_id") % 9
     status = F.when(k == 0, 401).when(k == 1, 500).when(k == 2, 404).otherwise(200)
     body = F.when(k == 3, "oops").when(k == 4, '{"result_code":500}').when(k == 5, '{"resultCode":200,"data_body":{"list":[{"w":1}]}}').when(k == 6, '{"x":1}').when(k == 7, '{"result_code":404}').otherwise('{"result_code":200,"data_body":{"list":[]}}')
-    r = e.select(status.alias("status"), body.alias("body"))
+    return e.select(status.alias("status"), body.alias("body"))
+
+
+def classify_responses(spark, sf_dir):
+    """Replies made from events: status and body follow the event's number."""
+    r = _replies(spark, sf_dir)
     kind = responses.classify_response(F.col("status"), F.col("body"))
     return r.groupBy("status", kind.alias("kind"), responses.retriable(F.col("status"), F.col("body")).alias("again"), responses.exists_in_book(F.col("body")).alias("found")).agg(F.count("*").alias("n"))
 
@@ -159,11 +269,12 @@ def message_guards(spark, sf_dir):
 
 
 def csv_roundtrip(spark, sf_dir):
-    """The vocabulary of each source written as a file's text and read again."""
+    """The vocabulary of each source written as the texts of files, one for each beginning of its words, and read again."""
     d = words.extract_entries(_read(spark, sf_dir, "documents"), "source")
-    lines = d.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(wordlist_csv.csv_row(F.col("lemma"), F.col("flags")))), "\n").alias("body"))
-    files = lines.select(F.col("source").alias("file"), F.concat(F.lit(wordlist_csv.HEADER + "\n"), F.col("body"), F.lit("\n")).alias("content"))
-    return wordlist_csv.read_lists(files).where("error IS NULL").select("file", "lemma", "flags")
+    rows = d.select("source", F.substring("lemma", 1, 2).alias("begins"), wordlist_csv.csv_row(F.col("lemma"), F.col("flags")).alias("row"))
+    lines = rows.groupBy("source", "begins").agg(F.array_join(F.array_sort(F.collect_list("row")), "\n").alias("body"))
+    files = lines.select(F.to_json(F.struct("source", "begins"), {"ignoreNullFields": "false"}).alias("file"), F.concat(F.lit(wordlist_csv.HEADER + "\n"), F.col("body"), F.lit("\n")).alias("content"))
+    return wordlist_csv.read_lists(files).where("error IS NULL").select(F.get_json_object("file", "$.source").alias("file"), "lemma", "flags")
 
 
 def csv_errors(spark, sf_dir):
@@ -184,11 +295,10 @@ def page_vocabulary(spark, sf_dir):
 
 def stream_ingest(spark, sf_dir):
     """The documents as a stream into a store; the store then equals the batch vocabulary."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="glossaria-")
-    top = f"{shared.rstrip('/')}/ingest-{spark.range(1).select(F.uuid()).first()[0]}"
+    top = new_path(spark, "ingest")
     schema = _read(spark, sf_dir, "documents").schema
     store = VocabularyStore(spark, f"{top}/store")
-    docs = ingest.document_stream(spark, f"{sf_dir}/documents*.parquet", schema)
+    docs = ingest.document_stream(spark, f"{sf_dir}/document[s].parquet", schema)
     ingest.ingest(docs, store, f"{top}/progress").awaitTermination()
     return store.get_all()
 
@@ -198,7 +308,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         tokenize, token_reason, english_words, normalize_roundtrip, lemma_pairs, extract_entries, corpus_vocabulary, proper_noun_excluded, proper_noun_kept,
         conversation_vocabulary, merge_flags, merge_three_lists, counts, pending, mark_pushed, already_known, new_words, definition_lookup, push_outcomes,
-        push_summary, classify_responses, message_guards, csv_roundtrip, csv_errors, collect_pages, page_vocabulary, stream_ingest,
+        push_summary, push_paused, push_progress, delivery_run, collect_messages, page_collection, create_entries, pushed_entries, word_requests, listed_words, reply_narrowing, login_states, list_import,
+        classify_responses, message_guards, csv_roundtrip, csv_errors, collect_pages, page_vocabulary, stream_ingest,
     )
 }
 
@@ -238,6 +349,16 @@ _PLANNED = f"""(WITH s AS (SELECT v.lemma, b.lemma IS NOT NULL AS known, CASE WH
      a AS (SELECT *, CASE WHEN outcome IN ('pending', 'existing') THEN 0 WHEN kind = 'client' THEN 1 ELSE least(3, failures + 1) END AS attempts FROM o)
 SELECT lemma, outcome, CAST(attempts AS INTEGER) AS attempts, CAST(CASE attempts WHEN 2 THEN 800 WHEN 3 THEN 2800 ELSE 0 END AS INTEGER) AS waited_ms FROM a)"""
 
+# Every page has one article of h1, p, b and br, whose b are never closed: a text before the first b ends a line, later ones don't.
+_PAGES = f"""(SELECT page_id, 'article' AS source, {"replace(" * 5}x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&') AS text FROM
+(SELECT page_id, array_to_string(list_transform(l, lambda c, i: CASE WHEN c = '<br>' THEN chr(10) WHEN c[1] = '<' THEN '' WHEN b = 0 OR i < b THEN c || chr(10) ELSE c END), '') AS x FROM
+(SELECT page_id, l, coalesce(list_position(l, '<b>'), 0) AS b FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>|[^<]+') AS l FROM pages))))"""
+_SUMMARY = """SELECT CASE WHEN count(*) FILTER (outcome = 'pending') > 0 THEN 'paused' ELSE 'completed' END AS phase, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (outcome <> 'pending') AS BIGINT) AS processed,
+CAST(count(*) FILTER (outcome = 'succeeded') AS BIGINT) AS succeeded, CAST(count(*) FILTER (outcome = 'existing') AS BIGINT) AS existing, CAST(count(*) FILTER (outcome = 'failed') AS BIGINT) AS failed, CAST(count(*) FILTER (outcome = 'pending') AS BIGINT) AS pending,
+CAST(greatest(0, count(*) FILTER (outcome <> 'pending') - 1) * 400 AS BIGINT) AS gap_ms,
+CASE WHEN count(*) FILTER (outcome = 'pending') > 0 THEN 'auth' ELSE max_by(CASE attempts WHEN 1 THEN 'client' ELSE 'server' END, lemma) FILTER (outcome = 'failed') END AS error"""
+_REPLY = {0: ("401", "auth"), 1: ("500", "http"), 2: ("404", "http"), 3: ("200", "malformed"), 4: ("200", "auth"), 5: ("200", "ok"), 6: ("200", "auth"), 7: ("200", "auth"), 8: ("200", "ok")}
+
 ORACLE_SQL: dict[str, str] = {
     "tokenize": f"SELECT doc_id, pos, token FROM {_tokens('documents', 'doc_id')}",
     "token_reason": f"SELECT lang, CASE {' '.join(f"WHEN regexp_matches(token, '{_q(p)}') THEN '{n}'" for n, p in text.REFUSALS)} WHEN NOT regexp_matches(token, '{_q(text.WORD)}') THEN 'shape' ELSE 'accept' END AS reason, CAST(count(*) AS BIGINT) AS n FROM {_tokens('documents', 'lang')} GROUP BY ALL",
@@ -258,9 +379,24 @@ ORACLE_SQL: dict[str, str] = {
     "new_words": f"SELECT lemma FROM {_VOCABULARY} ANTI JOIN (SELECT lemma FROM {_BOOK}) b USING (lemma)",
     "definition_lookup": f"SELECT v.lemma, coalesce('item ' || first, '') AS interpret FROM {_VOCABULARY} v LEFT JOIN (SELECT lemma, min(item_id) AS first FROM {_lemmas('benchmark', 'item_id')} GROUP BY lemma) b USING (lemma)",
     "push_outcomes": f"SELECT * FROM {_PLANNED}",
-    "push_summary": f"""SELECT CASE WHEN count(*) FILTER (outcome = 'pending') > 0 THEN 'paused' ELSE 'completed' END AS phase, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (outcome <> 'pending') AS BIGINT) AS processed,
-CAST(count(*) FILTER (outcome = 'succeeded') AS BIGINT) AS succeeded, CAST(count(*) FILTER (outcome = 'existing') AS BIGINT) AS existing, CAST(count(*) FILTER (outcome = 'failed') AS BIGINT) AS failed, CAST(count(*) FILTER (outcome = 'pending') AS BIGINT) AS pending,
-CAST(greatest(0, count(*) FILTER (outcome <> 'pending') - 1) * 400 AS BIGINT) AS gap_ms FROM {_PLANNED}""",
+    "push_summary": f"{_SUMMARY} FROM {_PLANNED}",
+    "push_paused": "SELECT 'paused' AS phase, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS processed, CAST(0 AS BIGINT) AS succeeded, CAST(0 AS BIGINT) AS existing, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS pending, CAST(0 AS BIGINT) AS gap_ms, 'auth' AS error",
+    "push_progress": f"""SELECT lemma, {', '.join(f"CAST(count(*) FILTER (outcome {c}) OVER (ORDER BY lemma ROWS UNBOUNDED PRECEDING) AS BIGINT) AS {n}" for n, c in (('processed', "<> 'pending'"), ('succeeded', "= 'succeeded'"), ('existing', "= 'existing'"), ('failed', "= 'failed'")))},
+CAST(count(*) OVER () - count(*) OVER (ORDER BY lemma ROWS UNBOUNDED PRECEDING) AS BIGINT) AS pending FROM {_PLANNED} QUALIFY outcome <> 'pending'""",
+    "delivery_run": f"SELECT lemma, CAST(outcome IN ('existing', 'succeeded') AS INTEGER) AS flags FROM {_PLANNED}",
+    "collect_messages": "SELECT DISTINCT role AS lemma, CAST(2 AS INTEGER) AS flags FROM conversations UNION ALL SELECT 'imported', CAST(5 AS INTEGER)",
+    "page_collection": f"SELECT lemma, flags FROM {_lemmas(_PAGES)}",
+    "create_entries": "SELECT CASE WHEN turn % 5 = 0 THEN '' ELSE lower(role) || turn END AS lemma, CAST(0 AS INTEGER) AS flags, CASE WHEN turn % 5 = 0 THEN 'lemma must not be empty' END AS error, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY ALL",
+    "pushed_entries": f"SELECT * FROM {_MARKED} WHERE flags & 1 <> 0",
+    "word_requests": f"""SELECT item_id, array_to_string(list_sort(list('{{"word":"' || lemma || '","info":"' || CASE WHEN item_id % 3 = 0 THEN '' ELSE 'item ' || item_id END || '"{''.join(f',"{k}":"{v}"' for k, v in responses.ADD_WORD_FIELDS)}}}')), '') AS added, array_to_string(list_sort(list(lemma)), ',') AS removed
+FROM {_lemmas('benchmark', 'item_id')} GROUP BY item_id""",
+    "listed_words": "SELECT c || item_id AS word FROM benchmark, (VALUES ('w'), ('v')) t(c) WHERE item_id % 3 <> 0 AND item_id % 5 <> 0",
+    "reply_narrowing": """SELECT conv_id, turn, turn % 6 = 3 AS logged_in, CASE WHEN turn % 6 = 1 THEN role END AS csv, CASE turn % 6 WHEN 1 THEN NULL WHEN 2 THEN role ELSE 'export-unavailable' END AS export_error,
+CAST(CASE turn % 6 WHEN 0 THEN turn WHEN 4 THEN 3 ELSE -1 END AS BIGINT) AS total, CASE turn % 6 WHEN 0 THEN NULL WHEN 4 THEN NULL WHEN 2 THEN role ELSE 'import-unavailable' END AS import_error, CASE WHEN turn % 6 = 4 THEN 'running' END AS phase FROM conversations""",
+    "login_states": f"SELECT status, state, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(CASE event_id % 9 {' '.join(f'WHEN {k} THEN {v[0]}' for k, v in _REPLY.items())} END AS INTEGER) AS status, CASE event_id % 9 {' '.join(f"WHEN {k} THEN '{v[1]}'" for k, v in _REPLY.items())} END AS state FROM events) GROUP BY ALL",
+    "list_import": f"SELECT lemma, CAST(length(lemma) & 3 AS INTEGER) AS flags FROM {_BOOK}",
+    "collect_pages": f"SELECT page_id, source, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM {_PAGES}",
+    "page_vocabulary": f"SELECT page_id, lemma, flags FROM {_lemmas(_PAGES, 'page_id')}",
     "classify_responses": """SELECT status, kind, again, found, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(CASE event_id % 9 WHEN 0 THEN 401 WHEN 1 THEN 500 WHEN 2 THEN 404 ELSE 200 END AS INTEGER) AS status,
 CASE event_id % 9 WHEN 0 THEN 'auth' WHEN 1 THEN 'http' WHEN 2 THEN 'http' WHEN 3 THEN 'malformed' WHEN 4 THEN 'api' WHEN 6 THEN 'api' WHEN 7 THEN 'api' ELSE 'ok' END AS kind, event_id % 9 IN (1, 3, 4, 6) AS again, event_id % 9 = 5 AS found FROM events) GROUP BY ALL""",
     "message_guards": "SELECT conv_id, CAST(count(*) FILTER (turn % 4 IN (0, 3)) AS BIGINT) AS n_valid, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id",

@@ -198,7 +198,7 @@ def page_text(html: str | None, selection: str | None = None, excluded: frozense
 def collect_pages(pages: DataFrame, *ids: str, excluded: frozenset = EXCLUDED, hidden: Callable[[str, dict], bool] = is_hidden) -> DataFrame:
     """(*ids, source, text) from pages(*ids, html[, selection]); see page_text."""
     chosen = pages.select(*ids, "html", *(["selection"] if "selection" in pages.columns else []))
-    schema = ", ".join(f"{c} {chosen.schema[c].dataType.simpleString()}" for c in ids) + ", source string, text string"
+    schema = ", ".join([f"{c} {chosen.schema[c].dataType.simpleString()}" for c in ids] + ["source string", "text string"])
 
     def run(batches):
         for b in batches:
