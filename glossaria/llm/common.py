@@ -2,87 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossaria.shared import bucketed, file_system, frozen, n_buckets, new_path, removed, shared_dir  # noqa: F401  used beside these
+
 #: The white space that separates words, as a character class and as the bytes to strip.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in the one that the driver and all executors share, from spark.checkpoint.dir; it goes when the driver ends.
-
-    If that is unset a local master gets a temporary folder; on a cluster each executor would write to its own disk, so that is an error.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="glossaria-"))
-        found = sc.getCheckpointDir()
-    top = f"{found.rstrip('/')}/glossaria-{sc.applicationId}"
-    if top not in _MARKED:
-        fs, path = file_system(spark, top)
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-        _MARKED.add(top)
-    return top
-
-
-_MARKED: set[str] = set()
-
-
-def file_system(spark: SparkSession, at: str):
-    """Hadoop's file system of a path, and the path."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def frozen(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df as a table written to the shared folder: computed once, the lineage cut, safe when executors are lost."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(by) if by else out).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.frozen_at = path
-    return out
-
-
-def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """Like frozen, dealt into n buckets by key, so that cogroups and joins by it needn't move it again."""
-    spark, path, table = df.sparkSession, new_path(df.sparkSession, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(table)
-    out = spark.table(table)
-    out.frozen_at = path
-    spark.sql(f"DROP TABLE {table}")  # the files stay
-    return out
-
-
-def removed(*tables: DataFrame) -> None:
-    """Deletes the files of frozen tables that nothing reads any more."""
-    for t in tables:
-        fs, path = file_system(t.sparkSession, t.frozen_at)
-        fs.delete(path, True)
-
-
-def n_buckets(spark: SparkSession, n_bytes: int, bucket_bytes: int = 64 << 20) -> int:
-    """Buckets for so many bytes: as many as a shuffle would have partitions, more if they got large."""
-    return min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // bucket_bytes))
-
-
 def id_and_text(docs: DataFrame, *carry: str) -> DataFrame:
     """(doc_id, text): text as UTF-8 bytes.  Other columns are left behind, so their names never clash; those to carry along are in one more, `carried`."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
