@@ -1,7 +1,8 @@
 """A corpus for training: five stages over the documents, each an operator of glossaria.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as
-Parquet and read again as the next stage's docs.  All but the last keep the columns of documents.
+Parquet and read again as the next stage's docs.  All but the last keep the columns of documents, and
+any others of whatever name.  Each gives an empty table for one.
 """
 
 from __future__ import annotations
@@ -9,23 +10,29 @@ from __future__ import annotations
 import hashlib
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria.llm import bpe, langid, linededup, mixing, neardup
-from glossaria.llm.common import WORD_PATTERN, frozen
+from glossaria.llm.common import frozen
 
 ORACLE_SQL = None
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with text in a known language; those without a letter go."""
+    """Documents with a letter, in which a language can be told; a null lang becomes the predicted one.
+
+    Null and empty texts go.  If no row has a language and an id, nothing can be learned and all rows go.
+    """
     return langid.recognized(docs, langid.train(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that five of them or more hold, but for the last; n_chars is counted anew."""
+    """Documents without the lines that five of them or more hold, but for the last; n_chars is counted anew.
+
+    A document that loses all its lines stays, with an empty text.  Rows that share the largest id all keep the line.
+    """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = linededup.drop_repeated(docs, carry=others)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
@@ -35,44 +42,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, the one with the smallest id; shingles of five words, similarity 0.8.
 
-    Rows are told apart by a number of their own, so those with null or repeated ids go like any others; a null id is larger than all.
+    A null id is larger than all, and of rows with one id the first stays.  Rows without words all stay.
     """
-    docs_numbered = frozen(docs.withColumn("its_row", F.monotonically_increasing_id()), "numbered")
-    ids = docs_numbered.select(F.col("its_row").alias("row"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
-    found = neardup.near_duplicates(docs_numbered.select(F.col("its_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("found_row"), "component_id")
-    first = found.join(ids, F.col("found_row") == F.col("row")).groupBy("component_id").agg(F.min(F.struct("no_id", "id", "row")).alias("first"))
-    return docs_numbered.join(first.select(F.col("first.row").alias("stays")), F.col("its_row") == F.col("stays"), "left_semi").select(*docs.columns)
+    return neardup.first_of_each(docs, size=5, threshold=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded along the source's running sum of rates.
+    """Each row as often as the mix of sources takes its words: not at all, once, or up to four times.
 
-    Documents run from short to long, so a source's words miss what the mix takes of it by its longest document at most.
+    A source's words come within its longest document of what the mix takes.  Null sources are a source
+    of their own; rows without words go; rows that repeat are drawn each by itself.
     """
-    pieces = mixing.mixed_pieces(docs).where("size > 0")
-    rates = pieces.groupBy("doc_id", "size", "source_no", "offset").agg(F.floor(F.sum("words") * F.lit(1 << 30) / F.col("size")).alias("rate"))
-    rates = rates.withColumn("tie", F.xxhash64("doc_id", "offset")).repartitionByRange("source_no", "size", "tie").withColumn("part", F.spark_partition_id())
-    rates = frozen(rates, "rates")
-    before = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rates.groupBy("source_no", "part").agg(F.sum("rate").alias("all"))
-    bases = bases.select("source_no", "part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source_no", "part").orderBy("size", "tie", "offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    through = rates.withColumn("through", F.sum("rate").over(within)).join(bases, ["source_no", "part"])
-    half = F.col("base") + F.col("through") + F.lit(1 << 29)
-    times = through.withColumn("times", (F.shiftright(half, 30) - F.shiftright(half - F.col("rate"), 30)).cast("int"))
-    # rows that share id, source and size are as good as one another: each takes one of their places
-    times = times.withColumn("its_n", F.row_number().over(Window.partitionBy("doc_id", "source_no", "size").orderBy("offset"))).where("times > 0")
-    times = times.select(F.col("doc_id").alias("its_id"), F.col("source_no").alias("its_no"), F.col("size").alias("its_size"), "its_n", "times")
-    by_name = Window.orderBy(F.col("its_source").isNull(), "its_source")
-    sources = docs.select(F.col("source").alias("its_source")).distinct().withColumn("no", F.row_number().over(by_name))
-    rows = docs.join(sources, F.col("source").eqNullSafe(F.col("its_source"))).withColumn("words", F.regexp_count("text", F.lit(WORD_PATTERN)).cast("long"))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "no", "words").orderBy(F.xxhash64("text"))))
-    on = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("no") == F.col("its_no")) & (F.col("words") == F.col("its_size")) & (F.col("n") == F.col("its_n"))
-    return rows.join(times, on).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    return mixing.resampled(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each document of the mix."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each row of the mix; a null id stays null."""
 
     def row(v, i, ids):
         return i, len(ids), ids.astype("<i4"), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.joined_pieces(v, ids.tolist())).hexdigest()

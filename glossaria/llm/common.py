@@ -19,7 +19,18 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 def id_and_text(docs: DataFrame, *carry: str) -> DataFrame:
     """(doc_id, text): text as UTF-8 bytes.  Other columns are left behind, so their names never clash; those to carry along are in one more, `carried`."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *([F.struct(*(F.col(f"`{c.replace("`", "``")}`") for c in carry)).alias("carried")] if carry else []))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+
+
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """(its_row, doc): the rows of docs(text, ...) as structs with numbers of their own, written in buckets by number, so that what is found out of them can come back without moving them."""
+    columns = F.struct(*(F.col(f"`{c.replace("`", "``")}`") for c in docs.columns)).alias("doc")
+    return bucketed(docs.select(F.monotonically_increasing_id().alias("its_row"), columns), "numbered", "its_row", n_buckets(docs.sparkSession, text_bytes(docs)))
 
 
 def rows_of(batch: pa.RecordBatch) -> tuple[list, list]:

@@ -8,9 +8,10 @@ context -log2(d / (n + d)), n being the context's count and d its number of dist
 whole numbers of 1/4096 bit, so sums don't depend on how texts are cut into batches.  The language
 with the shortest code for the whole text wins, ties going to the smaller name.
 
-Training takes documents with a language, of at most `max_bytes` bytes, at a rate by which each
-language gives about `per_lang` documents (chosen by a hash of doc_id, so reruns agree); the sample
-on the driver is thus bounded by per_lang * max_bytes a language.  Prediction reads every whole text.
+Training takes up to `per_lang` documents of each language by the order of a hash of id and text, so
+reruns agree, those of at most `max_bytes` bytes first and longer ones where these are too few, as long
+as those before hold less than per_lang * max_bytes bytes.  The sample on the driver is bounded by that
+and one more document a language; equal rows count once.  Prediction reads every whole text.
 
 Null texts and texts without a letter are `und` with score 0, and so is everything if there is
 nothing to learn from.  Rows that repeat are predicted alike; rows with a null doc_id are predicted
@@ -22,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.llm.common import starts_of
@@ -117,18 +118,18 @@ class Model:
 
 def train(docs: DataFrame, per_lang: int = 250, max_bytes: int = 20_000, order: int = 3, held_out=None) -> Model | None:
     """A model of the documents that aren't held out; None if there are none."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") > 0))
     known = known.where(~held_out) if held_out is not None else known
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    rate = F.lit(None)
-    for lang, n in sorted(counts.items()):
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(rate)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < rate * (1 << 20)
-    sample = known.where(drawn & (F.octet_length("text").between(1, max_bytes))).select("lang", "doc_id", F.col("text").cast("binary").alias("text"))
+    size = F.octet_length("text").cast("long")
+    places = known.select("lang", (size > max_bytes).alias("long"), F.xxhash64("doc_id", "text", F.lit(17)).alias("place"), size.alias("size"))
+    by_place = Window.partitionBy("lang").orderBy("long", "place")
+    few = places.withColumn("nth", F.row_number().over(by_place)).where(F.col("nth") <= per_lang)  # so many of a language leave a task at most
+    few = few.withColumn("before", F.coalesce(F.sum("size").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < per_lang * max_bytes)
+    chosen = few.select(F.col("lang").alias("its_lang"), F.col("place").alias("its_place")).distinct()
+    rows = known.select("lang", F.xxhash64("doc_id", "text", F.lit(17)).alias("place"), F.col("text").cast("binary").alias("text"))
+    sample = rows.join(chosen, (F.col("lang") == F.col("its_lang")) & (F.col("place") == F.col("its_place"))).select("lang", "place", "text").dropDuplicates(["lang", "place"])
     texts: dict[str, list[bytes]] = {}
-    for r in sorted(sample.toLocalIterator(), key=lambda r: (r[0], r[1], r[2])):
+    for r in sorted(sample.toLocalIterator(), key=lambda r: (r[0], r[1])):
         texts.setdefault(r[0], []).append(bytes(r[2]))
     return Model(texts, order) if texts else None
 
@@ -164,12 +165,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def recognized(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs, with all columns, whose text isn't `und`."""
+    """The rows of docs, with all columns, whose text isn't `und`; a null lang becomes the predicted one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            lang, _ = predicted(shared.value, [(t or "").encode() for t in b["text"].to_pylist()])
+            lang, _ = predicted(shared.value, [(t.as_py() or "").encode() for t in b["text"]])
+            if "lang" in b.schema.names:
+                at = b.schema.get_field_index("lang")
+                filled = pa.array([p if x is None else x for x, p in zip(b["lang"].to_pylist(), lang)], pa.string())
+                b = b.set_column(at, b.schema.field(at), filled)
             yield b.filter(pa.array([x != "und" for x in lang], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

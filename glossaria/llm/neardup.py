@@ -1,27 +1,29 @@
 """Near-duplicate documents by MinHash and an LSH forest.
 
 A document's set is its distinct `shingle`-word shingles, A-Z in lower case.  Equal sets are one node.
-Each node has a MinHash signature; each tree of the forest sorts the nodes by its own part of the
-signature, then by the rest, so a crowded region is told apart at greater depth.  Neighbours in a
-sorted order with a common prefix are candidates if their signatures leave a similarity of the
-threshold possible.  Orders are dealt by range, so no prefix, however common, lands in one task.
+Each node has a MinHash signature, and each order of the forest sorts nodes by its own hashes of it.
+Nodes that share SHARED first hashes of an order are a region, and in a region all are held against
+each other by their signatures.  A region of more than TILE nodes is crowded and goes deeper: its
+nodes are sorted anew by each of twice as many orders, within the region, and so on until regions are
+small or their nodes are connected anyway.  Before that a crowded region is dealt into parts of about
+TILE nodes, each with the region's first node, so that near copies of one text find each other without
+all pairs.  There is no limit on a region, and nothing depends on how rows are partitioned.
 
 Candidates only need to connect what may belong together: within each connected group of
 candidates the full sets decide.  A task has the sets of a group or of a part of a large one, counts
 intersections exactly and links nodes of similarity >= threshold; pairs that are connected already
 needn't be looked at, and no pairs are emitted, only a node and one that speaks for its class.  Of
-large groups the classes meet next, and at last what is outside the largest class meets all.  Connected components of all links are found by alternating large-star and small-star steps.
+large groups the classes meet next, and at last what is outside the largest class meets all.  Connected
+components of all links are found by alternating large-star and small-star steps.
 
 Null texts and texts without words have an empty set and link with nothing.  Texts of fewer words
 than a shingle have their whole sequence as one shingle.  component_id is the smallest doc_id of the
-component; null ids are smallest of all only where there is no other, and rows with equal doc_id are
-kept or dropped together.  The order of the answer doesn't depend on partitions.
-
-Neighbours alone would lose links where others crowd between two nodes, so all nodes with the same
-SHARED first hashes of a tree are held against each other, too, however many they are.  The signature
-makes candidates random but fixed: two nodes just at 0.8 share no such bucket with chance
-(1 - 0.8 ** 3) ** 16, about 0.00001, and their estimate is too low with about 0.000004, whatever lies
-around them.  The time for a bucket grows with the square of its nodes.
+component; a null id counts only where there is no other, and rows with equal doc_id are kept or
+dropped together.
+
+Signatures make candidates random but fixed.  Two nodes just at 0.8 share no region with chance
+(1 - 0.8 ** 3) ** 16, about 0.00001, and their estimate is too low with about 0.000004.  If all their
+regions are crowded, they must share further orders, of 32, within one: two with chance 0.9999999 or more.
 """
 
 from __future__ import annotations
@@ -33,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import WordHashes, bloom_of, frozen, hashes_at_length, id_and_text, joined, mixed, rows_of, runs, starts_of
+from glossaria.llm.common import WordHashes, frozen, hashes_at_length, joined, mixed, numbered_rows, removed, runs, starts_of
 
-TREES, DEPTH, NEIGHBOURS = 16, 4, 4
-SHARED = 3  # so many equal hashes in one tree put two nodes in one bucket, at 0.8 in some tree but with chance 0.00001
-PART, TILE = 2000, 4096
+TREES, DEPTH = 16, 4
+SHARED = 3  # so many equal hashes of one order put two nodes in one region
+TILE = 4096
+PART, PART_SHINGLES = 2000, 4 << 20  # nodes and shingles of a part of a group whose sets meet in one task
 _SLACK = 0.24  # five standard errors of an estimate from TREES * DEPTH hashes at 0.8
 _FACTORS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -67,77 +70,31 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, node, signature) of docs(doc_id, text as bytes); node is null for an empty set."""
+    """(its_row, doc_id, n_shingles, node, signature) of docs(its_row, doc_id, text as bytes); node is null for an empty set."""
 
     def sketch(batches):
         hashes = WordHashes()
         for b in batches:
             if len(hashes) > 500_000:
                 hashes.clear()
-            ids, texts = rows_of(b)
-            sets = [shingles_of(t, size, hashes) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s).astype(">u4").tobytes() if len(s) else None for s in sets], pa.binary())],
-                ["doc_id", "n_shingles", "node", "signature"],
-            )
-
-    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, node binary, signature binary")
+            found = []
+            for t in b["text"]:
+                s = shingles_of(t.as_py() or b"", size, hashes)
+                found.append((len(s), set_id(s), signature(s).astype(">u4").tobytes()) if len(s) else (0, None, None))
+            n, node, sig = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b["its_row"], b["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["its_row", "doc_id", "n_shingles", "node", "signature"])
 
+    return docs.select("its_row", "doc_id", "text").mapInArrow(sketch, "its_row long, doc_id long, n_shingles long, node binary, signature binary")
 
-def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): links that connect all nodes(node, signature) that may be near each other; b is the first of its local group."""
 
-    def planted(batches):
-        for b in batches:
-            node, sig = b["node"].to_pylist(), np.frombuffer(b"".join(b["signature"].to_pylist()), ">u4").reshape(-1, TREES * DEPTH)
-            for t in range(TREES if len(node) else 0):
-                own = sig[:, t * DEPTH : (t + 1) * DEPTH]
-                rest = (np.roll(sig, -t * DEPTH, axis=1)[:, DEPTH:] & 255).astype(np.uint8)
-                key = np.concatenate([np.ascontiguousarray(own).view(np.uint8).reshape(len(node), -1), rest], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(node), pa.int32()), pa.array([k.tobytes() for k in key], pa.binary()), b["node"]], ["tree", "key", "node"])
-
-    def linked(batches):
-        last, last_node = np.empty((0, 1 + 4 * DEPTH + (TREES - 1) * DEPTH), np.uint8), []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = np.frombuffer(b"".join(b["key"].to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            keys = np.concatenate([last, np.column_stack([b["tree"].to_numpy().astype(np.uint8), keys])])
-            node = last_node + b["node"].to_pylist()
-            # the low byte of each of the tree's own hashes, and the rest
-            bytes_ = np.concatenate([keys[:, 4 : 1 + 4 * DEPTH : 4], keys[:, 1 + 4 * DEPTH :]], axis=1)
-            group = list(range(len(node)))
-
-            def top(x):
-                while group[x] != x:
-                    group[x] = x = group[group[x]]
-                return x
-
-            for far in range(1, min(NEIGHBOURS, len(node) - 1) + 1):
-                near = (keys[far:, :5] == keys[:-far, :5]).all(axis=1)  # same tree, same first hash
-                alike = (bytes_[far:] == bytes_[:-far]).mean(axis=1) >= threshold - _SLACK
-                for x in np.flatnonzero(near & alike).tolist():
-                    p, q = top(x), top(x + far)
-                    group[max(p, q)] = min(p, q)
-            pairs = [(node[x], node[r]) for x in range(len(node)) if (r := top(x)) != x]
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
-            last, last_node = keys[-NEIGHBOURS:], node[-NEIGHBOURS:]
-
-    rows = nodes.mapInArrow(planted, "tree int, key binary, node binary")
-    near = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node").mapInArrow(linked, "a binary, b binary")
-    return near.unionByName(within_buckets(nodes, threshold)).distinct()
-
-
-def alike(low: np.ndarray, planes: np.ndarray, side: np.ndarray, across: bool, need: int) -> np.ndarray:
-    """For each row of low bytes of signatures one that speaks for all that at least `need` equal bytes connect; if across, only rows of different sides are compared."""
+def alike(low: np.ndarray, planes: np.ndarray, need: int) -> np.ndarray:
+    """For each row of low bytes of signatures one that speaks for all that at least `need` equal bytes connect."""
     label, most = np.arange(len(low), dtype=np.int32), low.shape[1] - need
     for a in range(len(low) - 1):
         differ = planes[0, a + 1 :] ^ planes[0, a]
         for plane in planes[1:]:
             differ |= plane[a + 1 :] ^ plane[a]
-        may = (np.bitwise_count(differ) <= most) & (label[a + 1 :] != label[a])
-        near = a + 1 + np.flatnonzero(may & (side[a + 1 :] != side[a]) if across else may)
+        near = a + 1 + np.flatnonzero((np.bitwise_count(differ) <= most) & (label[a + 1 :] != label[a]))
         near = near[(low[near] == low[a]).sum(axis=1) >= need] if len(near) else near
         if len(near):
             label[np.isin(label, label[near])] = label[a]
@@ -146,20 +103,19 @@ def alike(low: np.ndarray, planes: np.ndarray, side: np.ndarray, across: bool, n
     return label
 
 
-def within_buckets(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): links among all nodes(node, signature) that share SHARED first hashes of a tree, each held against every other one.
+def _order_keys(deeper: bool):
+    """Per order the SHARED hashes of a signature that it sorts by first: runs of hashes and, for crowded regions, hashes far apart, too."""
+    runs_of = [f"substring(signature, {4 * DEPTH * t + 1}, {4 * SHARED})" for t in range(TREES)]
+    apart = [f"concat({', '.join(f'substring(signature, {4 * (t + TREES * k) + 1}, 4)' for k in range(SHARED))})" for t in range(TREES)]
+    return F.expr(f"array({', '.join(runs_of + (apart if deeper else []))})")
 
-    A bucket of more than TILE nodes is dealt into parts, and each two parts meet in a task.
-    """
-    need = int(np.ceil(TREES * DEPTH * (threshold - _SLACK)))
 
-    def lowest(batches):
-        for b in batches:
-            sig = np.frombuffer(b"".join(b["signature"].to_pylist()), ">u4").reshape(-1, TREES * DEPTH)
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array([x.tobytes() for x in (sig & 255).astype(np.uint8)], pa.binary())], ["its_node", "low"])
+def compared(members: DataFrame, lows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links among the nodes of each part of a region, of members(region, part, node)."""
+    need = int(np.ceil(TREES * DEPTH * (threshold - _SLACK)))
 
-    def compared(batches):
-        keys, side, low, node = np.empty((0, 3), np.int64), np.empty(0, np.int64), np.empty((0, TREES * DEPTH), np.uint8), []
+    def compare(batches):
+        keys, low, node = np.empty((0, 2), np.int64), np.empty((0, TREES * DEPTH), np.uint8), []
 
         def links(until):
             ends = np.concatenate([np.flatnonzero((keys[1:until] != keys[: until - 1]).any(axis=1)) + 1, [until]])
@@ -167,7 +123,7 @@ def within_buckets(nodes: DataFrame, threshold: float) -> DataFrame:
             a, b = [], []
             for s, e in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
                 if e - s > 1:
-                    label = alike(low[s:e], planes[:, s:e], side[s:e], keys[s, 1] != keys[s, 2], need)
+                    label = alike(low[s:e], planes[:, s:e], need)
                     far = np.flatnonzero(label != np.arange(e - s))
                     a += [node[s + x] for x in far.tolist()]
                     b += [node[s + x] for x in label[far].tolist()]
@@ -176,43 +132,82 @@ def within_buckets(nodes: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.concatenate([keys, np.column_stack([batch[c].to_numpy() for c in ("bucket", "p", "q")])])
-            side = np.concatenate([side, batch["own"].to_numpy()])
+            keys = np.concatenate([keys, np.column_stack([batch[c].to_numpy() for c in ("region", "part")])])
             low = np.concatenate([low, np.frombuffer(b"".join(batch["low"].to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)])
             node += batch["node"].to_pylist()
-            last = int(np.flatnonzero((keys == keys[-1]).all(axis=1))[0])  # its tile may go on in the next batch
+            last = int(np.flatnonzero((keys == keys[-1]).all(axis=1))[0])  # its part may go on in the next batch
             if last:
                 yield links(last)
-                keys, side, low, node = keys[last:], side[last:], low[last:], node[last:]
+                keys, low, node = keys[last:], low[last:], node[last:]
         if node:
             yield links(len(node))
 
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = nodes.select("node", "signature", tree.alias("tree"))
-    own = F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * SHARED})")
-    rows = rows.select("node", F.xxhash64("tree", own).alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / TILE).alias("n_parts"))
-    members = rows.join(buckets, "bucket").join(nodes.mapInArrow(lowest, "its_node binary, low binary"), F.col("node") == F.col("its_node"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("node"), "n_parts"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)))
-    tiles = members.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "low", "node")
-    return tiles.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node").mapInArrow(compared, "a binary, b binary")
+    rows = members.join(lows, F.col("node") == F.col("its_node")).select("region", "part", "node", "low")
+    return rows.repartition("region", "part").sortWithinPartitions("region", "part", "node").mapInArrow(compare, "a binary, b binary")
+
+
+def parts_of(members: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, part, node): members(region, node) dealt into parts of about TILE, each with the first node of regions(its_region, n, first) that have more than one."""
+    n_parts = F.ceil(F.col("n") / TILE).cast("long")
+    placed = members.join(regions, F.col("region") == F.col("its_region")).select("region", F.pmod(F.xxhash64("node", "region"), n_parts).alias("part"), "node")
+    first = regions.where(n_parts > 1).select(F.col("its_region").alias("region"), F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)).alias("part"), F.col("first").alias("node"))
+    return placed.unionByName(first)
+
+
+def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that connect all nodes(node, signature) that may be near each other."""
+
+    def lowest(batches):
+        for b in batches:
+            sig = np.frombuffer(b"".join(b["signature"].to_pylist()), ">u4").reshape(-1, TREES * DEPTH)
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array([x.tobytes() for x in (sig & 255).astype(np.uint8)], pa.binary())], ["its_node", "low"])
+
+    lows = nodes.select("node", "signature").mapInArrow(lowest, "its_node binary, low binary")
+    rows = nodes.select("node", F.posexplode(_order_keys(False)).alias("nth", "own")).select("node", F.xxhash64("nth", "own").alias("region"))
+    regions = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+    regions = frozen(regions.withColumnRenamed("region", "its_region"), "regions")
+    found = frozen(compared(parts_of(rows, regions), lows, threshold).where("a <> b").distinct(), "candidates")
+    for _ in range(2 * TREES):
+        crowded = regions.where(F.col("n") > TILE)
+        if crowded.isEmpty():
+            break
+        # deeper: only what isn't connected yet, by every order within each crowded region
+        roots = components(found).withColumnRenamed("node", "its_node")
+        labelled = rows.join(crowded.select("its_region", "n"), F.col("region") == F.col("its_region")).select("region", "n", "node")
+        labelled = labelled.join(roots, F.col("node") == F.col("its_node"), "left").select("region", "n", "node", F.coalesce("root", "node").alias("root"))
+        labelled = frozen(labelled, "crowded")
+        mixed_ones = labelled.groupBy("region").agg((F.min("root") != F.max("root")).alias("open")).where("open").select(F.col("region").alias("its_region"))
+        deeper = labelled.join(mixed_ones, F.col("region") == F.col("its_region")).select("region", "n", "node", "root")
+        deeper = deeper.join(nodes.select(F.col("node").alias("its_node"), "signature"), F.col("node") == F.col("its_node"))
+        deeper = deeper.select("region", "n", "node", "root", F.posexplode(_order_keys(True)).alias("nth", "own"))
+        deeper = frozen(deeper.select(F.xxhash64("region", "nth", "own").alias("region"), "n", "node", "root"), "deeper")
+        inner = deeper.groupBy("region").agg(F.count("*").alias("n"), F.first("n").alias("outer"), F.min("node").alias("first"), F.min("root").alias("low_root"), F.max("root").alias("high_root"))
+        inner = inner.where((F.col("n") > 1) & (F.col("n") < F.col("outer")) & (F.col("low_root") != F.col("high_root")))  # an order that parts nothing is dropped
+        regions = frozen(inner.select(F.col("region").alias("its_region"), "n", "first"), "regions")
+        rows = deeper.select("region", "node")
+        found = frozen(found.unionByName(compared(parts_of(rows, regions), lows, threshold).where("a <> b")).distinct(), "candidates")
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): every node of links(a, b) and the smallest node it is connected to."""
+    """(node, root): every node of links(a, b) and the smallest node it is connected to.
+
+    The smallest neighbours are dealt out anew before they are joined, so that a node with very many
+    neighbours is a join partition that Spark can split.
+    """
     edges = frozen(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))
     state = edges.agg(F.count("*"), mark).first()
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance").withColumnRenamed("u", "its_u")
+        large = both.where("v > u").join(least, F.col("u") == F.col("its_u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.distinct()
-        first = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(first, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = frozen(small.unionByName(first.select("u", F.col("m").alias("v"))).distinct(), "links")
+        first = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance").withColumnRenamed("u", "its_u")
+        small = large.hint("rebalance").join(first, F.col("u") == F.col("its_u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = frozen(small.unionByName(first.select(F.col("its_u").alias("u"), F.col("m").alias("v"))).distinct(), "links")
         now = after.agg(F.count("*"), mark).first()
+        removed(edges)
         edges, settled, state = after, now == state, now
         if settled:
             break
@@ -247,31 +242,32 @@ def linked_exactly(sets: list[np.ndarray], per_cent: int, label: np.ndarray, by:
 
 
 def verified(docs: DataFrame, groups: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """(a, b): what connects the nodes that exact links connect within each of groups(node, root), from the full sets of the documents.
+    """(a, b): what connects the nodes that exact links connect within each of groups(node, root, n_shingles, holder), from the full sets of the texts of docs(its_row, text).
 
-    Groups are dealt into parts of about PART nodes; each part finds its classes.  Of groups with
+    Groups are dealt into parts of about PART nodes and PART_SHINGLES shingles; each part finds its classes.  Of groups with
     more than one part, the node most like the others speaks for its class at the next level, until
     the classes of a group have met.  Then every node outside a group's largest class is compared
     with all of its group; nodes of the largest class needn't meet again.
     """
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        prefix = F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")
-        shared = docs.sparkSession.sparkContext.broadcast(bloom_of(nodes.select(prefix.alias("h")), nodes.count()))
+    def sets_of(placed: DataFrame, *columns: str) -> DataFrame:
+        """(*columns, node, members): the rows of placed, one for each node, with their sets, from the texts of the rows that hold them."""
+        columns = (*columns, "node")
+        schema = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in columns)
 
         def rebuild(batches):
-            hashes, filter_, seen = WordHashes(), shared.value, set()
+            hashes = WordHashes()
             for b in batches:
                 if len(hashes) > 500_000:
                     hashes.clear()
-                sets = [shingles_of(t, size, hashes) for t in rows_of(b)[1]]
-                sets = [(s, set_id(s)) for s in sets if len(s)]
-                known = filter_.has(np.array([int.from_bytes(i[:7], "big") for _, i in sets], np.uint64)) if sets else []
-                fresh = {i: s for (s, i), k in zip(sets, known) if k and i not in seen}
-                seen.update(fresh)
-                yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in fresh.values()], pa.binary())], ["node", "members"])
+                sets = [shingles_of(t.as_py() or b"", size, hashes).astype("<u8").tobytes() for t in b["text"]]
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in columns), pa.array(sets, pa.binary())], [*columns, "members"])
 
-        return docs.mapInArrow(rebuild, "node binary, members binary")
+        held = placed.select(*columns, "holder").hint("shuffle_hash")
+        return docs.select("its_row", "text").join(held, F.col("its_row") == F.col("holder")).select(*columns, "text").mapInArrow(rebuild, f"{schema}, members binary")
+
+    def n_parts(n, shingles):
+        return F.greatest(F.ceil(n / PART), F.ceil(shingles / PART_SHINGLES)).cast("long")
 
     def pairs(nodes: list, found: list[tuple[int, int]]) -> pa.Table:
         return pa.table({"a": pa.array([nodes[x] for x, _ in found], pa.binary()), "b": pa.array([nodes[y] for _, y in found], pa.binary())})
@@ -291,61 +287,77 @@ def verified(docs: DataFrame, groups: DataFrame, size: int, per_cent: int) -> Da
         return pairs(nodes, linked_exactly([rows[n][2] for n in nodes], per_cent, label, np.array([rows[n][1] for n in nodes]))[2])
 
     def level(members: DataFrame, salt: int) -> DataFrame:
-        parts = members.groupBy("root").agg(F.ceil(F.count("*") / PART).alias("n_parts"))
-        placed = members.join(parts, "root").select("node", "root", F.pmod(F.xxhash64("node", F.lit(salt)), "n_parts").alias("p"))
-        return frozen(sets_of(members).join(placed, "node").groupBy("root", "p").applyInArrow(star, "a binary, b binary"), "links")
+        parts = members.groupBy("root").agg(n_parts(F.count("*"), F.sum("n_shingles")).alias("n_parts")).withColumnRenamed("root", "its_root")
+        placed = members.join(parts, F.col("root") == F.col("its_root")).select("node", "holder", "root", F.pmod(F.xxhash64("node", F.lit(salt)), "n_parts").alias("p"))
+        return frozen(sets_of(placed, "root", "p").groupBy("root", "p").applyInArrow(star, "a binary, b binary"), "links")
 
     found = level(groups, 0)
-    large = groups.groupBy("root").count().where(F.col("count") > PART).select("root")
-    members = frozen(groups.join(large, "root"), "large")
+    large = groups.groupBy("root").agg(n_parts(F.count("*"), F.sum("n_shingles")).alias("n")).where("n > 1").select(F.col("root").alias("its_root"))
+    members = frozen(groups.join(large, F.col("root") == F.col("its_root"), "left_semi"), "large")
     if members.isEmpty():
         return found
 
     def classes(of: DataFrame, links: DataFrame) -> DataFrame:
-        met = links.select(F.col("a").alias("label"), "b")
-        return frozen(of.join(met, "label", "left").select("node", "root", F.coalesce("b", "label").alias("label")), "classes")
+        met = links.select(F.col("a").alias("its_label"), "b")
+        return frozen(of.join(met, F.col("label") == F.col("its_label"), "left").select("node", "root", "n_shingles", "holder", F.coalesce("b", "label").alias("label")), "classes")
+
+    def speaking(of: DataFrame) -> DataFrame:
+        return of.where("node = label").drop("label")
 
     labels = classes(members.withColumn("label", F.col("node")), found)
-    speakers = labels.select("root", F.col("label").alias("node")).distinct()
+    speakers = speaking(labels)
     for salt in range(1, 64):
-        per_root = speakers.groupBy("root").agg(F.count("*").alias("n"))
-        before, most = per_root.agg(F.sum("n"), F.max("n")).first()
+        per_root = speakers.groupBy("root").agg(F.count("*").alias("n"), n_parts(F.count("*"), F.sum("n_shingles")).alias("parts"))
+        before, most, parts = per_root.agg(F.sum("n"), F.max("n"), F.max("parts")).first()
         if most == 1:
             break
-        links = level(speakers.join(per_root.where("n > 1").select("root"), "root"), salt)
+        links = level(speakers.join(per_root.where("n > 1").select(F.col("root").alias("its_root")), F.col("root") == F.col("its_root"), "left_semi"), salt)
         found, labels = found.unionByName(links), classes(labels, links)
-        speakers = labels.select("root", F.col("label").alias("node")).distinct()
-        if most <= PART or 2 * speakers.count() > before:
+        speakers = speaking(labels)
+        if parts == 1 or 2 * speakers.count() > before:
             break
 
-    sizes = labels.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-    rest = F.col("label") != F.col("top.label")
-    sizes = sizes.select("root", "top", F.ceil((F.col("all") - F.col("top.n")) / PART).alias("n_rest"), F.ceil(F.col("top.n") / PART).alias("n_top")).where("n_rest > 0")
-    placed = labels.join(sizes, "root").withColumn("rest", rest)
+    sizes = labels.groupBy("root", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).groupBy("root").agg(F.max(F.struct("n", "label", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    sizes = sizes.where(F.col("n") > F.col("top.n")).select(F.col("root").alias("its_root"), F.col("top.label").alias("top"), n_parts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("n_rest"), n_parts(F.col("top.n"), F.col("top.s")).alias("n_top"))
+    placed = labels.join(sizes, F.col("root") == F.col("its_root")).withColumn("rest", F.col("label") != F.col("top"))
     own = F.when(F.col("rest"), F.pmod(F.xxhash64("node"), "n_rest")).otherwise(F.col("n_rest") + F.pmod(F.xxhash64("node"), "n_top"))
     others = F.when(F.col("rest"), F.col("n_rest") + F.col("n_top")).otherwise(F.col("n_rest"))
     placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
-    placed = placed.select("node", "root", "label", "rest", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    placed = placed.select("node", "holder", "root", "label", "rest", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     placed = frozen(placed, "placed")
     if placed.isEmpty():
         return found
-    last = sets_of(placed.select("node").distinct()).join(placed, "node").groupBy("root", "p", "q").applyInArrow(complete, "a binary, b binary")
+    sets = sets_of(placed.select("node", "holder").distinct()).withColumnRenamed("node", "its_node")
+    last = placed.join(sets, F.col("node") == F.col("its_node")).select("root", "p", "q", "label", "rest", "node", "members").groupBy("root", "p", "q").applyInArrow(complete, "a binary, b binary")
     return found.unionByName(last)
 
 
+def classified(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """numbered_rows(docs), and (its_row, doc_id, n_shingles, node, root): node is null for an empty set, root names a class."""
+    rows, per_cent = numbered_rows(docs), round(100 * threshold)
+    numbered = rows.select("its_row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").cast("binary").alias("text"))
+    sketches = frozen(sketched(numbered, size), "sketches")
+    nodes = sketches.where("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.min("its_row").alias("holder"))
+    nodes = frozen(nodes, "nodes")
+    groups = components(candidates(nodes.select("node", "signature"), threshold)).withColumnRenamed("node", "its_node")
+    groups = frozen(nodes.join(groups, F.col("node") == F.col("its_node")).select("node", "root", "n_shingles", "holder"), "groups")
+    roots = frozen(components(verified(numbered, groups, size, per_cent)).withColumnRenamed("node", "its_node"), "roots")  # joined by itself, so that Spark can split crowded partitions
+    found = sketches.select("its_row", "doc_id", "n_shingles", "node").join(roots, F.col("node") == F.col("its_node"), "left")
+    return rows, frozen(found.select("its_row", "doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root")), "classified")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
-    docs, per_cent = id_and_text(docs), round(100 * threshold)
-    sketches = frozen(sketched(docs, size), "sketches")
-    nodes = sketches.where("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("signature"), F.min("doc_id").alias("least"))
-    nodes = frozen(nodes, "nodes")
-    groups = frozen(components(candidates(nodes.select("node", "signature"), threshold)), "groups")
-    roots = components(verified(docs, groups, size, per_cent))
-    found = roots.join(nodes.select("node", "least"), "node")
-    least = found.groupBy("root").agg(F.min("least").alias("component"))
-    classes = nodes.select("node", "least").join(roots.join(least, "root").select("node", "component"), "node", "left")
-    classes = classes.select(F.col("node").alias("its_node"), F.coalesce("component", "least").alias("component"))
-    classes = frozen(classes, "classes")  # a join of its own, whose crowded partitions Spark can split
-    joined_rows = sketches.select("doc_id", "n_shingles", "node").join(classes, F.col("node") == F.col("its_node"), "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    _, rows = classified(docs, size, threshold)
+    least = frozen(rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "its_root"), "least")
+    joined_rows = rows.join(least, F.col("root") == F.col("its_root"), "left")
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return joined_rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs without all but one row of each class: the one with the smallest doc_id, a null one last, the first row on ties.  Rows without words stay."""
+    numbered, rows = classified(docs, size, threshold)
+    stays = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("its_row"))).alias("first")).select(F.col("first.its_row").alias("stays"))
+    stays = stays.unionByName(rows.where("root IS NULL").select(F.col("its_row").alias("stays")))
+    return numbered.join(stays.hint("shuffle_hash"), F.col("its_row") == F.col("stays"), "left_semi").select("doc.*")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import blocks, bucketed, frozen, id_and_text, n_buckets, power_of_two
+from glossaria.llm.common import blocks, bucketed, frozen, id_and_text, n_buckets, power_of_two, text_bytes
 
 BLOCK_BYTES = 12 << 20
 RANGE_BYTES = 128 << 20
@@ -100,7 +100,7 @@ def exchanged(docs: DataFrame, prepare: Callable, levels: list[Callable], emit:
     """
     if crowd > MOST:
         raise ValueError(f"a block counts a key {MOST} times at most")
-    n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    n_bytes = text_bytes(docs)
     framed_docs, n_parts = framed(docs, prepare, n_buckets(docs.sparkSession, n_bytes)), n_ranges(n_bytes)
     by_block = framed_docs.groupBy("block")
 

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from glossaria.llm import bpe, counts, knn, langid, linededup, media, mixing, neardup, repeats, substrings, suffixes
+from glossaria.llm import bpe, common, counts, knn, langid, linededup, media, mixing, neardup, repeats, substrings, suffixes
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SPACES = " \t\n\x0b\x0c\r"
@@ -162,10 +162,12 @@ def components_by_force(rows, size):
     return {r[0]: (len(s), least[g] if s else r[0]) for r, s, g in zip(rows, sets, group) if r[0] is not None}
 
 
-@pytest.mark.parametrize("part", [2000, 2])
+@pytest.mark.parametrize(("part", "shingles", "tile"), [(2000, 1 << 22, 4096), (2, 1 << 22, 4096), (2000, 300, 2)])
 @pytest.mark.parametrize("size", [4, 5])
-def test_near_duplicates(docs, rows, unique, size, part, monkeypatch):
+def test_near_duplicates(docs, rows, unique, size, part, shingles, tile, monkeypatch):
     monkeypatch.setattr(neardup, "PART", part)
+    monkeypatch.setattr(neardup, "PART_SHINGLES", shingles)
+    monkeypatch.setattr(neardup, "TILE", tile)
     want, got = components_by_force(rows, size), by_id(neardup.near_duplicates(docs, size), unique)
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: want[i] for i in unique}
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items()) and sum(r["kept"] for r in got.values()) < len(got)
@@ -177,9 +179,9 @@ def test_one_large_group(spark, part, monkeypatch):
     monkeypatch.setattr(neardup, "PART", part)
     rows = [(100 * c + k, " ".join(f"{'abcd'[c]}{n}" for n in range(6 * k, 6 * k + 90))) for c, length in enumerate((30, 3, 1, 1)) for k in range(length)]
     rows = [r for r in rows if r[0] != 20]  # the long chain in two
-    docs = neardup.id_and_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    docs = common.id_and_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).withColumn("its_row", F.col("doc_id"))
     names = {neardup.set_id(neardup.shingles_of(t.encode(), 4, neardup.WordHashes())): i for i, t in rows}
-    groups = spark.createDataFrame([(bytearray(n), bytearray(b"root")) for n in names], "node binary, root binary")
+    groups = spark.createDataFrame([(bytearray(n), bytearray(b"root"), 87, i) for n, i in names.items()], "node binary, root binary, n_shingles long, holder long")
     got = {names[r[0]]: names[r[1]] for r in ([bytes(x) for x in r] for r in neardup.components(neardup.verified(docs, groups, 4, 80)).collect())}
     classes = collections.defaultdict(set)
     for i, _ in rows:
