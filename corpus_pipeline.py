@@ -59,10 +59,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each row of the mix; a null id stays null."""
 
-    def row(v, i, ids):
-        return i, len(ids), ids.astype("<i4"), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.joined_pieces(v, ids.tolist())).hexdigest()
+    def row(v, i, ids, text):
+        return i, len(ids), ids.astype("<i4"), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()
 
-    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), row, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), row, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string", with_text=True)
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("near dedup", near_copies), ("mixing", mix), ("BPE", tokens)]

@@ -1,11 +1,12 @@
 """Byte-level BPE through a table of distinct words.
 
-Texts are cut at the tokenizer's special strings and then by its public word pattern.  A block of
+Spark cuts texts at the tokenizer's special strings and then by its public word pattern.  A block of
 documents keeps its words as numbers into its own list of distinct words; the list goes, dealt by
 the words' hashes, to tasks that see each distinct word of the corpus in one place and encode it
 once.  The ids come back to the block, where they join the words by position.  Decoding joins ids
-to pieces through the tokenizer's own table, which the vocabulary bounds.  What moves is the lists
-of distinct words and the numbered words, never the texts; a frequent word is one entry a block.
+to pieces through the tokenizer's own table, which the vocabulary bounds and each task holds.  What
+moves is the lists of distinct words, never the texts or the numbered words, which stay in buckets by
+block; a frequent word is one entry a block.  Lists follow the bytes of the texts, LIST_BYTES each.
 
 The tokenizer file must be a byte-level BPE with the usual word pattern, no normalizer and only
 plain special strings; others raise an error.  Its path is a parameter and must be there on every
@@ -18,23 +19,26 @@ import hashlib
 import json
 import os
 import pickle
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from glossaria.llm.common import Numbers, blocks, frozen, id_and_text, power_of_two, runs, starts_of
+from glossaria.llm.common import Numbers, bucketed, n_buckets, power_of_two, runs, starts_of, text_bytes
 
-#: Fixed value: the public word pattern of this kind of tokenizer.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_BYTES = 22 << 20
+#: What counts as white space, and the public word pattern of this kind of tokenizer.
+BLANK = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
+BLOCK_BYTES, LIST_BYTES = 22 << 20, 32 << 20
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -58,34 +62,32 @@ class Vocabulary:
         if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec["normalizer"] or not plain:
             raise ValueError(f"{path}: not a plain byte-level BPE")
         self.special = {t["content"]: t["id"] for t in added}
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.word = regex.compile(WORD)
+        self.cut = "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))
         to_byte = _byte_of_char()
         ids = spec["model"]["vocab"]
-        self.pieces = [b""] * (1 + max([*ids.values(), *self.special.values()], default=0))
+        pieces = [b""] * (1 + max([*ids.values(), *self.special.values()], default=0))
         for piece, i in ids.items():
-            self.pieces[i] = bytes(to_byte[c] for c in piece) if all(c in to_byte for c in piece) else piece.encode()
+            pieces[i] = bytes(to_byte[c] for c in piece) if all(c in to_byte for c in piece) else piece.encode()
         for piece, i in self.special.items():
-            self.pieces[i] = piece.encode()
+            pieces[i] = piece.encode()
+        self.pieces = pa.array(pieces, pa.large_binary())
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def split(self, text: str) -> list[str]:
-        """The words of a text; a special string is one word."""
-        if not self.cut or not self.cut.search(text):
-            return self.word.findall(text)
-        words, at = [], 0
-        for m in self.cut.finditer(text):
-            words += self.word.findall(text[at : m.start()])
-            words.append(m[0])
-            at = m.end()
-        return words + self.word.findall(text[at:])
-
     def encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
 
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The texts of runs of ids, which start and end at `ends`: ids joined to pieces, ill-formed UTF-8 replaced."""
+        joined = self.pieces.take(pa.array(ids, pa.int64()))
+        at = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1][ends] if len(ids) else np.zeros(len(ends), np.int64)
+        data = joined.buffers()[2].to_pybytes() if len(ids) else b""
+        texts = (data[s:e] for s, e in zip(at.tolist(), at[1:].tolist()))
+        return [t if t.isascii() else t.decode("utf-8", "replace").encode() for t in texts]
+
+
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -137,37 +139,63 @@ def _unpack_words(data: bytes) -> list[str]:
     return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at, at[1:])]
 
 
-_PARTS = "kind int, block long, dealt int, data binary"
+_PARTS = "block long, dealt int, words binary, numbers binary"
 
 
 def _part(rows: list[tuple]) -> pa.RecordBatch:
-    kind, block, dealt, data = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(block, pa.int64()), pa.array(dealt, pa.int32()), pa.array(data, pa.binary())], ["kind", "block", "dealt", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "dealt", "words", "numbers"])
 
 
 def _dealt(words: list[str], n: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % n for w in words), np.int64, len(words))
 
 
+def words_of(text: Column, cut: str) -> Column:
+    """The words of a text, in order; a special string, found by the pattern `cut`, is one word."""
+    plain = lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+    if not cut:
+        return plain(text)
+    special = F.regexp_extract_all(text, F.lit(cut), F.lit(0))
+    cut_up = F.flatten(F.transform(F.split(text, cut, -1), lambda t, k: F.when(k == 0, plain(t)).otherwise(F.concat(F.array(F.element_at(special, k)), plain(t)))))
+    return F.when(text.rlike(cut), cut_up).otherwise(plain(text))
+
+
+def _runs(batches, limit: int) -> Iterator[pa.Table]:
+    """The rows of a partition in runs of texts of about limit bytes; a longer document is a run of its own."""
+    held, size = [], 0
+    for b in batches:
+        at = 0
+        for k, n in enumerate(b["size"].to_pylist()):
+            if size and size + n > limit:
+                held.append(b.slice(at, k - at))
+                yield pa.Table.from_batches(held)
+                held, size, at = [], 0, k
+            size += n + 64
+        held.append(b.slice(at))
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def numbered(docs: DataFrame, path: str, n_dealt: int) -> DataFrame:
-    """The blocks: rows of kind 0 have a block's numbered documents, rows of kind 1 its distinct words, dealt by hash."""
+    """The blocks of docs(doc_id, words, size): one row with a block's documents as numbers of words, the others with its distinct words, dealt by hash."""
 
     def cut(batches):
         from pyspark import TaskContext
 
-        v, block = vocabulary(path), TaskContext.get().partitionId() << 24
-        for ids, texts in blocks(batches, BLOCK_BYTES):
-            numbers = Numbers()
-            numbered_texts = [np.fromiter(map(numbers.__getitem__, words := v.split(t.decode("utf-8", "replace"))), np.int32, len(words)) for t in texts]
-            flat, words = np.concatenate(numbered_texts), list(numbers)
+        block = TaskContext.get().partitionId() << 24
+        for table in _runs(batches, BLOCK_BYTES):
+            listed = table["words"].combine_chunks()
+            lengths = np.diff(listed.offsets.to_numpy())
+            coded = listed.flatten().dictionary_encode()
+            flat, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
             # a word's number modulo n_dealt says which list it goes to; within a list, frequent words come first
             at = _dealt(words, n_dealt)
             order = np.lexsort((-np.bincount(flat, minlength=len(words)), at))
             ends = starts_of(np.bincount(at, minlength=n_dealt))
             number = np.empty(len(words), np.int64)
             number[order] = (np.arange(len(words)) - ends[at[order]]) * n_dealt + at[order]
-            yield _part([(0, block, -1, pickle.dumps((ids, list(map(len, numbered_texts)), _pack_ranks(number[flat]))))])
-            rows = [(1, block, d, _pack_words([words[k] for k in order[ends[d] : ends[d + 1]]])) for d in range(n_dealt) if ends[d] < ends[d + 1]]
+            yield _part([(block, -1, None, pickle.dumps((table["doc_id"].to_pylist(), lengths, _pack_ranks(number[flat]))))])
+            rows = [(block, d, _pack_words([words[k] for k in order[ends[d] : ends[d + 1]]]), None) for d in range(n_dealt) if ends[d] < ends[d + 1]]
             if rows:
                 yield _part(rows)
             block += 1
@@ -181,7 +209,7 @@ def encoded_words(parts: DataFrame, path: str) -> DataFrame:
     def encode(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, table, lists = vocabulary(path), Numbers(), []
         for b in batches:
-            for block, data in zip(b["block"].to_pylist(), b["data"].to_pylist()):
+            for block, data in zip(b["block"].to_pylist(), b["words"].to_pylist()):
                 words = _unpack_words(data)
                 lists.append((block, np.fromiter(map(table.__getitem__, words), np.int64, len(words))))
         ids = v.encode(list(table))
@@ -191,24 +219,26 @@ def encoded_words(parts: DataFrame, path: str) -> DataFrame:
             n = sizes[words]
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "dealt": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([pickle.dumps((_pack_numbers(n), _pack_numbers(flat[runs(at[words], n)])))], pa.binary())})
 
-    return parts.where("kind = 1").groupBy("dealt").applyInArrow(encode, "block long, dealt int, data binary")
+    return parts.where("dealt >= 0").select("block", "dealt", "words").groupBy("dealt").applyInArrow(encode, "block long, dealt int, data binary")
 
 
-def encode(docs: DataFrame, path: str, consume=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
+def encode(docs: DataFrame, path: str, consume=None, schema: str = "doc_id long, ids array<int>", with_text: bool = False) -> DataFrame:
     """(doc_id, ids) for every row of docs(doc_id, text).
 
-    consume(vocabulary, doc_id, ids) may make another row of each document, of the given schema, so
-    that long id lists needn't leave the task.
+    consume(vocabulary, doc_id, ids, decoded) may make another row of each document, of the given
+    schema, so that long id lists needn't leave the task; decoded is their text, if asked for.
     """
-    docs = id_and_text(docs)
-    n_dealt = power_of_two(docs.count() // 4096, 16, 4096)
-    parts = frozen(numbered(docs, path, n_dealt), "bpe-blocks", "kind")
-    consume = consume or (lambda v, i, ids: (i, ids.tolist()))
+    n_bytes = text_bytes(docs)
+    n_dealt = power_of_two(max(n_bytes // LIST_BYTES, min(64, n_bytes // (4 << 20))), 16, 1 << 20)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    parts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(text, vocabulary(path).cut).alias("words"), F.octet_length(text).alias("size")), path, n_dealt)
+    parts = bucketed(parts, "bpe_blocks", "block", n_buckets(docs.sparkSession, n_bytes))
+    consume = consume or (lambda v, i, ids, text: (i, ids.tolist()))
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def rejoin(left, right):
         v, rows = vocabulary(path), []
-        for data in left["data"].to_pylist():
+        for data in left["numbers"].to_pylist():
             doc_ids, lengths, flat = pickle.loads(data)
             flat = _unpack_ranks(flat)
             lists = {d: tuple(map(_unpack_numbers, pickle.loads(x))) for d, x in zip(right["dealt"].to_pylist(), right["data"].to_pylist())}
@@ -221,19 +251,18 @@ def encode(docs: DataFrame, path: str, consume=None, schema: str = "doc_id long,
                 found.append(ids)
             ids_of = np.concatenate(found) if found else np.empty(0, "<u4")
             ends = starts_of(lengths)
-            for k, i in enumerate(doc_ids):
-                words = flat[ends[k] : ends[k + 1]]
-                rows.append(consume(v, i, ids_of[runs(first[words], sizes[words])]))
+            for k in range(0, len(doc_ids), 256):  # a few documents at a time
+                own = ends[k : k + 257]
+                words = flat[own[0] : own[-1]]
+                n = sizes[words]
+                ids, at = ids_of[runs(first[words], n)], starts_of(n)[own - own[0]]
+                texts = v.decoded(ids, at) if with_text else [None] * len(own)
+                rows += [consume(v, i, ids[s:e], t) for i, s, e, t in zip(doc_ids[k : k + 256], at, at[1:], texts)]
         columns = list(zip(*rows)) or [()] * len(arrow)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     words = encoded_words(parts, path).groupBy("block")
-    return parts.where("kind = 0").groupBy("block").cogroup(words).applyInArrow(rejoin, schema)
-
-
-def joined_pieces(v: Vocabulary, ids) -> bytes:
-    """The text of an id list: its pieces, side by side; ill-formed UTF-8 is replaced."""
-    return b"".join(map(v.pieces.__getitem__, ids)).decode("utf-8", "replace").encode()
+    return parts.where("numbers IS NOT NULL").select("block", "numbers").groupBy("block").cogroup(words).applyInArrow(rejoin, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -242,8 +271,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         v = vocabulary(path)
         for b in batches:
-            texts = [joined_pieces(v, ids or ()).decode() for ids in b["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
+            listed = b["ids"]
+            ends = starts_of(np.nan_to_num(np.asarray(pc.list_value_length(listed).fill_null(0))))
+            texts = v.decoded(listed.flatten().to_numpy(), ends)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([t.decode() for t in texts], pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
@@ -251,7 +282,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, then decodes the ids where they are."""
 
-    def digest(v, i, ids):
-        return i, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(joined_pieces(v, ids.tolist())).hexdigest()
+    def digest(v, i, ids, text):
+        return i, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()
 
-    return encode(docs, path, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, path, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", with_text=True)
