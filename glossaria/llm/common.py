@@ -123,9 +123,16 @@ class Bloom:
         g = mixed(h // np.uint64(slices))
         return np.stack([g % np.uint64(width), (g >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(width)])
 
-    def has(self, h: np.ndarray) -> np.ndarray:
+    def _at(self, h: np.ndarray) -> np.ndarray:
         width = self.bits // self.slices
-        at = Bloom.in_slice(h, width, self.slices) + (h % np.uint64(self.slices)) * np.uint64(width)
+        return Bloom.in_slice(h, width, self.slices) + (h % np.uint64(self.slices)) * np.uint64(width)
+
+    def add(self, h: np.ndarray) -> None:
+        at = self._at(h)
+        np.bitwise_or.at(self.packed, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = self._at(h)
         found = (self.packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
         return (found[0] & found[1]).astype(bool)
 
@@ -138,8 +145,8 @@ def bits_of(positions: np.ndarray, width: int) -> np.ndarray:
 
 
 def bloom_of(hashes: DataFrame, n: int, slices: int = 16) -> Bloom:
-    """A filter of the n numbers in the single long column of hashes; it comes to the driver, of 2 ** 30 bits at most."""
-    bits = power_of_two(16 * n, 1 << 16, 1 << 30)
+    """A filter of the n numbers in the single long column of hashes; it comes to the driver, of 2 ** 29 bits at most."""
+    bits = power_of_two(16 * n, 1 << 16, 1 << 29)
     width = bits // slices
 
     def mark(batches):

@@ -1,14 +1,15 @@
 """Line dedup with two Bloom filters.
 
 A line's key is the line without white space at its ends and with A-Z in lower case; keys shorter
-than `least` code points never count.  Pass 1: every task marks the hashes of its documents' keys
-in a filter for keys seen once and one for keys seen twice; the parts merge by slices of the bit
-range, a bit set by two tasks counting as twice.  Pass 2: only keys that the twice filter knows are
-summed up exactly, by a 128-bit digest (pre-aggregated in each task, so a line of a third of all
-documents is a few rows).  Pass 3: keys of `copies` documents or more go from all documents but the
-one with the largest id.  The filters have a fixed largest size; if it is small for the input, more
-keys reach the exact step and nothing else changes.  The digests to drop are broadcast only when
-counted and few, and are joined to the documents otherwise.
+than `least` code points never count.  Pass 1: 64-bit hashes of keys, once or twice a task, are dealt
+to tasks, as many as the input needs, each with a Bloom filter of the hashes seen once; what it has
+already is seen twice.  Pass 2: a second filter, of the hashes seen twice, lets only suspected keys
+through, which are summed up exactly by a 128-bit digest (pre-aggregated in each task, so a line of a
+third of all documents is a few rows).  Pass 3: keys of `copies` documents or more go from all documents
+but the one with the largest id.  The first filter's size is fixed; if it is small for the input, more
+keys reach the exact step and nothing else changes.  The second is broadcast when what it holds is
+counted and few enough for 2^29 bits, and a join stands in for it otherwise; so for the digests to
+drop, a table of at most `broadcast_keys`.
 
 Each row is a document, also if ids repeat: rows that share the largest id all keep the line, and a
 null id is smaller than any other.  Null or empty texts are one empty line.
@@ -22,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import SPACES, Bloom, frozen, id_and_text, power_of_two, rows_of
+from glossaria.llm.common import SPACES, Bloom, bloom_of, frozen, id_and_text, n_buckets, rows_of, text_bytes
 
-SLICES = 16
 BROADCAST_KEYS = 400_000
+FILTER_BITS, FILTER_TEXT = 1 << 24, 64 << 20  # a filter's bits, and the bytes of text whose keys it is for: 16 bits for each key if they are 64 bytes apart
+MOST_SUSPECTS = 1 << 25
 _digest = xxhash.xxh3_128_digest
 
 
@@ -44,73 +46,81 @@ def _hashes(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), "<u8")[::2]
 
 
-def twice_seen(docs: DataFrame, least: int, bits: int) -> Bloom:
-    """A filter that has every key of two documents or more."""
-    width = bits // SLICES
+def suspected(docs: DataFrame, least: int, n: int, bits: int = FILTER_BITS) -> DataFrame:
+    """(hash): hashes that may be of keys of two documents or more, by n filters of those seen once; those of keys of two or more are all there."""
 
     def mark(batches):
-        found = [np.empty(0, np.uint64)]
+        held, size = [], 0
+
+        def out():
+            h, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times > 1)], ["hash", "twice"])
+
         for b in batches:
             for t in rows_of(b)[1]:
                 if keys := _keys(t, least):
-                    found.append(_hashes(list(keys)))
-        h, n = np.unique(np.concatenate(found), return_counts=True)
-        part = h % np.uint64(SLICES)
-        for s in range(SLICES if len(h) else 0):
-            of = part == s
-            once = np.unique(Bloom.in_slice(h[of], width, SLICES)).astype("<u4")
-            twice = np.unique(Bloom.in_slice(h[of & (n > 1)], width, SLICES)).astype("<u4")
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "once": pa.array([once.tobytes()], pa.binary()), "twice": pa.array([twice.tobytes()], pa.binary())})
-
-    def merge(table):
-        once, twice = np.zeros(width, bool), np.zeros(width, bool)
-        for o, t in zip(table["once"].to_pylist(), table["twice"].to_pylist()):
-            o = np.frombuffer(o, "<u4")
-            twice[o[once[o]]] = True
-            twice[np.frombuffer(t, "<u4")] = True
-            once[o] = True
-        return pa.table({"slice": table["slice"][:1], "bits": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
-
-    marks = docs.mapInArrow(mark, "slice int, once binary, twice binary")
-    packed = np.zeros((SLICES, width // 8), np.uint8)
-    for s, b in marks.groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():  # bits / 8 bytes
-        packed[s] = np.frombuffer(b, np.uint8)
-    return Bloom(bits, SLICES, packed.reshape(-1))
-
-
-def repeated_keys(docs: DataFrame, least: int, copies: int, bits: int) -> DataFrame:
+                    held.append(_hashes(list(keys)))
+                    size += len(keys)
+                    if size > 500_000:
+                        yield out()
+                        held, size = [], 0
+        if held:
+            yield out()
+
+    def sift(batches):
+        once = Bloom(bits, 1)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, times = np.unique(b["hash"].to_numpy().view(np.uint64), return_counts=True)
+            more = np.zeros(len(h), bool)
+            more[np.searchsorted(h, b["hash"].to_numpy().view(np.uint64)[b["twice"].to_numpy(zero_copy_only=False)])] = True
+            again = h[once.has(h) | more | (times > 1)]
+            once.add(h)
+            yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64))], ["hash"])
+
+    return docs.mapInArrow(mark, "hash long, twice boolean").repartition(n, "hash").mapInArrow(sift, "hash long").distinct()
+
+
+def repeated_keys(docs: DataFrame, least: int, copies: int, n_filters: int, most_suspects: int = MOST_SUSPECTS) -> DataFrame:
     """(digest, last): the keys of `copies` documents or more and the largest id that holds each."""
-    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, least, bits))
+    suspects = frozen(suspected(docs, least, n_filters), "suspected-lines")
+    n = suspects.count()
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(suspects, n) if n <= most_suspects else None)
 
-    def suspects(batches):
-        twice, found = shared.value, {}
+    def held(batches):
+        filter_, found = shared.value, {}
 
         def out():
-            yield pa.RecordBatch.from_pydict({"digest": pa.array(list(found), pa.binary()), "n": pa.array([x[0] for x in found.values()], pa.int64()), "last": pa.array([x[1] for x in found.values()], pa.int64())})
+            digests = list(found)
+            return pa.RecordBatch.from_pydict({"hash": pa.array(_hashes(digests).view(np.int64)), "digest": pa.array(digests, pa.binary()), "n": pa.array([x[0] for x in found.values()], pa.int64()), "last": pa.array([x[1] for x in found.values()], pa.int64())})
 
         for b in batches:
             for i, t in zip(*rows_of(b)):
                 keys = list(_keys(t, least))
                 if not keys:
                     continue
-                for k in np.flatnonzero(twice.has(_hashes(keys))):
-                    n, last = found.get(keys[k], (0, None))
-                    found[keys[k]] = (n + 1, i if last is None or i is not None and i > last else last)
+                for k in np.flatnonzero(filter_.has(_hashes(keys))) if filter_ else range(len(keys)):
+                    many, last = found.get(keys[k], (0, None))
+                    found[keys[k]] = (many + 1, i if last is None or i is not None and i > last else last)
             if len(found) > 200_000:
-                yield from out()
+                yield out()
                 found.clear()
-        yield from out()
+        if found:
+            yield out()
 
-    sums = docs.mapInArrow(suspects, "digest binary, n long, last long").groupBy("digest").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    sums = docs.mapInArrow(held, "hash long, digest binary, n long, last long")
+    if n > most_suspects:
+        sums = sums.join(suspects.distinct().withColumnRenamed("hash", "its_hash"), F.col("hash") == F.col("its_hash"), "left_semi")
+    sums = sums.groupBy("digest").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     return frozen(sums.where(F.col("n") >= copies).select("digest", "last"), "repeated-lines")
 
 
-def drop_repeated(docs: DataFrame, least: int = 40, copies: int = 5, bits_per_doc: int = 256, broadcast_keys: int = BROADCAST_KEYS, carry: tuple[str, ...] = ()) -> DataFrame:
+def drop_repeated(docs: DataFrame, least: int = 40, copies: int = 5, broadcast_keys: int = BROADCAST_KEYS, most_suspects: int = MOST_SUSPECTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept_text, n_lines, n_dropped) for every row of docs(doc_id, text); with columns to carry, they are in the struct `carried`."""
+    spark, n_filters = docs.sparkSession, n_buckets(docs.sparkSession, text_bytes(docs), FILTER_TEXT)
     full, docs = id_and_text(docs, *carry), id_and_text(docs)
-    spark = docs.sparkSession
-    bits = power_of_two(docs.count() * bits_per_doc, 1 << 20, 1 << 30)
-    keys = repeated_keys(docs, least, copies, bits)
+    keys = repeated_keys(docs, least, copies, n_filters, most_suspects)
     schema = "doc_id long, kept_text string, n_lines long, n_dropped long"
     schema += f", carried {full.schema['carried'].dataType.simpleString()}" if carry else ""
 

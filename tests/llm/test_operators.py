@@ -134,7 +134,7 @@ def lines_by_force(rows, least, copies):
     return lambda i, t: [x for x in t.split("\n") if last.get(key(x), i) == i]
 
 
-@pytest.mark.parametrize("settings", [{}, {"broadcast_keys": -1}, {"bits_per_doc": 1}])
+@pytest.mark.parametrize("settings", [{}, {"broadcast_keys": -1}, {"most_suspects": -1}])
 def test_lines(docs, rows, unique, settings):
     stay = lines_by_force(rows, 40, 5)
     got = by_id(linededup.drop_repeated(docs, carry=("lang", "source"), **settings), unique)
@@ -144,6 +144,20 @@ def test_lines(docs, rows, unique, settings):
         assert (got[i]["n_lines"], got[i]["n_dropped"], got[i]["kept_text"]) == (t.count("\n") + 1, t.count("\n") + 1 - len(kept), "\n".join(kept))
 
 
+def test_full_filters(spark):
+    """Filters far too small let more through, never less."""
+    rows = [(i, "\n".join(f"a line of its own, {i} {k}, long enough to count as a key" for k in range(50)) + ("\na line that a few have, which must be suspected" if i % 40 == 3 else "")) for i in range(200)]
+    docs = common.id_and_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    few, many = (linededup.suspected(docs, 40, 3, bits) for bits in (1 << 20, 1 << 6))
+    line = int(linededup._hashes([linededup._digest(linededup.key_of(rows[3][1].split("\n")[-1].encode(), 40))]).view(np.int64)[0])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        few, many = ({r[0] for r in x.collect()} for x in (few, many))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert line in few and len(few) < 100 and few <= many and len(many) > 5000
+
+
 def components_by_force(rows, size):
     sets = []
     for _, t, *_ in rows:
