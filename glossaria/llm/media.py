@@ -3,9 +3,13 @@
 `store` turns each text into a grey-scale PNG (its UTF-8 bytes, padded, are the 8-bit samples) and
 appends it to a tar shard in the shared folder, once per distinct content and task.  A row carries
 digest, shard, offset and length.  A shard is named by its own digest and written in one piece, so
-a task that runs twice leaves the same files or unused ones, never a wrong offset.  `headers` fills
-metadata columns by reading only the first 33 bytes of each payload, `read_back` reads the stored
-bytes, checks them against the digest and computes features.  None of these steps shuffles.
+a task that runs twice leaves the same files or unused ones, never a wrong offset.  Then addresses
+become global: of the copies of one content that several tasks stored, the first by shard and offset
+is everyone's; the others are never read, and `unused` lists them.  Only addresses move for that, no
+payloads.  `headers` fills metadata columns by reading only the first 33 bytes of each payload,
+`read_back` reads the stored bytes, checks them against the digest and computes features.
+
+Shards are read and written by Arrow's file systems; s3a and s3n folders are taken as s3.
 
 Null and empty texts are one block of padding.  Equal texts give equal values.  Rows of the input
 that repeat give rows that repeat.  An empty table gives an empty table.
@@ -22,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from glossaria.llm.common import id_and_text, new_path, rows_of
+from glossaria.llm.common import frozen, id_and_text, n_buckets, new_path, rows_of
 
 UNIT = 576
 SHARD_BYTES = 16 << 20
@@ -87,15 +92,23 @@ def _table(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], [n for n, _ in schema])
 
 
-def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, digest, shard, offset, length), written: the shards are complete when this returns."""
-    from glossaria.llm.common import frozen
+def arrow_name(at: str) -> str:
+    """A path as Arrow's file systems know it."""
+    scheme, mark, rest = at.partition("://")
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + mark + rest
+
+
+def file_system(at: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(arrow_name(at))
+
 
+def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, digest, shard, offset, length), written: the shards are complete when this returns, and each content has one address."""
     folder = folder or new_path(docs.sparkSession, "media")
     schema = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
 
     def write(batches):
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         where: dict[bytes, tuple] = {}  # text digest -> where a closed shard holds it
         shard, fresh, waiting = bytearray(), {}, []
@@ -129,7 +142,26 @@ def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_B
         if waiting:
             yield flush()
 
-    return frozen(id_and_text(docs).mapInArrow(write, _STORED), "media-rows")
+    rows = frozen(id_and_text(docs).mapInArrow(write, _STORED), "stored-by-task")
+    n = n_buckets(docs.sparkSession, rows.agg(F.sum("length")).first()[0] or 0)
+    settled = rows.join(moved(rows).drop("length"), (F.col("digest") == F.col("its_digest")) & (F.col("shard") == F.col("its_shard")), "left").select(
+        "doc_id", "n_bytes", "digest", F.coalesce("to.shard", "shard").alias("shard"), F.coalesce("to.offset", "offset").alias("offset"), "length"
+    )
+    # by place, so that a task reads few shards, each in order; rows of one content may be many
+    return frozen(settled.repartitionByRange(n, "shard", "offset", "doc_id").sortWithinPartitions("shard", "offset"), "media-rows")
+
+
+def moved(rows: DataFrame) -> DataFrame:
+    """(its_digest, its_shard, its_offset, length, to): copies of contents that have their address elsewhere, from what tasks stored."""
+    copies = rows.groupBy("digest", "shard").agg(F.min("offset").alias("offset"), F.first("length").alias("length"))
+    first = copies.groupBy("digest").agg(F.min(F.struct("shard", "offset")).alias("to"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of_digest"), "to")
+    found = copies.join(first, F.col("digest") == F.col("of_digest")).where(F.col("shard") != F.col("to.shard"))
+    return found.select(F.col("digest").alias("its_digest"), F.col("shard").alias("its_shard"), F.col("offset").alias("its_offset"), "length", "to")
+
+
+def unused(rows: DataFrame) -> DataFrame:
+    """(shard, offset, length): payloads that nothing refers to, of the rows as tasks stored them."""
+    return moved(rows).select(F.col("its_shard").alias("shard"), F.col("its_offset").alias("offset"), "length")
 
 
 class _Shards:
@@ -140,7 +172,7 @@ class _Shards:
 
     def read(self, shard: str, offset: int, length: int) -> bytes:
         if shard != self.name:
-            fs, path = pafs.FileSystem.from_uri(shard)
+            fs, path = file_system(shard)
             self.name, self.file = shard, fs.open_input_file(path)
         return self.file.read_at(length, offset)
 

@@ -40,7 +40,7 @@ from glossaria.llm.common import WordHashes, frozen, hashes_at_length, joined, m
 TREES, DEPTH = 16, 4
 SHARED = 3  # so many equal hashes of one order put two nodes in one region
 TILE = 4096
-PART, PART_SHINGLES = 2000, 4 << 20  # nodes and shingles of a part of a group whose sets meet in one task
+PART, MEET, PART_SHINGLES = 256, 1024, 4 << 20  # nodes of a part of a group that finds its classes, and of one of two parts that meet at last; shingles of either
 _SLACK = 0.24  # five standard errors of an estimate from TREES * DEPTH hashes at 0.8
 _FACTORS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -266,8 +266,8 @@ def verified(docs: DataFrame, groups: DataFrame, size: int, per_cent: int) -> Da
         held = placed.select(*columns, "holder").hint("shuffle_hash")
         return docs.select("its_row", "text").join(held, F.col("its_row") == F.col("holder")).select(*columns, "text").mapInArrow(rebuild, f"{schema}, members binary")
 
-    def n_parts(n, shingles):
-        return F.greatest(F.ceil(n / PART), F.ceil(shingles / PART_SHINGLES)).cast("long")
+    def n_parts(n, shingles, most=None):
+        return F.greatest(F.ceil(n / (most or PART)), F.ceil(shingles / PART_SHINGLES)).cast("long")
 
     def pairs(nodes: list, found: list[tuple[int, int]]) -> pa.Table:
         return pa.table({"a": pa.array([nodes[x] for x, _ in found], pa.binary()), "b": pa.array([nodes[y] for _, y in found], pa.binary())})
@@ -318,7 +318,7 @@ def verified(docs: DataFrame, groups: DataFrame, size: int, per_cent: int) -> Da
             break
 
     sizes = labels.groupBy("root", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).groupBy("root").agg(F.max(F.struct("n", "label", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
-    sizes = sizes.where(F.col("n") > F.col("top.n")).select(F.col("root").alias("its_root"), F.col("top.label").alias("top"), n_parts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("n_rest"), n_parts(F.col("top.n"), F.col("top.s")).alias("n_top"))
+    sizes = sizes.where(F.col("n") > F.col("top.n")).select(F.col("root").alias("its_root"), F.col("top.label").alias("top"), n_parts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"), MEET).alias("n_rest"), n_parts(F.col("top.n"), F.col("top.s"), MEET).alias("n_top"))
     placed = labels.join(sizes, F.col("root") == F.col("its_root")).withColumn("rest", F.col("label") != F.col("top"))
     own = F.when(F.col("rest"), F.pmod(F.xxhash64("node"), "n_rest")).otherwise(F.col("n_rest") + F.pmod(F.xxhash64("node"), "n_top"))
     others = F.when(F.col("rest"), F.col("n_rest") + F.col("n_top")).otherwise(F.col("n_rest"))

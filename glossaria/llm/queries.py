@@ -7,10 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria.llm import bpe, counts, knn, langid, linededup, media, mixing, neardup, substrings, suffixes
-from glossaria.llm.common import WORD_PATTERN, frozen
 
-PIECE_PATTERN = r"[A-Za-z0-9]+|[^A-Za-z0-9\x00-\x20]"
-LETTERS = r"[A-Za-z]+"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,23 +31,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after six commits: two tokenizer versions, one of them sent twice, deletes of toxic documents, revised counts of those of low quality."""
+    """Totals by source, language and tokenizer after six commits: words, tokens of a byte-level BPE, words sent again, toxic documents taken away,
+    those of low quality counted anew by their letters' words (sent twice)."""
     docs = _docs(spark, sf_dir).select("doc_id", "source", "lang", "text")
     marks = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"), F.max(F.coalesce(F.col("quality") == 0, F.lit(False))).alias("low"))
-    n = lambda p: F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long")
-    base = frozen(docs.select("doc_id", "source", "lang", n(WORD_PATTERN).alias("words"), n(PIECE_PATTERN).alias("pieces"), n(LETTERS).alias("letters")), "token-counts")
-    marked = base.join(marks, "doc_id")
-    signed = lambda df, version, sign, count: df.select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(sign).alias("sign"), F.col(count).alias("n_tokens"))
-    rollup = counts.Rollup(spark)
-    rollup.commit("words-1", signed(base, "words-1", 1, "words"))
-    rollup.commit("pieces-2", signed(base, "pieces-2", 1, "pieces"))
-    rollup.compact()
-    rollup.commit("words-1", signed(base, "words-1", 1, "words"))
-    toxic, low = marked.where("toxic"), marked.where("low and not toxic")
-    rollup.commit("toxic", signed(toxic, "words-1", -1, "words").unionByName(signed(toxic, "pieces-2", -1, "pieces")))
-    rollup.commit("low", signed(low, "words-1", -1, "words").unionByName(signed(low, "words-1", 1, "letters")))
-    rollup.commit("low", signed(low, "words-1", -1, "words"))
-    return rollup.totals()
+    bpe_path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    kept = counts.Counted(spark)
+    kept.add("words", counts.counted(docs, counts.WORDS))
+    kept.add("bpe", counts.counted(docs, "byte-bpe-50k", bpe_path))
+    kept.rollup.compact()
+    kept.add("words", counts.counted(docs, counts.WORDS))
+    kept.remove("toxic", marks.where("toxic").select("doc_id"))
+    low = docs.join(marks.where("low AND NOT toxic").select(F.col("doc_id").alias("its_id")), F.col("doc_id") == F.col("its_id"), "left_semi")
+    anew = counts.counted(low.withColumn("text", F.regexp_replace("text", "[^A-Za-z]+", " ")), counts.WORDS)
+    kept.revise("low", anew)
+    kept.revise("low", anew)
+    return kept.totals()
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,16 +90,6 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CA
            FROM v q, v d WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s)
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 20""",
-    "op4_token_counts": rf"""
-WITH m AS (SELECT doc_id, bool_or(coalesce(toxic = 1, false)) AS toxic, bool_or(coalesce(quality = 0, false)) AS low FROM labels GROUP BY doc_id),
-     d AS (SELECT source, lang, coalesce(toxic, false) AS toxic, coalesce(low, false) AS low,
-                  coalesce(len(regexp_extract_all(text, '{WORD_PATTERN}')), 0) AS words,
-                  coalesce(len(regexp_extract_all(text, '{PIECE_PATTERN}')), 0) AS pieces,
-                  coalesce(len(regexp_extract_all(text, '{LETTERS}')), 0) AS letters
-           FROM documents LEFT JOIN m USING (doc_id)),
-     t AS (SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN low THEN letters ELSE words END AS n FROM d WHERE NOT toxic
-           UNION ALL SELECT source, lang, 'pieces-2', pieces FROM d WHERE NOT toxic)
-SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM t GROUP BY ALL""",
     "op6_near_dedup": r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
      s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[p : p + 3], ' ') END AS sh

@@ -123,6 +123,32 @@ def test_rollup(spark):
         rollup.commit("../x", signed([]))
 
 
+def test_counts_by_document(spark, docs, rows):
+    """The totals equal those of the documents counted one by one, after adds, removals, revisions and repeats."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    tokenizer.encode_special_tokens = True
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    kept = counts.Counted(spark)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id long")
+    assert kept.add("a", counts.counted(docs, "words-1")) and kept.add("b", counts.counted(docs, "bpe", path)) and not kept.add("a", counts.counted(docs, "words-1"))
+    kept.rollup.compact()
+    assert kept.remove("c", ids(3, 15, 15, 999)) and not kept.remove("c", ids(4))
+    revised = docs.where("doc_id IN (17, 18)").withColumn("text", F.concat(F.lit("one two <|endoftext|> "), "text"))
+    kept.revise("d", counts.counted(revised, "bpe", path))
+    kept.revise("d", counts.counted(revised, "bpe", path))
+    kept.remove("e", ids())
+    want = collections.Counter()
+    for i, t, lang, source, _ in rows:
+        if i not in (3, 15):
+            want[source, lang, "words-1"] += np.array([1, len((t or "").encode().split())])
+            want[source, lang, "bpe"] += np.array([1, len(tokenizer.encode(("one two <|endoftext|> " if i in (17, 18) else "") + (t or ""), add_special_tokens=False).ids)])
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in kept.totals().collect()} == {k: tuple(v) for k, v in want.items()}
+    empty = counts.Counted(spark)
+    assert empty.totals().collect() == empty.documents().collect() == [] and empty.remove("x", ids(1)) and empty.totals().collect() == []
+
+
 def lines_by_force(rows, least, copies):
     key = lambda x: lowered(x.strip(SPACES))
     held = collections.defaultdict(list)
@@ -240,7 +266,40 @@ def test_media(docs, unique):
         picture = media.to_png(payload)
         assert media.from_png(picture) == payload and got[i]["media_sha256"] == sha(picture) and got[i]["media_bytes"] == len(picture)
         assert (got[i]["n_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(t.encode()), sha(payload), zlib.crc32(payload[-32:]))
-        assert got[i]["feature"].startswith(f"576x{len(payload) // 576} mean={sum(payload) // len(payload)} ")
+        bins = collections.Counter(x // 32 for x in payload)
+        assert got[i]["feature"] == f"576x{len(payload) // 576} mean={sum(payload) // len(payload)} min={min(payload)} max={max(payload)} hist={'/'.join(str(bins[k]) for k in range(8))}"
+
+
+def test_one_address_for_a_content(spark, tmp_path):
+    """Contents of several tasks have one address; the pictures and the shards are read by other readers."""
+    import io
+    import tarfile
+
+    texts = [f"text {k % 7}" for k in range(60)] + ["x" * 3000, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    stored = media.store(docs, f"file://{tmp_path}/media", shard_bytes=2000)
+    places = {r["digest"]: (r["shard"], r["offset"]) for r in stored.collect()}
+    assert len(places) == 9 == stored.select("digest", "shard", "offset").distinct().count()
+    for r in stored.collect():
+        with tarfile.open(r["shard"].removeprefix("file://")) as t:
+            member = next(m for m in t.getmembers() if m.offset_data == r["offset"])
+            data = t.extractfile(member).read()
+        assert member.name == f"{r['digest']}.png" and len(data) == r["length"] and sha(data) == r["digest"]
+        payload = media.padded((texts[r["doc_id"]] or "").encode())
+        at, samples = 8, b""  # a PNG reader of its own: chunks with their checks, then lines without filters
+        assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+        while at < len(data):
+            n, kind = int.from_bytes(data[at : at + 4]), data[at + 4 : at + 8]
+            body = data[at + 8 : at + 8 + n]
+            assert int.from_bytes(data[at + 8 + n : at + 12 + n]) == zlib.crc32(kind + body)
+            if kind == b"IHDR":
+                width, height, depth, color = int.from_bytes(body[:4]), int.from_bytes(body[4:8]), body[8], body[9]
+            samples += body if kind == b"IDAT" else b""
+            at += 12 + n
+        lines = io.BytesIO(zlib.decompress(samples))
+        assert (width, depth, color, kind) == (576, 8, 0, b"IEND")
+        assert b"".join(line[1:] for line in (lines.read(width + 1) for _ in range(height)) if line[0] == 0) == payload and not lines.read()
+    assert [media.arrow_name(x) for x in ("s3a://bucket/key", "/a/b", "file:///a")] == ["s3://bucket/key", "/a/b", "file:///a"]
 
 
 def targets_by_force(sizes):
