@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from collections.abc import Iterable
+from itertools import groupby
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +23,27 @@ def extract(spark: SparkSession, path: str, out: str | None) -> None:
     if not found:
         print(f"no .md or .txt files under {path}", file=sys.stderr)
         return
-    entries = words.extract_entries(files.read_files(spark, found).withColumnRenamed("content", "text"), "file").cache()
-    for name in found:
+    entries = words.extract_entries(files.read_files(spark, found).withColumnRenamed("content", "text"), "file")
+    rows = entries.orderBy("file", "first_pos").select("file", wordlist_csv.csv_row(F.col("lemma"), F.col("flags")).alias("row"))
+    written = {name: 0 for name in found}
+    for name, own in groupby(rows.toLocalIterator(), key=lambda r: r["file"]):  # one job for all files
+        written[name] = _write(out or files.output_name(name), (r["row"] for r in own))
+    for name, n in written.items():
         target = out or files.output_name(name)
-        own = entries.where(F.col("file") == name)
-        os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
-        with open(target, "w", encoding="utf-8", newline="") as f:
-            f.write(wordlist_csv.to_csv(own, "first_pos"))
-        print(f"{name} → {target} ({own.count()} words)", file=sys.stderr)
+        if not n:
+            _write(target, ())
+        print(f"{name} → {target} ({n} words)", file=sys.stderr)
+
+
+def _write(target: str, rows: Iterable[str]) -> int:
+    """Writes a list under its header; how many rows there were."""
+    os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
+    n = 0
+    with open(target, "w", encoding="utf-8", newline="") as f:
+        f.write(wordlist_csv.HEADER + "\n")
+        for n, row in enumerate(rows, 1):
+            f.write(row + "\n")
+    return n
 
 
 def merge(spark: SparkSession, paths: list[str], out: str | None) -> None:
@@ -37,16 +52,16 @@ def merge(spark: SparkSession, paths: list[str], out: str | None) -> None:
     for p in paths:
         if not os.path.isfile(p):
             raise FileNotFoundError(f"no such file: {p}")
-    rows = wordlist_csv.checked(wordlist_csv.read_lists(files.read_files(spark, paths)))
-    lists = [rows.where(F.col("file") == p).withColumn("pos", F.col("line").cast("long")) for p in paths]
-    merged = words.merge_in_order(*lists)
+    rows = wordlist_csv.checked(wordlist_csv.read_lists(files.read_files(spark, list(dict.fromkeys(paths)))))
+    first = spark.createDataFrame([(p, k) for k, p in enumerate(dict.fromkeys(paths))], "its_file string, list_idx int")
+    merged = words.merged_by_place(rows.join(first, F.col("file") == F.col("its_file")).select("lemma", "flags", "list_idx", F.col("line").cast("long").alias("pos")))
     text = wordlist_csv.to_csv(merged, "seen")
     if not out:
         sys.stdout.write(text)
         return
     with open(out, "w", encoding="utf-8", newline="") as f:
         f.write(text)
-    print(f"{len(paths)} files → {out} ({merged.count()} words)", file=sys.stderr)
+    print(f"{len(paths)} files → {out} ({text.count(chr(10)) - 1} words)", file=sys.stderr)
 
 
 def main(args: list[str] | None = None) -> int:

@@ -25,8 +25,13 @@ SMALL_BYTES = 1 << 30
 
 def spread(docs: DataFrame) -> DataFrame:
     """A small table, often one file and one task, dealt out anew; others as they are."""
-    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else docs
+    few = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(few) if _size(docs) <= SMALL_BYTES else docs
+
+
+def _size(docs: DataFrame) -> int:
+    """Spark's own estimate of the bytes of a table; there is no public call for it."""
+    return int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def word_tokens(docs: DataFrame, *ids: str, text: str = "text", proper_nouns: DataFrame | None = None) -> DataFrame:
@@ -63,9 +68,13 @@ def merge_entries(*lists: DataFrame) -> DataFrame:
 
 def merge_in_order(*lists: DataFrame) -> DataFrame:
     """merge_entries of lists(lemma, flags, pos), with the list and place where each lemma is seen first, to sort by."""
-    every = reduce(DataFrame.unionByName, (x.select("lemma", "flags", F.lit(k).alias("list_idx"), "pos") for k, x in enumerate(lists)))
+    return merged_by_place(reduce(DataFrame.unionByName, (x.select("lemma", "flags", F.lit(k).alias("list_idx"), "pos") for k, x in enumerate(lists))))
+
+
+def merged_by_place(rows: DataFrame) -> DataFrame:
+    """(lemma, flags, seen) from rows(lemma, flags, list_idx, pos) of any number of lists."""
     first = F.min(F.col("list_idx").cast("long") * (1 << 40) + F.col("pos"))
-    return every.groupBy(F.lower("lemma").alias("lemma")).agg(F.bit_or("flags").cast("int").alias("flags"), first.alias("seen")).select("lemma", "flags", "seen")
+    return rows.groupBy(F.lower("lemma").alias("lemma")).agg(F.bit_or("flags").cast("int").alias("flags"), first.alias("seen")).select("lemma", "flags", "seen")
 
 
 def counts(entries: DataFrame) -> DataFrame:

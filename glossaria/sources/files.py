@@ -1,7 +1,8 @@
 """Text files: a single file of any kind, or the .md and .txt files of a tree, hidden names and node_modules left out.
 
 Spark's own file listing skips names that start with an underscore, so the tree is listed on the
-driver and the executors read the bytes.
+driver and the executors read the bytes.  Paths with a scheme (file, s3, hdfs, gs, abfs) go through
+Arrow's file systems, others are local.
 """
 
 from __future__ import annotations
@@ -10,13 +11,48 @@ import os
 from datetime import datetime
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 SUFFIXES = (".md", ".txt")
 
 
+def arrow_name(at: str) -> str:
+    """A path as Arrow's file systems know it."""
+    scheme, mark, rest = at.partition("://")
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + mark + rest
+
+
+def _wanted(names: list[str]) -> bool:
+    """Whether a path within a tree is one of a text, no part of it hidden."""
+    return names[-1].lower().endswith(SUFFIXES) and not any(n.startswith(".") or n == "node_modules" for n in names)
+
+
+def _remote_files(path: str) -> list[str]:
+    fs, top = pafs.FileSystem.from_uri(arrow_name(path))
+    info = fs.get_file_info(top)
+    if info.type == pafs.FileType.File:
+        return [path]
+    if info.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(f"no such file or directory: {path}")
+    found = [f.path for f in fs.get_file_info(pafs.FileSelector(top, recursive=True)) if f.type == pafs.FileType.File]
+    within = [f[len(top.rstrip("/")) + 1 :] for f in found]
+    return sorted(f"{path.rstrip('/')}/{f}" for f in within if _wanted(f.split("/")))
+
+
+def _content(path: str) -> bytes:
+    if "://" in path:
+        fs, at = pafs.FileSystem.from_uri(arrow_name(path))
+        with fs.open_input_stream(at) as f:
+            return f.read()
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def collect_files(path: str) -> list[str]:
     """The files to read; FileNotFoundError or ValueError if path is neither a file nor a folder."""
+    if "://" in path:
+        return _remote_files(path)
     if os.path.isfile(path):
         return [path]
     if not os.path.exists(path):
@@ -26,7 +62,7 @@ def collect_files(path: str) -> list[str]:
     out = []
     for top, dirs, names in os.walk(path):
         dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d != "node_modules")
-        out += [os.path.join(top, n) for n in sorted(names) if not n.startswith(".") and n != "node_modules" and n.lower().endswith(SUFFIXES) and os.path.isfile(os.path.join(top, n))]
+        out += [os.path.join(top, n) for n in sorted(names) if _wanted([n]) and os.path.isfile(os.path.join(top, n))]
     return out
 
 
@@ -35,10 +71,7 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = []
-            for p in b["file"].to_pylist():
-                with open(p, "rb") as f:
-                    texts.append(f.read().decode("utf-8", "replace").removeprefix("﻿"))
+            texts = [_content(p).decode("utf-8", "replace").removeprefix("﻿") for p in b["file"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["file"], pa.array(texts, pa.string())], ["file", "content"])
 
     return spark.createDataFrame([(p,) for p in paths], "file string").repartition(max(1, len(paths) // 16)).mapInArrow(run, "file string, content string")

@@ -59,6 +59,38 @@ def test_files_and_cli(spark, tmp_path, capsys):
     assert cli.main(["merge", str(tmp_path / "m.csv"), str(tmp_path / "bad.csv")]) == 1 and "line 2" in capsys.readouterr().err
 
 
+def test_long_inputs_take_linear_time():
+    import time
+
+    pages = ["<p><b>x y" * 20_000, "<div>" * 20_000 + "x</i>" * 20_000, "<p><button>" + "<div>" * 20_000, "<b>" * 20_000 + "</b>" * 20_000]
+    for page in pages:
+        began = time.process_time()
+        html.page_text(page)
+        assert time.process_time() - began < 2
+    began = time.process_time()
+    assert len(bad('h\n"a,1\n' + "b,2\n" * 100_000)) == 1 and time.process_time() - began < 2
+
+
+def test_html_formatting_is_reopened_three_times_at_most():
+    assert html.page_text("<p><b><b><b><b>a</p><p>b")[0] == "ab"
+    assert html.page_text("<p>a</p></b></i><p>b<i>c</p>d<p>e</i>f")[0] == "a\nb\ncde\nf\n"
+    assert html.page_text("<p hidden>x<p>y", hidden=lambda tag, attrs: False)[0] == "x\ny\n"
+    assert html.page_text("<p>x<code>y</code>", excluded=frozenset())[0] == "x\ny"
+
+
+def test_remote_paths_and_names(tmp_path):
+    from datetime import datetime
+
+    for name in ("a.md", ".b.md", "c/d.TXT", "node_modules/e.md", "_f.txt", "g.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert files.collect_files(f"file://{tmp_path}") == [f"file://{tmp_path}/{n}" for n in ("_f.txt", "a.md", "c/d.TXT")]
+    assert files.collect_files(f"file://{tmp_path}/g.json") == [f"file://{tmp_path}/g.json"] and files._content(f"file://{tmp_path}/a.md") == b"x"
+    with pytest.raises(FileNotFoundError):
+        files.collect_files(f"file://{tmp_path}/none")
+    assert files.export_name(datetime(2024, 2, 9, 7, 5)) == "words-20240209-0705.csv" and files.output_name("/x/a.b.md") == "/x/a.b.words.csv"
+
+
 def test_store_and_stream(spark, tmp_path):
     store = VocabularyStore(spark, str(tmp_path / "store"))
     assert store.get_all().count() == 0
