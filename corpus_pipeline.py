@@ -36,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = linededup.drop_repeated(docs, carry=others)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*(new.get(c, F.col("doc_id") if c == "doc_id" else F.col(f"carried.{c}")).alias(c) for c in docs.columns))
+    return out.select(*(new.get(c, F.col("doc_id") if c == "doc_id" else F.col("carried").getField(c)).alias(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

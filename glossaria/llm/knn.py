@@ -4,11 +4,12 @@ Vectors become whole numbers, floor(64 * x).  With M the largest squared length,
 one more component, sqrt(M - |x|^2), and a query a 0 there; distances between them then order as
 inner products, so the search is for nearest neighbours.  Queries and data go to the nearest of a
 few pivots.  Per cell, summaries (size, largest distance to the pivot, and for data the k + 1
-smallest) give each group of queries a bound on the distance of its k-th neighbour, and from it the
-range of distances to a data cell's pivot that can still matter.  Only data in some range are copied
-to a query group; groups are solved locally, in runs of bounded size, and the runs' best k are
-merged.  In many dimensions the ranges are wide and most data go to most groups: the bounds are
-exact, not tight.  The number of groups grows with the queries, so a group keeps a bounded size.
+smallest) give each cell of queries a bound on the distance of its k-th neighbour, and from it the
+range of distances to a data cell's pivot that can still matter.  Query cells next to each other make
+groups of about GROUP_QUERIES; only data in the range of one of its cells are copied to a group.  Groups
+are solved locally, in runs of bounded size, and the runs' best k are merged.  In many dimensions the
+ranges are wide and most data go to most groups: the bounds are exact, not tight; then a data vector
+moves once for each GROUP_QUERIES queries, and `report` says how much the bounds left out.
 
 A query group or data cell of any size is split into runs by a hash of the id.  On the driver are
 the pivots and the summaries, bounded by n_pivots.  Vectors that are null, or hold null or
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from glossaria.llm.common import frozen
 
 SAMPLE = 2048
-RUN_DATA = 16_384
-GROUP_QUERIES = 1024
+RUN_DATA = 32_768
+GROUP_QUERIES = 4096
+CELL_QUERIES = 64
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -95,8 +97,11 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.n
             yield at + r, ids[t], score[r][t]
 
 
-def top_k(queries: DataFrame, data: DataFrame, k: int = 20, scale: int = 64, group_queries: int = GROUP_QUERIES, run_data: int = RUN_DATA, most_pivots: int = 128) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest inner products of each of queries(vec_id, embedding)."""
+def top_k(queries: DataFrame, data: DataFrame, k: int = 20, scale: int = 64, group_queries: int = GROUP_QUERIES, run_data: int = RUN_DATA, cell_queries: int = CELL_QUERIES, most_pivots: int = 128, report: dict | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k largest inner products of each of queries(vec_id, embedding).
+
+    A report gets the numbers of `groups`, of `data` vectors, and of `copied` ones, all groups counted.
+    """
     spark = data.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     queries, data = whole_numbers(queries, scale), whole_numbers(data, scale)
@@ -106,7 +111,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20, scale: int = 64, gro
     if not n_queries or not n_data:
         return empty
     width = max(1, width, queries.agg(F.max(F.size("v"))).first()[0])
-    n_pivots = max(2, min(most_pivots, -(-n_queries // group_queries)))
+    n_pivots = max(2, min(most_pivots, -(-n_queries // cell_queries)))
     drawn = data.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= (SAMPLE << 20) // n_data).limit(2 * SAMPLE).collect()
     drawn = drawn or data.limit(SAMPLE).collect()
     rows = np.zeros((len(drawn), width), np.int64)
@@ -143,21 +148,41 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20, scale: int = 64, gro
     counts = {r[0]: r[1] for r in in_cells.groupBy("cell").count().collect()}
     groups = {r[0]: (r[1], r[2]) for r in q_in_cells.groupBy("cell").agg(F.count("*"), F.max("gap")).collect()}
     between, slack = _distances(pivots, pivots), 1e-6 * (1 + float(most) ** 0.5)
-    # for each query group and data cell: the range of gaps that can matter, and how many runs the group's data make
-    low, high = np.full((len(pivots), len(pivots)), np.inf), np.full((len(pivots), len(pivots)), -np.inf)
-    runs, parts = np.ones(len(pivots), np.int64), np.ones(len(pivots), np.int64)
-    for g, (n, radius) in groups.items():
+    # for each query cell and data cell the range of gaps that can matter, then for each group
+    chain, left = [], set(groups)
+    while left:
+        chain.append(min(left, key=lambda c: (between[chain[-1], c] if chain else 0, c)))
+        left.remove(chain[-1])
+    group_of, sizes = np.zeros(len(pivots), np.int64), []
+    for g in chain:
+        if not sizes or sizes[-1] + groups[g][0] > group_queries:
+            sizes.append(0)
+        group_of[g] = len(sizes) - 1
+        sizes[-1] += groups[g][0]
+    low, high = np.full((len(sizes), len(pivots)), np.inf), np.full((len(sizes), len(pivots)), -np.inf)
+    for g, (_, radius) in groups.items():
         bounds = np.sort(np.concatenate([radius + between[g, c] + near[c] for c in range(len(pivots))]))
         theta = bounds[k] if len(bounds) > k else np.inf  # the query itself may be one of the k + 1
-        low[g], high[g] = between[g] - radius - theta - slack, between[g] + radius + theta + slack
-        parts[g] = -(-n // (4 * group_queries))
-        runs[g] = max(1, -(-sum(counts.get(c, 0) for c in range(len(pivots)) if low[g, c] <= high[g, c]) // run_data))
+        p = group_of[g]
+        low[p], high[p] = np.minimum(low[p], between[g] - radius - theta - slack), np.maximum(high[p], between[g] + radius + theta + slack)
+    parts = np.array([-(-n // (4 * group_queries)) for n in sizes])
+    runs = np.array([max(1, -(-sum(counts.get(c, 0) for c in range(len(pivots)) if low[p, c] <= high[p, c]) // run_data)) for p in range(len(sizes))])
+
+    if report is not None:
+
+        def counted(batches):
+            for b in batches:
+                cell, gap = b["cell"].to_numpy(), b["gap"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([sum(int(((gap >= low[g][cell]) & (gap <= high[g][cell])).sum()) for g in range(len(sizes)))], pa.int64())], ["n"])
+
+        copied_rows = in_cells.select("cell", "gap").mapInArrow(counted, "n long").agg(F.sum("n")).first()[0]
+        report.update(groups=len(sizes), data=n_data, copied=copied_rows)
 
     def copy(batches):
         for b in batches:
             cell, gap, ids = b["cell"].to_numpy(), b["gap"].to_numpy(), b["vec_id"].to_numpy()
             out = []
-            for g in groups:
+            for g in range(len(sizes)):
                 at = np.flatnonzero((gap >= low[g][cell]) & (gap <= high[g][cell]))
                 run = ids[at] * 0x9E3779B1 % (1 << 61) // 64 % runs[g]
                 out += [(at, np.full(len(at), g), run, np.full(len(at), p)) for p in range(parts[g]) if len(at)]
@@ -167,7 +192,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20, scale: int = 64, gro
 
     def copy_queries(batches):
         for b in batches:
-            cell, ids = b["cell"].to_numpy(), b["vec_id"].to_numpy()
+            cell, ids = group_of[b["cell"].to_numpy()], b["vec_id"].to_numpy()
             part = ids * 0x85EBCA6B % (1 << 61) // 64 % parts[cell]
             at = np.repeat(np.arange(len(cell)), runs[cell])
             run = np.concatenate([np.arange(runs[c]) for c in cell]) if len(cell) else np.empty(0, np.int64)

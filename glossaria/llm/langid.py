@@ -26,9 +26,10 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import starts_of
+from glossaria.llm.common import frozen, starts_of
 
 UNIT = 4096.0
+BROADCAST_PLACES = 200_000
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -125,7 +126,9 @@ def train(docs: DataFrame, per_lang: int = 250, max_bytes: int = 20_000, order:
     by_place = Window.partitionBy("lang").orderBy("long", "place")
     few = places.withColumn("nth", F.row_number().over(by_place)).where(F.col("nth") <= per_lang)  # so many of a language leave a task at most
     few = few.withColumn("before", F.coalesce(F.sum("size").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < per_lang * max_bytes)
-    chosen = few.select(F.col("lang").alias("its_lang"), F.col("place").alias("its_place")).distinct()
+    chosen = frozen(few.select(F.col("lang").alias("its_lang"), F.col("place").alias("its_place")).distinct(), "sample-places")
+    if chosen.count() <= BROADCAST_PLACES:  # else languages without end: a join that moves the texts
+        chosen = F.broadcast(chosen)
     rows = known.select("lang", F.xxhash64("doc_id", "text", F.lit(17)).alias("place"), F.col("text").cast("binary").alias("text"))
     sample = rows.join(chosen, (F.col("lang") == F.col("its_lang")) & (F.col("place") == F.col("its_place"))).select("lang", "place", "text").dropDuplicates(["lang", "place"])
     texts: dict[str, list[bytes]] = {}
@@ -166,18 +169,20 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def recognized(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs, with all columns, whose text isn't `und`; a null lang becomes the predicted one."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    whole = docs.select(F.struct(*(F.col(f"`{c.replace("`", "``")}`") for c in names)).alias("doc"))
 
     def run(batches):
         for b in batches:
-            lang, _ = predicted(shared.value, [(t.as_py() or "").encode() for t in b["text"]])
-            if "lang" in b.schema.names:
-                at = b.schema.get_field_index("lang")
-                filled = pa.array([p if x is None else x for x, p in zip(b["lang"].to_pylist(), lang)], pa.string())
-                b = b.set_column(at, b.schema.field(at), filled)
-            yield b.filter(pa.array([x != "und" for x in lang], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            columns = b["doc"].flatten()
+            lang, _ = predicted(shared.value, [(t.as_py() or "").encode() for t in columns[names.index("text")]])
+            if "lang" in names:
+                at = names.index("lang")
+                columns[at] = pa.array([p if x is None else x for x, p in zip(columns[at].to_pylist(), lang)], pa.string())
+            filled = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(b["doc"].type))], ["doc"])
+            yield filled.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+
+    return whole.mapInArrow(run, whole.schema).select("doc.*")
 
 
 def identify(docs: DataFrame, **training) -> DataFrame:

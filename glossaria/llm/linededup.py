@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glossaria.llm.common import SPACES, Bloom, bloom_of, frozen, id_and_text, n_buckets, rows_of, text_bytes
 
@@ -121,8 +122,8 @@ def drop_repeated(docs: DataFrame, least: int = 40, copies: int = 5, broadcast_k
     spark, n_filters = docs.sparkSession, n_buckets(docs.sparkSession, text_bytes(docs), FILTER_TEXT)
     full, docs = id_and_text(docs, *carry), id_and_text(docs)
     keys = repeated_keys(docs, least, copies, n_filters, most_suspects)
-    schema = "doc_id long, kept_text string, n_lines long, n_dropped long"
-    schema += f", carried {full.schema['carried'].dataType.simpleString()}" if carry else ""
+    schema = StructType.fromDDL("doc_id long, kept_text string, n_lines long, n_dropped long")
+    schema = schema.add("carried", full.schema["carried"].dataType) if carry else schema
 
     def kept(i, text, goes):
         lines = text.split(b"\n")

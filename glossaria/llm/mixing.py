@@ -161,10 +161,10 @@ def resampled(docs: DataFrame, **settings) -> DataFrame:
     key = F.xxhash64("doc.doc_id", "doc.source", "doc.text")  # not the row's number: reruns agree whatever the partitions
     pieces = mixed_pieces(numbered.select(key.alias("doc_id"), F.col("doc.source").alias("source"), F.col("doc.text").alias("text")), **settings).where("size > 0")
     rates = pieces.groupBy("doc_id", "size", "source_no", "offset").agg(F.floor(F.sum("words") * F.lit(1 << 30) / F.col("size")).alias("rate"))
-    # sizes in powers of two part each source's rows in order; a part goes on in chunks by a hash
-    rates = rates.withColumn("tie", F.xxhash64("doc_id", "offset")).withColumn("part", F.shiftleft(F.floor(F.log2("size")).cast("long"), 16) + F.shiftrightunsigned("tie", 48))
+    # parts of one order, by source, size and a hash: sums within parts and over them don't depend on where they end
+    rates = rates.withColumn("tie", F.xxhash64("doc_id", "offset")).repartitionByRange("source_no", "size", "tie").withColumn("part", F.spark_partition_id())
     rates = frozen(rates, "mix-rates")
-    before = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 parts for each power of two at most
+    before = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = rates.groupBy("source_no", "part").agg(F.sum("rate").alias("all"))
     bases = bases.select(F.col("source_no").alias("its_no"), F.col("part").alias("its_part"), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("source_no", "part").orderBy("size", "tie", "doc_id", "offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -39,7 +39,7 @@ def test_knn(spark):
     data = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("cell", F.lit("x")).repartition(4)
     queries = data.where("vec_id % 20 = 0")
     fine = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v] + [0] * (6 - len(v))) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    for settings in ({}, {"group_queries": 3, "run_data": 40}):
+    for settings in ({}, {"group_queries": 3, "run_data": 40}, {"group_queries": 3, "run_data": 40, "cell_queries": 2}):
         got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in knn.top_k(queries, data, 20, **settings).collect())
         want = []
         for i, q in fine:
@@ -60,6 +60,22 @@ def test_knn_of_one_id_far_apart(spark):
     assert found[900, 0] == found[900, 1] == 20
 
 
+def test_bounds_leave_out_other_clusters(spark):
+    """Vectors of one length in tight clusters: most data go to few groups, and the answer is that of all pairs."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (16, 6))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = 4 * centres[rng.integers(0, 16, 2000)] + rng.normal(0, 0.02, (2000, 6))
+    data = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    report = {}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in knn.top_k(data.where("vec_id % 5 = 0"), data, 5, group_queries=40, cell_queries=25, report=report).collect()}
+    v = np.floor(64 * x).astype(np.int64)
+    for q in range(0, 2000, 5):
+        best = sorted((-int(v[q] @ v[j]), j) for j in range(2000) if j != q)[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(j, -s) for s, j in best]
+    assert report["groups"] >= 8 and report["copied"] < 0.5 * report["groups"] * report["data"]
+
+
 def test_bpe(spark, docs, unique):
     from tokenizers import Tokenizer
 
@@ -104,6 +120,51 @@ def test_code_lengths_by_hand():
     assert (m.lengths([b"ab", b"ac", b"a"])[:, 0] == [m.lengths([t])[0, 0] for t in (b"ab", b"ac", b"a")]).all()
 
 
+def ppm_by_force(texts, order, text):
+    """Bits of a text: the longest known context first, escapes of method C down to the empty one, 8 bits more below it."""
+    seen = collections.defaultdict(collections.Counter)
+    for t in texts:
+        for p in range(len(t)):
+            for k in range(min(order, p) + 1):
+                seen[t[p - k : p]][t[p]] += 1
+    bits = 0.0
+    for p in range(len(text)):
+        for k in range(min(order, p), -2, -1):
+            if k < 0:
+                bits += 8
+                break
+            c = seen.get(text[p - k : p])
+            if not c:
+                continue
+            n, d = sum(c.values()), len(c)
+            if text[p] in c:
+                bits -= np.log2(c[text[p]] / (n + d))
+                break
+            bits -= np.log2(d / (n + d))
+    return bits
+
+
+def test_code_lengths_by_force():
+    rng = np.random.default_rng(4)
+    texts = {lang: [bytes(rng.choice(list(letters), rng.integers(1, 40)).tolist()) for _ in range(12)] for lang, letters in (("x", b"abcd"), ("y", b"abez"), ("z", b"q"))}
+    m = langid.Model(texts, order=3)
+    for t in [b"a", b"abcdabez", b"qqqq", b"hello abc", *texts["y"][:3], bytes(rng.choice(list(b"abcdezq!"), 200).tolist())]:
+        got = m.lengths([t])[0] / langid.UNIT
+        assert np.allclose(got, [ppm_by_force(texts[lang], 3, t) for lang in m.langs], atol=0.01 * len(t))
+
+
+def test_held_out_accuracy(spark):
+    """Every language is learned, the one with long documents only, too, and held-out documents are told apart."""
+    import random
+
+    rng = random.Random(6)
+    stock = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(80)] for lang, letters in (("en", "etaoinshr"), ("fr", "esaitnrul"), ("xx", "qwzkvjyb"))}
+    rows = [(i, " ".join(rng.choice(stock[lang]) for _ in range(8000 if lang == "xx" else 40)), lang) for i in range(240) for lang in [("en", "fr", "xx")[i % 3]]]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=20).collect()
+    held = [r["lang_pred"] == rows[r["doc_id"]][2] for r in got if r["held_out"]]
+    assert len(held) > 40 and sum(held) >= 0.95 * len(held) and {r["lang_pred"] for r in got} == {"en", "fr", "xx"}
+
+
 def test_rollup(spark):
     rollup = counts.Rollup(spark)
     signed = lambda rows: spark.createDataFrame(rows, "source string, lang string, tokenizer string, sign int, n_tokens long")
@@ -336,6 +397,25 @@ def test_mixing(docs, rows):
     assert all(abs(taken[s] - target[s]) <= 17 for s in sizes)
 
 
+def test_counts_by_shard(docs):
+    """The table of counts adds up to the sources' slots, slots fill it exactly, and counts scatter as a multinomial draw does."""
+    sizes = docs.sparkSession.createDataFrame([("a", 40_000), ("b", 7_000), (None, 900)], "source string, size long")
+    found = mixing.targets(sizes)
+    counted = mixing.shard_counts(found, block=16, shard_slots=300)
+    slots = mixing.slots(counted, block=16).collect()
+    want = {(r["source_no"], r["shard"]): r["n_slots"] for r in counted.collect()}
+    assert collections.Counter((r["source_no"], r["shard"]) for r in slots) == want and len({s for _, s in want}) > 5
+    target = {r["source_no"]: r["target"] for r in found.collect()}
+    words = collections.Counter()
+    for r in slots:
+        words[r["source_no"]] += r["words"]
+    assert all(abs(words[k] - t) < 17 + 3 * 16 for k, t in target.items()) and len({(r["source_no"], r["slot"]) for r in slots}) == len(slots)
+    n = np.array([c for (no, _), c in want.items() if no == 1])
+    assert abs(n - n.mean()).max() < 6 * np.sqrt(n.mean()) and n.std() > 0.3 * np.sqrt(n.mean())
+    shards = mixing.taken(docs, block=16, shard_slots=20).select("taken", "size", "n_shards").collect()
+    assert all((r["n_shards"] > 0) == (r["taken"] > 0) for r in shards) and max(r["n_shards"] for r in shards) > 3
+
+
 def test_permutation(spark):
     for n in (1, 2, 3, 17, 1000):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k"))).collect()]
@@ -415,6 +495,30 @@ def test_pipeline(spark, docs, rows):
     assert all(r["decoded_sha256"] in texts[r["doc_id"]] and len(r["ids"]) == r["n_tokens"] for r in encoded)
 
 
+def test_stages_keep_other_columns(spark, docs, no_docs, rows):
+    """Columns of any name, those used inside included, pass all stages but the last; empty tables stay empty; null ids stay."""
+    import corpus_pipeline
+
+    odd = "its_id times rate its_row doc its_key nth key stays row_taken its_node root lang_pred score hash".split()
+    at, none = docs, no_docs
+    for k, c in enumerate([*odd, "a.b", "back`tick"]):
+        at = at.withColumn(c, F.concat(F.lit(f"{k} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))) if c not in docs.columns else at
+        none = none.withColumn(c, F.lit("x")) if c not in no_docs.columns else none
+    names, quoted = at.columns, lambda c: "`" + c.replace("`", "``") + "`"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at, none = stage(spark, at, "").cache(), stage(spark, none, "").cache()
+        found = at.collect()
+        assert at.columns == names and none.collect() == [] and found
+        for k, c in enumerate([*odd, "a.b", "back`tick"]):
+            if c not in docs.columns:
+                assert all(r[c] == f"{k} {'none' if r['doc_id'] is None else r['doc_id']}" for r in found), c
+        assert name not in ("language ID", "line dedup") or any(r["doc_id"] is None for r in found)  # later a row with an id stands for it
+    assert corpus_pipeline.STAGES[-1][1](spark, none, "").collect() == [] and corpus_pipeline.STAGES[-1][1](spark, at, "").count() == at.count()
+    known = corpus_pipeline.language(spark, docs.where("doc_id IS NOT NULL"), "").collect()
+    langs = {r[0]: r[2] for r in rows if r[0] is not None}
+    assert all(r["lang"] in ("en", "fr") and langs[r["doc_id"]] in (None, r["lang"]) for r in known)
+
+
 def test_near_copies_without_ids(spark):
     import corpus_pipeline
 
