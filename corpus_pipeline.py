@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria.llm import bpe, langid, linededup, mixing, neardup
-from glossaria.llm.common import frozen
+from glossaria.llm.common import frozen, removed, scratch
 
 ORACLE_SQL = None
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,9 +69,13 @@ STAGES = [("language ID", language), ("line dedup", lines), ("near dedup", near_
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; of what they write on the way only the last stage's tables stay until the driver ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = frozen(docs, name.replace(" ", "-"))
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as made:
+            out = frozen(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            made.remove(out.frozen_at)
+        if k:
+            removed(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -519,6 +519,20 @@ def test_stages_keep_other_columns(spark, docs, no_docs, rows):
     assert all(r["lang"] in ("en", "fr") and langs[r["doc_id"]] in (None, r["lang"]) for r in known)
 
 
+def test_run_cleans_up(spark, docs, tmp_path):
+    """The whole pipeline from a file; of its stages' tables only the last one's input and blocks stay."""
+    import glob
+
+    import corpus_pipeline
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    top = common.shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{top}/*"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 20
+    left = {p.rpartition("/")[2].rpartition("-")[0] for p in set(glob.glob(f"{top}/*")) - before}
+    assert left == {"mixing", "bpe_blocks"}
+
+
 def test_near_copies_without_ids(spark):
     import corpus_pipeline
 
