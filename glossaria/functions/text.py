@@ -59,6 +59,25 @@ def is_word(token: Column) -> Column:
     return token.rlike(WORD) & ~token.rlike(patterns["camel"]) & ~token.rlike(patterns["pascal"])
 
 
+#: Our own short list of given names and places that are hardly ever ordinary words; a larger one is a parameter.
+NAMES = tuple(
+    "adam alan albert alex alice amanda amy andrea andrew angela anna anne anthony arthur barbara ben betty bob brian carol catherine charles charlie chris "
+    "christine claire daniel david deborah dennis diana donald donna dorothy edward elizabeth emily emma eric frank fred gary george greg hannah harry helen "
+    "henry ian isabel james jane janet jason jennifer jessica jim joan joe john jonathan joseph julia julie karen kate kevin laura linda lisa lucy margaret maria "
+    "martin mary matthew michael michelle nancy nicole oliver pamela patricia paul peter philip rachel rebecca richard robert roger ronald ruth sam samuel sandra "
+    "sarah sharon simon sophie stephen steven susan thomas tim timothy tom victoria walter william "
+    "africa america amsterdam asia athens australia austria barcelona beijing belgium berlin boston brazil britain california canada chicago china copenhagen cuba "
+    "denmark dublin edinburgh egypt england europe finland florida france germany greece india iran iraq ireland israel italy japan kenya korea lisbon london "
+    "madrid mexico moscow munich nepal netherlands nigeria norway oslo oxford pakistan paris peru poland portugal prague rome russia scotland seattle singapore "
+    "spain stockholm sweden switzerland sydney texas thailand tokyo toronto ukraine vienna vietnam wales warsaw washington".split()
+)
+
+
+def is_name(token: Column) -> Column:
+    """A capitalised token of NAMES."""
+    return token.rlike("^[A-Z]") & F.lower(token).isin(*NAMES)
+
+
 # Fixed value: the characters that trimming removes.
 _BLANKS = "\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaria.functions.lemma import lemma
-from glossaria.functions.text import is_word, normalize, tokens, trim_all
+from glossaria.functions.text import is_name, is_word, normalize, tokens, trim_all
 
 PUSHED_FLAG = 1 << 0
 ENTRY = "lemma string, flags int"
@@ -34,23 +34,25 @@ def _size(docs: DataFrame) -> int:
     return int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def word_tokens(docs: DataFrame, *ids: str, text: str = "text", proper_nouns: DataFrame | None = None) -> DataFrame:
-    """(*ids, pos, token): the accepted tokens.  Capitalised tokens found in proper_nouns(lower_name) go."""
+def word_tokens(docs: DataFrame, *ids: str, text: str = "text", exclude_proper_nouns: bool = True, proper_nouns: DataFrame | None = None) -> DataFrame:
+    """(*ids, pos, token): the accepted tokens.  Capitalised tokens go if they are known names, or those in proper_nouns(lower_name) if given."""
     cut = spread(docs.select(*ids, text)).select(*ids, tokens(normalize(F.col(text))).alias("tokens"))
     found = cut.select(*ids, F.posexplode("tokens").alias("pos", "token")).where(is_word(F.col("token")))
-    if proper_nouns is None:
+    if not exclude_proper_nouns:
         return found
+    if proper_nouns is None:
+        return found.where(~is_name(F.col("token")))
     names = proper_nouns.select(F.col("lower_name").alias("its_name")).distinct()
     return found.join(names, (F.lower("token") == F.col("its_name")) & F.col("token").rlike("^[A-Z]"), "left_anti")
 
 
-def extract_entries(docs: DataFrame, *ids: str, text: str = "text", proper_nouns: DataFrame | None = None) -> DataFrame:
+def extract_entries(docs: DataFrame, *ids: str, text: str = "text", exclude_proper_nouns: bool = True, proper_nouns: DataFrame | None = None) -> DataFrame:
     """(*ids, lemma, flags, first_pos): the base forms of each document, once, with the place of the first.
 
     Tokens are pre-aggregated by their spelling, so a base form is found once per distinct token of
     a document (or of the corpus, without ids).
     """
-    spelt = word_tokens(docs, *ids, text=text, proper_nouns=proper_nouns).groupBy(*ids, F.lower("token").alias("spelling")).agg(F.min("pos").alias("pos"))
+    spelt = word_tokens(docs, *ids, text=text, exclude_proper_nouns=exclude_proper_nouns, proper_nouns=proper_nouns).groupBy(*ids, F.lower("token").alias("spelling")).agg(F.min("pos").alias("pos"))
     return spelt.groupBy(*ids, lemma(F.col("spelling")).alias("lemma")).agg(F.min("pos").cast("int").alias("first_pos")).select(*ids, "lemma", F.lit(0).alias("flags"), "first_pos")
 
 

@@ -75,7 +75,14 @@ def proper_noun_excluded(spark, sf_dir):
 
 
 def proper_noun_kept(spark, sf_dir):
-    return words.extract_entries(_read(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_lemmas"), F.sum("first_pos").alias("sum_pos"))
+    return words.extract_entries(_read(spark, sf_dir, "documents"), "doc_id", exclude_proper_nouns=False).groupBy("doc_id").agg(F.count("*").alias("n_lemmas"), F.sum("first_pos").alias("sum_pos"))
+
+
+def named_tokens(spark, sf_dir):
+    """Every tenth word of a vocabulary as a name in a sentence, beside the word itself in lower case: names go, other words stay."""
+    b = _vocabulary(spark, sf_dir, "benchmark").select("lemma")
+    name = F.element_at(F.array(*map(F.lit, text.NAMES)), (F.length("lemma") * 7 % len(text.NAMES) + 1).cast("int"))
+    return words.word_tokens(b.select("lemma", F.concat(F.initcap(name), F.lit(" met "), name, F.lit(" and "), F.initcap("lemma")).alias("text")), "lemma").select("lemma", "pos", "token")
 
 
 def conversation_vocabulary(spark, sf_dir):
@@ -306,7 +313,7 @@ def stream_ingest(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokenize, token_reason, english_words, normalize_roundtrip, lemma_pairs, extract_entries, corpus_vocabulary, proper_noun_excluded, proper_noun_kept,
+        tokenize, token_reason, english_words, normalize_roundtrip, lemma_pairs, extract_entries, corpus_vocabulary, proper_noun_excluded, proper_noun_kept, named_tokens,
         conversation_vocabulary, merge_flags, merge_three_lists, counts, pending, mark_pushed, already_known, new_words, definition_lookup, push_outcomes,
         push_summary, push_paused, push_progress, delivery_run, collect_messages, page_collection, create_entries, pushed_entries, word_requests, listed_words, reply_narrowing, login_states, list_import,
         classify_responses, message_guards, csv_roundtrip, csv_errors, collect_pages, page_vocabulary, stream_ingest,
@@ -328,14 +335,17 @@ def _tokens(table: str, ids: str) -> str:
     return f"(SELECT {ids + ', ' if ids else ''}unnest(l) AS token, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM (SELECT {ids + ', ' if ids else ''}{_CUT} AS l FROM {table}))"
 
 
-def _words_sql(table: str, ids: str = "") -> str:
-    return f"(SELECT * FROM {_tokens(table, ids)} WHERE regexp_matches(token, '{_q(text.WORD)}') AND NOT regexp_matches(token, '{_PATTERNS['camel']}') AND NOT regexp_matches(token, '{_PATTERNS['pascal']}'))"
+_NAMED = f"regexp_matches(token, '^[A-Z]') AND lower(token) IN ({', '.join(f"'{n}'" for n in text.NAMES)})"
+
+
+def _words_sql(table: str, ids: str = "", names: bool = False) -> str:
+    return f"(SELECT * FROM {_tokens(table, ids)} WHERE {'' if names else f'NOT ({_NAMED}) AND '}regexp_matches(token, '{_q(text.WORD)}') AND NOT regexp_matches(token, '{_PATTERNS['camel']}') AND NOT regexp_matches(token, '{_PATTERNS['pascal']}'))"
 
 
-def _lemmas(table: str, ids: str = "", where: str = "") -> str:
+def _lemmas(table: str, ids: str = "", where: str = "", names: bool = False) -> str:
     """Base forms by way of distinct spellings."""
     head = ids + ", " if ids else ""
-    spelt = f"(SELECT {head}lower(token) AS spelling, min(pos) AS pos FROM {_words_sql(table, ids)} {where} GROUP BY ALL)"
+    spelt = f"(SELECT {head}lower(token) AS spelling, min(pos) AS pos FROM {_words_sql(table, ids, names)} {where} GROUP BY ALL)"
     return f"(SELECT {head}{lemmas.lemma_sql('spelling')} AS lemma, 0 AS flags, CAST(min(pos) AS INTEGER) AS first_pos FROM {spelt} GROUP BY ALL)"
 
 
@@ -367,8 +377,10 @@ ORACLE_SQL: dict[str, str] = {
     "lemma_pairs": f"SELECT word, {lemmas.lemma_sql('word')} AS lemma FROM (SELECT DISTINCT lower(token) AS word FROM {_words_sql('documents')})",
     "extract_entries": f"SELECT * FROM {_lemmas('documents', 'doc_id')}",
     "corpus_vocabulary": f"SELECT lemma, flags FROM {_VOCABULARY}",
-    "proper_noun_excluded": f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lemmas, CAST(sum(first_pos) AS BIGINT) AS sum_pos FROM {_lemmas('documents', 'doc_id', _NOT_NAMED)} GROUP BY doc_id",
-    "proper_noun_kept": f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lemmas, CAST(sum(first_pos) AS BIGINT) AS sum_pos FROM {_lemmas('documents', 'doc_id')} GROUP BY doc_id",
+    "proper_noun_excluded": f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lemmas, CAST(sum(first_pos) AS BIGINT) AS sum_pos FROM {_lemmas('documents', 'doc_id', _NOT_NAMED, True)} GROUP BY doc_id",
+    "proper_noun_kept": f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lemmas, CAST(sum(first_pos) AS BIGINT) AS sum_pos FROM {_lemmas('documents', 'doc_id', '', True)} GROUP BY doc_id",
+    "named_tokens": f"""SELECT lemma, CAST(pos AS INTEGER) AS pos, token FROM (SELECT lemma, unnest([1, 2, 3, 4]) AS pos, unnest(['met', ([{', '.join(f"'{n}'" for n in text.NAMES)}])[length(lemma) * 7 % {len(text.NAMES)} + 1], 'and', upper(lemma[1]) || lemma[2:]]) AS token FROM {_BOOK})
+WHERE NOT (pos = 4 AND {_NAMED}) AND (pos <> 4 OR NOT (regexp_matches(token, '{_PATTERNS['camel']}') OR regexp_matches(token, '{_PATTERNS['pascal']}')))""",
     "conversation_vocabulary": f"SELECT role, lemma, flags FROM {_lemmas('conversations', 'role')}",
     "merge_flags": f"SELECT lemma, CAST(bit_or(CAST(1 AS INTEGER) << CAST(part AS INTEGER)) AS INTEGER) AS flags FROM {_lemmas('(SELECT *, doc_id % 4 AS part FROM documents)', 'part')} GROUP BY lemma",
     "merge_three_lists": f"SELECT lemma, CAST(bit_or(f) AS INTEGER) AS flags FROM (SELECT lemma, 1 AS f FROM {_VOCABULARY} UNION ALL SELECT lemma, 2 FROM {_lemmas('conversations')} UNION ALL SELECT lemma, 4 FROM {_BOOK}) GROUP BY lemma",

@@ -3,7 +3,8 @@
 The first <article>, else the first <main>, else the body, is read in document order.  Text under
 excluded tags or hidden elements is left out, <br> is a line end, and so is the end of a text whose
 parent is a block tag.  A body with nothing but preformatted text gives that.  A selection, if not
-blank, is taken as it is.  Style sheets are not evaluated, only attributes and inline styles.
+blank, is taken as it is.  What is hidden is told by attributes, inline styles and the rules of <style>
+elements above it whose selectors are a tag, classes and an id; others and linked sheets aren't read.
 """
 
 from __future__ import annotations
@@ -25,11 +26,28 @@ _CLOSES_P = BLOCKS - {"tr", "td", "th", "thead", "tbody", "caption"} | {"pre", "
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _BARRIERS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}}
 _ROOTS = ("article", "main", "body")
-ALIKE, MOST_FORMATS = 3, 64
+ALIKE, MOST_FORMATS, MOST_RULES = 3, 64, 256
 _HEAD = frozenset("head title meta link base script style noscript template".split())
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
 
 
+_RULE = re.compile(r"([^{}@;]+)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"(?P<tag>\*|[a-z][a-z0-9-]*)?(?P<rest>(?:[.#][A-Za-z0-9_-]+)*)$")
+
+
+def hiding_rules(css: str) -> list[tuple[str, frozenset[str], str]]:
+    """(tag, classes, id) of the simple selectors of rules that hide; an empty tag or id fits any."""
+    css = re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}", "", re.sub(r"/\*.*?\*/", "", css, flags=re.S))  # no comments, no media queries
+    found = []
+    for selectors, body in _RULE.findall(css):
+        if _HIDDEN_STYLE.search(body):
+            for m in filter(None, map(_SIMPLE.match, (x.strip() for x in selectors.split(",")))):
+                parts = re.findall(r"[.#][^.#]+", m["rest"])
+                if m["tag"] or parts:
+                    found.append(((m["tag"] or "").replace("*", ""), frozenset(x[1:] for x in parts if x[0] == "."), next((x[1:] for x in parts if x[0] == "#"), "")))
+    return found
+
+
 def is_hidden(tag: str, attrs: dict[str, str | None]) -> bool:
     """What attributes and inline styles say."""
     return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN_STYLE.search(attrs.get("style") or ""))
@@ -46,7 +64,7 @@ class _Page(HTMLParser):
     """Keeps each text and <br> with what is around it; re-opens formatting tags that a block closed.
 
     Time is linear in the page but for re-opened tags, of which there are three alike and
-    MOST_FORMATS in all at most, as in browsers.  What is around a text is kept as counters of open
+    MOST_FORMATS in all at most, as in browsers, and MOST_RULES rules that hide.  What is around a text is kept as counters of open
     elements; an element closed in the middle leaves an empty place among the open ones.
     """
 
@@ -57,6 +75,7 @@ class _Page(HTMLParser):
         self.places: dict[str, list[int]] = defaultdict(list)  # of each tag among the open ones
         self.formats: list[_Element] = []
         self.first: dict[str, _Element] = {}
+        self.rules: list[tuple[str, frozenset[str], str]] = []
         self.in_head = self.unseen = self.unseen_but_pre = 0
         self.events: list[tuple[str | None, bool, bool, bool, tuple[bool, bool, bool]]] = []
 
@@ -116,8 +135,12 @@ class _Page(HTMLParser):
         parent = self.open[-1].tag if self.open else ""
         self.events.append((text, parent in BLOCKS, self.unseen == 0, self.unseen_but_pre == 0, inside))
 
+    def _hidden_by_rule(self, tag: str, attrs: dict) -> bool:
+        classes = set((attrs.get("class") or "").split())
+        return any((not t or t == tag) and c <= classes and (not i or i == attrs.get("id")) for t, c, i in self.rules)
+
     def handle_starttag(self, tag, attrs):
-        hidden = self.is_hidden(tag, dict(attrs))
+        hidden = self.is_hidden(tag, dict(attrs)) or bool(self.rules) and self._hidden_by_rule(tag, dict(attrs))
         if tag in ("html", "body"):
             if tag not in self.first:
                 self._close({"head"})
@@ -157,6 +180,8 @@ class _Page(HTMLParser):
             self._close({tag}, {"table"} if tag not in ("table", "tr", "td", "th", "tbody", "thead") else frozenset())
 
     def handle_data(self, data):
+        if self.open and self.open[-1] and self.open[-1].tag == "style":
+            self.rules = (self.rules + hiding_rules(data))[:MOST_RULES]
         if not self.in_head:
             if "body" not in self.first and not data.strip():
                 return

@@ -2,7 +2,9 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+import glossaria
 from glossaria import cli
+from glossaria.operators import words
 from glossaria.sources import files, html, wordlist_csv
 from glossaria.sources.store import VocabularyStore
 from glossaria.streaming import ingest
@@ -50,6 +52,14 @@ def test_files_and_cli(spark, tmp_path, capsys):
     assert cli.main(["extract", str(tmp_path)]) == 0
     assert (tmp_path / "a.words.csv").read_text() == "lemma,flags\ncat,0\nsit,0\n"
     assert cli.main(["extract", str(tmp_path), "-o", "x"]) == 1 and cli.main(["extract", str(tmp_path / "none")]) == 1
+    (tmp_path / "empty").mkdir()
+    capsys.readouterr()
+    assert cli.main(["extract", str(tmp_path / "empty")]) == 0 and "no .md or .txt files" in capsys.readouterr().err
+    assert cli.main(["extract", str(tmp_path / "a.md"), "-o", str(tmp_path / "new/a.csv")]) == 0 and "(2 words)" in capsys.readouterr().err
+    assert (tmp_path / "new/a.csv").read_text() == "lemma,flags\ncat,0\nsit,0\n"
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+    assert words.PUSHED_FLAG == 1 and glossaria.__version__ in capsys.readouterr().out
     (tmp_path / "m.csv").write_text("lemma,flags\nzoo,1\nCat,2\n")
     capsys.readouterr()
     assert cli.main(["merge", str(tmp_path / "m.csv"), str(tmp_path / "a.words.csv")]) == 0
@@ -78,6 +88,12 @@ def test_html_formatting_is_reopened_three_times_at_most():
     assert html.page_text("<p>x<code>y</code>", excluded=frozenset())[0] == "x\ny"
 
 
+def test_html_style_sheets():
+    css = "/* p{display:none} */ .ad, div.x.y , #z{color:red; display:none!important} @media print { p{display:none} } i{visibility:hidden} p b{display:none} q{display:block}"
+    assert html.page_text(f"<style>{css}</style><p class='a ad'>1<p>2<div class='x'>3</div><div class='y x'>4</div><p id=z>5<p><i>6</i><b>7</b><q>8</q>")[0] == "2\n3\n78"
+    assert html.page_text("<style>p{margin:0}</style><p>x")[0] == "x\n" and html.hiding_rules("*{display:none}") == [("", frozenset(), "")]
+
+
 def test_remote_paths_and_names(tmp_path):
     from datetime import datetime
 
