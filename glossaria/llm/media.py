@@ -148,7 +148,7 @@ def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_B
         "doc_id", "n_bytes", "digest", F.coalesce("to.shard", "shard").alias("shard"), F.coalesce("to.offset", "offset").alias("offset"), "length"
     )
     # by place, so that a task reads few shards, each in order; rows of one content may be many
-    return frozen(settled.repartitionByRange(n, "shard", "offset", "doc_id").sortWithinPartitions("shard", "offset"), "media-rows")
+    return frozen(settled.repartitionByRange(n, F.xxhash64("shard"), "offset", "doc_id").sortWithinPartitions("shard", "offset"), "media-rows")
 
 
 def moved(rows: DataFrame) -> DataFrame:

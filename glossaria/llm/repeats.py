@@ -169,19 +169,21 @@ def exchanged(docs: DataFrame, prepare: Callable, levels: list[Callable], emit:
 
         return settle
 
-    known, crowded = None, 0
-    for level in range(len(levels)):
-
-        def first(batches):
-            for b in batches:
-                for block, data in zip(b["block"].to_pylist(), b["data"].to_pylist()):
-                    yield keys_rows(block, levels[0](pickle.loads(unpacked(data)), None))
+    def first(batches):
+        for b in batches:
+            for block, data in zip(b["block"].to_pylist(), b["data"].to_pylist()):
+                yield keys_rows(block, levels[0](pickle.loads(unpacked(data)), None))
 
-        def next_(left, right, level=level):
+    def next_at(level: int):
+        def next_(left, right):
             found = answers_of(right)
             return pa.Table.from_batches([keys_rows(block, levels[level](state, told(level - 1, state, found)[0])) for block, state in states(left)] or [_sent([])])
 
-        sent = by_block.cogroup(known.groupBy("block")).applyInArrow(next_, _SENT) if level else framed_docs.mapInArrow(first, _SENT)
+        return next_
+
+    known, crowded = None, 0
+    for level in range(len(levels)):
+        sent = by_block.cogroup(known.groupBy("block")).applyInArrow(next_at(level), _SENT) if level else framed_docs.mapInArrow(first, _SENT)
         here = frozen(sent.groupBy("part").applyInArrow(compare_keys, _KNOWN).withColumn("level", F.lit(level)), "known")
         found, crowded = here.agg(F.sum("found"), F.sum("crowded")).first()
         if not found:  # no candidate survives

@@ -53,7 +53,7 @@ def _in(known: np.ndarray, x: np.ndarray) -> np.ndarray:
 def levels_of(window: int) -> list[int]:
     """The lengths before the last: from about LEAST on, each half of the next."""
     found = [window]
-    while found[0] >= 2 * LEAST - 1:
+    while found[0] >= max(2, 2 * LEAST - 1):
         found.insert(0, -(-found[0] // 2))
     return found[:-1] or [-(-window // 2)]
 

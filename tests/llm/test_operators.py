@@ -429,24 +429,62 @@ def test_capped_targets(spark):
     assert got == pytest.approx(targets_by_force(sizes))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 12, 12 << 20])
-def test_windows(docs, rows, unique, block_bytes, monkeypatch):
+@pytest.mark.parametrize(("block_bytes", "window", "least"), [(1 << 12, 13, 7), (12 << 20, 13, 7), (1 << 14, 30, 7), (1 << 14, 13, 1), (1 << 14, 1, 7)])
+def test_windows(docs, rows, unique, block_bytes, window, least, monkeypatch):
     monkeypatch.setattr(repeats.framed, "__defaults__", (block_bytes,))
+    monkeypatch.setattr(substrings, "LEAST", least)
     first, words = {}, [(float("inf") if r[0] is None else r[0], (r[1] or "").encode().split()) for r in rows]
     for i, w in words:
-        for p in range(len(w) - 12):
-            key = tuple(w[p : p + 13])
+        for p in range(len(w) - window + 1):
+            key = tuple(w[p : p + window])
             first[key] = min(first.get(key, i), i)
-    got = by_id(substrings.keep_first(docs), unique)
+    got = by_id(substrings.keep_first(docs, window), unique)
     for i, t in unique.items():
         w = t.encode().split()
-        gone = {q for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < i for q in range(p, p + 13)}
+        gone = {q for p in range(len(w) - window + 1) if first[tuple(w[p : p + window])] < i for q in range(p, p + window)}
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_text"].encode()) == (len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone))
     assert any(r["n_removed"] for r in got.values())
 
 
+def test_levels():
+    assert [substrings.levels_of(n) for n in (1, 2, 12, 13, 14, 50, 100)] == [[1], [1], [6], [7], [7], [7, 13, 25], [7, 13, 25, 50]]
+
+
+def test_nothing_repeats(spark):
+    """No candidate survives the first level: all texts come back whole."""
+    texts = spark.createDataFrame([(i, " ".join(f"{i}w{k}" for k in range(300))) for i in range(6)], "doc_id long, text string").repartition(3)
+    assert all(r["n_removed"] == 0 and len(r["kept_text"].split()) == 300 for r in substrings.keep_first(texts).collect())
+    assert all(r["n_removed"] == 0 and r["n_bytes"] == len(r["kept"]) for r in suffixes.remove_repeated(texts).collect())
+
+
+def test_very_long_texts(spark):
+    """Texts of 3 MB, longer than any block or window inside, twice with one word changed and once by itself."""
+    rng = np.random.default_rng(9)
+    words = [f"{x:x}" for x in rng.integers(1 << 24, 1 << 32, 330_000)]
+    long, other = " ".join(words), " ".join(f"{x:x}" for x in rng.integers(1 << 24, 1 << 32, 330_000))
+    changed = " ".join([*words[:200_000], "changed", *words[200_001:]])
+    texts = [long, changed, other, "x" * 5000, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r for r in suffixes.remove_repeated(docs).collect()}
+    at = len(" ".join(words[:200_000])) + 1
+    for i, (t, word) in enumerate(((long, words[200_000]), (changed, "changed"))):
+        assert bytes(got[i]["kept"]).decode() == word and got[i]["n_removed"] == len(t) - len(word) and got[i]["n_spans"] == 2 and t[at : at + len(word)] == word
+    assert got[2]["n_removed"] == 0 == got[4]["n_removed"] and got[3]["n_removed"] == 5000
+    classes = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in neardup.near_duplicates(docs).collect()}
+    assert classes == {0: (0, 329_996), 1: (0, 329_996), 2: (2, 329_996), 3: (3, 1), 4: (4, 0)}
+    gone = {r["doc_id"]: r["n_removed"] for r in substrings.keep_first(docs).collect()}
+    assert gone == {0: 0, 1: 329_999, 2: 0, 3: 0, 4: 0}
+    line = linededup.drop_repeated(docs, copies=2).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], len(r["kept_text"])) for r in line} == {i: (1, 0, len(t)) for i, t in enumerate(texts)}
+    assert linededup.key_of((b" " * 100_000) + b"A" * 100_000, 40) == b"a" * 100_000 and linededup.key_of("é".encode() * 39, 40) is None
+    payload = {r["doc_id"]: r["payload_sha256"] for r in media.read_back(media.headers(media.store(docs, shard_bytes=1 << 20))).collect()}
+    assert payload == {i: sha(media.padded(t.encode())) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize(("block_bytes", "sorted_bytes", "crowded"), [(1 << 12, 1 << 21, 1 << 14), (8 << 20, 1 << 21, 1 << 14), (8 << 20, 600, 1 << 14), (1 << 12, 1 << 21, 2), (1 << 12, 1 << 21, 6), (8 << 20, 1 << 21, 2)])
-def test_suffixes(docs, rows, unique, block_bytes, sorted_bytes, crowded, monkeypatch):
+@pytest.mark.parametrize("chunk", [1 << 20, 700])
+def test_suffixes(docs, rows, unique, block_bytes, sorted_bytes, crowded, chunk, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
     monkeypatch.setattr(repeats.framed, "__defaults__", (block_bytes,))
     monkeypatch.setattr(suffixes, "SORTED", sorted_bytes)
     monkeypatch.setattr(suffixes, "CROWDED", crowded)
@@ -467,7 +505,12 @@ def test_suffixes(docs, rows, unique, block_bytes, sorted_bytes, crowded, monkey
 def test_suffix_array(n, letters):
     text = np.random.default_rng(n).integers(256 - letters, 256, n).astype(np.uint8)
     raw = text.tobytes()
-    assert suffixes.suffix_array(text, n + 8).tolist() == sorted(range(n), key=lambda i: raw[i:])
+    order = sorted(range(n), key=lambda i: raw[i:])
+    assert suffixes.suffix_array(text, n + 8).tolist() == order
+    for share in (0.02, 0.3):
+        needed = np.random.default_rng(1).random(n) < share
+        some = suffixes.suffix_array(text, n + 8, needed)
+        assert some[needed[some]].tolist() == [i for i in order if needed[i]]
 
 
 def test_pipeline(spark, docs, rows):
