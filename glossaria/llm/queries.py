@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from glossaria.llm import bpe, counts, knn, langid, linededup, media, mixing, neardup, substrings, suffixes
 
 
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -15,10 +15,11 @@ The anchors of `CROWDED` segments or more, all blocks counted, therefore send no
 96 bits of each different string, dealt over all ranges, so no range gets more than one entry a block
 of any string.  What shares a name is then compared by its bytes, again one entry a block and string.
 
-Segments that share an anchor but differ form a text whose suffix array is built by two-stage sorting: suffixes smaller than their successors are sorted
-directly, the others are induced by scanning the buckets of first bytes in order, and common
-prefixes of neighbours say which strings repeat.  Order beyond `length` bytes doesn't matter and
-isn't computed.
+Segments that share an anchor but differ form a text whose suffix array is built by two-stage
+sorting: suffixes smaller than their successors are sorted directly, the others are induced by
+scanning the buckets of first bytes in order, and common prefixes of neighbours say which strings
+repeat.  Only suffixes that a string starts with, and those they are induced from, are sorted; order
+beyond `length` bytes doesn't matter and isn't computed.
 
 Null and empty texts have no bytes.  Texts shorter than `length` are kept whole.  Rows that repeat
 are separate documents, so both copies go.
