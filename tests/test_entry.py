@@ -33,7 +33,7 @@ def test_imports_without_the_optional_part(tmp_path):
     shutil.copytree(os.path.join(root, "glossaria"), tmp_path / "glossaria", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; assert 'corpus_vocabulary' in e.queries() and not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']"
-    env = os.environ | {"PYTHONPATH": str(tmp_path)}
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(filter(None, [str(tmp_path), os.environ.get("PYTHONPATH")]))}  # what the caller has there stays
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
     shutil.copytree(os.path.join(root, "tests"), tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_words.py", "tests/test_entry.py", "-k", "by_hand or corpus_vocabulary or push_summary"], cwd=tmp_path, check=True, env=env)
