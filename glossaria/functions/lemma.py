@@ -101,3 +101,54 @@ def lemma_sql(word: str) -> str:
         fixed = f"CASE WHEN {s} IN ({quoted(DOUBLE)}) THEN {s} WHEN regexp_matches({s}, '{_DOUBLED}') THEN {stem(s, 1)} WHEN regexp_matches({s}, '{_MUTE_E}') OR (regexp_matches({s}, '{_SHORT}') AND length({s}) >= 3) THEN {s} || 'e' ELSE {s} END"
         parts.append(f"WHEN regexp_matches({w}, '{pattern}') AND length({w}) >= {least} THEN {fixed if repair else f"{s} || '{add}'"}")
     return f"CASE {' '.join(parts)} ELSE {w} END"
+
+
+_TWICE = "(bb|cc|dd|ff|gg|kk|ll|mm|nn|pp|rr|ss|tt|vv|zz)"
+#: (pattern, least length, letters to cut, letters to add, pattern of the stem that rules it out, weight): what a spelling may also be a form of.
+#: What the rules give weighs most; -f and -fe only count where nothing else is a word.
+LIKELY, POSSIBLE, LAST = 4.0, 1.0, 1e-9
+CANDIDATES = (
+    (r"[aeiouy].*ing$", 5, 3, "", _SHORT, POSSIBLE),
+    (r"[aeiouy].*ing$", 5, 3, "e", r"[eoy]$", POSSIBLE),
+    (rf"[aeiouy].*{_TWICE}ing$", 5, 4, "", "", POSSIBLE),
+    (r"[aeiouy].*[^e]ed$", 4, 2, "", _SHORT, POSSIBLE),
+    (r"[^e]ed$", 4, 1, "", "", POSSIBLE),
+    (rf"[aeiouy].*{_TWICE}ed$", 4, 3, "", "", POSSIBLE),
+    (r"ie[ds]$", 5, 3, "y", "", POSSIBLE),
+    (r"ie[ds]$", 4, 1, "", "", POSSIBLE),
+    (r"[^isu]s$", 4, 1, "", "", POSSIBLE),
+    (r"(s|x|z|ch|sh|o)es$", 5, 2, "", "", POSSIBLE),
+    (r"ves$", 5, 3, "f", "", LAST),
+    (r"ves$", 5, 3, "fe", "", LAST),
+)
+#: A base has a vowel and two letters at least.
+_BASE = r"^.*[aeiouy].*$"
+
+
+def candidates(word: Column) -> Column:
+    """An array of (base, weight): what the rules make of a word, then what else it may be a form of.  Irregular forms, short words, contractions and compounds have one."""
+    w = F.lower(word)
+    first = F.struct(lemma(word).alias("base"), F.lit(LIKELY).alias("weight"))
+    more = []
+    for pattern, least, cut, add, without, weight in CANDIDATES:
+        base = F.concat(_cut(w, cut), F.lit(add))
+        fits = w.rlike(pattern) & (F.length(w) >= least) & base.rlike(_BASE) & (F.length(base) >= 2)
+        if without:
+            fits &= ~_cut(w, cut).rlike(without)
+        more.append(F.when(fits, F.struct(base.alias("base"), F.lit(weight).alias("weight"))))
+    settled = w.rlike("['-]") | w.isin(*TABLE) | w.isin(*KEEP) | (F.length(w) < 4)
+    return F.when(settled, F.array(first)).otherwise(F.array_compact(F.array(first, *more)))
+
+
+def candidates_sql(word: str) -> str:
+    """The same as SQL text: a list of structs."""
+    w = f"lower({word})"
+    quoted = lambda words: ", ".join(f"'{x}'" for x in words)
+    first = f"{{'base': {lemma_sql(word)}, 'weight': CAST({LIKELY} AS DOUBLE)}}"
+    more = []
+    for pattern, least, cut, add, without, weight in CANDIDATES:
+        stem = f"substr({w}, 1, length({w}) - {cut})"
+        fits = f"regexp_matches({w}, '{pattern}') AND length({w}) >= {least} AND regexp_matches({stem} || '{add}', '{_BASE}') AND length({stem} || '{add}') >= 2" + (f" AND NOT regexp_matches({stem}, '{without}')" if without else "")
+        more.append(f"CASE WHEN {fits} THEN {{'base': {stem} || '{add}', 'weight': CAST({weight} AS DOUBLE)}} END")
+    settled = f"regexp_matches({w}, '[''-]') OR {w} IN ({quoted([*TABLE, *KEEP])}) OR length({w}) < 4"
+    return f"CASE WHEN {settled} THEN [{first}] ELSE list_filter([{first}, {', '.join(more)}], lambda x: x IS NOT NULL) END"

@@ -59,23 +59,30 @@ def is_word(token: Column) -> Column:
     return token.rlike(WORD) & ~token.rlike(patterns["camel"]) & ~token.rlike(patterns["pascal"])
 
 
-#: Our own short list of given names and places that are hardly ever ordinary words; a larger one is a parameter.
-NAMES = tuple(
-    "adam alan albert alex alice amanda amy andrea andrew angela anna anne anthony arthur barbara ben betty bob brian carol catherine charles charlie chris "
-    "christine claire daniel david deborah dennis diana donald donna dorothy edward elizabeth emily emma eric frank fred gary george greg hannah harry helen "
-    "henry ian isabel james jane janet jason jennifer jessica jim joan joe john jonathan joseph julia julie karen kate kevin laura linda lisa lucy margaret maria "
-    "martin mary matthew michael michelle nancy nicole oliver pamela patricia paul peter philip rachel rebecca richard robert roger ronald ruth sam samuel sandra "
-    "sarah sharon simon sophie stephen steven susan thomas tim timothy tom victoria walter william "
-    "africa america amsterdam asia athens australia austria barcelona beijing belgium berlin boston brazil britain california canada chicago china copenhagen cuba "
-    "denmark dublin edinburgh egypt england europe finland florida france germany greece india iran iraq ireland israel italy japan kenya korea lisbon london "
-    "madrid mexico moscow munich nepal netherlands nigeria norway oslo oxford pakistan paris peru poland portugal prague rome russia scotland seattle singapore "
-    "spain stockholm sweden switzerland sydney texas thailand tokyo toronto ukraine vienna vietnam wales warsaw washington".split()
-)
-
-
-def is_name(token: Column) -> Column:
-    """A capitalised token of NAMES."""
-    return token.rlike("^[A-Z]") & F.lower(token).isin(*NAMES)
+#: A candidate with what stands between it and the one before.
+GAPPED = r"[^A-Za-z0-9$]*" + CANDIDATE
+#: In a gap, and at the end of a candidate, what a sentence, a quotation or a line may begin after.
+BREAK, BREAK_BEFORE = r"^[^A-Za-z0-9$]*[.!?:;\"()\[\]\n\r|*#]", r"[.:]$"
+CAPITAL = r"^[A-Z].*[a-z]"
+#: Words that no evidence makes names: I in all its forms, and what often begins a sentence about two.
+NEVER_NAMES = ("i'm", "i'll", "i'd", "i've", "he", "she", "it", "we", "you", "they", "this", "that", "these", "those", "both", "who", "his", "her", "its", "our", "your", "their", "my")
+
+
+def placed(found: Column) -> Column:
+    """An array of (token, mid) from the array that GAPPED finds in a normalised text; mid says that a capital letter there would tell a name.
+
+    That is so for a token that nothing begins with, and for one that does if `and` or `or` joins it to
+    a capitalised token that nothing begins with.
+    """
+    bare = lambda x: F.regexp_replace(x, "^[^A-Za-z0-9$]+", "")
+    begins = lambda x, before: before.isNull() | x.rlike(BREAK) | before.rlike(BREAK_BEFORE)
+
+    def one(x: Column, i: Column) -> Column:
+        before, then, other = F.get(found, i - 1), F.get(found, i + 1), F.get(found, i + 2)
+        paired = bare(then).isin("and", "or") & ~then.rlike(BREAK) & bare(other).rlike(CAPITAL) & ~other.rlike(BREAK) & ~x.rlike(BREAK_BEFORE)
+        return F.struct(F.regexp_replace(bare(x), TRAILING, "").alias("token"), (~begins(x, before) | F.coalesce(paired, F.lit(False))).alias("mid"))
+
+    return F.transform(found, one)
 
 
 # Fixed value: the characters that trimming removes.

@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossaria.functions.lemma import lemma
-from glossaria.functions.text import is_name, is_word, normalize, tokens, trim_all
+from glossaria.functions.lemma import candidates, lemma
+from glossaria.functions.text import CAPITAL, GAPPED, NEVER_NAMES, is_word, normalize, placed, tokens, trim_all
 
 PUSHED_FLAG = 1 << 0
 ENTRY = "lemma string, flags int"
@@ -35,25 +35,91 @@ def _size(docs: DataFrame) -> int:
 
 
 def word_tokens(docs: DataFrame, *ids: str, text: str = "text", exclude_proper_nouns: bool = True, proper_nouns: DataFrame | None = None) -> DataFrame:
-    """(*ids, pos, token): the accepted tokens.  Capitalised tokens go if they are known names, or those in proper_nouns(lower_name) if given."""
+    """(*ids, pos, token): the accepted tokens.  Capitalised tokens go if they are in proper_nouns(lower_name), by default those that the documents' own case tells."""
     cut = spread(docs.select(*ids, text)).select(*ids, tokens(normalize(F.col(text))).alias("tokens"))
     found = cut.select(*ids, F.posexplode("tokens").alias("pos", "token")).where(is_word(F.col("token")))
-    if not exclude_proper_nouns:
-        return found
-    if proper_nouns is None:
-        return found.where(~is_name(F.col("token")))
-    names = proper_nouns.select(F.col("lower_name").alias("its_name")).distinct()
-    return found.join(names, (F.lower("token") == F.col("its_name")) & F.col("token").rlike("^[A-Z]"), "left_anti")
+    return _without_names(found, F.lower("token"), F.col("token").rlike("^[A-Z]"), _names_for(docs, text, proper_nouns)) if exclude_proper_nouns else found
 
 
-def extract_entries(docs: DataFrame, *ids: str, text: str = "text", exclude_proper_nouns: bool = True, proper_nouns: DataFrame | None = None) -> DataFrame:
+def _names_for(docs: DataFrame, text: str, given: DataFrame | None) -> DataFrame:
+    return names_by_case(docs, text) if given is None else given.select("lower_name").distinct()
+
+
+def _without_names(rows: DataFrame, spelling: Column, capital: Column, names: DataFrame) -> DataFrame:
+    return rows.join(names.select(F.col("lower_name").alias("its_name")), (spelling == F.col("its_name")) & capital, "left_anti")
+
+
+def _placed_tokens(docs: DataFrame, text: str) -> DataFrame:
+    """(pos, token, mid) of the accepted tokens; see text.placed."""
+    found = spread(docs.select(text)).select(F.regexp_extract_all(normalize(F.col(text)), F.lit(GAPPED), F.lit(0)).alias("found"))
+    cut = found.select(F.posexplode(placed(F.col("found"))).alias("pos", "at")).select("pos", "at.token", "at.mid")
+    return cut.where(is_word(F.col("token")))
+
+
+#: A name is capitalised in this share of the places where case tells something, and there so many times at least.
+NAME_SHARE, NAME_LEAST = 0.75, 1
+
+
+def _capital(token: str) -> Column:
+    return F.col(token).rlike(CAPITAL) & ~F.lower(token).isin(*NEVER_NAMES)
+
+
+def _told_by_case(capitals: Column, places: Column, share: float, least: int) -> Column:
+    return (capitals >= least) & (capitals >= share * places)
+
+
+def case_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(lower_name, n_capital, n_places): how often a spelling stands where a capital letter would tell a name, and how often it has one there."""
+    at = _placed_tokens(docs, text).where("mid")
+    return at.groupBy(F.lower("token").alias("lower_name")).agg(F.count_if(_capital("token")).alias("n_capital"), F.count("*").alias("n_places"))
+
+
+def names_by_case(docs: DataFrame, text: str = "text", share: float = NAME_SHARE, least: int = NAME_LEAST) -> DataFrame:
+    """(lower_name, n_capital, n_places): the proper nouns of documents, told by how they are spelt within sentences.  A word seen only where sentences begin is none."""
+    return case_counts(docs, text).where(_told_by_case(F.col("n_capital"), F.col("n_places"), share, least))
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): how often each spelling occurs, in lower case."""
+    return word_tokens(docs, text=text, exclude_proper_nouns=False).groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n"))
+
+
+def base_forms(spellings: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, lemma) for the distinct words of spellings(word): of what a word may be a form of, what vocabulary(word, n) has most often, the rules' own choice counting several times.
+
+    If none of them is in the vocabulary, the rules' choice stays.
+    """
+    one = spellings.select(F.lower("word").alias("word")).distinct().select("word", F.posexplode(candidates(F.col("word"))).alias("nth", "may_be")).select("word", "nth", "may_be.base", "may_be.weight")
+    known = vocabulary.groupBy(F.lower("word").alias("its_word")).agg(F.sum("n").alias("n"))
+    rated = one.join(known, F.col("base") == F.col("its_word"), "left").withColumn("score", F.coalesce(F.col("n") * F.col("weight"), F.lit(0.0)))
+    return rated.groupBy("word").agg(F.max_by("base", F.struct("score", -F.col("nth"))).alias("lemma"))
+
+
+def extract_entries(docs: DataFrame, *ids: str, text: str = "text", exclude_proper_nouns: bool = True, proper_nouns: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """(*ids, lemma, flags, first_pos): the base forms of each document, once, with the place of the first.
 
     Tokens are pre-aggregated by their spelling, so a base form is found once per distinct token of
-    a document (or of the corpus, without ids).
+    a document (or of the corpus, without ids).  With a vocabulary(word, n) base forms are those of
+    base_forms, found once per distinct word and joined back.  Without ids and names of one's own the
+    text is read once, for the names and for the words.
     """
-    spelt = word_tokens(docs, *ids, text=text, exclude_proper_nouns=exclude_proper_nouns, proper_nouns=proper_nouns).groupBy(*ids, F.lower("token").alias("spelling")).agg(F.min("pos").alias("pos"))
-    return spelt.groupBy(*ids, lemma(F.col("spelling")).alias("lemma")).agg(F.min("pos").cast("int").alias("first_pos")).select(*ids, "lemma", F.lit(0).alias("flags"), "first_pos")
+    if exclude_proper_nouns and proper_nouns is None and not ids:
+        seen, capital = _placed_tokens(docs, text).groupBy(F.lower("token").alias("spelling")), F.col("token").rlike("^[A-Z]")
+        told = F.col("mid") & _capital("token")
+        spelt = seen.agg(F.min("pos").alias("any"), F.min(F.when(~capital, F.col("pos"))).alias("plain"), F.count_if(told).alias("n"), F.count_if("mid").alias("of"))
+        spelt = spelt.select("spelling", F.when(_told_by_case(F.col("n"), F.col("of"), NAME_SHARE, NAME_LEAST), F.col("plain")).otherwise(F.col("any")).alias("pos")).where("pos IS NOT NULL")
+    else:
+        found = word_tokens(docs, *ids, text=text, exclude_proper_nouns=False)
+        if exclude_proper_nouns:
+            spelt = found.groupBy(*ids, F.lower("token").alias("spelling"), F.col("token").rlike("^[A-Z]").alias("capital")).agg(F.min("pos").alias("pos"))
+            spelt = _without_names(spelt, F.col("spelling"), F.col("capital"), _names_for(docs, text, proper_nouns))
+        else:
+            spelt = found.groupBy(*ids, F.lower("token").alias("spelling")).agg(F.min("pos").alias("pos"))
+    base = lemma(F.col("spelling"))
+    if vocabulary is not None:
+        bases = base_forms(vocabulary, vocabulary).select(F.col("word").alias("its_word"), F.col("lemma").alias("its_lemma"))
+        spelt, base = spelt.join(bases, F.col("spelling") == F.col("its_word"), "left"), F.coalesce(F.col("its_lemma"), base)
+    return spelt.groupBy(*ids, base.alias("lemma")).agg(F.min("pos").cast("int").alias("first_pos")).select(*ids, "lemma", F.lit(0).alias("flags"), "first_pos")
 
 
 def create_entries(words: DataFrame, word: str = "word", flags: int = 0) -> DataFrame:

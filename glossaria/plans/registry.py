@@ -79,10 +79,27 @@ def proper_noun_kept(spark, sf_dir):
 
 
 def named_tokens(spark, sf_dir):
-    """Every tenth word of a vocabulary as a name in a sentence, beside the word itself in lower case: names go, other words stay."""
+    """Each word of a vocabulary beside a name made of it: names go, the words stay, at the sentence's start and within it."""
     b = _vocabulary(spark, sf_dir, "benchmark").select("lemma")
-    name = F.element_at(F.array(*map(F.lit, text.NAMES)), (F.length("lemma") * 7 % len(text.NAMES) + 1).cast("int"))
-    return words.word_tokens(b.select("lemma", F.concat(F.initcap(name), F.lit(" met "), name, F.lit(" and "), F.initcap("lemma")).alias("text")), "lemma").select("lemma", "pos", "token")
+    sentence = F.concat(F.initcap("lemma"), F.lit(" met "), F.initcap("lemma"), F.lit("ovich and "), F.col("lemma"))
+    return words.word_tokens(b.select("lemma", sentence.alias("text")), "lemma").select("lemma", "pos", "token")
+
+
+def proper_nouns(spark, sf_dir):
+    """The names that the documents' own case tells."""
+    return words.names_by_case(_read(spark, sf_dir, "documents"))
+
+
+def lemma_by_vocabulary(spark, sf_dir):
+    """Every spelling's base form, chosen by how often each candidate occurs in the documents."""
+    v = words.vocabulary(_read(spark, sf_dir, "documents"))
+    return words.base_forms(v, v)
+
+
+def vocabulary_entries(spark, sf_dir):
+    """The conversations' words by role, their base forms chosen by the vocabulary of documents and conversations together."""
+    d, c = _read(spark, sf_dir, "documents").select("text"), _read(spark, sf_dir, "conversations")
+    return words.extract_entries(c, "role", vocabulary=words.vocabulary(d.unionByName(c.select("text"))))
 
 
 def conversation_vocabulary(spark, sf_dir):
@@ -313,7 +330,7 @@ def stream_ingest(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokenize, token_reason, english_words, normalize_roundtrip, lemma_pairs, extract_entries, corpus_vocabulary, proper_noun_excluded, proper_noun_kept, named_tokens,
+        tokenize, token_reason, english_words, normalize_roundtrip, lemma_pairs, extract_entries, corpus_vocabulary, proper_noun_excluded, proper_noun_kept, named_tokens, proper_nouns, lemma_by_vocabulary, vocabulary_entries,
         conversation_vocabulary, merge_flags, merge_three_lists, counts, pending, mark_pushed, already_known, new_words, definition_lookup, push_outcomes,
         push_summary, push_paused, push_progress, delivery_run, collect_messages, page_collection, create_entries, pushed_entries, word_requests, listed_words, reply_narrowing, login_states, list_import,
         classify_responses, message_guards, csv_roundtrip, csv_errors, collect_pages, page_vocabulary, stream_ingest,
@@ -335,18 +352,50 @@ def _tokens(table: str, ids: str) -> str:
     return f"(SELECT {ids + ', ' if ids else ''}unnest(l) AS token, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM (SELECT {ids + ', ' if ids else ''}{_CUT} AS l FROM {table}))"
 
 
-_NAMED = f"regexp_matches(token, '^[A-Z]') AND lower(token) IN ({', '.join(f"'{n}'" for n in text.NAMES)})"
+_CAPITAL = f"regexp_matches(token, '{text.CAPITAL}') AND lower(token) NOT IN ({', '.join(f"'{_q(n)}'" for n in text.NEVER_NAMES)})"
+_IS_WORD = f"regexp_matches(token, '{_q(text.WORD)}') AND NOT regexp_matches(token, '{_PATTERNS['camel']}') AND NOT regexp_matches(token, '{_PATTERNS['pascal']}')"
+
+
+def _bare(x: str) -> str:
+    return f"regexp_replace({x}, '^[^A-Za-z0-9$]+', '')"
+
+
+_BREAK, _BEFORE = _q(text.BREAK), _q(text.BREAK_BEFORE)
+_MID = f"""NOT (l[i - 1] IS NULL OR regexp_matches(x, '{_BREAK}') OR regexp_matches(l[i - 1], '{_BEFORE}')) OR coalesce({_bare('l[i + 1]')} IN ('and', 'or') AND NOT regexp_matches(l[i + 1], '{_BREAK}')
+AND regexp_matches({_bare('l[i + 2]')}, '{text.CAPITAL}') AND NOT regexp_matches(l[i + 2], '{_BREAK}') AND NOT regexp_matches(x, '{_BEFORE}'), false)"""
+
+
+def _cases(table: str) -> str:
+    """(lower_name, n_capital, n_places)"""
+    at = f"(SELECT p.token AS token, p.mid AS mid FROM (SELECT unnest(list_transform(l, lambda x, i: {{'token': regexp_replace({_bare('x')}, '{_q(text.TRAILING)}', ''), 'mid': {_MID}}})) AS p FROM (SELECT regexp_extract_all(text, '{_q(text.GAPPED)}') AS l FROM {table})))"
+    return f"(SELECT lower(token) AS lower_name, CAST(count(*) FILTER ({_CAPITAL}) AS BIGINT) AS n_capital, CAST(count(*) AS BIGINT) AS n_places FROM {at} WHERE mid AND {_IS_WORD} GROUP BY ALL)"
+
+
+def _case_names(table: str) -> str:
+    return f"(SELECT * FROM {_cases(table)} WHERE n_capital >= {words.NAME_LEAST} AND n_capital >= {words.NAME_SHARE} * n_places)"
 
 
 def _words_sql(table: str, ids: str = "", names: bool = False) -> str:
-    return f"(SELECT * FROM {_tokens(table, ids)} WHERE {'' if names else f'NOT ({_NAMED}) AND '}regexp_matches(token, '{_q(text.WORD)}') AND NOT regexp_matches(token, '{_PATTERNS['camel']}') AND NOT regexp_matches(token, '{_PATTERNS['pascal']}'))"
+    no_names = f"NOT (regexp_matches(token, '^[A-Z]') AND lower(token) IN (SELECT lower_name FROM {_case_names(table)})) AND "
+    return f"(SELECT * FROM {_tokens(table, ids)} WHERE {'' if names else no_names}{_IS_WORD})"
+
+
+def _spelt(table: str, ids: str = "", where: str = "", names: bool = False) -> str:
+    head = ids + ", " if ids else ""
+    return f"(SELECT {head}lower(token) AS spelling, min(pos) AS pos FROM {_words_sql(table, ids, names)} {where} GROUP BY ALL)"
 
 
 def _lemmas(table: str, ids: str = "", where: str = "", names: bool = False) -> str:
     """Base forms by way of distinct spellings."""
     head = ids + ", " if ids else ""
-    spelt = f"(SELECT {head}lower(token) AS spelling, min(pos) AS pos FROM {_words_sql(table, ids, names)} {where} GROUP BY ALL)"
-    return f"(SELECT {head}{lemmas.lemma_sql('spelling')} AS lemma, 0 AS flags, CAST(min(pos) AS INTEGER) AS first_pos FROM {spelt} GROUP BY ALL)"
+    return f"(SELECT {head}{lemmas.lemma_sql('spelling')} AS lemma, 0 AS flags, CAST(min(pos) AS INTEGER) AS first_pos FROM {_spelt(table, ids, where, names)} GROUP BY ALL)"
+
+
+def _bases(table: str) -> str:
+    """(word, lemma) of a table's words by their own counts."""
+    return f"""(WITH v AS (SELECT lower(token) AS word, count(*) AS n FROM {_words_sql(table, '', True)} GROUP BY ALL),
+     c AS (SELECT word, unnest(l).base AS base, unnest(l).weight AS weight, generate_subscripts(l, 1) AS nth FROM (SELECT word, {lemmas.candidates_sql('word')} AS l FROM v))
+SELECT c.word, arg_max(c.base, (coalesce(v.n * c.weight, 0), -c.nth)) AS lemma FROM c LEFT JOIN v ON v.word = c.base GROUP BY ALL)"""
 
 
 _VOCABULARY, _BOOK = _lemmas("documents"), _lemmas("benchmark")
@@ -379,8 +428,10 @@ ORACLE_SQL: dict[str, str] = {
     "corpus_vocabulary": f"SELECT lemma, flags FROM {_VOCABULARY}",
     "proper_noun_excluded": f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lemmas, CAST(sum(first_pos) AS BIGINT) AS sum_pos FROM {_lemmas('documents', 'doc_id', _NOT_NAMED, True)} GROUP BY doc_id",
     "proper_noun_kept": f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lemmas, CAST(sum(first_pos) AS BIGINT) AS sum_pos FROM {_lemmas('documents', 'doc_id', '', True)} GROUP BY doc_id",
-    "named_tokens": f"""SELECT lemma, CAST(pos AS INTEGER) AS pos, token FROM (SELECT lemma, unnest([1, 2, 3, 4]) AS pos, unnest(['met', ([{', '.join(f"'{n}'" for n in text.NAMES)}])[length(lemma) * 7 % {len(text.NAMES)} + 1], 'and', upper(lemma[1]) || lemma[2:]]) AS token FROM {_BOOK})
-WHERE NOT (pos = 4 AND {_NAMED}) AND (pos <> 4 OR NOT (regexp_matches(token, '{_PATTERNS['camel']}') OR regexp_matches(token, '{_PATTERNS['pascal']}')))""",
+    "named_tokens": f"""SELECT lemma, CAST(pos AS INTEGER) AS pos, token FROM (SELECT lemma, unnest([0, 1, 3, 4]) AS pos, unnest([upper(lemma[1]) || lemma[2:], 'met', 'and', lemma]) AS token FROM {_BOOK})""",
+    "proper_nouns": f"SELECT * FROM {_case_names('documents')}",
+    "lemma_by_vocabulary": f"SELECT word, lemma FROM {_bases('documents')}",
+    "vocabulary_entries": f"SELECT role, lemma, 0 AS flags, CAST(min(pos) AS INTEGER) AS first_pos FROM {_spelt('conversations', 'role')} s JOIN {_bases('(SELECT text FROM documents UNION ALL SELECT text FROM conversations)')} b ON b.word = s.spelling GROUP BY ALL",
     "conversation_vocabulary": f"SELECT role, lemma, flags FROM {_lemmas('conversations', 'role')}",
     "merge_flags": f"SELECT lemma, CAST(bit_or(CAST(1 AS INTEGER) << CAST(part AS INTEGER)) AS INTEGER) AS flags FROM {_lemmas('(SELECT *, doc_id % 4 AS part FROM documents)', 'part')} GROUP BY lemma",
     "merge_three_lists": f"SELECT lemma, CAST(bit_or(f) AS INTEGER) AS flags FROM (SELECT lemma, 1 AS f FROM {_VOCABULARY} UNION ALL SELECT lemma, 2 FROM {_lemmas('conversations')} UNION ALL SELECT lemma, 4 FROM {_BOOK}) GROUP BY lemma",

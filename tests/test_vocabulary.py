@@ -42,3 +42,89 @@ asked ask helped help wanted want planted plant printed print lasted last tested
 keys key days day toys toy dogs dog books book tables table trees tree kisses kiss branches branch dishes dish
 """.split()
 LIST = dict(zip(PAIRS[::2], PAIRS[1::2]))
+
+
+def counted(spark, table):
+    return spark.createDataFrame(list(table.items()), "word string, n long")
+
+
+@pytest.fixture(scope="module")
+def english(spark):
+    """Counts of English words, by the rank of a published vocabulary's pieces that end words (the n-th most frequent about 1 / n as often)."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    import json
+
+    with open(tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        pieces = json.load(f)["model"]["vocab"]
+    return {p[:-4]: 10**9 // (n + 1) for p, n in pieces.items() if p.endswith("</w>") and p[:-4].isascii() and p[:-4].isalpha()}
+
+
+def sql_of(table, forms):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("v", pd.DataFrame(list(table.items()), columns=["word", "n"]))
+    con.register("w", pd.DataFrame({"word": forms}))
+    return dict(con.execute(f"""WITH c AS (SELECT word, unnest(l).base AS base, unnest(l).weight AS weight, generate_subscripts(l, 1) AS nth FROM (SELECT word, {lemma.candidates_sql('word')} AS l FROM w))
+SELECT c.word, arg_max(c.base, (coalesce(v.n * c.weight, 0), -c.nth)) FROM c LEFT JOIN v ON v.word = c.base GROUP BY ALL""").fetchall())
+
+
+def test_counts_choose_the_base(spark, english):
+    forms = spark.createDataFrame([(w,) for w in LIST], "word string")
+    got = dict(map(tuple, words.base_forms(forms, counted(spark, english)).collect()))
+    wrong = {w: (got[w], b) for w, b in LIST.items() if got[w] != b}
+    assert len(got) == len(LIST) and len(wrong) <= 0.03 * len(LIST), wrong
+    assert sql_of(english, list(LIST)) == got
+    rules = dict(map(tuple, forms.select("word", lemma.lemma(F.col("word"))).collect()))
+    assert sum(rules[w] != b for w, b in LIST.items()) > 2 * len(wrong)
+
+
+def test_without_counts_the_rules_decide(spark):
+    forms = spark.createDataFrame([(w,) for w in [*LIST, "a", "don't", "Went", "well-handled"]], "word string")
+    none = spark.createDataFrame([], "word string, n long")
+    got = dict(map(tuple, words.base_forms(forms, none).collect()))
+    assert got == dict(map(tuple, forms.select(F.lower("word"), lemma.lemma(F.col("word"))).distinct().collect()))
+    assert words.base_forms(forms.limit(0), none).collect() == []
+
+
+def test_entries_by_their_own_vocabulary(spark):
+    docs = spark.createDataFrame([(1, "They handled a handle and handles. It was wasted, what a waste."), (2, "Movies, a movie"), (3, None), (4, "")], "id long, text string")
+    found = words.extract_entries(docs, "id", vocabulary=words.vocabulary(docs)).orderBy("id", "first_pos").collect()
+    assert [(r["id"], r["lemma"]) for r in found] == [(1, w) for w in "they handle a and it be waste what".split()] + [(2, "movie"), (2, "a")]
+
+
+NAMES = "Velda Korin Maskell Tobrin Ystra Harnok Pellwick Quorra Dunmere Lisbeth Orlan Fenwick Sarratt Brayden Ulmere Jorvik Caspin Neridah Wexcombe Ambrel".split()
+PLAIN = "river stone window garden letter morning paper bridge market teacher winter kitchen doctor forest silver water village story music summer".split()
+
+
+def sentences(rng, n):
+    """Prose in which names and plain words begin sentences, stand in quotations and headings, after colons and in pairs."""
+    out = []
+    for _ in range(n):
+        a, b, c = (rng.choice(PLAIN) for _ in range(3))
+        x, y = rng.choice(NAMES[:-2]), rng.choice(NAMES[:-2])
+        out.append(rng.choice([f"The {a} was near the {b} of {x}.", f"{x} saw the {c}.", f"{a.title()} and {b} are here.", f'"{a.title()} is it," said {x}.', f"{a.title()} {b.title()} in the {c}\n", f"{x} and {y} left: {a.title()} fell.", f"In {y} the {a} and a {b}.", f"I think I'm at the {a}; I'll stay."]))
+    return " ".join(out)
+
+
+def test_names_by_case(spark):
+    rng = random.Random(11)
+    planted = [(k, sentences(rng, 12)) for k in range(60)] + [(100, f"{NAMES[-1]} slept. {NAMES[-2]}."), (101, None), (102, "")]
+    docs = spark.createDataFrame(planted, "id long, text string")
+    found = {r["lower_name"] for r in words.names_by_case(docs).collect()}
+    names = {n.lower() for n in NAMES}
+    seen_within = {n.lower() for n in NAMES[:-2]}
+    assert len(found & names) / len(found) >= 0.95 and len(found & names) / len(names) >= 0.9 and found >= seen_within
+    assert not found & {p.lower() for p in PLAIN} and not found & {"i", "i'm", "i'll", "in", "the"}
+    left = {r["lemma"] for r in words.extract_entries(docs).collect()}
+    assert not left & seen_within and {NAMES[-1].lower(), "stone", "i'm", "the"} <= left  # a word seen only where sentences begin stays
+    per_doc = {r["lemma"] for r in words.extract_entries(docs, "id").collect()}
+    assert per_doc == left
+    assert words.names_by_case(docs.limit(0)).collect() == []
+
+
+def test_names_need_evidence(spark):
+    docs = spark.createDataFrame([("Running is fun. Cats are cute. The Bridge. We saw a bridge and the bridge, the bridge.",), ("Alice and Bob visited London yesterday",)], "text string")
+    assert {r["lower_name"] for r in words.names_by_case(docs).collect()} == {"alice", "bob", "london"}
+    assert {r["lower_name"] for r in words.names_by_case(docs, least=2).collect()} == set()
