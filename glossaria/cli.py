@@ -5,45 +5,42 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-from collections.abc import Iterable
-from itertools import groupby
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria import __version__
 from glossaria.operators import words
-from glossaria.sources import files, wordlist_csv
+from glossaria.shared import frozen
+from glossaria.sources import files, list_files, list_sink, wordlist_csv
+
+
+def _targets(found: DataFrame, out: str | None) -> DataFrame:
+    """(file, target): where each file's words go; of files with one target only the last is left."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["file"], pa.array([out or files.output_name(f) for f in b["file"].to_pylist()], pa.string())], ["file", "target"])
+
+    return found.mapInArrow(run, "file string, target string").groupBy("target").agg(F.max("file").alias("file"))
 
 
 def extract(spark: SparkSession, path: str, out: str | None) -> None:
-    found = files.collect_files(path)
+    found = files.listed(spark, path)
     if out and not os.path.isfile(path):
         raise ValueError("-o needs a single file, not a directory")
-    if not found:
+    if found.isEmpty():
         print(f"no .md or .txt files under {path}", file=sys.stderr)
         return
-    entries = words.extract_entries(files.read_files(spark, found).withColumnRenamed("content", "text"), "file")
-    rows = entries.orderBy("file", "first_pos").select("file", wordlist_csv.csv_row(F.col("lemma"), F.col("flags")).alias("row"))
-    written = {name: 0 for name in found}
-    for name, own in groupby(rows.toLocalIterator(), key=lambda r: r["file"]):  # one job for all files
-        written[name] = _write(out or files.output_name(name), (r["row"] for r in own))
-    for name, n in written.items():
-        target = out or files.output_name(name)
-        if not n:
-            _write(target, ())
-        print(f"{name} → {target} ({n} words)", file=sys.stderr)
-
-
-def _write(target: str, rows: Iterable[str]) -> int:
-    """Writes a list under its header; how many rows there were."""
-    os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
-    n = 0
-    with open(target, "w", encoding="utf-8", newline="") as f:
-        f.write(wordlist_csv.HEADER + "\n")
-        for n, row in enumerate(rows, 1):
-            f.write(row + "\n")
-    return n
+    texts = files.read_files(found).withColumnRenamed("content", "text")
+    entries = frozen(words.extract_entries(texts, "file", vocabulary=words.vocabulary(texts)), "extracted")
+    rows = entries.select(F.col("file").alias("its_file"), "first_pos", wordlist_csv.csv_row(F.col("lemma"), F.col("flags")).alias("row"))
+    targets = _targets(found, out)
+    list_sink.write_lists(targets.join(rows, F.col("file") == F.col("its_file"), "left"), "first_pos")
+    counts = targets.join(entries.groupBy(F.col("file").alias("its_file")).agg(F.count("*").alias("n")), F.col("file") == F.col("its_file"), "left")
+    for r in counts.orderBy("file").toLocalIterator():  # a line for each file
+        print(f"{r['file']} → {r['target']} ({r['n'] or 0} words)", file=sys.stderr)
 
 
 def merge(spark: SparkSession, paths: list[str], out: str | None) -> None:
@@ -52,16 +49,16 @@ def merge(spark: SparkSession, paths: list[str], out: str | None) -> None:
     for p in paths:
         if not os.path.isfile(p):
             raise FileNotFoundError(f"no such file: {p}")
-    rows = wordlist_csv.checked(wordlist_csv.read_lists(files.read_files(spark, list(dict.fromkeys(paths)))))
     first = spark.createDataFrame([(p, k) for k, p in enumerate(dict.fromkeys(paths))], "its_file string, list_idx int")
-    merged = words.merged_by_place(rows.join(first, F.col("file") == F.col("its_file")).select("lemma", "flags", "list_idx", F.col("line").cast("long").alias("pos")))
-    text = wordlist_csv.to_csv(merged, "seen")
+    rows = wordlist_csv.checked(frozen(list_files.read(first.select(F.col("its_file").alias("file"))), "lists"))
+    merged = words.merged_by_place(rows.join(first, F.col("file") == F.col("its_file")).select("lemma", "flags", "list_idx", F.col("line").alias("pos")))
     if not out:
-        sys.stdout.write(text)
+        for line in wordlist_csv.lines(merged, "seen"):
+            sys.stdout.write(line)
         return
-    with open(out, "w", encoding="utf-8", newline="") as f:
-        f.write(text)
-    print(f"{len(paths)} files → {out} ({text.count(chr(10)) - 1} words)", file=sys.stderr)
+    merged = frozen(merged, "merged")
+    list_sink.write_list(merged, out, "seen", single=True)
+    print(f"{len(paths)} files → {out} ({merged.count()} words)", file=sys.stderr)
 
 
 def main(args: list[str] | None = None) -> int:

@@ -12,7 +12,7 @@ from glossaria.functions import lemma as lemmas
 from glossaria.functions import responses, text
 from glossaria.operators import collector, delivery, words
 from glossaria.shared import frozen, new_path
-from glossaria.sources import html, wordlist_csv
+from glossaria.sources import html, list_files, list_sink, word_book, wordlist_csv
 from glossaria.sources.store import VocabularyStore
 from glossaria.streaming import ingest
 
@@ -236,6 +236,28 @@ def listed_words(spark, sf_dir):
     return delivery.listed(b.select(F.when(F.col("item_id") % 5 == 0, 500).otherwise(200).alias("status"), body.alias("body")))
 
 
+def paged_list(spark, sf_dir):
+    """The conversations' words as the stored pages of a book's list, read back by ranges of pages."""
+    word_book.register(spark)
+    path, n = new_path(spark, "book"), 64
+    c = _vocabulary(spark, sf_dir, "conversations").select("lemma", F.pmod(F.crc32(F.col("lemma").cast("binary")), F.lit(n)).alias("of"))
+    lists = c.groupBy("of").agg(F.to_json(F.array_sort(F.collect_list("lemma"))).alias("list"))
+    pages = spark.range(n).join(lists, F.col("id") == F.col("of"), "left")
+    body = F.concat(F.lit('{"result_code":200,"data_body":{"list":'), F.coalesce("list", F.lit("[]")), F.lit("}}"))
+    pages.select(F.col("id").alias("page"), F.lit(200).alias("status"), body.alias("body")).write.format(word_book.WORD_BOOK).mode("append").save(path)
+    return delivery.listed(spark.read.format(word_book.WORD_BOOK).option("pages_per_partition", 8).load(path))
+
+
+def list_parts(spark, sf_dir):
+    """The vocabulary of the documents, some of it to be quoted, as one file written by all tasks and read again by ranges of bytes."""
+    path = new_path(spark, "list") + ".csv"
+    found = words.extract_entries(_read(spark, sf_dir, "documents"))
+    quoted = F.when(F.length("lemma") % 3 == 0, F.concat("lemma", F.lit(',"\n'), "lemma")).otherwise(F.col("lemma"))
+    list_sink.write_list(found.select(quoted.alias("lemma"), F.length("lemma").alias("flags")), path, single=True)
+    rows = list_files.read(spark.createDataFrame([(path,)], "file string"), size=1 << 16)
+    return rows.select("lemma", "flags", "line", "error")
+
+
 def reply_narrowing(spark, sf_dir):
     """Replies made from conversations, some malformed, as the reader of each kind takes them."""
     c, k = _read(spark, sf_dir, "conversations"), F.col("turn") % 6
@@ -332,7 +354,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         tokenize, token_reason, english_words, normalize_roundtrip, lemma_pairs, extract_entries, corpus_vocabulary, proper_noun_excluded, proper_noun_kept, named_tokens, proper_nouns, lemma_by_vocabulary, vocabulary_entries,
         conversation_vocabulary, merge_flags, merge_three_lists, counts, pending, mark_pushed, already_known, new_words, definition_lookup, push_outcomes,
-        push_summary, push_paused, push_progress, delivery_run, collect_messages, page_collection, create_entries, pushed_entries, word_requests, listed_words, reply_narrowing, login_states, list_import,
+        push_summary, push_paused, push_progress, delivery_run, collect_messages, page_collection, create_entries, pushed_entries, word_requests, listed_words, paged_list, list_parts, reply_narrowing, login_states, list_import,
         classify_responses, message_guards, csv_roundtrip, csv_errors, collect_pages, page_vocabulary, stream_ingest,
     )
 }
@@ -454,6 +476,10 @@ CAST(count(*) OVER () - count(*) OVER (ORDER BY lemma ROWS UNBOUNDED PRECEDING)
     "word_requests": f"""SELECT item_id, array_to_string(list_sort(list('{{"word":"' || lemma || '","info":"' || CASE WHEN item_id % 3 = 0 THEN '' ELSE 'item ' || item_id END || '"{''.join(f',"{k}":"{v}"' for k, v in responses.ADD_WORD_FIELDS)}}}')), '') AS added, array_to_string(list_sort(list(lemma)), ',') AS removed
 FROM {_lemmas('benchmark', 'item_id')} GROUP BY item_id""",
     "listed_words": "SELECT c || item_id AS word FROM benchmark, (VALUES ('w'), ('v')) t(c) WHERE item_id % 3 <> 0 AND item_id % 5 <> 0",
+    "paged_list": f"SELECT lemma AS word FROM {_lemmas('conversations')}",
+    "list_parts": f"""SELECT CASE WHEN length(lemma) % 3 = 0 THEN lemma || ',"' || chr(10) || lemma ELSE lemma END AS lemma, CAST(length(lemma) AS INTEGER) AS flags,
+CAST(1 + row_number() OVER w + coalesce(sum(CAST(length(lemma) % 3 = 0 AS INTEGER)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line, CAST(NULL AS VARCHAR) AS error FROM {_VOCABULARY}
+WINDOW w AS (ORDER BY CASE WHEN length(lemma) % 3 = 0 THEN lemma || ',"' || chr(10) || lemma ELSE lemma END)""",
     "reply_narrowing": """SELECT conv_id, turn, turn % 6 = 3 AS logged_in, CASE WHEN turn % 6 = 1 THEN role END AS csv, CASE turn % 6 WHEN 1 THEN NULL WHEN 2 THEN role ELSE 'export-unavailable' END AS export_error,
 CAST(CASE turn % 6 WHEN 0 THEN turn WHEN 4 THEN 3 ELSE -1 END AS BIGINT) AS total, CASE turn % 6 WHEN 0 THEN NULL WHEN 4 THEN NULL WHEN 2 THEN role ELSE 'import-unavailable' END AS import_error, CASE WHEN turn % 6 = 4 THEN 'running' END AS phase FROM conversations""",
     "login_states": f"SELECT status, state, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(CASE event_id % 9 {' '.join(f'WHEN {k} THEN {v[0]}' for k, v in _REPLY.items())} END AS INTEGER) AS status, CASE event_id % 9 {' '.join(f"WHEN {k} THEN '{v[1]}'" for k, v in _REPLY.items())} END AS state FROM events) GROUP BY ALL",
@@ -464,6 +490,6 @@ CAST(CASE turn % 6 WHEN 0 THEN turn WHEN 4 THEN 3 ELSE -1 END AS BIGINT) AS tota
 CASE event_id % 9 WHEN 0 THEN 'auth' WHEN 1 THEN 'http' WHEN 2 THEN 'http' WHEN 3 THEN 'malformed' WHEN 4 THEN 'api' WHEN 6 THEN 'api' WHEN 7 THEN 'api' ELSE 'ok' END AS kind, event_id % 9 IN (1, 3, 4, 6) AS again, event_id % 9 = 5 AS found FROM events) GROUP BY ALL""",
     "message_guards": "SELECT conv_id, CAST(count(*) FILTER (turn % 4 IN (0, 3)) AS BIGINT) AS n_valid, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id",
     "csv_roundtrip": f"SELECT source AS file, lemma, flags FROM {_lemmas('documents', 'source')}",
-    "csv_errors": "SELECT CAST(item_id AS VARCHAR) AS file, CAST(2 AS BIGINT) AS n_rows, CAST(3 AS INTEGER) AS last_line, 'columns' AS error_kind FROM benchmark",
+    "csv_errors": "SELECT CAST(item_id AS VARCHAR) AS file, CAST(2 AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS last_line, 'columns' AS error_kind FROM benchmark",
     "stream_ingest": f"SELECT lemma, flags FROM {_VOCABULARY}",
 }

@@ -17,24 +17,24 @@ from pyspark.sql import functions as F
 HEADER = "lemma,flags"
 # Fixed value: what trimming a field removes.
 BLANKS = "\t\n\x0b\x0c\r \xa0                　﻿"
-_SCHEMA = "file string, line int, lemma string, flags int, error_kind string, error string"
+SCHEMA = "file string, line long, lemma string, flags int, error_kind string, error string"
 
 
 class WordListError(ValueError):
     """A word list that can't be read."""
 
 
-def _rows(text: str) -> list[tuple[int, str]]:
-    """Logical rows with the number of their first line: lines are joined while a quote is open."""
+def _rows(text: str, first: int = 1, whole: bool = True) -> list[tuple[int, str]]:
+    """Logical rows with the number of their first line: lines are joined while a quote is open.  Blank rows at the end of a whole file don't count."""
     rows: list[tuple[int, list[str]]] = []
     open_ = False
-    for n, line in enumerate(text.replace("\r\n", "\n").split("\n"), 1):
+    for n, line in enumerate(text.replace("\r\n", "\n").split("\n"), first):
         if open_:
             rows[-1][1].append(line)
         else:
             rows.append((n, [line]))
         open_ ^= line.count('"') % 2 == 1
-    while rows and rows[-1][1] == [""]:
+    while whole and rows and rows[-1][1] == [""]:
         rows.pop()
     return [(n, "\n".join(lines)) for n, lines in rows]
 
@@ -56,21 +56,31 @@ def _fields(row: str) -> list[str]:
     return out
 
 
-def parse(text: str) -> Iterator[tuple[int, str | None, int | None, str | None, str | None]]:
+Parsed = tuple[int, str | None, int | None, str | None, str | None]
+
+
+def parse(text: str) -> Iterator[Parsed]:
     """(line, lemma, flags, error_kind, error) for each row after the header."""
-    for k, (line, row) in enumerate(_rows(text.removeprefix("﻿"))):
-        if k == 0:
-            continue
-        fields = _fields(row)
-        lemma, flags = (f.strip(BLANKS) for f in (*fields, "", "")[:2])
-        if len(fields) != 2:
-            yield line, None, None, "columns", f"CSV parse error at line {line}: expected 2 columns, got {len(fields)}"
-        elif not lemma:
-            yield line, None, None, "lemma", f"CSV parse error at line {line}: empty lemma"
-        elif not re.fullmatch("[0-9]+", flags) or int(flags) > 2**31 - 1:
-            yield line, None, None, "flags", f'CSV parse error at line {line}: flags must be a non-negative integer, got "{flags}"'
-        else:
-            yield line, lemma.lower(), int(flags), None, None
+    for line, row in _rows(text.removeprefix("﻿"))[1:]:
+        yield entry(line, row)
+
+
+def entry(line: int, row: str) -> Parsed:
+    """What a row says, or why it is bad."""
+    fields = _fields(row)
+    lemma, flags = (f.strip(BLANKS) for f in (*fields, "", "")[:2])
+    if len(fields) != 2:
+        return line, None, None, "columns", f"CSV parse error at line {line}: expected 2 columns, got {len(fields)}"
+    if not lemma:
+        return line, None, None, "lemma", f"CSV parse error at line {line}: empty lemma"
+    if not re.fullmatch("[0-9]+", flags) or int(flags) > 2**31 - 1:
+        return line, None, None, "flags", f'CSV parse error at line {line}: flags must be a non-negative integer, got "{flags}"'
+    return line, lemma.lower(), int(flags), None, None
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, types)], ["file", "line", "lemma", "flags", "error_kind", "error"])
 
 
 def read_lists(files: DataFrame) -> DataFrame:
@@ -78,12 +88,9 @@ def read_lists(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [(f, *r) for f, c in zip(b["file"].to_pylist(), b["content"].to_pylist()) for r in parse(c or "")]
-            columns = list(zip(*rows)) or [()] * 6
-            types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["file", "line", "lemma", "flags", "error_kind", "error"])
+            yield batch_of([(f, *r) for f, c in zip(b["file"].to_pylist(), b["content"].to_pylist()) for r in parse(c or "")])
 
-    return files.select("file", "content").mapInArrow(run, _SCHEMA)
+    return files.select("file", "content").mapInArrow(run, SCHEMA)
 
 
 def checked(rows: DataFrame) -> DataFrame:
@@ -99,7 +106,13 @@ def csv_row(lemma, flags):
     return F.concat(F.when(lemma.rlike('[,"\\n]'), F.concat(F.lit('"'), F.replace(lemma, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(lemma), F.lit(","), flags.cast("string"))
 
 
+def lines(entries: DataFrame, order: str = "lemma") -> Iterator[str]:
+    """A word list's lines, one partition at a time on the driver: for a terminal; list_sink writes files."""
+    yield f"{HEADER}\n"
+    for r in entries.orderBy(order).select(csv_row(F.col("lemma"), F.col("flags")).alias("row")).toLocalIterator():
+        yield f"{r['row']}\n"
+
+
 def to_csv(entries: DataFrame, order: str = "lemma") -> str:
-    """A word list as text.  The list must fit on the driver; larger ones are written as tables."""
-    rows = entries.orderBy(order).select(csv_row(F.col("lemma"), F.col("flags"))).toLocalIterator()
-    return "\n".join([HEADER, *(r[0] for r in rows)]) + "\n"
+    """A word list as one text, for a message: the list must fit on the driver."""
+    return "".join(lines(entries, order))

@@ -1,11 +1,12 @@
 import pytest
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import glossaria
 from glossaria import cli
-from glossaria.operators import words
-from glossaria.sources import files, html, wordlist_csv
+from glossaria.operators import delivery, words
+from glossaria.sources import files, html, list_files, list_sink, word_book, wordlist_csv
 from glossaria.sources.store import VocabularyStore
 from glossaria.streaming import ingest
 
@@ -47,7 +48,7 @@ def test_files_and_cli(spark, tmp_path, capsys):
     for name, body in {"a.md": "﻿Cats sat", "B.TXT": "Dogs", "_c.md": "x", ".d.md": "no", "e.json": "no", "node_modules/f.md": "no", "g/h.txt": "walked"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(body)
-    found = files.collect_files(str(tmp_path))
+    found = [r["file"] for r in files.listed(spark, str(tmp_path)).collect()]
     assert sorted(f.removeprefix(f"{tmp_path}/") for f in found) == ["B.TXT", "_c.md", "a.md", "g/h.txt"]
     assert cli.main(["extract", str(tmp_path)]) == 0
     assert (tmp_path / "a.words.csv").read_text() == "lemma,flags\ncat,0\nsit,0\n"
@@ -94,19 +95,103 @@ def test_html_style_sheets():
     assert html.page_text("<style>p{margin:0}</style><p>x")[0] == "x\n" and html.hiding_rules("*{display:none}") == [("", frozenset(), "")]
 
 
-def test_remote_paths_and_names(tmp_path):
+def test_remote_paths_and_names(spark, tmp_path):
     from datetime import datetime
 
-    for name in ("a.md", ".b.md", "c/d.TXT", "node_modules/e.md", "_f.txt", "g.json"):
+    for name in ("a.md", ".b.md", "c/d.TXT", "node_modules/e.md", "_f.txt", "g.json", ".git/h.md", "c/.i/j.md"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x")
-    assert files.collect_files(f"file://{tmp_path}") == [f"file://{tmp_path}/{n}" for n in ("_f.txt", "a.md", "c/d.TXT")]
-    assert files.collect_files(f"file://{tmp_path}/g.json") == [f"file://{tmp_path}/g.json"] and files._content(f"file://{tmp_path}/a.md") == b"x"
+    names = lambda path: sorted(r["file"] for r in files.listed(spark, path).collect())
+    assert names(f"file://{tmp_path}") == [f"file://{tmp_path}/{n}" for n in ("_f.txt", "a.md", "c/d.TXT")]
+    assert names(f"file://{tmp_path}/g.json") == [f"file://{tmp_path}/g.json"] and files._content(f"file://{tmp_path}/a.md") == b"x"
     with pytest.raises(FileNotFoundError):
-        files.collect_files(f"file://{tmp_path}/none")
+        files.listed(spark, f"file://{tmp_path}/none")
     assert files.export_name(datetime(2024, 2, 9, 7, 5)) == "words-20240209-0705.csv" and files.output_name("/x/a.b.md") == "/x/a.b.words.csv"
 
 
+def test_listing_a_deep_tree(spark, tmp_path):
+    """A few thousand files on six levels, each level in one job."""
+    want = set()
+    for k in range(3000):
+        at = tmp_path / "/".join(f"d{k // 7**i % 7}" for i in range(k % 6))
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"f{k}.{('md', 'TXT', 'json')[k % 3]}").write_text("")
+        if k % 3 < 2:
+            want.add(str(at / f"f{k}.{('md', 'TXT')[k % 3]}"))
+    assert {r["file"] for r in files.listed(spark, f"{tmp_path}/").collect()} == want
+    (tmp_path / "bare").mkdir()
+    assert files.listed(spark, str(tmp_path / "bare")).isEmpty()
+
+
+row_pieces = st.lists(st.sampled_from(['"', "\n", "\r\n", "\r", "a", ",", "1", "é", "b,2\n", "\ufeff"]), max_size=25)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(row_pieces, min_size=1, max_size=4), st.integers(1, 9))
+def test_ranges_give_the_rows_of_the_whole(spark, tmp_path, contents, size):
+    paths = []
+    for k, c in enumerate(contents):
+        (tmp_path / f"{k}.csv").write_bytes("".join(c).encode())
+        paths.append((str(tmp_path / f"{k}.csv"),))
+    got = sorted(map(tuple, list_files.read(spark.createDataFrame(paths, "file string"), size).collect()), key=repr)
+    assert got == sorted(((p[0], *r) for p, c in zip(paths, contents) for r in wordlist_csv.parse("".join(c))), key=repr)
+
+
+def test_a_large_list_in_ranges(spark, tmp_path):
+    """20 MB with quoted line ends, errors, a row over several ranges and blank rows at the end, by many tasks and by one."""
+    long = '"' + "x\n" * 1_500_000 + '",7\n'
+    body = "lemma,flags\r\n" + "".join(f'"w{k}\nv, ""{k}""",{k % 9}\r\n' if k % 5 == 0 else f"w{k},x\n" if k % 100_003 == 1 else "\n" if k == 77 else f"w{k},{k % 9}\n" for k in range(900_000)) + long + "last,1\n" + "\r\n" * 3_000_000
+    (tmp_path / "big.csv").write_text(body, newline="")
+    got = list_files.read(spark.createDataFrame([(str(tmp_path / "big.csv"),)], "file string"), 1 << 20)
+    want = [(str(tmp_path / "big.csv"), *r) for r in wordlist_csv.parse(body)]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
+    assert list_files.ranges(spark.createDataFrame([(str(tmp_path / "big.csv"),)], "file string"), 1 << 20).count() >= 20
+
+
+def test_sink(spark, tmp_path):
+    rows = spark.range(2000).select(F.format_string("w%05d,\"", "id").alias("lemma"), F.col("id").cast("int").alias("flags")).repartition(7)
+    want = "lemma,flags\n" + "".join(f'"w{k:05d},""",{k}\n' for k in range(2000))
+    for _ in range(2):  # the second replaces the first
+        list_sink.write_list(rows, str(tmp_path / "one.csv"), single=True)
+        list_sink.write_list(rows, f"file://{tmp_path}/parts", parts=3)
+    assert (tmp_path / "one.csv").read_text() == want
+    parts = sorted((tmp_path / "parts").iterdir())
+    assert all(p.read_text().startswith("lemma,flags\n") for p in parts) and "lemma,flags\n" + "".join(p.read_text()[12:] for p in parts) == want and len(parts) > 1
+    list_sink.write_list(rows.limit(0), str(tmp_path / "none.csv"), single=True)
+    assert (tmp_path / "none.csv").read_text() == "lemma,flags\n"
+    targets = rows.select(F.format_string(f"{tmp_path}/t/%d.csv", F.col("flags") % 3).alias("target"), F.when(F.col("flags") % 3 < 2, F.col("lemma")).alias("row"))
+    list_sink.write_lists(targets.distinct(), "row")
+    assert [(tmp_path / f"t/{k}.csv").read_text().count("\n") for k in range(3)] == [668, 668, 1]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["none.csv", "one.csv", "parts", "t"]  # nothing temporary is left
+
+
+def test_a_sink_that_fails_leaves_nothing(spark, tmp_path):
+    (tmp_path / "old.csv").write_text("lemma,flags\nold,1\n")
+    list_sink.register(spark)
+    fails = F.when(F.col("id") == 999, F.raise_error(F.lit("no"))).otherwise(F.col("id").cast("string"))
+    rows = spark.range(0, 1000, 1, 4).select(fails.alias("row"))
+    with pytest.raises(Exception, match="no"):
+        rows.write.format(list_sink.LIST_SINK).mode("overwrite").option("single", "true").save(str(tmp_path / "old.csv"))
+    assert (tmp_path / "old.csv").read_text() == "lemma,flags\nold,1\n" and [p.name for p in tmp_path.iterdir()] == ["old.csv"]
+
+
+def test_word_book(spark, tmp_path):
+    word_book.register(spark)
+    pages = [(k, 500 if k == 5 else 200, f'{{"result_code":200,"data_body":{{"list":["w{k}"]}}}}') for k in range(37)]
+    spark.createDataFrame(pages, word_book.SCHEMA).repartition(3).write.format(word_book.WORD_BOOK).mode("append").save(str(tmp_path / "book"))
+    read = spark.read.format(word_book.WORD_BOOK).option("pages_per_partition", 10).load(str(tmp_path / "book"))
+    assert sorted(map(tuple, read.collect())) == pages and read.rdd.getNumPartitions() == 4
+    assert sorted(r["word"] for r in delivery.listed(read).collect()) == sorted(f"w{k}" for k in range(37) if k != 5)
+    assert spark.read.format(word_book.WORD_BOOK).option("pages", 3).load(str(tmp_path / "book")).count() == 3
+    for n in (0, 1, 2, 3, 36, 37):
+        assert word_book.n_pages(str(tmp_path / "none")) == 0
+        (tmp_path / f"b{n}").mkdir()
+        for k in range(n):
+            (tmp_path / f"b{n}/page-{k}.json").write_text('{"status": 200, "body": ""}')
+        assert word_book.n_pages(str(tmp_path / f"b{n}")) == n
+    assert spark.read.format(word_book.WORD_BOOK).load(str(tmp_path / "b0")).collect() == []
+
+
 def test_store_and_stream(spark, tmp_path):
     store = VocabularyStore(spark, str(tmp_path / "store"))
     assert store.get_all().count() == 0
