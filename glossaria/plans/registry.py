@@ -282,12 +282,13 @@ def login_states(spark, sf_dir):
 
 
 def list_import(spark, sf_dir):
-    """The benchmark's words exported as a file and imported into another store twice."""
+    """The benchmark's words exported as a file by the executors and imported into another store twice."""
     first, second = (VocabularyStore(spark, new_path(spark, "store")) for _ in range(2))
     first.merge_collected(_vocabulary(spark, sf_dir, "benchmark").withColumn("flags", F.length("lemma").bitwiseAND(F.lit(3))))
-    files = spark.createDataFrame([("a.csv", first.export_csv())], "file string, content string")
+    path = new_path(spark, "exported") + ".csv"
+    first.export_file(path)
     for _ in range(2):
-        second.import_csv(files)
+        second.import_files(spark.createDataFrame([(path,)], "file string"))
     return second.get_all()
 
 

@@ -208,3 +208,99 @@ def test_store_and_stream(spark, tmp_path):
         assert store.export_csv() == "lemma,flags\ncat,0\nrun,1\nwalk,2\n"
     store.clear()
     assert tuple(store.counts().first()) == (0, 0)
+
+
+def stored(store):
+    return {r["lemma"]: r["flags"] for r in store.get_all().collect()}
+
+
+def size_of_data(store):
+    import pathlib
+
+    return sum(p.stat().st_size for p in pathlib.Path(store.path).rglob("*.parquet"))
+
+
+def test_store_writes_what_is_new(spark, tmp_path):
+    """Merging a hundredth of a store writes about that much, also when what it brings is there already; reading doesn't move the base."""
+    store = VocabularyStore(spark, str(tmp_path / "store"), buckets=3)
+    words_ = spark.range(200_000).select(F.concat(F.lit("w"), F.sha1(F.col("id").cast("string").cast("binary"))).alias("lemma"), (F.col("id") % 3).cast("int").alias("flags"))
+    store.merge_collected(words_)
+    store.compact()
+    base = size_of_data(store) / 2  # the first delta and the base
+    for k in range(2):
+        before = size_of_data(store)
+        store.merge_collected(words_.where(F.col("lemma") < "w03").union(spark.createDataFrame([(f"new{k}", 4)], words.ENTRY)))
+        assert size_of_data(store) - before < 0.03 * base
+    found = store.get_all()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 200_002 and plan.count("Exchange hashpartitioning") == 2  # both of the deltas
+    assert "Bucketed: true" in plan
+    assert stored(VocabularyStore(spark, str(tmp_path / "store"))) == {r["lemma"]: r["flags"] for r in words_.collect()} | {"new0": 4, "new1": 4}
+
+
+def test_store_of_several_writers(spark, tmp_path):
+    """Three writers, one that compacts and one that marks at the same time: nothing is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "store")
+    VocabularyStore(spark, path, buckets=2).merge_collected(spark.createDataFrame([("all", 2), ("run", 0)], words.ENTRY))
+
+    def write(k):
+        store = VocabularyStore(spark, path, buckets=2, most_deltas=5)
+        for n in range(6):
+            store.merge_collected(spark.createDataFrame([(f"w{k}-{n}", k + 1), ("all", 8 << k)], words.ENTRY))
+
+    def mark():
+        assert VocabularyStore(spark, path, buckets=2).mark_pushed(spark.createDataFrame([("RUN",)], "lemma string"))
+
+    def compact():
+        for _ in range(3):
+            VocabularyStore(spark, path, buckets=2).compact()
+
+    with ThreadPoolExecutor(5) as pool:
+        for f in [pool.submit(write, 0), pool.submit(write, 1), pool.submit(write, 2), pool.submit(mark), pool.submit(compact)]:
+            f.result()
+    store = VocabularyStore(spark, path)
+    want = {f"w{k}-{n}": k + 1 for k in range(3) for n in range(6)} | {"all": 2 + 8 + 16 + 32, "run": 1}
+    assert stored(store) == want
+    versions = [e["version"] for e in store._entries()]
+    assert versions == list(range(1, len(versions) + 1))
+    store.compact()
+    store.compact()
+    assert store.vacuum() > 10 and stored(store) == want and stored(VocabularyStore(spark, path)) == want and store.vacuum() == 0
+    store.merge_collected(spark.createDataFrame([("after", 0)], words.ENTRY))
+    assert stored(store) == want | {"after": 0}
+
+
+def test_store_cleared_meanwhile(spark, tmp_path, monkeypatch):
+    """A mark and a base made of what a clear has taken away meanwhile bring nothing back; a merge that comes after it stays."""
+    store = VocabularyStore(spark, str(tmp_path / "store"), buckets=2)
+    store.merge_collected(spark.createDataFrame([("a", 0), ("b", 0)], words.ENTRY))
+    commit = store._commit
+
+    def late(entry, known):
+        monkeypatch.setattr(store, "_commit", commit)
+        store.clear()
+        store.merge_collected(spark.createDataFrame([("c", 2)], words.ENTRY))
+        return commit(entry, known)
+
+    monkeypatch.setattr(store, "_commit", late)
+    assert not store.mark_pushed(spark.createDataFrame([("a",)], "lemma string")) and stored(store) == {"c": 2}
+    monkeypatch.setattr(store, "_commit", late)
+    store.compact()
+    assert stored(store) == {"c": 2}
+    assert not store.mark_pushed(spark.createDataFrame([("a",)], "lemma string")) and store.mark_pushed(spark.createDataFrame([("C",), (None,)], "lemma string"))
+    store.merge_collected(spark.createDataFrame([(None, 1)], words.ENTRY))
+    assert stored(store) == {"c": 3}
+
+
+def test_store_lists_as_files(spark, tmp_path):
+    store = VocabularyStore(spark, str(tmp_path / "store"))
+    store.merge_collected(spark.createDataFrame([("b,c", 1), ("a", 0)], words.ENTRY))
+    store.export_file(str(tmp_path / "x.csv"))
+    other = VocabularyStore(spark, str(tmp_path / "other"))
+    other.import_files(spark.createDataFrame([(str(tmp_path / "x.csv"),)], "file string"))
+    assert (tmp_path / "x.csv").read_text() == store.export_csv() == other.export_csv() == 'lemma,flags\na,0\n"b,c",1\n'
+    (tmp_path / "bad.csv").write_text("h\nx\n")
+    with pytest.raises(wordlist_csv.WordListError, match="line 2"):
+        other.import_files(spark.createDataFrame([(str(tmp_path / "bad.csv"),)], "file string"))
