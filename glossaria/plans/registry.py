@@ -14,7 +14,7 @@ from glossaria.operators import collector, delivery, words
 from glossaria.shared import frozen, new_path
 from glossaria.sources import html, list_files, list_sink, word_book, wordlist_csv
 from glossaria.sources.store import VocabularyStore
-from glossaria.streaming import ingest
+from glossaria.streaming import changes, ingest
 
 GAZETTEER = ("the", "and", "in", "de", "la", "der", "die", "el", "of", "is")
 
@@ -350,13 +350,24 @@ def stream_ingest(spark, sf_dir):
     return store.get_all()
 
 
+def stream_changes(spark, sf_dir):
+    """The documents in four files, a flag for each, as a stream of a file a batch: every lemma's flags, and that each was added once."""
+    top = new_path(spark, "changes")
+    d = _read(spark, sf_dir, "documents").select("text", F.pmod("doc_id", F.lit(4)).cast("int").alias("part"))
+    d.repartition(4, "part").write.partitionBy("part").parquet(f"{top}/in")
+    docs = ingest.document_stream(spark, f"{top}/in/part=*", "text string, part int", 1).withColumn("part", F.regexp_extract(F.input_file_name(), "part=([0-9]+)", 1).cast("int"))
+    changes.record(changes.entries_of(docs.withColumn("bit", F.expr("shiftleft(1, part)")), flags="bit"), f"{top}/out", f"{top}/progress").awaitTermination()
+    found = spark.read.schema(changes.CHANGE).parquet(f"{top}/out")
+    return found.groupBy("lemma").agg(F.bit_or("flags").alias("flags"), F.sum("added").alias("added"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize, token_reason, english_words, normalize_roundtrip, lemma_pairs, extract_entries, corpus_vocabulary, proper_noun_excluded, proper_noun_kept, named_tokens, proper_nouns, lemma_by_vocabulary, vocabulary_entries,
         conversation_vocabulary, merge_flags, merge_three_lists, counts, pending, mark_pushed, already_known, new_words, definition_lookup, push_outcomes,
         push_summary, push_paused, push_progress, delivery_run, collect_messages, page_collection, create_entries, pushed_entries, word_requests, listed_words, paged_list, list_parts, reply_narrowing, login_states, list_import,
-        classify_responses, message_guards, csv_roundtrip, csv_errors, collect_pages, page_vocabulary, stream_ingest,
+        classify_responses, message_guards, csv_roundtrip, csv_errors, collect_pages, page_vocabulary, stream_ingest, stream_changes,
     )
 }
 
@@ -492,5 +503,6 @@ CASE event_id % 9 WHEN 0 THEN 'auth' WHEN 1 THEN 'http' WHEN 2 THEN 'http' WHEN
     "message_guards": "SELECT conv_id, CAST(count(*) FILTER (turn % 4 IN (0, 3)) AS BIGINT) AS n_valid, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id",
     "csv_roundtrip": f"SELECT source AS file, lemma, flags FROM {_lemmas('documents', 'source')}",
     "csv_errors": "SELECT CAST(item_id AS VARCHAR) AS file, CAST(2 AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS last_line, 'columns' AS error_kind FROM benchmark",
+    "stream_changes": f"SELECT lemma, CAST(bit_or(CAST(1 AS INTEGER) << CAST(part AS INTEGER)) AS INTEGER) AS flags, CAST(sum(CAST(1 AS BIGINT) << part) AS BIGINT) AS added FROM {_lemmas('(SELECT *, doc_id % 4 AS part FROM documents)', 'part', '', True)} GROUP BY lemma",
     "stream_ingest": f"SELECT lemma, flags FROM {_VOCABULARY}",
 }

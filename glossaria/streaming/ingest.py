@@ -6,7 +6,6 @@ Merging is idempotent, so a batch that runs again changes nothing and no waterma
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from glossaria.operators.words import extract_entries
@@ -19,10 +18,6 @@ def ingest(docs: DataFrame, store: VocabularyStore, checkpoint: str, text: str =
     return docs.select(text).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def running_merge(entries: DataFrame) -> DataFrame:
-    """The merge of a stream of entries as a stateful aggregate (complete or update mode)."""
-    return entries.groupBy(F.lower("lemma").alias("lemma")).agg(F.bit_or("flags").alias("flags"))
-
-
-def document_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def document_stream(spark: SparkSession, path: str, schema: str, files_a_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(path)

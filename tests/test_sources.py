@@ -8,7 +8,7 @@ from glossaria import cli
 from glossaria.operators import delivery, words
 from glossaria.sources import files, html, list_files, list_sink, word_book, wordlist_csv
 from glossaria.sources.store import VocabularyStore
-from glossaria.streaming import ingest
+from glossaria.streaming import changes, ingest
 
 
 def bad(content):
@@ -304,3 +304,32 @@ def test_store_lists_as_files(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("h\nx\n")
     with pytest.raises(wordlist_csv.WordListError, match="line 2"):
         other.import_files(spark.createDataFrame([(str(tmp_path / "bad.csv"),)], "file string"))
+
+
+def test_stream_of_changes(spark, tmp_path):
+    """Words that come again give no rows, a stream that starts again goes on, and a batch that runs again replaces what it wrote."""
+    schema, at = "text string, flags int", lambda name: str(tmp_path / name)
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at("in"))
+
+    def run():
+        changes.record(changes.entries_of(ingest.document_stream(spark, at("in"), schema, 1), flags="flags"), at("out"), at("progress")).awaitTermination()
+        return {(r["lemma"], r["flags"], r["added"], r["batch"]) for r in spark.read.schema(f"{changes.CHANGE}, batch long").parquet(at("out")).collect()}
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    add([("Cats ran", 1), ("cat", 2), (None, 4), ("", 4)])
+    first = run()
+    assert first == {("cat", 3, 3, 0), ("run", 1, 1, 0)}
+    assert run() == first  # nothing new
+    add([("cats run", 1)])
+    assert run() == first  # the same words again
+    add([("Cats and dogs", 8)])
+    assert run() - first == {("cat", 11, 8, 2), ("and", 8, 8, 2), ("dog", 8, 8, 2)}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    import shutil
+
+    (tmp_path / "progress/commits/.2.crc").unlink(missing_ok=True)  # as if the driver had died before the last batch was done
+    (tmp_path / "progress/commits/2").unlink()
+    shutil.rmtree(tmp_path / "out/batch=2")
+    assert run() - first == {("cat", 11, 8, 2), ("and", 8, 8, 2), ("dog", 8, 8, 2)}
