@@ -73,26 +73,125 @@ def test_files_and_cli(spark, tmp_path, capsys):
 def test_long_inputs_take_linear_time():
     import time
 
+    n = 100_000
     pages = ["<p><b>x y" * 20_000, "<div>" * 20_000 + "x</i>" * 20_000, "<p><button>" + "<div>" * 20_000, "<b>" * 20_000 + "</b>" * 20_000]
+    pages += [f"<style>{'a' * n}</style><p>x", "<b>" * n + "<i>" + "</b>" * n, f"<style>{'/*' * n}</style>", f"<style>{'@a{' * n}</style>", f"<style>{'p{' * n}</style>", f"<style>{'a ' * n}{{display:none}}</style><p>x"]
+    pages += ["<style>" + "".join(f".c{k} p,#i{k}{{display:none}}" for k in range(20_000)) + "</style>" + "<div class=c7>" * 20_000, "<style>div div i{display:none}</style>" + "<div>" * 20_000, "<style>b~i{display:none}</style>" + "<b>x</b><i>y</i>" * 20_000]
     for page in pages:
         began = time.process_time()
         html.page_text(page)
-        assert time.process_time() - began < 2
+        assert time.process_time() - began < 4, page[:40]
     began = time.process_time()
     assert len(bad('h\n"a,1\n' + "b,2\n" * 100_000)) == 1 and time.process_time() - began < 2
 
 
 def test_html_formatting_is_reopened_three_times_at_most():
     assert html.page_text("<p><b><b><b><b>a</p><p>b")[0] == "ab"
-    assert html.page_text("<p>a</p></b></i><p>b<i>c</p>d<p>e</i>f")[0] == "a\nb\ncde\nf\n"
+    assert html.page_text("<p>a</p></b></i><p>b<i>c</p>d<p>e</i>f")[0] == "a\nb\ncdef\n"
     assert html.page_text("<p hidden>x<p>y", hidden=lambda tag, attrs: False)[0] == "x\ny\n"
     assert html.page_text("<p>x<code>y</code>", excluded=frozenset())[0] == "x\ny"
 
 
 def test_html_style_sheets():
     css = "/* p{display:none} */ .ad, div.x.y , #z{color:red; display:none!important} @media print { p{display:none} } i{visibility:hidden} p b{display:none} q{display:block}"
-    assert html.page_text(f"<style>{css}</style><p class='a ad'>1<p>2<div class='x'>3</div><div class='y x'>4</div><p id=z>5<p><i>6</i><b>7</b><q>8</q>")[0] == "2\n3\n78"
-    assert html.page_text("<style>p{margin:0}</style><p>x")[0] == "x\n" and html.hiding_rules("*{display:none}") == [("", frozenset(), "")]
+    assert html.page_text(f"<style>{css}</style><p class='a ad'>1<p>2<div class='x'>3</div><div class='y x'>4</div><p id=z>5<p><i>6</i><b>7</b><q>8</q>")[0] == "2\n3\n8"
+    assert html.page_text("<style>p{margin:0}</style><p>x")[0] == "x\n" and html.page_text("<style>*{display:none}</style><p>x")[0] == ""
+
+
+#: Style sheet, page, and the marked texts that are seen.  By hand.
+CASCADES = [
+    ("p{display:none} p{display:block}", "<p>1", "1"),  # the later
+    ("p{display:block} p{display:none}", "<p>1", ""),
+    ("p.a{display:block} p{display:none}", "<p class=a>1<p>2", "1"),  # the more specific
+    ("#x{display:block} p.a.b{display:none}", "<p id=x class='a b'>1<p class='b a'>2", "1"),
+    ("p{display:none!important} #x{display:block}", "<p id=x>1", ""),  # the important
+    ("p{display:none ! IMPORTANT;display:block}", "<p>1", ""),
+    ("p{display:none}", "<p style='display:block'>1<p style='color:red'>2", "1"),  # its own style
+    ("p{display:none!important}", "<p style='display:block'>1", ""),
+    ("p{display:block!important}", "<p style='display:none'>1", "1"),
+    ("p{display:block!important}", "<p hidden>1<p aria-hidden=true>2<p aria-hidden=false>3", "3"),  # attributes hide whatever styles say
+    ("div i{display:none}", "<div><p><i>1</i>2</p></div><i>3</i>", "23"),  # around it
+    ("div>i{display:none}", "<div><i>1</i><p><i>2</i></p></div>", "2"),  # its parent
+    ("div > p > i, u{display:none}", "<div><p><i>1</i><u>2</u><b>3</b></p></div>", "3"),
+    ("h1+p{display:none}", "<h1>1</h1><p>2</p><p>3</p>", "13"),  # right after
+    ("h1~p{display:none}", "<p>1</p><h1>2</h1><div>3</div><p>4</p><p>5</p>", "123"),  # somewhere after
+    ("h1 + br + p{display:none}", "<h1>1</h1><br><p>2</p><p>3</p>", "13"),
+    ("h1+p{display:none}", "<div><h1>1</h1></div><p>2</p>", "12"),  # no sibling
+    ("[data-x]{display:none}", "<p data-x>1<p data-y>2", "2"),
+    ("[data-x=a],[data-x='b'],[data-x=\"c d\"]{display:none}", "<p data-x=a>1<p data-x=b>2<p data-x='c d'>3<p data-x=e>4", "4"),
+    ("p[data-x^=a]{display:none} p[data-x$=z]{display:none} p[data-x*=mm]{display:none}", "<p data-x=ab>1<p data-x=yz>2<p data-x=kmmk>3<p data-x=b>4", "4"),
+    ("p[data-x~=a]{display:none} p[lang|=en]{display:none}", "<p data-x='b a'>1<p data-x=ba>2<p lang=en-GB>3<p lang=end>4", "24"),
+    ("p:hover,p::before,p:not(.a){display:none}", "<p>1", "1"),  # not understood
+    ("p:hover,i{display:none}", "<p>1<i>2</i>", "1"),
+    ("@media print{p{display:none} i{display:none}} b{display:none}", "<p>1<i>2</i><b>3</b>", "12"),
+    ("@import 'x.css'; p{display:none}", "<p>1<div>2</div>", "2"),
+    ("p{visibility:hidden} p.a{visibility:visible}", "<p>1<p class=a>2", "2"),
+    ("p{visibility:collapse}", "<p>1<i>2</i></p>3", "3"),
+    ("div{visibility:hidden} p{visibility:visible}", "<div>1<p>2</p></div>3", "3"),  # nothing is seen in what is hidden
+    ("/* p{display:none} */ i{display:none} /* b{display:none}", "<p>1<i>2</i><b>3</b>", "13"),
+    ("html p i{display:none} body>b{display:none}", "<p><i>1</i>2</p><b>3</b>", "2"),
+    ("P.A{display:none} p.a{color:red}", "<p class=a>1<P class=A>2", "1"),  # tags in any case, classes not
+    ("p{display:none", "<p>1<div>2</div>", "2"),  # the end is missing
+    ("} p{display:none}", "<p>1<div>2</div>", "2"),
+    ("div p{display:none}.a .b{display:none}", "<div class=a><div class=b>1</div></div><p class=b>2</p>", "2"),
+]
+
+
+@pytest.mark.parametrize("css, page, seen", CASCADES)
+def test_cascade(css, page, seen):
+    assert "".join(html.page_text(f"<html><head><style>{css}</style></head><body>{page}</body></html>")[0].split()) == seen
+
+
+#: Pages with tags that are missing, crossed or misplaced, and their text by the standard's rules of tree construction.  By hand.
+MALFORMED = [
+    ("<b><p>x</b>y</p>", "xy\n"),
+    ("<b><i>x</b>y</i>z", "xyz"),
+    ("<b>x<div>y</b>z</div>w", "xyz\nw"),
+    ("<i>a<b>b<p>c</i>d</b>e</p>", "abcde\n"),
+    ("<b>1<p>2</b>3<p>4</b>5", "123\n45\n"),
+    ("<em>a<ul><li>b</em>c</ul>d", "abc\nd"),
+    ("<p><b>a<p>b</b>c", "abc\n"),
+    ("<div><b>x</div>y</b>z", "xyz"),
+    ("<a>x<a>y</a>z", "xyz"),
+    ("<p>a</b>b", "ab\n"),
+    ("<table>a<tr><td>b</td></tr></table>c", "ab\nc"),
+    ("<div>a<table>b<tr><td>c</table>d</div>", "ab\nc\nd\n"),
+    ("<table><b>x<tr><td>y</td></tr></table>z", "xy\nz"),
+    ("<table><tr>x<td>a</td>y</tr></table>", "xya\n"),
+    ("<div><table><div>x</div><tr><td>y</table>z</div>", "x\ny\nz\n"),
+    ("<table><p>x<tr><td>y</table>", "x\ny\n"),
+    ("<!DOCTYPE html><p>a<table><tr><td>b</table>c", "a\nb\nc"),
+    ("<p>a<table><tr><td>b</table>c", "a\nb\nc\n"),  # without a doctype a table doesn't end a paragraph
+    ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc\n"),
+    ("<table><caption>t<tr><td>a</table>", "t\na\n"),
+    ("<table> <tr> <td>a</td> </tr> </table>", " \n \na\n \n \n"),
+    ("<table><td>a</table>b", "a\nb"),
+    ("<table><tr><td><table><tr><td>a</table>b</table>c", "a\nb\nc"),
+    ("<b><table><tr><td>x</b>y</td></tr></table>z", "xy\nz"),
+    ("<table><tr><td><b>x</td><td>y</table>z", "xy\nz"),
+    ("<table><tr><td>a</div>b</table>", "ab\n"),
+    ("<div><table><tr><td>a</div>b</table>c</div>", "ab\nc\n"),
+    ("<tr><td>a</td></tr>b", "ab"),
+    ("<ul><li>a<li>b</ul>c", "a\nb\nc"),
+    ("<li>a<div><li>b</div>c", "a\nbc\n"),
+    ("<dl><dt>a<dd>b<dt>c</dl>", "a\nb\nc\n"),
+    ("<p>a<div>b</p>c</div>", "a\nb\nc\n"),
+    ("<p>a<p>b</p>c</p>d", "a\nb\ncd"),
+    ("<div>a</p>b</div>", "a\nb\n"),
+    ("<h1>a<h2>b</h1>c", "a\nb\nc"),
+    ("<p>a<!-- c -->b</p>", "a\nb\n"),
+    ("a<br/>b</br>c", "a\nb\nc"),
+]
+
+
+@pytest.mark.parametrize("page, text", MALFORMED)
+def test_malformed_pages(page, text):
+    assert html.page_text(page) == (text, "body")
+
+
+def test_later_sheets_win():
+    assert html.page_text("<style>p{display:none}</style><style>p{display:block}</style><p>x")[0] == "x\n"
+    assert html.page_text("<body><p>x</p><style>p{display:none}</style><p>y</p>")[0] == "x\n"  # a sheet in the body holds for what follows
 
 
 def test_remote_paths_and_names(spark, tmp_path):
