@@ -29,9 +29,11 @@ regions are crowded, they must share further orders, of 32, within one: two with
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,7 @@ TREES, DEPTH = 16, 4
 SHARED = 3  # so many equal hashes of one order put two nodes in one region
 TILE = 4096
 PART, MEET, PART_SHINGLES = 256, 1024, 4 << 20  # nodes of a part of a group that finds its classes, and of one of two parts that meet at last; shingles of either
+MOST_SHARE = 512  # nodes that share a key of their prefixes and are held against each other in one task
 _SLACK = 0.24  # five standard errors of an estimate from TREES * DEPTH hashes at 0.8
 _FACTORS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -241,13 +244,70 @@ def linked_exactly(sets: list[np.ndarray], per_cent: int, label: np.ndarray, by:
     return label, order, links
 
 
+def _often(key: tuple, table: pa.Table) -> pa.Table:
+    """The shingles that two sets or more of a sample have, and how many: pairs of 64-bit numbers, by shingle."""
+    shingle, n = np.unique(np.frombuffer(b"".join(table["members"].to_pylist()), "<u8"), return_counts=True)
+    pairs = np.column_stack([shingle[n > 1], n[n > 1].astype(np.uint64)])
+    return pa.table({"root": pa.array([key[0].as_py()], pa.binary()), "often": pa.array([pairs.astype("<u8").tobytes()], pa.binary())})
+
+
+#: The least sizes of classes of sets by size; a set is held against sets of each class in turn.
+_SIZES = np.unique(np.ceil(1.1 ** np.arange(400)).astype(np.int64))
+
+
+def _prefixes(per_cent: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Keys of which two sets of a group share one if at least per_cent / 100 of their shingles, all told, are common.
+
+    Shingles are in one order within a group, those first that a sample of it has seldom or never.  If sets
+    of n and m shingles have k in common, the first of these is among the first n - k + 1 and m - k + 1; k
+    must be per_cent * (n + m) / (100 + per_cent) or more.  So for each class of sizes that a partner may
+    have a set has its first shingles, no more than that allows, as keys.  The order only decides how
+    many sets share a key.
+    """
+
+    def prefixes(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, labels = table["node"].to_pylist(), table["label"].to_pylist()
+        sets = [np.frombuffer(m, "<u8") for m in table["members"].to_pylist()]
+        often = next(x for n, x in zip(nodes, sets) if n is None).reshape(-1, 2)
+        salt = np.array([xxhash.xxh3_64_intdigest(key[0].as_py())], np.uint64)
+        keys, n_keys, own = [], [], []
+        for k, (node, x) in enumerate(zip(nodes, sets)):
+            if node is None:
+                continue
+            n = len(x)
+            at = np.minimum(np.searchsorted(often[:, 0], x), max(0, len(often) - 1))
+            count = np.where(often[at, 0] == x, often[at, 1], 0) if len(often) else np.zeros(n, np.uint64)
+            order = x[np.lexsort((x, count))]
+            least, most = -(-per_cent * n // 100), 100 * n // per_cent
+            mine = int(np.searchsorted(_SIZES, n, "right")) - 1
+            for its in range(int(np.searchsorted(_SIZES, least, "right")) - 1, int(np.searchsorted(_SIZES, most, "right"))):
+                m = max(int(_SIZES[its]), least)
+                first = n + 1 + (-per_cent * (n + m) // (100 + per_cent))  # n + 1 - the ceiling
+                if first > 0:
+                    sizes = joined(salt, np.array([min(mine, its) * 1000 + max(mine, its)], np.uint64))
+                    keys.append(joined(order[:first], sizes))
+                    n_keys.append(first)
+                    own.append(k)
+        which = np.repeat(own, n_keys)
+        return pa.table({
+            "key": pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()),
+            "node": pa.array(nodes, pa.binary()).take(pa.array(which, pa.int64())),
+            "label": pa.array(labels, pa.binary()).take(pa.array(which, pa.int64())),
+        })
+
+    return prefixes
+
+
 def verified(docs: DataFrame, groups: DataFrame, size: int, per_cent: int) -> DataFrame:
     """(a, b): what connects the nodes that exact links connect within each of groups(node, root, n_shingles, holder), from the full sets of the texts of docs(its_row, text).
 
     Groups are dealt into parts of about PART nodes and PART_SHINGLES shingles; each part finds its classes.  Of groups with
     more than one part, the node most like the others speaks for its class at the next level, until
-    the classes of a group have met.  Then every node outside a group's largest class is compared
-    with all of its group; nodes of the largest class needn't meet again.
+    the classes of a group have met.  What is left, the nodes of groups that still have more than one
+    class, shares keys by prefixes of the sets: only nodes that share a key, up to MOST_SHARE of them
+    and not all of one class, are held against each other, and equal lists of them once.  Nodes
+    of keys that more share, as sets just below the threshold may, meet in parts: each outside
+    the largest class with all of them.
     """
 
     def sets_of(placed: DataFrame, *columns: str) -> DataFrame:
@@ -317,8 +377,34 @@ def verified(docs: DataFrame, groups: DataFrame, size: int, per_cent: int) -> Da
         if parts == 1 or 2 * speakers.count() > before:
             break
 
-    sizes = labels.groupBy("root", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).groupBy("root").agg(F.max(F.struct("n", "label", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
-    sizes = sizes.where(F.col("n") > F.col("top.n")).select(F.col("root").alias("its_root"), F.col("top.label").alias("top"), n_parts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"), MEET).alias("n_rest"), n_parts(F.col("top.n"), F.col("top.s"), MEET).alias("n_top"))
+    def top_of(of: DataFrame) -> DataFrame:
+        """(its_root, top, n, s, and the same of the top class) for the roots of `of` that have more than one class; top is the class of most nodes."""
+        classes_of = of.groupBy("root", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+        per_root = classes_of.groupBy("root").agg(F.max(F.struct("n", "label", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+        return per_root.where(F.col("n") > F.col("top.n")).select(F.col("root").alias("its_root"), "top", "n", "s")
+
+    rest = top_of(labels).select("its_root", n_parts(F.col("n"), F.col("s")).alias("n_parts"))
+    left = frozen(labels.join(rest, F.col("root") == F.col("its_root")).withColumn("p", F.pmod(F.xxhash64("node"), "n_parts")).drop("its_root"), "open")
+    if left.isEmpty():
+        return found
+    often = frozen(sets_of(left.where("p = 0"), "root").groupBy("root").applyInArrow(_often, "root binary, often binary"), "often")  # the first part is a sample
+    copies = left.groupBy("root").agg(F.first("n_parts").alias("n_parts")).join(often.withColumnRenamed("root", "its_root"), F.col("root") == F.col("its_root"))
+    copies = copies.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("p"), F.lit(None).cast("binary").alias("label"), F.lit(None).cast("binary").alias("node"), F.col("often").alias("members"))
+    keys = sets_of(left, "root", "p", "label").unionByName(copies).groupBy("root", "p").applyInArrow(_prefixes(per_cent), "key long, node binary, label binary")
+    keys = frozen(keys, "prefixes")
+    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 1 AND low <> high").select(F.col("key").alias("its_key"), "n")
+    met = frozen(met, "met")
+    shared = frozen(keys.join(met, F.col("key") == F.col("its_key")).select("key", "n", "node"), "shared")
+    few = shared.where(F.col("n") <= MOST_SHARE).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes").distinct()
+    few = few.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("its_node"))
+    held = left.select("node", "holder").join(few, F.col("node") == F.col("its_node")).select("list", "node", "holder")
+    found = found.unionByName(frozen(sets_of(held, "list").groupBy("list").applyInArrow(star, "a binary, b binary"), "links"))
+    crowd = shared.where(F.col("n") > MOST_SHARE).select(F.col("node").alias("its_node")).distinct()
+    labels = frozen(left.join(crowd, F.col("node") == F.col("its_node"), "left_semi").drop("n_parts", "p"), "crowd")
+    if labels.isEmpty():
+        return found
+
+    sizes = top_of(labels).select("its_root", F.col("top.label").alias("top"), n_parts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"), MEET).alias("n_rest"), n_parts(F.col("top.n"), F.col("top.s"), MEET).alias("n_top"))
     placed = labels.join(sizes, F.col("root") == F.col("its_root")).withColumn("rest", F.col("label") != F.col("top"))
     own = F.when(F.col("rest"), F.pmod(F.xxhash64("node"), "n_rest")).otherwise(F.col("n_rest") + F.pmod(F.xxhash64("node"), "n_top"))
     others = F.when(F.col("rest"), F.col("n_rest") + F.col("n_top")).otherwise(F.col("n_rest"))
