@@ -303,11 +303,11 @@ def verified(docs: DataFrame, groups: DataFrame, size: int, per_cent: int) -> Da
 
     Groups are dealt into parts of about PART nodes and PART_SHINGLES shingles; each part finds its classes.  Of groups with
     more than one part, the node most like the others speaks for its class at the next level, until
-    the classes of a group have met.  What is left, the nodes of groups that still have more than one
-    class, shares keys by prefixes of the sets: only nodes that share a key, up to MOST_SHARE of them
-    and not all of one class, are held against each other, and equal lists of them once.  Nodes
-    of keys that more share, as sets just below the threshold may, meet in parts: each outside
-    the largest class with all of them.
+    the classes of a group have met.  If no more than one part of MEET nodes is outside a group's
+    largest class then, it meets all parts.  Otherwise the group's nodes get keys by prefixes of their sets:
+    only nodes that share a key, up to MOST_SHARE of them and not all of one class, are held against
+    each other, and equal lists of them once.  Nodes of keys that more share, as sets just below the
+    threshold may, meet in parts: each outside the largest class with all of them.
     """
 
     def sets_of(placed: DataFrame, *columns: str) -> DataFrame:
@@ -383,29 +383,36 @@ def verified(docs: DataFrame, groups: DataFrame, size: int, per_cent: int) -> Da
         per_root = classes_of.groupBy("root").agg(F.max(F.struct("n", "label", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
         return per_root.where(F.col("n") > F.col("top.n")).select(F.col("root").alias("its_root"), "top", "n", "s")
 
-    rest = top_of(labels).select("its_root", n_parts(F.col("n"), F.col("s")).alias("n_parts"))
-    left = frozen(labels.join(rest, F.col("root") == F.col("its_root")).withColumn("p", F.pmod(F.xxhash64("node"), "n_parts")).drop("its_root"), "open")
-    if left.isEmpty():
-        return found
-    often = frozen(sets_of(left.where("p = 0"), "root").groupBy("root").applyInArrow(_often, "root binary, often binary"), "often")  # the first part is a sample
-    copies = left.groupBy("root").agg(F.first("n_parts").alias("n_parts")).join(often.withColumnRenamed("root", "its_root"), F.col("root") == F.col("its_root"))
-    copies = copies.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("p"), F.lit(None).cast("binary").alias("label"), F.lit(None).cast("binary").alias("node"), F.col("often").alias("members"))
-    keys = sets_of(left, "root", "p", "label").unionByName(copies).groupBy("root", "p").applyInArrow(_prefixes(per_cent), "key long, node binary, label binary")
-    keys = frozen(keys, "prefixes")
-    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 1 AND low <> high").select(F.col("key").alias("its_key"), "n")
-    met = frozen(met, "met")
-    shared = frozen(keys.join(met, F.col("key") == F.col("its_key")).select("key", "n", "node"), "shared")
-    few = shared.where(F.col("n") <= MOST_SHARE).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes").distinct()
-    few = few.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("its_node"))
-    held = left.select("node", "holder").join(few, F.col("node") == F.col("its_node")).select("list", "node", "holder")
-    found = found.unionByName(frozen(sets_of(held, "list").groupBy("list").applyInArrow(star, "a binary, b binary"), "links"))
-    crowd = shared.where(F.col("n") > MOST_SHARE).select(F.col("node").alias("its_node")).distinct()
-    labels = frozen(left.join(crowd, F.col("node") == F.col("its_node"), "left_semi").drop("n_parts", "p"), "crowd")
-    if labels.isEmpty():
-        return found
-
-    sizes = top_of(labels).select("its_root", F.col("top.label").alias("top"), n_parts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"), MEET).alias("n_rest"), n_parts(F.col("top.n"), F.col("top.s"), MEET).alias("n_top"))
-    placed = labels.join(sizes, F.col("root") == F.col("its_root")).withColumn("rest", F.col("label") != F.col("top"))
+    def by_prefixes(of: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links of nodes that share a key with few, and the rows of the nodes that share one with many, for the roots(its_root, n_parts) of `of`."""
+        left = frozen(of.join(roots, F.col("root") == F.col("its_root")).withColumn("p", F.pmod(F.xxhash64("node"), "n_parts")).drop("its_root"), "wide")
+        often = frozen(sets_of(left.where("p = 0"), "root").groupBy("root").applyInArrow(_often, "root binary, often binary"), "often")  # the first part is a sample
+        copies = left.groupBy("root").agg(F.first("n_parts").alias("n_parts")).join(often.withColumnRenamed("root", "its_root"), F.col("root") == F.col("its_root"))
+        copies = copies.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("p"), F.lit(None).cast("binary").alias("label"), F.lit(None).cast("binary").alias("node"), F.col("often").alias("members"))
+        keys = sets_of(left, "root", "p", "label").unionByName(copies).groupBy("root", "p").applyInArrow(_prefixes(per_cent), "key long, node binary, label binary")
+        keys = frozen(keys, "prefixes")
+        met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 1 AND low <> high").select(F.col("key").alias("its_key"), "n")
+        met = frozen(met, "met")
+        shared = frozen(keys.join(met, F.col("key") == F.col("its_key")).select("key", "n", "node"), "shared")
+        few = shared.where(F.col("n") <= MOST_SHARE).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes").distinct()
+        few = few.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("its_node"))
+        held = left.select("node", "holder").join(few, F.col("node") == F.col("its_node")).select("list", "node", "holder")
+        links = frozen(sets_of(held, "list").groupBy("list").applyInArrow(star, "a binary, b binary"), "links")
+        crowd = shared.where(F.col("n") > MOST_SHARE).select(F.col("node").alias("its_node")).distinct()
+        return links, left.join(crowd, F.col("node") == F.col("its_node"), "left_semi")
+
+    def sizes_of(of: DataFrame) -> DataFrame:
+        return top_of(of).select("its_root", F.col("top.label").alias("top"), n_parts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"), MEET).alias("n_rest"), n_parts(F.col("top.n"), F.col("top.s"), MEET).alias("n_top"), n_parts(F.col("n"), F.col("s")).alias("n_parts"))
+
+    sizes = frozen(sizes_of(labels), "open")
+    wide = sizes.where("n_rest > 1").select("its_root", "n_parts")  # else one part outside the largest class meets all: no part moves more than once
+    if not wide.isEmpty():
+        links, crowd = by_prefixes(labels, wide)
+        found = found.unionByName(links)
+        narrow = labels.join(sizes.where("n_rest = 1").select("its_root"), F.col("root") == F.col("its_root"), "left_semi")
+        labels = frozen(narrow.unionByName(crowd.select(*labels.columns)), "crowd")
+        sizes = sizes_of(labels)
+    placed = labels.join(sizes.drop("n_parts"), F.col("root") == F.col("its_root")).withColumn("rest", F.col("label") != F.col("top"))
     own = F.when(F.col("rest"), F.pmod(F.xxhash64("node"), "n_rest")).otherwise(F.col("n_rest") + F.pmod(F.xxhash64("node"), "n_top"))
     others = F.when(F.col("rest"), F.col("n_rest") + F.col("n_top")).otherwise(F.col("n_rest"))
     placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -311,6 +312,35 @@ def test_candidates_in_a_crowd(spark, tile, monkeypatch):
     assert {tuple(sorted(bytes(x) for x in r)) for r in neardup.candidates(nodes, 0.8).collect()} == {(b"000", b"001")}
 
 
+@pytest.mark.parametrize("most_share", [512, 1])
+@pytest.mark.parametrize("common", [0.5, 0.68, 0.8, 0.86])
+def test_pages_of_one_template(spark, common, most_share, monkeypatch):
+    """Pages that share most of their words, pairs of them at 0.8 and around it: every link, by prefixes of the sets and by parts of a crowd."""
+    monkeypatch.setattr(neardup, "PART", 16)
+    monkeypatch.setattr(neardup, "MEET", 32)
+    monkeypatch.setattr(neardup, "MOST_SHARE", most_share)
+    rng, n = random.Random(4), 150
+    shared = [f"t{k}" for k in range(int(100 * common))]
+    texts = [" ".join(shared + [f"u{rng.getrandbits(40)}" for _ in range(100 - len(shared))]) for _ in range(n)]
+    for k in range(40):
+        w = texts[rng.randrange(n)].split()
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(4, len(w) - 4)] = f"x{rng.getrandbits(40)}"
+        texts.append(" ".join(w[: len(w) - rng.randint(0, 6)]))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    hashes = neardup.WordHashes()
+    sets = [neardup.shingles_of(t.encode(), 4, hashes) for t in texts]
+    names = {neardup.set_id(x): i for i, x in enumerate(sets)}
+    groups = spark.createDataFrame([(neardup.set_id(x), b"g", len(x), i) for i, x in enumerate(sets)], "node binary, root binary, n_shingles long, holder long")
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in rows], "its_row long, text binary")
+    links = neardup.verified(docs, groups, 4, 80)
+    got = {names[bytes(r[0])]: names[bytes(r[1])] for r in neardup.components(links).collect()}
+    want = components_by_force(rows, 4)
+    classes = lambda of: sorted(sorted(i for i in range(len(rows)) if of(i) == c) for c in {of(i) for i in range(len(rows))})
+    assert classes(lambda i: got.get(i, i)) == classes(lambda i: want[i][1])
+
+
+
 def test_components_of_a_chain(spark):
     names = [bytes([k]) for k in range(40)]
     order = names[::2] + names[1::2]
