@@ -43,6 +43,7 @@ TREES, DEPTH = 16, 4
 SHARED = 3  # so many equal hashes of one order put two nodes in one region
 TILE = 4096
 PART, MEET, PART_SHINGLES = 256, 1024, 4 << 20  # nodes of a part of a group that finds its classes, and of one of two parts that meet at last; shingles of either
+FEW_PARTS = 8  # so many of the latter parts meet all of their group; more are joined by prefixes, which takes more steps
 MOST_SHARE = 512  # nodes that share a key of their prefixes and are held against each other in one task
 _SLACK = 0.24  # five standard errors of an estimate from TREES * DEPTH hashes at 0.8
 _FACTORS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -303,8 +304,8 @@ def verified(docs: DataFrame, groups: DataFrame, size: int, per_cent: int) -> Da
 
     Groups are dealt into parts of about PART nodes and PART_SHINGLES shingles; each part finds its classes.  Of groups with
     more than one part, the node most like the others speaks for its class at the next level, until
-    the classes of a group have met.  If no more than one part of MEET nodes is outside a group's
-    largest class then, it meets all parts.  Otherwise the group's nodes get keys by prefixes of their sets:
+    the classes of a group have met.  If no more than FEW_PARTS parts of MEET nodes are outside a
+    group's largest class then, they meet all parts.  Otherwise the group's nodes get keys by prefixes of their sets:
     only nodes that share a key, up to MOST_SHARE of them and not all of one class, are held against
     each other, and equal lists of them once.  Nodes of keys that more share, as sets just below the
     threshold may, meet in parts: each outside the largest class with all of them.
@@ -405,11 +406,11 @@ def verified(docs: DataFrame, groups: DataFrame, size: int, per_cent: int) -> Da
         return top_of(of).select("its_root", F.col("top.label").alias("top"), n_parts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"), MEET).alias("n_rest"), n_parts(F.col("top.n"), F.col("top.s"), MEET).alias("n_top"), n_parts(F.col("n"), F.col("s")).alias("n_parts"))
 
     sizes = frozen(sizes_of(labels), "open")
-    wide = sizes.where("n_rest > 1").select("its_root", "n_parts")  # else one part outside the largest class meets all: no part moves more than once
+    wide = sizes.where(F.col("n_rest") > FEW_PARTS).select("its_root", "n_parts")  # else no node of the largest class moves more often than that
     if not wide.isEmpty():
         links, crowd = by_prefixes(labels, wide)
         found = found.unionByName(links)
-        narrow = labels.join(sizes.where("n_rest = 1").select("its_root"), F.col("root") == F.col("its_root"), "left_semi")
+        narrow = labels.join(sizes.where(F.col("n_rest") <= FEW_PARTS).select("its_root"), F.col("root") == F.col("its_root"), "left_semi")
         labels = frozen(narrow.unionByName(crowd.select(*labels.columns)), "crowd")
         sizes = sizes_of(labels)
     placed = labels.join(sizes.drop("n_parts"), F.col("root") == F.col("its_root")).withColumn("rest", F.col("label") != F.col("top"))

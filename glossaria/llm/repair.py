@@ -45,6 +45,7 @@ GIVEN = {"u": "user", "a": "assistant"}
 _BLANK = r"[\x20\x09-\x0D]"
 SEGMENT = 4096
 _INITIALS, _FAULTS = "sua-", ("fine", "blank", "duplicate", "truncated")
+TURNS = "conv_id long, position long, nth int, edit string, role string, text string"
 REPORT = "conv_id long, segment long, edits array<string>, rows long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, tail string"
 
 
@@ -140,14 +141,28 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 
 class Repaired:
-    """What repair found; all tables are written, so they may be read again.
+    """What repair found, from written tables, so it may be read again.
 
     reports: (conv_id, rows, gaps, blank, duplicate, truncated, illegal, cost, audit) of each conversation that has rows.
     turns: (conv_id, position, nth, edit, role, text), the repaired conversations in the order of (position, nth).
     """
 
-    def __init__(self, reports: DataFrame, turns: DataFrame):
-        self.reports, self.turns = reports, turns
+    def __init__(self, rows: DataFrame, plans: DataFrame, segment: int):
+        self._rows, self._plans, self._segment = rows, plans, segment
+        self.reports = plans.where("segment < 0").drop("segment", "edits", "tail")
+
+    @property
+    def turns(self) -> DataFrame:
+        return self.edited("conv_id", "segment")
+
+    def edited(self, *together: str) -> DataFrame:
+        """The turns, in order within each partition and those that agree in the columns `together` in one: segments by themselves, or whole conversations."""
+        none, size = F.lit(None).cast("string"), F.lit(self._segment).cast("long")
+        rows = self._rows.select("conv_id", F.floor(F.col("position") / size).cast("long").alias("segment"), "position", F.lit(1).alias("kind"), "role", "text", F.lit(None).cast("array<string>").alias("edits"))
+        plans = self._plans.where("segment >= 0").select("conv_id", "segment", (F.col("segment") * size).alias("position"), F.lit(0).alias("kind"), none.alias("role"), none.alias("text"), "edits")
+        ends = self._plans.where("segment < 0 AND tail <> ''").select("conv_id", F.floor(F.col("rows") / size).cast("long").alias("segment"), F.col("rows").alias("position"), F.lit(2).alias("kind"), none.alias("role"), F.col("tail").alias("text"), F.lit(None).cast("array<string>").alias("edits"))
+        every = rows.unionByName(plans).unionByName(ends)
+        return every.repartition(*together).sortWithinPartitions("conv_id", "position", "kind").mapInArrow(_edit(self._segment), TURNS)
 
 
 def repair(conversations: DataFrame, segment: int = SEGMENT) -> Repaired:
@@ -158,24 +173,40 @@ def repair(conversations: DataFrame, segment: int = SEGMENT) -> Repaired:
     initial = F.substring("role", 1, 1)
     rows = rows.withColumns({
         "initial": F.when(initial.isin(*"sua"), initial).otherwise("-"),
-        "digest": F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")).cast("binary")),
+        "digest": F.unhex(F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")).cast("binary"))),
         "state": F.when(stripped == "", "blank").when(~stripped.rlike(r"[.!?]\z"), "truncated").otherwise("fine"),
     })
-    numbered = frozen(in_order(rows, "conv_id", ("turn", "role", "text"), {}, "repair-order"), "repair-rows")
+    numbered = in_order(rows, "conv_id", ("turn", "role", "text"), {}, "repair-order")
     copies = numbered.groupBy("conv_id", "digest").agg(F.min("position").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("conv_id").alias("its_conv"), F.col("digest").alias("its_digest"), "first")
+    copies = frozen(copies, "repair-copies")
     narrow = numbered.select("conv_id", "position", "turn", "initial", "state", "digest").join(copies, F.col("conv_id").eqNullSafe(F.col("its_conv")) & (F.col("digest") == F.col("its_digest")), "left")
     fault = F.when(F.col("state") == "blank", "blank").when(F.col("position") > F.col("first"), "duplicate").otherwise(F.col("state"))
     plans = frozen(by_key(narrow.select("conv_id", "position", "turn", "initial", fault.alias("fault")), "conv_id", "position").mapInArrow(_planner(segment), REPORT), "repair-plans")
-    reports = plans.where("segment < 0")
-    segments = plans.where("segment >= 0").select(F.col("conv_id").alias("its_conv"), "segment", "edits")
-    joined = numbered.select("conv_id", "position", "role", "text", F.floor(F.col("position") / segment).cast("long").alias("its_segment")).join(segments, F.col("conv_id").eqNullSafe(F.col("its_conv")) & (F.col("its_segment") == F.col("segment")))
-    edits = joined.select("conv_id", "position", "role", "text", F.posexplode(F.regexp_extract_all(F.get("edits", (F.col("position") % segment).cast("int")), F.lit("."), F.lit(0))).alias("nth", "act"))
-    ends = reports.select("conv_id", F.col("rows").alias("position"), F.lit("").alias("role"), F.lit("").alias("text"), F.posexplode(F.regexp_extract_all("tail", F.lit("."), F.lit(0))).alias("nth", "act"))
-    act = F.col("act")
-    given = F.when(F.lower(act) == "u", GIVEN["u"]).when(F.lower(act) == "a", GIVEN["a"]).otherwise(F.col("role"))
-    label = F.when(act.isin("u", "a"), "I").when(act.isin("U", "A"), "R").otherwise(act)
-    turns = edits.unionByName(ends).where(act != "D").select("conv_id", "position", "nth", label.alias("edit"), given.alias("role"), F.when(label == "I", "").otherwise(F.col("text")).alias("text"))
-    return Repaired(reports.drop("segment", "edits", "tail"), frozen(turns, "repair-turns"))
+    return Repaired(numbered.select("conv_id", "position", "role", "text"), plans, segment)
+
+
+def _edit(segment: int) -> Callable:
+    """Applies edits to rows that come after those of their segment."""
+    names, kinds = TURNS.replace(" long", "").replace(" int", "").replace(" string", "").split(", "), [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
+
+    def edit(batches):
+        edits: list[str] = []
+        for b in batches:
+            out = []
+            for conv, _, position, kind, role, text, more in runs_of([b]):
+                if not kind:
+                    edits = more
+                    continue
+                for nth, act in enumerate(text if kind == 2 else edits[position % segment]):
+                    if act == "K":
+                        out.append((conv, position, nth, "K", role, text))
+                    elif act != "D":
+                        new = act.islower()
+                        out.append((conv, position, nth, "I" if new else "R", GIVEN[act.lower()], "" if new else text))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    return edit
 
 
 def _planner(segment: int) -> Callable:
@@ -231,7 +262,7 @@ def digests(conversations: DataFrame) -> DataFrame:
         def part():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string()))], list(names))
 
-        for conv, _, _, role, text in runs_of(batches):
+        for conv, _, _, _, role, text in runs_of(batches):
             if now != (conv,):
                 if now:
                     rows.append((now[0], digest.hexdigest()))
@@ -246,7 +277,7 @@ def digests(conversations: DataFrame) -> DataFrame:
             rows.append((now[0], digest.hexdigest()))
             yield part()
 
-    own = by_key(out.turns.select("conv_id", "position", "nth", "role", "text"), "conv_id", "position", "nth").mapInArrow(read, "conv_id long, repaired_sha256 string")
+    own = out.edited("conv_id").mapInArrow(read, "conv_id long, repaired_sha256 string")
     every = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct().alias("e")
     joined = every.join(out.reports.alias("r"), F.col("e.conv_id").eqNullSafe(F.col("r.conv_id")), "left").join(own.alias("o"), F.col("e.conv_id").eqNullSafe(F.col("o.conv_id")), "left")
     zero = [F.coalesce(f"r.{c}", F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]

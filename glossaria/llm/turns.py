@@ -56,6 +56,7 @@ def in_order(rows: DataFrame, key: str, order: tuple[str, ...], sums: dict[str,
     earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     names = ["position", *sums]
     more = ends.select(F.col(key).alias("its_key"), F.col("part").alias("its_part"), *(F.sum(x).over(earlier).alias(f"{x}_more") for x in names)).where("position_more IS NOT NULL")
+    more = frozen(more, f"{name}-before")
     both = table.join(F.broadcast(more), F.col(key).eqNullSafe(F.col("its_key")) & (F.col("part") == F.col("its_part")), "left")
     return both.select(*rows.columns, *((F.col(x) + F.coalesce(f"{x}_more", F.lit(0))).alias(x) for x in names))
 

@@ -317,7 +317,7 @@ def test_candidates_in_a_crowd(spark, tile, monkeypatch):
 def test_pages_of_one_template(spark, common, most_share, monkeypatch):
     """Pages that share most of their words, pairs of them at 0.8 and around it: every link, by prefixes of the sets and by parts of a crowd."""
     monkeypatch.setattr(neardup, "PART", 16)
-    monkeypatch.setattr(neardup, "MEET", 32)
+    monkeypatch.setattr(neardup, "FEW_PARTS", 0)
     monkeypatch.setattr(neardup, "MOST_SHARE", most_share)
     rng, n = random.Random(4), 150
     shared = [f"t{k}" for k in range(int(100 * common))]
