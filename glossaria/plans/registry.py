@@ -12,7 +12,7 @@ from glossaria.functions import lemma as lemmas
 from glossaria.functions import responses, text
 from glossaria.operators import collector, delivery, words
 from glossaria.shared import frozen, new_path
-from glossaria.sources import html, list_files, list_sink, word_book, wordlist_csv
+from glossaria.sources import files, html, list_files, list_sink, word_book, wordlist_csv
 from glossaria.sources.store import VocabularyStore
 from glossaria.streaming import changes, ingest
 
@@ -336,6 +336,40 @@ def collect_pages(spark, sf_dir):
     return p.select("page_id", "source", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def _digested(p: DataFrame) -> DataFrame:
+    return p.select("page_id", "source", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def styled_pages(spark, sf_dir):
+    """The pages with rules that hide what is bold, one of them undone by a later one for what isn't there."""
+    css = "<style>b{display:block} article p>b, article>b{display:none} p b b b i{display:inline} article b{visibility:hidden}</style></head>"
+    p = _read(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("</head>"), F.lit(css)).alias("html"))
+    return _digested(html.collect_pages(p, "page_id"))
+
+
+def preformatted_pages(spark, sf_dir):
+    """The documents as pages of nothing but preformatted text."""
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<body><pre>\n"), escaped, F.lit("</pre></body>")).alias("html"))
+    return _digested(html.collect_pages(d, "page_id"))
+
+
+def pages_without_headings(spark, sf_dir):
+    """The pages read with h1 as the only excluded tag and nothing hidden."""
+    return _digested(html.collect_pages(_read(spark, sf_dir, "pages"), "page_id", excluded=frozenset({"h1"}), hidden=lambda tag, attrs: False))
+
+
+def tree_files(spark, sf_dir):
+    """The documents as files in a tree of folders, beside some that aren't wanted, listed and read again."""
+    top = new_path(spark, "tree")
+    d = _read(spark, sf_dir, "documents").groupBy("lang", F.pmod("doc_id", F.lit(16)).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    name = F.element_at(F.array(*map(F.lit, ("/_%s/a/%s.md", "/%s/%s.TXT", "/.%s/%s.md", "/%s/node_modules/%s.md", "/%s/%s.json"))), (F.col("part") % 5 + 1).cast("int"))
+    path = F.concat(F.lit(top), F.replace(F.replace(name, F.lit("/%s/%s"), F.concat(F.lit("/"), "lang", F.lit("/"), F.col("part").cast("string"))), F.lit("%s"), F.concat("lang", F.col("part").cast("string"))))
+    files.write_files(d.select(path.alias("file"), F.concat(F.lit("\ufeff"), "content").alias("content")))
+    found = files.read_files(files.listed(spark, top))
+    return found.select(F.expr(f"substring(file, {len(top) + 1})").alias("file"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 def page_vocabulary(spark, sf_dir):
     return words.extract_entries(html.collect_pages(_read(spark, sf_dir, "pages"), "page_id"), "page_id").select("page_id", "lemma", "flags")
 
@@ -361,13 +395,46 @@ def stream_changes(spark, sf_dir):
     return found.groupBy("lemma").agg(F.bit_or("flags").alias("flags"), F.sum("added").alias("added"))
 
 
+def cleared_store(spark, sf_dir):
+    """A store that was filled, cleared and filled with other words."""
+    store = VocabularyStore(spark, new_path(spark, "store"))
+    store.merge_collected(_vocabulary(spark, sf_dir, "conversations"))
+    store.compact()
+    store.clear()
+    store.merge_collected(_vocabulary(spark, sf_dir, "benchmark"))
+    return VocabularyStore(spark, store.path).get_all()
+
+
+def reply_guards(spark, sf_dir):
+    """Replies that carry the documents' texts, some of the wrong kind and some no JSON: how many each guard lets through."""
+    d, k = _read(spark, sf_dir, "documents"), F.pmod("doc_id", F.lit(5))
+    text = F.coalesce("text", F.lit(""))
+    body = (
+        F.when(k == 0, F.to_json(F.struct(F.lit(True).alias("ok"), text.alias("csv"))))
+        .when(k == 1, F.to_json(F.struct(F.lit(False).alias("ok"), text.alias("error"))))
+        .when(k == 2, F.to_json(F.struct(text.alias("ok"), text.alias("csv"), F.lit(True).alias("loggedIn"))))
+        .when(k == 3, F.to_json(F.struct(F.lit(True).alias("ok"), F.length(text).alias("count"))))
+        .otherwise(text)
+    )
+    kinds = ("export", "login", "collect")
+    return d.select("lang", body.alias("body")).groupBy("lang").agg(*(F.count_if(responses.valid_reply(x, F.col("body"))).alias(x) for x in kinds))
+
+
+def settings_read(spark, sf_dir):
+    """Stored settings made of labels, booleans and others: whether words are delivered by themselves."""
+    marks = _read(spark, sf_dir, "labels")
+    setting = F.when(F.col("toxic") == 1, "false").when(F.col("quality") == 1, "true").when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('"')))
+    return marks.groupBy(responses.auto_push(setting).alias("auto_push")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize, token_reason, english_words, normalize_roundtrip, lemma_pairs, extract_entries, corpus_vocabulary, proper_noun_excluded, proper_noun_kept, named_tokens, proper_nouns, lemma_by_vocabulary, vocabulary_entries,
         conversation_vocabulary, merge_flags, merge_three_lists, counts, pending, mark_pushed, already_known, new_words, definition_lookup, push_outcomes,
         push_summary, push_paused, push_progress, delivery_run, collect_messages, page_collection, create_entries, pushed_entries, word_requests, listed_words, paged_list, list_parts, reply_narrowing, login_states, list_import,
-        classify_responses, message_guards, csv_roundtrip, csv_errors, collect_pages, page_vocabulary, stream_ingest, stream_changes,
+        classify_responses, message_guards, csv_roundtrip, csv_errors, collect_pages, page_vocabulary, styled_pages, preformatted_pages, pages_without_headings, tree_files, cleared_store, reply_guards, settings_read,
+        stream_ingest, stream_changes,
     )
 }
 
@@ -443,9 +510,12 @@ _PLANNED = f"""(WITH s AS (SELECT v.lemma, b.lemma IS NOT NULL AS known, CASE WH
 SELECT lemma, outcome, CAST(attempts AS INTEGER) AS attempts, CAST(CASE attempts WHEN 2 THEN 800 WHEN 3 THEN 2800 ELSE 0 END AS INTEGER) AS waited_ms FROM a)"""
 
 # Every page has one article of h1, p, b and br, whose b are never closed: a text before the first b ends a line, later ones don't.
-_PAGES = f"""(SELECT page_id, 'article' AS source, {"replace(" * 5}x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&') AS text FROM
-(SELECT page_id, array_to_string(list_transform(l, lambda c, i: CASE WHEN c = '<br>' THEN chr(10) WHEN c[1] = '<' THEN '' WHEN b = 0 OR i < b THEN c || chr(10) ELSE c END), '') AS x FROM
-(SELECT page_id, l, coalesce(list_position(l, '<b>'), 0) AS b FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>|[^<]+') AS l FROM pages))))"""
+_PAGES_OF = """(SELECT page_id, 'article' AS source, replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&') AS text FROM
+(SELECT page_id, array_to_string(list_transform(l, lambda c, i: CASE WHEN c = '<br>' THEN chr(10) WHEN c[1] = '<' THEN '' WHEN b = 0 OR i < b THEN c || chr(10) ELSE {bold} END), '') AS x FROM
+(SELECT page_id, l, coalesce(list_position(l, '<b>'), 0) AS b FROM (SELECT page_id, regexp_extract_all({article}, '<[^>]*>|[^<]+') AS l FROM pages))))"""
+_ARTICLE = "regexp_extract(html, '<article>(.*)</article>', 1, 's')"
+_PAGES = _PAGES_OF.format(bold="c", article=_ARTICLE)
+_DIGESTED = "SELECT page_id, source, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM "
 _SUMMARY = """SELECT CASE WHEN count(*) FILTER (outcome = 'pending') > 0 THEN 'paused' ELSE 'completed' END AS phase, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (outcome <> 'pending') AS BIGINT) AS processed,
 CAST(count(*) FILTER (outcome = 'succeeded') AS BIGINT) AS succeeded, CAST(count(*) FILTER (outcome = 'existing') AS BIGINT) AS existing, CAST(count(*) FILTER (outcome = 'failed') AS BIGINT) AS failed, CAST(count(*) FILTER (outcome = 'pending') AS BIGINT) AS pending,
 CAST(greatest(0, count(*) FILTER (outcome <> 'pending') - 1) * 400 AS BIGINT) AS gap_ms,
@@ -497,6 +567,14 @@ CAST(CASE turn % 6 WHEN 0 THEN turn WHEN 4 THEN 3 ELSE -1 END AS BIGINT) AS tota
     "login_states": f"SELECT status, state, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(CASE event_id % 9 {' '.join(f'WHEN {k} THEN {v[0]}' for k, v in _REPLY.items())} END AS INTEGER) AS status, CASE event_id % 9 {' '.join(f"WHEN {k} THEN '{v[1]}'" for k, v in _REPLY.items())} END AS state FROM events) GROUP BY ALL",
     "list_import": f"SELECT lemma, CAST(length(lemma) & 3 AS INTEGER) AS flags FROM {_BOOK}",
     "collect_pages": f"SELECT page_id, source, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM {_PAGES}",
+    "styled_pages": _DIGESTED + _PAGES_OF.format(bold="''", article=_ARTICLE),
+    "preformatted_pages": _DIGESTED + "(SELECT doc_id AS page_id, 'body' AS source, text FROM documents)",
+    "pages_without_headings": _DIGESTED + _PAGES_OF.format(bold="c", article=f"regexp_replace({_ARTICLE}, '<h1>.*?</h1>', '', 's')"),
+    "tree_files": """SELECT CASE part % 5 WHEN 0 THEN '/_' || lang || part || '/a/' || lang || part || '.md' ELSE '/' || lang || '/' || part || '.TXT' END AS file, md5(string_agg(text, chr(10) ORDER BY doc_id)) AS content_md5
+FROM (SELECT *, doc_id % 16 AS part FROM documents) WHERE part % 5 < 2 GROUP BY lang, part""",
+    "cleared_store": f"SELECT lemma, flags FROM {_BOOK}",
+    "reply_guards": """SELECT lang, CAST(count(*) FILTER (doc_id % 5 IN (0, 1)) AS BIGINT) AS export, CAST(count(*) FILTER (doc_id % 5 IN (1, 2)) AS BIGINT) AS login, CAST(count(*) FILTER (doc_id % 5 IN (1, 3)) AS BIGINT) AS collect FROM documents GROUP BY lang""",
+    "settings_read": "SELECT toxic IS DISTINCT FROM 1 AS auto_push, CAST(count(*) AS BIGINT) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM labels GROUP BY ALL",
     "page_vocabulary": f"SELECT page_id, lemma, flags FROM {_lemmas(_PAGES, 'page_id')}",
     "classify_responses": """SELECT status, kind, again, found, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(CASE event_id % 9 WHEN 0 THEN 401 WHEN 1 THEN 500 WHEN 2 THEN 404 ELSE 200 END AS INTEGER) AS status,
 CASE event_id % 9 WHEN 0 THEN 'auth' WHEN 1 THEN 'http' WHEN 2 THEN 'http' WHEN 3 THEN 'malformed' WHEN 4 THEN 'api' WHEN 6 THEN 'api' WHEN 7 THEN 'api' ELSE 'ok' END AS kind, event_id % 9 IN (1, 3, 4, 6) AS again, event_id % 9 = 5 AS found FROM events) GROUP BY ALL""",

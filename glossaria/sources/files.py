@@ -8,6 +8,7 @@ Paths with a scheme (file, s3, hdfs, gs, abfs) go through Arrow's file systems,
 from __future__ import annotations
 
 import os
+import uuid
 from datetime import datetime
 
 import pyarrow as pa
@@ -115,6 +116,23 @@ def read_files(files: DataFrame) -> DataFrame:
     return files.select("file").repartition(min(10_000, max(1, files.count() // 16))).mapInArrow(run, "file string, content string")
 
 
+def write_files(files: DataFrame) -> int:
+    """Writes files(file, content) as UTF-8, each whole or not at all; how many there were."""
+
+    def run(batches):
+        for b in batches:
+            for path, text in zip(b["file"].to_pylist(), b["content"].to_pylist()):
+                fs, at = _system(path)
+                fs.create_dir(os.path.dirname(at), recursive=True)
+                name = f"{os.path.dirname(at)}/.{uuid.uuid4().hex}.tmp"
+                with fs.open_output_stream(name) as f:
+                    f.write((text or "").encode())
+                fs.move(name, at)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return files.select("file", "content").mapInArrow(run, "n long").agg({"n": "sum"}).first()[0] or 0
+
+
 def output_name(path: str) -> str:
     """Where a file's words go: beside it, the extension replaced."""
     return f"{os.path.splitext(path)[0]}.words.csv"

@@ -75,6 +75,7 @@ class _Page(HTMLParser):
         self.places: dict[str, list[int]] = defaultdict(list)  # of each tag among the open ones
         self.special: list[int] = []  # the places of those that an end tag isn't looked for beyond
         self.quirks = True  # until there is a doctype
+        self.begins_pre = False  # a line end there doesn't count
         self.formats: list[_Element | None] = []  # None: a cell begins, within which those before don't count
         self.first: dict[str, _Element] = {}
         self.sheet = Sheet()
@@ -236,6 +237,7 @@ class _Page(HTMLParser):
             return
         e = _Element(tag, tuple(attrs), *styled)
         self._push(e)
+        self.begins_pre = tag == "pre"
         if tag in _CELLS:
             self.formats.append(None)
         if tag in FORMATTING:
@@ -269,6 +271,7 @@ class _Page(HTMLParser):
                 self._pop()
 
     def handle_endtag(self, tag):
+        self.begins_pre = False
         if tag in FORMATTING:
             known = next((e for e in _until_none(reversed(self.formats)) if e.tag == tag), None)
             if known:
@@ -285,6 +288,10 @@ class _Page(HTMLParser):
             self._close({tag}, _SCOPES if tag not in _TABLE_PARTS and tag != "table" else frozenset({"table"}) - {tag})
 
     def handle_data(self, data):
+        if self.begins_pre:
+            data, self.begins_pre = data.removeprefix("\n"), False
+            if not data:
+                return
         if self.open and self.open[-1].tag == "style":
             self._read_sheet(data)
         if not self.in_head:
