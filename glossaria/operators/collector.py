@@ -119,9 +119,9 @@ _FAILED = {
 }
 
 
-def run_collection(pages: DataFrame, store: VocabularyStore, extract: Callable[[DataFrame], DataFrame] = words.extract_entries, after: Callable[[], object] = lambda: None) -> dict:
+def run_collection(pages: DataFrame, store: VocabularyStore, extract: Callable[[DataFrame], DataFrame] = words.extract_entries, after: Callable[[], object] = lambda: None, read: Callable[[DataFrame], DataFrame] = html.collect_pages) -> dict:
     """Reads pages(html[, selection]), extracts their words, merges them and says how many there were; then calls `after`."""
-    entries = extract(html.collect_pages(pages))
+    entries = extract(read(pages))
     store.merge_collected(entries)
     count = entries.select(F.lower("lemma")).distinct().count()
     after()

@@ -432,3 +432,24 @@ def test_stream_of_changes(spark, tmp_path):
     (tmp_path / "progress/commits/2").unlink()
     shutil.rmtree(tmp_path / "out/batch=2")
     assert run() - first == {("cat", 11, 8, 2), ("and", 8, 8, 2), ("dog", 8, 8, 2)}
+
+
+def test_references_without_a_semicolon():
+    page = "<style>b{color:red}</style><script>a&amp</script><article><h1>a &amp</h1><p>&am b &lt;&amp;amp; &#65;&#66 R&D;&copy c</p></article>"
+    assert html.page_text(page)[0] == "a &\n&am b <&amp; AB R&D;© c\n"  # by the standard
+    assert html.page_text(page, open_references=False)[0] == "a &amp\n&am b <&amp; A&#66 R&D;&copy c\n"
+
+
+def test_pages_cut_within_a_reference_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from glossaria.plans import registry
+
+    texts = ["One two &amp", "One two &am", "Cut &quot", "Three &amp; four &lt;five", "Six &copy"]
+    body = [f'<!DOCTYPE html><html><head><style>p{{margin:0}}</style></head><body><article><h1>{t}</h1><p><b>{t}<br><p>said {t}</p></article></body></html>' for t in texts]
+    spark.createDataFrame(list(enumerate(body)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("collect_pages", "page_collection", "page_vocabulary", "styled_pages", "pages_without_headings"):
+        got, want = registry.QUERIES[name](spark, str(tmp_path)).collect(), con.execute(registry.ORACLE_SQL[name]).df()
+        assert sorted(map(tuple, got)) == sorted(want[list(got[0].asDict())].itertuples(index=False, name=None)), name
