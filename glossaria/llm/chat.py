@@ -1,11 +1,11 @@
 r"""Chat formatting by prefix-target expansion: every assistant turn is an example of its own, with all turns before it as context and only that reply trainable.
 
 A turn becomes a piece of text, `<turn ROLE>\n TEXT \n</turn>\n` without the blanks, and a conversation
-the stream of its pieces.  An example is the stream up to the end of its reply, so examples of one
-conversation share their beginnings: the stream is kept once, a row a turn with the place where it
-starts, and an example is (how many code points of the stream, the reply's piece, which code points
-are trained on).  That is linear in the conversations, however long one is; `texts` writes an example's
-whole text out where a trainer needs it, which grows with the square of a conversation's turns.
+the stream of its pieces, a row a turn with the place where it starts.  An example is the stream's whole
+text up to the end of its reply, with the code points that are trained on.  Examples of one conversation
+share their beginnings, so all of them together grow with the square of its turns; what moves between
+tasks doesn't until a conversation is longer than a segment: each turn goes to its own segment and to
+those after it, where the examples of the segment's replies are made one after the other.
 
 Within texts a backslash goes into whatever looks like a mark, after the `<` or `</` (and before any
 backslashes there); reading back takes one out, so every text comes back as it was.  Roles have %, <, >
@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.llm.turns import by_key, in_order, runs_of
@@ -79,26 +79,33 @@ def stream(conversations: DataFrame) -> DataFrame:
     return found.select("conv_id", "position", "starts", "piece", F.when(reply, begins).alias("loss_from"), F.when(reply, ends).alias("loss_to"))
 
 
-def examples(stream: DataFrame) -> DataFrame:
-    """(conv_id, position, chars, loss_from, loss_to, reply): for each reply the example that ends with it, whose text is the stream's first `chars` code points.
+#: Code points of a conversation whose examples one task makes.
+SEGMENT = 1 << 20
 
-    reply is the example's last piece; position is the reply's among the turns.
+
+def examples(stream: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(conv_id, position, text, loss_from, loss_to): for each reply the example that ends with it, all turns before it included.
+
+    text is the stream's first code points up to the reply's end, position the reply's among the turns.
+    A conversation of many segments is parted over as many tasks, each with the turns up to its own.
     """
-    return stream.where("loss_from IS NOT NULL").select("conv_id", "position", (F.col("starts") + F.length("piece")).alias("chars"), "loss_from", "loss_to", F.col("piece").alias("reply"))
+    rows = stream.withColumn("its_segment", F.floor(F.col("starts") / segment))
+    last = rows.where("loss_from IS NOT NULL AND its_segment > 0").groupBy(F.col("conv_id").alias("its_conv")).agg(F.max("its_segment").alias("last"))
+    sent = rows.join(last, F.col("conv_id").eqNullSafe(F.col("its_conv")), "left").drop("its_conv")
+    sent = sent.select("*", F.explode(F.sequence("its_segment", F.greatest("its_segment", "last"))).alias("of"))
+    before = Window.partitionBy("conv_id", "of").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = sent.withColumn("pieces", F.collect_list("piece").over(before)).where("loss_from IS NOT NULL AND of = its_segment")
+    return whole.select("conv_id", "position", F.array_join("pieces", "").alias("text"), "loss_from", "loss_to")
 
 
-def trained(example: str = "reply") -> Column:
+def trained(example: str = "text") -> Column:
     """What an example is trained on, as it was before it was escaped."""
-    at = F.col("loss_from") - (F.col("chars") - F.length(example)) + 1
-    return unescaped(F.substring(F.col(example), at.cast("int"), (F.col("loss_to") - F.col("loss_from")).cast("int")))
+    return unescaped(F.substring(F.col(example), (F.col("loss_from") + 1).cast("int"), (F.col("loss_to") - F.col("loss_from")).cast("int")))
 
 
 def texts(stream: DataFrame, examples: DataFrame) -> DataFrame:
-    """(conv_id, position, text, loss_from, loss_to): each example with its whole text; as large as all contexts together."""
-    pieces = stream.select(F.col("conv_id").alias("its_conv"), F.col("position").alias("at"), "piece")
-    found = examples.select("conv_id", "position", "loss_from", "loss_to").join(pieces, F.col("conv_id").eqNullSafe(F.col("its_conv")) & (F.col("at") <= F.col("position")))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "")
-    return found.groupBy("conv_id", "position", "loss_from", "loss_to").agg(whole.alias("text")).select("conv_id", "position", "text", "loss_from", "loss_to")
+    """(conv_id, position, text, loss_from, loss_to) of the examples of a stream."""
+    return examples.select("conv_id", "position", "text", "loss_from", "loss_to")
 
 
 def digests(conversations: DataFrame) -> DataFrame:

@@ -228,3 +228,17 @@ def test_repair(spark, talks, segment, monkeypatch):
     got = repair.digests(df).collect()
     assert {r["conv_id"]: tuple(r)[1:] for r in got} == want and len(got) == len(want)
     assert repair.digests(df.limit(0)).collect() == []
+
+
+def test_examples_are_written_out(spark, talks):
+    """Each reply's example holds its whole context, whatever the segments are, and is what digests read."""
+    rows, df = talks
+    few = df.where("conv_id BETWEEN 0 AND 60 OR conv_id IS NULL OR conv_id = 500 AND turn < 40")
+    stream = chat.stream(few)
+    pieces = {}
+    for r in sorted(stream.collect(), key=lambda r: (str(r["conv_id"]), r["position"])):
+        pieces.setdefault(r["conv_id"], []).append(r)
+    want = {(c, r["position"]): ("".join(x["piece"] for x in own[: k + 1]), r["loss_from"], r["loss_to"]) for c, own in pieces.items() for k, r in enumerate(own) if r["loss_from"] is not None}
+    for segment in (50, 5000, chat.SEGMENT):
+        got = chat.examples(stream, segment).collect()
+        assert {(r["conv_id"], r["position"]): (r["text"], r["loss_from"], r["loss_to"]) for r in got} == want and len(got) == len(want)
