@@ -453,3 +453,55 @@ def test_pages_cut_within_a_reference_equal_the_sql(spark, tmp_path):
     for name in ("collect_pages", "page_collection", "page_vocabulary", "styled_pages", "pages_without_headings"):
         got, want = registry.QUERIES[name](spark, str(tmp_path)).collect(), con.execute(registry.ORACLE_SQL[name]).df()
         assert sorted(map(tuple, got)) == sorted(want[list(got[0].asDict())].itertuples(index=False, name=None)), name
+
+
+def test_rows_one_at_a_time():
+    """The rows of every short text, against lines joined while a quote is open."""
+    import itertools
+
+    from glossaria.sources import wordlist_csv
+
+    def plainly(text, whole):
+        rows, open_ = [], False
+        for n, line in enumerate(text.split("\n"), 1):
+            if open_:
+                rows[-1][1].append(line)
+            else:
+                rows.append((n, [line]))
+            open_ ^= line.count('"') % 2 == 1
+        while whole and rows and rows[-1][1] == [""]:
+            rows.pop()
+        return [(n, "\n".join(x)) for n, x in rows]
+
+    for k in range(8):
+        for t in itertools.product('a"\n', repeat=k):
+            for whole in (True, False):
+                assert list(wordlist_csv._each_row("".join(t), 1, whole)) == plainly("".join(t), whole)
+
+
+def test_lists_are_handed_on_in_parts():
+    """The rows of long lists leave the reader in batches of bounded size."""
+    import pyarrow as pa
+
+    from glossaria.sources import wordlist_csv
+
+    class Files:  # gives the reader's function away
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    content = "lemma,flags\n" + "w,1\n" * 15_000
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array([content, None, content])], ["file", "content"])
+    assert [b.num_rows for b in wordlist_csv.read_lists(Files())([batch])] == [wordlist_csv.ROWS, 30_000 - wordlist_csv.ROWS]
+
+
+def test_a_stream_task_passes_a_word_on_once():
+    import pyarrow as pa
+
+    from glossaria.streaming import changes
+
+    batch = lambda words, flags: pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(flags, pa.int32())], ["lemma", "flags"])
+    out = [b.to_pylist() for b in changes._combined([batch(["a", None, "B"], [1, 1, None]), batch(["A", "b"], [2, 0])])]
+    assert out == [[{"lemma": "a", "flags": 3}, {"lemma": "b", "flags": 0}]] and list(changes._combined([])) == []
