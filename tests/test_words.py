@@ -106,3 +106,27 @@ def test_create_entries(spark):
 @pytest.mark.parametrize("value", [text.FOLD_FROM])
 def test_folds_match(value):
     assert len(value) == len(text.FOLD_TO) == 14
+
+
+def test_normal_forms_without_python(spark):
+    """Characters that become one other are replaced by Spark; the result is the normal form whatever stands beside them."""
+    import random
+    import unicodedata
+
+    rng = random.Random(3)
+    chars = [*"ab -", *"éüœ\xad\xa0ª½", *"\u0301\u0308\u3099ﬁ가ᄀ\u1161Ａ\U0001d400", *rng.sample(text.ONE_FROM, 60)]
+    made = ["".join(rng.choice(chars) for _ in range(8)) for _ in range(300)] + ["", None, "ＡＢＣ"]
+    fold = str.maketrans(text.FOLD_FROM, text.FOLD_TO)
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in made], "t string").coalesce(1).select(text.normalize(F.col("t"))).collect()]
+    assert got == [t if t is None else unicodedata.normalize("NFKC", t.translate(fold)) for t in made]
+    assert "ＡＢＣ".translate(str.maketrans(text.ONE_FROM, text.ONE_TO)) == "ABC"
+
+
+def test_words_of_documents_move_once(spark):
+    """With ids there is one shuffle of words, by document and base form."""
+    names = spark.createDataFrame([("alice",)], "lower_name string")
+    docs = spark.range(20).selectExpr("id AS doc_id", "'Alice runs and Cats ran' AS text")
+    found = words.extract_entries(docs, "doc_id", proper_nouns=names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(r[0] for r in found.where("doc_id = 3").select("lemma").collect()) == ["and", "cat", "run"]
