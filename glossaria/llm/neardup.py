@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import WordHashes, frozen, hashes_at_length, joined, mixed, numbered_rows, removed, runs, starts_of
+from glossaria.llm.common import WordHashes, frozen, hashes_at_length, joined, kept, mixed, numbered_rows, removed, runs, scratch, starts_of
 
 TREES, DEPTH = 16, 4
 SHARED = 3  # so many equal hashes of one order put two nodes in one region
@@ -428,16 +428,20 @@ def verified(docs: DataFrame, groups: DataFrame, size: int, per_cent: int) -> Da
 
 def classified(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """numbered_rows(docs), and (its_row, doc_id, n_shingles, node, root): node is null for an empty set, root names a class."""
-    rows, per_cent = numbered_rows(docs), round(100 * threshold)
-    numbered = rows.select("its_row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").cast("binary").alias("text"))
-    sketches = frozen(sketched(numbered, size), "sketches")
-    nodes = sketches.where("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.min("its_row").alias("holder"))
-    nodes = frozen(nodes, "nodes")
-    groups = components(candidates(nodes.select("node", "signature"), threshold)).withColumnRenamed("node", "its_node")
-    groups = frozen(nodes.join(groups, F.col("node") == F.col("its_node")).select("node", "root", "n_shingles", "holder"), "groups")
-    roots = frozen(components(verified(numbered, groups, size, per_cent)).withColumnRenamed("node", "its_node"), "roots")  # joined by itself, so that Spark can split crowded partitions
-    found = sketches.select("its_row", "doc_id", "n_shingles", "node").join(roots, F.col("node") == F.col("its_node"), "left")
-    return rows, frozen(found.select("its_row", "doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root")), "classified")
+    per_cent = round(100 * threshold)
+    with scratch(docs.sparkSession) as made:  # only what is returned stays
+        rows = numbered_rows(docs)
+        numbered = rows.select("its_row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").cast("binary").alias("text"))
+        sketches = frozen(sketched(numbered, size), "sketches")
+        nodes = sketches.where("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.min("its_row").alias("holder"))
+        nodes = frozen(nodes, "nodes")
+        groups = components(candidates(nodes.select("node", "signature"), threshold)).withColumnRenamed("node", "its_node")
+        groups = frozen(nodes.join(groups, F.col("node") == F.col("its_node")).select("node", "root", "n_shingles", "holder"), "groups")
+        roots = frozen(components(verified(numbered, groups, size, per_cent)).withColumnRenamed("node", "its_node"), "roots")  # joined by itself, so that Spark can split crowded partitions
+        found = sketches.select("its_row", "doc_id", "n_shingles", "node").join(roots, F.col("node") == F.col("its_node"), "left")
+        found = frozen(found.select("its_row", "doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root")), "classified")
+        kept(made, rows, found)
+    return rows, found
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
