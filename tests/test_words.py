@@ -122,6 +122,26 @@ def test_normal_forms_without_python(spark):
     assert "ＡＢＣ".translate(str.maketrans(text.ONE_FROM, text.ONE_TO)) == "ABC"
 
 
+def test_normal_forms_hold_few_texts(spark):
+    """Of a batch of 20 MB a task holds a piece of about 1 MB as Python strings; nulls, empty texts and texts longer than a piece stay in their places."""
+    import tracemalloc
+    import unicodedata
+
+    import pyarrow as pa
+
+    batch = pa.array([f"½{k}" + "x" * 10_000 for k in range(2000)])
+    tracemalloc.start()
+    n = sum(len(piece) for piece in text._nfkc.func(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2000 and peak < 8 << 20
+    made = [None, "½", "ﬁ" * 2 * text.PIECE_BYTES, "", None, *(f"{k}ﬁ" * 100_000 for k in range(9)), None]
+    want = [t if t is None else unicodedata.normalize("NFKC", t) for t in made]
+    assert [x for piece in text._nfkc.func(iter([pa.array(made), pa.array([], pa.string()), pa.array([None, None], pa.string())])) for x in piece.to_pylist()] == [*want, None, None]
+    rows = spark.createDataFrame(enumerate(made), "k int, t string").repartition(3).select("k", text.normalize(F.col("t")).alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == want
+
+
 def test_words_of_documents_move_once(spark):
     """With ids there is one shuffle of words, by document and base form."""
     names = spark.createDataFrame([("alice",)], "lower_name string")
